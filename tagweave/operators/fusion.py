@@ -56,6 +56,14 @@ def score_candidates(raw_tags: DataFrame) -> DataFrame:
     )
 
 
+def place(rank: Column, at: Column) -> Column:
+    """Position of an item: its list first, then its place in the list.
+
+    One whole number keeps grouped minima in hash aggregation.
+    """
+    return F.shiftleft(rank.cast("long"), 40) + at.cast("long")
+
+
 def _exploded(
     records: DataFrame,
     items: Column,
@@ -69,7 +77,7 @@ def _exploded(
         .where(F.col("raw").isNotNull())
         .select(
             "stem",
-            F.struct(F.lit(rank).alias("rank"), F.col("at").alias("at")).alias("pos"),
+            place(F.lit(rank), F.col("at")).alias("pos"),
             "raw",
             F.lit(source).alias("source"),
             F.lit(namespace).alias("namespace"),
@@ -96,9 +104,7 @@ def art_tags(predictions: DataFrame) -> DataFrame:
     """Rows of the art tagger, already routed to namespaces."""
     return predictions.select(
         "stem",
-        F.struct(
-            (F.lit(2) + F.col("group_rank")).alias("rank"), F.col("pos").alias("at")
-        ).alias("pos"),
+        place(F.lit(2) + F.col("group_rank"), F.col("pos")).alias("pos"),
         "raw",
         F.lit("smilingwolf").alias("source"),
         "namespace",
@@ -140,7 +146,7 @@ def semantic_tags(semantics: DataFrame) -> DataFrame:
     parts.append(
         rows.select(
             "stem",
-            F.struct("item.rank", "item.at").alias("pos"),
+            place(F.col("item.rank"), F.col("item.at")).alias("pos"),
             F.col("item.raw").alias("raw"),
             F.lit("qwen").alias("source"),
             F.col("item.namespace").alias("namespace"),
@@ -225,8 +231,68 @@ def final_tags(merged: DataFrame, kept: DataFrame, *required: DataFrame) -> Data
         for i, (part, at) in enumerate(blocks)
     ]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-    place = F.struct("block", *[f"at_{i}" for i in range(len(blocks))])
-    return stacked.groupBy("stem", "tag").agg(F.min(place).alias("place"))
+    first = F.min(F.struct("block", *[f"at_{i}" for i in range(len(blocks))]))
+    return stacked.groupBy("stem", "tag").agg(first.alias("place"))
+
+
+def tag_facts(candidates: DataFrame, judged: DataFrame, required: tuple[str, ...]) -> DataFrame:
+    """Everything the final list needs to know per (record, tag), in one grouping.
+
+    ``judged`` holds the judge's final tags ``(stem, pos, raw)``; ``required``
+    names the sources whose tags always stay.
+    """
+    known = candidates.select("stem", "tag", "pos", "score", "source")
+    asked = judged.select(
+        "stem", tags.normalize_tag(F.col("raw")).alias("tag"), F.col("pos").alias("judged_at")
+    )
+    return (
+        known.unionByName(asked, allowMissingColumns=True)
+        .groupBy("stem", "tag")
+        .agg(
+            F.max("score").alias("score"),
+            F.min("pos").alias("first_pos"),
+            F.min("judged_at").alias("judged_at"),
+            *[
+                F.min(F.when(F.col("source") == name, F.col("pos"))).alias(f"required_{i}")
+                for i, name in enumerate(required)
+            ],
+        )
+        .where(F.col("score").isNotNull())
+    )
+
+
+def final_from_facts(facts: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
+    """Final tags by ``place``: as :func:`final_tags`, from :func:`tag_facts`.
+
+    Only the best ``limit`` tags of a record reach the windows; required tags
+    bypass them.
+    """
+    names = sorted(name for name in facts.columns if name.startswith("required_"))
+    record = Window.partitionBy("stem")
+    best = (
+        facts.select("stem", "tag", "score", "first_pos", "judged_at")
+        .withColumn("rank", F.row_number().over(record.orderBy(F.col("score").desc(), "first_pos")))
+        .where(F.col("rank") <= limit)
+        .withColumn("judged", F.max("judged_at").over(record).isNotNull())
+    )
+    judged = F.col("judged_at").isNotNull()
+    listed = best.where(judged | ~F.col("judged")).select(
+        "stem",
+        "tag",
+        F.when(judged, 0).otherwise(1).alias("block"),
+        F.coalesce(F.col("judged_at"), F.col("rank").cast("long")).alias("at"),
+    )
+    stays = [F.struct(F.lit(2 + i).alias("block"), F.col(n).alias("at")) for i, n in enumerate(names)]
+    bypass = (
+        facts.where(F.coalesce(*names).isNotNull())
+        .withColumn("first", F.coalesce(*[F.when(F.col(n).isNotNull(), s) for n, s in zip(names, stays)]))
+        .select("stem", "tag", "first.block", "first.at")
+    )
+    return (
+        listed.unionByName(bypass)
+        .groupBy("stem", "tag")
+        .agg(F.min(F.struct("block", "at")).alias("place"))
+    )
 
 
 def merge_back(existing: DataFrame, final: DataFrame) -> DataFrame:

@@ -89,15 +89,19 @@ def _overlap_with(box: np.ndarray, kept: np.ndarray) -> np.ndarray:
     return inter / np.maximum(union, 1)
 
 
-def _first_come(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Boxes of one small group that overlap no earlier kept box too much."""
-    pdf = pdf.sort_values("pos")
-    boxes = pdf[list(BOX)].to_numpy(dtype=np.float64)
-    kept: list[int] = []
-    for i, box in enumerate(boxes):
-        if not kept or (_overlap_with(box, boxes[kept]) <= overlay.NEAR_IOU).all():
-            kept.append(i)
-    return pdf.iloc[kept]
+def _first_come(order: list[str]):
+    """Function keeping the boxes of one small group that no earlier kept box covers."""
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        boxes = pdf[list(BOX)].to_numpy(dtype=np.float64)
+        kept: list[int] = []
+        for i, box in enumerate(boxes):
+            if not kept or (_overlap_with(box, boxes[kept]) <= overlay.NEAR_IOU).all():
+                kept.append(i)
+        return pdf.iloc[kept]
+
+    return keep
 
 
 # Sides and offsets of two boxes that overlap by more than NEAR_IOU differ by
@@ -199,28 +203,29 @@ def _spread_out(boxes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def drop_near_repeats(
-    boxes: DataFrame, keys: tuple[str, ...] = ("image_id", "frame"), small_group: int = 2000
+    boxes: DataFrame,
+    keys: tuple[str, ...] = ("image_id", "frame"),
+    order: tuple[str, ...] = ("pos",),
+    small_group: int = 2000,
 ) -> DataFrame:
-    """Boxes ``(keys, pos, x1, y1, x2, y2)`` overlapping no earlier kept box.
+    """Boxes ``(keys, order, x1, y1, x2, y2)`` overlapping no earlier kept box.
 
     Equal boxes collapse to their earliest first, before any shuffle of
     groups. Small groups are settled one per call; larger ones are spread.
     """
     names = list(keys)
-    distinct = boxes.groupBy(*names, *BOX).agg(F.min("pos").alias("pos"))
+    columns = [*names, *order, *BOX]
+    distinct = boxes.groupBy(*names, *BOX).agg(F.min(F.struct(*order)).alias("pos"))
     sizes = distinct.groupBy(*names).agg(F.count("*").alias("n"))
     large = sizes.where(F.col("n") > small_group).select(*names)
-    schema = distinct.select(*names, "pos", *BOX).schema
+
+    def settle(groups: DataFrame) -> DataFrame:
+        flat = groups.select(*names, "pos.*", *BOX)
+        return flat.groupBy(*names).applyInPandas(_first_come(list(order)), flat.schema)
+
     if not large.take(1):
-        return (
-            distinct.select(*names, "pos", *BOX).groupBy(*names).applyInPandas(_first_come, schema)
-        )
-    few = (
-        distinct.join(large, names, "left_anti")
-        .select(*names, "pos", *BOX)
-        .groupBy(*names)
-        .applyInPandas(_first_come, schema)
-    )
-    return few.unionByName(
-        _spread_out(distinct.join(large, names, "left_semi").select(*names, "pos", *BOX), names)
+        return settle(distinct)
+    spread = _spread_out(distinct.join(large, names, "left_semi").select(*names, "pos", *BOX), names)
+    return settle(distinct.join(large, names, "left_anti")).unionByName(
+        spread.select(*names, "pos.*", *BOX).select(*columns)
     )

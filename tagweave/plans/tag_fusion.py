@@ -48,16 +48,13 @@ def fuse(
         )
     )
     merged = fusion.merge_candidates(candidates)
-    kept = fusion.prune(judged, merged).where(F.col("field") == "final_tags")
+    asked = judged.where(F.col("field") == "final_tags")
     # Semantic and open-set tags stay whatever the judge said.
-    required = [
-        candidates.where(F.col("source") == name).select("stem", "pos", "tag")
-        for name in ("qwen", "ram++")
-    ]
+    facts = fusion.tag_facts(candidates, asked, required=("qwen", "ram++"))
     return Fusion(
         candidates=candidates,
         merged=merged,
-        final=fusion.final_tags(merged, kept, *required),
+        final=fusion.final_from_facts(facts),
         sources=fusion.source_tags(candidates),
     )
 
