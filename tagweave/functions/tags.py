@@ -80,12 +80,26 @@ SEMANTIC_CONFIDENCE = 0.82
 # ---------------------------------------------------------------------------
 
 
-def normalize_tag(raw: Column) -> Column:
-    """Lower-cased, single-spaced, unpunctuated tag with its alias applied once."""
-    spaced = F.replace(F.lower(strip(raw)), F.lit("_"), F.lit(" "))
-    cleaned = F.btrim(collapse(spaced), F.lit(TAG_TRIM))
+def _cleaned(raw: Column) -> Column:
+    """Lower-cased, single-spaced tag without punctuation at its ends."""
+    # Blanks at the ends become spaces, which the last trim takes as well.
+    spaced = collapse(F.replace(F.lower(raw), F.lit("_"), F.lit(" ")))
+    return F.btrim(spaced, F.lit(TAG_TRIM))
+
+
+def _aliased(tag: Column) -> Column:
     aliases = F.create_map(*[F.lit(part) for pair in TAG_ALIASES.items() for part in pair])
-    return let(cleaned, lambda tag: F.coalesce(F.try_element_at(aliases, tag), tag))
+    return F.coalesce(F.try_element_at(aliases, tag), tag)
+
+
+def normalize_tag(raw: Column) -> Column:
+    """Cleaned tag with its alias applied once."""
+    return _aliased(_cleaned(raw))
+
+
+def normalize_list(raw: Column) -> Column:
+    # Two passes: inside a lambda a shared expression would be computed twice.
+    return F.transform(F.transform(raw, _cleaned), _aliased)
 
 
 def unique_in_order(items: Column) -> Column:
@@ -111,7 +125,7 @@ def unique_in_order(items: Column) -> Column:
 def clean_list(items: Column) -> Column:
     """Normalised tag list without blanks or repeats; NULL counts as empty."""
     present = F.filter(items, lambda item: item.isNotNull() & (strip(item) != ""))
-    normal = F.transform(present, normalize_tag)
+    normal = normalize_list(present)
     # A normalised tag is its own comparison key, so hashing suffices here.
     return F.coalesce(F.array_remove(F.array_distinct(normal), ""), F.array().cast("array<string>"))
 
@@ -133,13 +147,8 @@ def split_free_text(text: Column) -> Column:
 def content_type_tags(content_type: Column) -> Column:
     """The content type as a one-tag list, unless it is empty or unknown."""
     none = F.array().cast("array<string>")
-    return F.coalesce(
-        let(
-            normalize_tag(content_type),
-            lambda tag: F.when(tag.isin("", "unknown"), none).otherwise(F.array(tag)),
-        ),
-        none,
-    )
+    tag = normalize_tag(content_type)
+    return F.when(tag.isNull() | tag.isin("", "unknown"), none).otherwise(F.array(tag))
 
 
 def is_photo(content_type: Column) -> Column:

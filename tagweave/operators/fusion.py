@@ -112,6 +112,19 @@ def art_tags(predictions: DataFrame) -> DataFrame:
     )
 
 
+def _field_items(items: Column, rank: int, namespace: str) -> Column:
+    present = F.coalesce(items, F.array().cast("array<string>"))
+    return F.transform(
+        present,
+        lambda item, at: F.struct(
+            F.lit(rank).alias("rank"),
+            at.alias("at"),
+            item.alias("raw"),
+            F.lit(namespace).alias("namespace"),
+        ),
+    )
+
+
 def semantic_tags(semantics: DataFrame) -> DataFrame:
     """Rows of the content type and of the eight tag fields.
 
@@ -127,15 +140,7 @@ def semantic_tags(semantics: DataFrame) -> DataFrame:
     listed = F.flatten(
         F.array(
             *[
-                F.transform(
-                    F.coalesce(F.col(name), F.array().cast("array<string>")),
-                    lambda item, at, rank=rank, namespace=namespace: F.struct(
-                        F.lit(rank).alias("rank"),
-                        at.alias("at"),
-                        item.alias("raw"),
-                        F.lit(namespace).alias("namespace"),
-                    ),
-                )
+                _field_items(F.col(name), rank, namespace)
                 for rank, (name, namespace) in enumerate(SEMANTIC_FIELDS.items(), 11)
             ]
         )

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tagweave.workload import assets, manifests
+from tagweave.workload import assets, manifests, replies, tagging
 
-MODULES = (assets, manifests)
+MODULES = (assets, manifests, tagging, replies)
 QUERIES = {name: function for module in MODULES for name, function in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
