@@ -21,6 +21,15 @@ def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
     return F.broadcast(side) if side.limit(max_rows + 1).count() <= max_rows else side
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Rows over all cores when the input arrives in fewer splits than that.
+
+    Large inputs have more splits than cores and are returned as they are.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder the cluster names."""
     spark = frame.sparkSession

@@ -17,28 +17,53 @@ SUFFIX_CODEC = {
     ".bmp": "BMP",
     ".gif": "GIF",
 }
-# A dot only opens a suffix when something stands on both of its sides.
-_STEM_AND_SUFFIX = r"(?s)^(.+)(\.[^.]+)$"
 
 
 def file_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*)$", 1)
+    return F.substring_index(path, "/", -1)
+
+
+def _last_part(name: Column) -> Column:
+    return F.substring_index(name, ".", -1)
+
+
+def _stem_length(name: Column) -> Column:
+    return F.char_length(name) - F.char_length(_last_part(name)) - 1
+
+
+def _has_suffix(name: Column) -> Column:
+    # A dot only opens a suffix when something stands on both of its sides.
+    return (_last_part(name) != "") & (_stem_length(name) > 0)
 
 
 def suffix(name: Column) -> Column:
-    return F.regexp_extract(name, _STEM_AND_SUFFIX, 2)
+    return F.when(_has_suffix(name), F.concat(F.lit("."), _last_part(name))).otherwise("")
 
 
 def stem(name: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(name, _STEM_AND_SUFFIX, 1), F.lit("")), name)
+    return F.when(_has_suffix(name), F.substr(name, F.lit(1), _stem_length(name))).otherwise(name)
+
+
+def _ends_with(name: Column, suffix: str) -> Column:
+    return F.endswith(name, F.lit(suffix)) & (F.char_length(name) > len(suffix))
+
+
+def kind(name: Column) -> Column:
+    """``image``, ``metadata`` or NULL for a file of no interest."""
+    lower = F.lower(name)
+    image = F.lit(False)
+    for suffix in IMAGE_SUFFIXES:
+        image = image | _ends_with(lower, suffix)
+    return F.when(is_metadata(name), "metadata").when(image, "image")
 
 
 def is_image(name: Column) -> Column:
-    return F.lower(suffix(name)).isin(*IMAGE_SUFFIXES)
+    return F.coalesce(kind(name) == "image", F.lit(False))
 
 
 def is_metadata(name: Column) -> Column:
-    return suffix(name) == ".json"
+    # Only the lower-case suffix marks metadata.
+    return _ends_with(name, ".json")
 
 
 def prepared_name(name: Column, image_format: str) -> Column:

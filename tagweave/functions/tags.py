@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tagweave.functions.text import BLANK, collapse, fold, let, strip
+from tagweave.functions.text import BLANK, BLANKS, collapse, fold, let, strip
 
 # ---------------------------------------------------------------------------
 # Fixed values.
@@ -97,6 +97,14 @@ def normalize_tag(raw: Column) -> Column:
     return _aliased(_cleaned(raw))
 
 
+def is_empty_tag(raw: Column) -> Column:
+    """Whether a raw tag normalises to nothing: it holds blanks and punctuation only.
+
+    Cheaper than normalising, so filters on it cost little when pushed down.
+    """
+    return F.btrim(raw, F.lit(BLANKS + "_" + TAG_TRIM)) == ""
+
+
 def normalize_list(raw: Column) -> Column:
     # Two passes: inside a lambda a shared expression would be computed twice.
     return F.transform(F.transform(raw, _cleaned), _aliased)

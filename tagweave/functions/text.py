@@ -39,6 +39,11 @@ def collapse(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, BLANKS, " " * len(BLANKS)), " {2,}", " ")
 
 
+def words(text: Column) -> Column:
+    """The text cut at runs of blanks."""
+    return F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), "")
+
+
 def non_blank(text: Column) -> Column:
     """The stripped text, or NULL when nothing is left."""
     return F.nullif(strip(text), F.lit(""))

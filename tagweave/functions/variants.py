@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tagweave.functions.tags import flatten_categories, keep_import_categories
+from tagweave.functions.text import let
 
 
 def schema_of(value: Column) -> Column:
@@ -39,14 +40,20 @@ def parse_strict(text: Column) -> Column:
         F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>"
     )
     in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    whole = (F.size(in_array) == 1) & in_object.isNotNull()
-    return F.when(whole, F.try_parse_json(text))
+    return let(
+        in_array,
+        lambda items: F.when((F.size(items) == 1) & in_object.isNotNull(), F.get(items, F.lit(0))),
+    )
 
 
 def parse_object(text: Column) -> Column:
     """JSON object, or NULL for broken JSON and for every other kind of value."""
-    value = parse_strict(text)
-    return F.when(is_object(value), value)
+    # Failed parses are costly; most texts that are no object show it at the ends.
+    bare = F.btrim(text, F.lit(" \t\r\n"))
+    braced = F.startswith(bare, F.lit("{")) & F.endswith(bare, F.lit("}"))
+    return F.when(
+        braced, let(parse_strict(text), lambda value: F.when(is_object(value), value))
+    )
 
 
 def field(value: Column, name: str) -> Column:

@@ -21,46 +21,48 @@ def evidence(rows: DataFrame) -> DataFrame:
     )
 
 
-def consensus(rows: DataFrame, key: str = "entity_id") -> DataFrame:
-    """Weighted square-root consensus of ``(entity, channel, p, weight)``.
-
-    Agreement is the weakest overlap of a channel with the consensus. It is
-    reached at the smallest or the largest p, so one pass is enough.
-    """
+def _sums() -> list[Column]:
+    """Aggregates the consensus is computed from."""
 
     def root(p: Column) -> Column:
         return F.sum(F.col("weight") * F.sqrt(overlay.clip(p, overlay.EPS, 1.0)))
 
     total = F.greatest(F.lit(overlay.EPS), F.sum("weight"))
-    sums = rows.groupBy(key).agg(
-        (root(F.col("p")) / total).alias("yes"),
-        (root(1.0 - F.col("p")) / total).alias("no"),
-        F.min("p").alias("low"),
-        F.max("p").alias("high"),
-    )
-    yes, no = F.col("yes") * F.col("yes"), F.col("no") * F.col("no")
+    return [
+        (root(F.col("p")) / total).alias("_yes"),
+        (root(1.0 - F.col("p")) / total).alias("_no"),
+        F.min("p").alias("_low"),
+        F.max("p").alias("_high"),
+    ]
+
+
+def _with_consensus(sums: DataFrame) -> DataFrame:
+    yes, no = F.col("_yes") * F.col("_yes"), F.col("_no") * F.col("_no")
     share = yes / F.greatest(F.lit(overlay.EPS), yes + no)
-    weakest = overlay.weakest_affinity(F.col("low"), F.col("high"), F.col("overlay_score"))
+    weakest = overlay.weakest_affinity(F.col("_low"), F.col("_high"), F.col("overlay_score"))
     return (
         sums.withColumn("overlay_score", overlay.clip(share, overlay.EPS, 1.0 - overlay.EPS))
         .withColumn("content_score", 1.0 - F.col("overlay_score"))
         .withColumn("agreement", overlay.clip(weakest, overlay.EPS, 1.0))
         .withColumn("dispersion_bits", -F.log2("agreement"))
-        .select(key, "overlay_score", "content_score", "agreement", "dispersion_bits")
+        .drop("_yes", "_no", "_low", "_high")
     )
 
 
-def channels_wide(rows: DataFrame, channels: list[str], key: str = "entity_id") -> DataFrame:
-    """One column per named channel; the list of channels is fixed."""
-    return rows.groupBy(key).agg(
-        *[F.max(F.when(F.col("channel") == name, F.col("p"))).alias(name) for name in channels]
-    )
+def consensus(rows: DataFrame, key: str = "entity_id") -> DataFrame:
+    """Weighted square-root consensus of ``(entity, channel, p, weight)``.
+
+    Agreement is the weakest overlap of a channel with the consensus. It is
+    reached at the smallest or the largest p, so one pass is enough.
+    """
+    return _with_consensus(rows.groupBy(key).agg(*_sums()))
 
 
 def decide(rows: DataFrame, key: str = "entity_id") -> DataFrame:
-    """Consensus and accept decision of every region, in one grouping."""
+    """Consensus, channels and accept decision of every region, in one grouping."""
     named = list(overlay.CHANNEL_WEIGHTS)
-    scored = consensus(rows, key).join(channels_wide(rows, named, key), key)
+    channels = [F.max(F.when(F.col("channel") == n, F.col("p"))).alias(n) for n in named]
+    scored = _with_consensus(rows.groupBy(key).agg(*_sums(), *channels))
     return scored.withColumn(
         "selected", overlay.accept(F.col("overlay_score"), {n: F.col(n) for n in named})
     )

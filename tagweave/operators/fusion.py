@@ -48,9 +48,9 @@ JUDGED_FIELDS = (
 def score_candidates(raw_tags: DataFrame) -> DataFrame:
     """Score ``(stem, pos, raw, source, namespace, confidence)``; empty tags go."""
     return (
-        raw_tags.withColumn("raw", strip(F.col("raw")))
+        raw_tags.where(~tags.is_empty_tag(F.col("raw")))
+        .withColumn("raw", strip(F.col("raw")))
         .withColumn("tag", tags.normalize_tag(F.col("raw")))
-        .where(F.col("tag") != "")
         .withColumn("authority", tags.authority(F.col("source"), F.col("namespace")))
         .withColumn("score", tags.score(F.col("confidence"), F.col("authority")))
     )
@@ -199,8 +199,8 @@ def first_spelling(rows: DataFrame, keys: list[str], item: str = "tag") -> DataF
     Grouping by the folded item replaces a window over the whole group.
     """
     return (
-        rows.withColumn("_fold", fold(F.col(item)))
-        .where(F.col("_fold") != "")
+        rows.where(strip(F.col(item)) != "")
+        .withColumn("_fold", fold(F.col(item)))
         .groupBy(*keys, "_fold")
         .agg(F.min(F.struct("pos", item)).alias("first"))
         .select(*keys, F.col("first.pos").alias("pos"), F.col(f"first.{item}").alias(item))
@@ -209,7 +209,8 @@ def first_spelling(rows: DataFrame, keys: list[str], item: str = "tag") -> DataF
 
 def source_tags(candidates: DataFrame) -> DataFrame:
     """Tags by source over the raw, unmerged candidates."""
-    return first_spelling(candidates, ["stem", "source"])
+    # Normalised tags differ when their spellings do, so the first place is all.
+    return candidates.groupBy("stem", "source", "tag").agg(F.min("pos").alias("pos"))
 
 
 def prune(judged: DataFrame, merged: DataFrame) -> DataFrame:
@@ -218,7 +219,7 @@ def prune(judged: DataFrame, merged: DataFrame) -> DataFrame:
         "stem", "field", "pos", tags.normalize_tag(F.col("raw")).alias("tag")
     )
     allowed = normal.join(merged.select("stem", "tag"), ["stem", "tag"], "left_semi")
-    return first_spelling(allowed, ["stem", "field"])
+    return allowed.groupBy("stem", "field", "tag").agg(F.min("pos").alias("pos"))
 
 
 def final_tags(merged: DataFrame, kept: DataFrame, *required: DataFrame) -> DataFrame:
@@ -269,34 +270,28 @@ def tag_facts(candidates: DataFrame, judged: DataFrame, required: tuple[str, ...
 def final_from_facts(facts: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
     """Final tags by ``place``: as :func:`final_tags`, from :func:`tag_facts`.
 
-    Only the best ``limit`` tags of a record reach the windows; required tags
-    bypass them.
+    One window per record ranks all its tags. Use it where a record's tags come
+    out of single rows, which bounds them; :func:`final_tags` has no such need.
     """
-    names = sorted(name for name in facts.columns if name.startswith("required_"))
+    required = sorted(name for name in facts.columns if name.startswith("required_"))
     record = Window.partitionBy("stem")
-    best = (
-        facts.select("stem", "tag", "score", "first_pos", "judged_at")
-        .withColumn("rank", F.row_number().over(record.orderBy(F.col("score").desc(), "first_pos")))
-        .where(F.col("rank") <= limit)
-        .withColumn("judged", F.max("judged_at").over(record).isNotNull())
-    )
-    judged = F.col("judged_at").isNotNull()
-    listed = best.where(judged | ~F.col("judged")).select(
-        "stem",
-        "tag",
-        F.when(judged, 0).otherwise(1).alias("block"),
-        F.coalesce(F.col("judged_at"), F.col("rank").cast("long")).alias("at"),
-    )
-    stays = [F.struct(F.lit(2 + i).alias("block"), F.col(n).alias("at")) for i, n in enumerate(names)]
-    bypass = (
-        facts.where(F.coalesce(*names).isNotNull())
-        .withColumn("first", F.coalesce(*[F.when(F.col(n).isNotNull(), s) for n, s in zip(names, stays)]))
-        .select("stem", "tag", "first.block", "first.at")
+    ranked = facts.withColumn(
+        "rank", F.row_number().over(record.orderBy(F.col("score").desc(), "first_pos"))
     )
+    merged = F.col("rank") <= limit
+    kept = merged & F.col("judged_at").isNotNull()
+    spare = merged & (F.max(F.when(kept, F.col("judged_at"))).over(record).isNull())
+
+    def at(block: int, where: Column) -> Column:
+        return F.struct(F.lit(block).alias("block"), where.cast("long").alias("at"))
+
+    place_of = F.when(kept, at(0, F.col("judged_at"))).when(F.col("spare"), at(1, F.col("rank")))
+    for i, name in enumerate(required):
+        place_of = place_of.when(F.col(name).isNotNull(), at(2 + i, F.col(name)))
     return (
-        listed.unionByName(bypass)
-        .groupBy("stem", "tag")
-        .agg(F.min(F.struct("block", "at")).alias("place"))
+        ranked.withColumn("spare", spare)
+        .select("stem", "tag", place_of.alias("place"))
+        .where(F.col("place").isNotNull())
     )
 
 

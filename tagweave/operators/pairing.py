@@ -16,10 +16,7 @@ def classify(listing: DataFrame) -> DataFrame:
     name = F.col("name")
     return (
         listing.withColumn("name", names.file_name(F.col("path")))
-        .withColumn(
-            "kind",
-            F.when(names.is_image(name), "image").when(names.is_metadata(name), "metadata"),
-        )
+        .withColumn("kind", names.kind(name))
         .where(F.col("kind").isNotNull())
         .withColumn("stem", names.stem(name))
     )

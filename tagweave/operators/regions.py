@@ -39,7 +39,7 @@ def similar_counts(regions: DataFrame) -> DataFrame:
     window sees is bounded by the distinct whole-number areas of one image.
     """
     sizes = regions.groupBy("image_id", "area").agg(F.count("*").alias("n"))
-    area = F.col("area")
+    area = F.greatest(F.lit(1), F.col("area"))
 
     # Smallest and largest whole area whose ratio is still in range; stepping
     # by one around the product settles what rounding leaves open.
@@ -59,9 +59,9 @@ def similar_counts(regions: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     marks = F.array(
         # Reads before the counts at the low end, after them at the high end.
-        F.struct(low.cast("long").alias("at"), F.lit(0).alias("turn"), zero.alias("n"), area.alias("of"), F.lit(-1).alias("sign")),
-        F.struct(area.cast("long").alias("at"), F.lit(1).alias("turn"), F.col("n"), none.alias("of"), F.lit(0).alias("sign")),
-        F.struct(high.cast("long").alias("at"), F.lit(2).alias("turn"), zero.alias("n"), area.alias("of"), F.lit(1).alias("sign")),
+        F.struct(low.cast("long").alias("at"), F.lit(0).alias("turn"), zero.alias("n"), F.col("area").alias("of"), F.lit(-1).alias("sign")),
+        F.struct(F.col("area").cast("long").alias("at"), F.lit(1).alias("turn"), F.col("n"), none.alias("of"), F.lit(0).alias("sign")),
+        F.struct(high.cast("long").alias("at"), F.lit(2).alias("turn"), zero.alias("n"), F.col("area").alias("of"), F.lit(1).alias("sign")),
     )
     order = (
         Window.partitionBy("image_id")
@@ -81,24 +81,27 @@ def similar_counts(regions: DataFrame) -> DataFrame:
 # --- near repeats -----------------------------------------------------------
 
 
-def _overlap_with(box: np.ndarray, kept: np.ndarray) -> np.ndarray:
-    low = np.maximum(kept[:, :2], box[:2])
-    high = np.minimum(kept[:, 2:], box[2:])
-    inter = np.clip(high - low + 1, 0, None).prod(axis=1)
-    union = (kept[:, 2:] - kept[:, :2] + 1).prod(axis=1) + (box[2:] - box[:2] + 1).prod() - inter
-    return inter / np.maximum(union, 1)
-
-
 def _first_come(order: list[str]):
-    """Function keeping the boxes of one small group that no earlier kept box covers."""
+    """Function keeping the boxes of one small group that no earlier kept box covers.
+
+    It refers to nothing of this package, so executors need not have it.
+    """
+    names, bar = list(BOX), overlay.NEAR_IOU
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        boxes = pdf[list(BOX)].to_numpy(dtype=np.float64)
-        kept: list[int] = []
-        for i, box in enumerate(boxes):
-            if not kept or (_overlap_with(box, boxes[kept]) <= overlay.NEAR_IOU).all():
-                kept.append(i)
+        boxes = pdf[names].to_numpy(dtype=np.float64)
+        areas = (boxes[:, 2:] - boxes[:, :2] + 1).prod(axis=1)
+        open_rows = np.lexsort([pdf[name].to_numpy() for name in reversed(order)])
+        kept = []
+        while open_rows.size:
+            first, open_rows = open_rows[0], open_rows[1:]
+            kept.append(first)
+            rest = boxes[open_rows]
+            low = np.maximum(rest[:, :2], boxes[first, :2])
+            high = np.minimum(rest[:, 2:], boxes[first, 2:])
+            inter = np.clip(high - low + 1, 0, None).prod(axis=1)
+            union = areas[open_rows] + areas[first] - inter
+            open_rows = open_rows[inter / np.maximum(union, 1) <= bar]
         return pdf.iloc[kept]
 
     return keep
@@ -216,15 +219,19 @@ def drop_near_repeats(
     names = list(keys)
     columns = [*names, *order, *BOX]
     distinct = boxes.groupBy(*names, *BOX).agg(F.min(F.struct(*order)).alias("pos"))
-    sizes = distinct.groupBy(*names).agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") > small_group).select(*names)
+
+    def large_groups(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy(*names).agg(F.count("*").alias("n"))
+        return sizes.where(F.col("n") > small_group).select(*names)
 
     def settle(groups: DataFrame) -> DataFrame:
         flat = groups.select(*names, "pos.*", *BOX)
         return flat.groupBy(*names).applyInPandas(_first_come(list(order)), flat.schema)
 
-    if not large.take(1):
+    # Counting all boxes is cheap and mostly settles the matter.
+    if not large_groups(boxes).take(1):
         return settle(distinct)
+    large = large_groups(distinct)
     spread = _spread_out(distinct.join(large, names, "left_semi").select(*names, "pos", *BOX), names)
     return settle(distinct.join(large, names, "left_anti")).unionByName(
         spread.select(*names, "pos.*", *BOX).select(*columns)

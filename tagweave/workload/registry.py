@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tagweave.workload import assets, manifests, replies, tagging
+from tagweave.workload import assets, importing, manifests, overlays, replies, tagging, training
 
-MODULES = (assets, manifests, tagging, replies)
+MODULES = (assets, manifests, tagging, replies, overlays, importing, training)
 QUERIES = {name: function for module in MODULES for name, function in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagweave.cluster import spread
 from tagweave.functions.tags import TAG_ALIASES, TAG_TRIM
 from tagweave.functions.text import BLANK
 from tagweave.operators import pairing
@@ -120,7 +121,11 @@ staged_overrides AS (
 
 
 def raw_order_tags(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem")
+    lines = spread(
+        table(spark, folder, "lineitem").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax", "l_returnflag", "l_linestatus"
+        )
+    )
     parts = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
     flag = F.col("l_returnflag")
     kind = F.col("l_suppkey") % 4
@@ -202,7 +207,10 @@ def line_regions(spark: SparkSession, folder: str) -> DataFrame:
     def whole(value: Column) -> Column:
         return F.floor(value).cast("int")
 
-    return table(spark, folder, "lineitem").select(
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_discount"
+    )
+    return spread(lines).select(
         F.col("l_orderkey").alias("image_id"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("component_id"),
         whole(F.col("l_quantity") * 15).alias("x"),

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tagweave.cluster import spread
 from tagweave.functions import modeltext, tags
-from tagweave.functions.text import BLANK, collapse, strip
+from tagweave.functions.text import BLANK
+from tagweave.functions.text import words as cut_words
 from tagweave.operators import fusion, predictions
 from tagweave.plans import tag_fusion as job
 from tagweave.workload.tables import (
@@ -103,9 +105,10 @@ FROM part"""
 @query
 def merge_tags(spark: SparkSession, d: str) -> DataFrame:
     """Every word of a document merged into a few tags it already has."""
-    words = F.array_remove(F.split(F.lower("text"), f"{BLANK}+"), "")
+    words = cut_words(F.lower("text"))
     existing = F.array(F.lit("the"), F.col("source"), F.col("lang"))
-    return table(spark, d, "documents").select("doc_id", existing.alias("existing"), words.alias("words")).select(
+    documents = spread(table(spark, d, "documents").select("doc_id", "text", "source", "lang"))
+    return documents.select("doc_id", existing.alias("existing"), words.alias("words")).select(
         "doc_id",
         F.size(tags.merge_into(F.col("existing"), F.col("words"))).alias("n_merged"),
         F.size(tags.added_tags(F.col("existing"), F.col("words"))).alias("n_added"),
@@ -384,7 +387,7 @@ FROM merged GROUP BY stem"""
 
 
 def _conversation_words(spark: SparkSession, d: str) -> DataFrame:
-    words = F.split(collapse(strip(F.col("text"))), " ")
+    words = cut_words(F.col("text"))
     return (
         table(spark, d, "conversations")
         .select(F.col("conv_id").alias("stem"), "turn", F.posexplode(words).alias("at", "tag"))
@@ -465,9 +468,10 @@ def _semantics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, d: str) -> job.Fusion:
-    documents = table(spark, d, "documents")
+    documents = spread(table(spark, d, "documents").select("doc_id", "text", "source", "lang"))
     semantics = _semantics(spark, d)
-    words = F.split(F.lower("text"), f"{BLANK}+")
+    # An open-set model names each tag once.
+    words = F.array_distinct(cut_words(F.lower("text")))
     labelled = _labelled(spark, d)
     art = predictions.route(
         predictions.select_labels(labelled, GENERAL_BAR, CHARACTER_BAR), predictions.rating(labelled)
