@@ -335,7 +335,8 @@ ranked AS (
   FROM features WHERE allowed
 )"""
 SQL["region_rank"] = f"""WITH {_FEATURES}, {_RANKED}
-SELECT image_id, c1 AS l_linenumber, c2 AS l_partkey, c3 AS l_suppkey, rank FROM ranked WHERE rank <= 3"""
+SELECT image_id, c1 AS l_linenumber, c2 AS l_partkey, c3 AS l_suppkey, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE rank <= 3"""
 
 
 @query

@@ -135,7 +135,7 @@ both_ways AS (
 merged AS (
   SELECT doc_id, w, min(first_i) AS f, min(last_i) AS l, bool_or(own) AS own FROM both_ways GROUP BY 1, 2
 )
-SELECT doc_id, count(*) AS n_merged, count(*) FILTER (NOT own) AS n_added,
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n_merged, CAST(count(*) FILTER (NOT own) AS INTEGER) AS n_added,
   md5(string_agg(w, ' ' ORDER BY f)) AS merged_md5, md5(string_agg(w, ' ' ORDER BY l)) AS required_md5
 FROM merged GROUP BY 1"""
 
@@ -166,7 +166,7 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 _LABELLED = """
 labelled AS (
   SELECT vec_id AS stem, pos, 'Label_' || pos AS name, pos % 10 AS category, CAST(embedding[pos + 1] AS DOUBLE) AS confidence
-  FROM embeddings, (SELECT unnest(range(64)) AS pos)
+  FROM embeddings, (SELECT CAST(unnest(range(64)) AS INTEGER) AS pos)
 ),
 selected AS (
   SELECT *, CASE category WHEN 4 THEN 'characters' WHEN 3 THEN 'copyrights' WHEN 1 THEN 'artists'
@@ -194,7 +194,7 @@ def selected_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["selected_labels"] = f"""WITH {_LABELLED}
-SELECT stem, row_number() OVER (PARTITION BY stem ORDER BY confidence DESC, pos) AS rank,
+SELECT stem, CAST(row_number() OVER (PARTITION BY stem ORDER BY confidence DESC, pos) AS INTEGER) AS rank,
   'label ' || pos AS normalized, CASE category WHEN 0 THEN 'general' WHEN 1 THEN 'artist' WHEN 3 THEN 'copyright'
     WHEN 4 THEN 'character' WHEN 5 THEN 'meta' ELSE 'unknown' END AS category_name,
   label_group, round(confidence, 6) AS confidence
@@ -273,7 +273,7 @@ def merge_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["merge_candidates"] = f"""WITH {SQL_ORDER_TAGS}, {SQL_MERGED}
-SELECT stem, tag, rank, raw, source, namespace, round(score, 6) AS score FROM merged"""
+SELECT stem, tag, CAST(rank AS INTEGER) AS rank, raw, source, namespace, round(score, 6) AS score FROM merged"""
 
 
 @query
@@ -419,7 +419,7 @@ def edit_budget(spark: SparkSession, d: str) -> DataFrame:
     return _budget(spark, d).select("stem", "tag", "rank", "chars")
 
 
-SQL["edit_budget"] = f"WITH {_BUDGET} SELECT stem, tag, rank, CAST(chars AS BIGINT) AS chars FROM budget"
+SQL["edit_budget"] = f"WITH {_BUDGET} SELECT stem, tag, CAST(rank AS INTEGER) AS rank, CAST(chars AS BIGINT) AS chars FROM budget"
 
 
 @query
@@ -551,7 +551,7 @@ final AS (
   GROUP BY 1, 2
 )"""
 SQL["tag_fusion"] = f"""WITH {_FUSION}
-SELECT stem, count(*) AS n_tags, md5(string_agg(tag, '|' ORDER BY place)) AS tags_md5, min(place) >= 100000000 AS fell_back
+SELECT stem, CAST(count(*) AS INTEGER) AS n_tags, md5(string_agg(tag, '|' ORDER BY place)) AS tags_md5, min(place) >= 100000000 AS fell_back
 FROM final GROUP BY stem"""
 
 
