@@ -20,25 +20,25 @@ Tagger = Callable[[DataFrame], DataFrame]
 Importer = Callable[..., tuple[DataFrame, DataFrame]]
 
 PRESETS = ("natural_language", "image_tags")
-RESULT_SCHEMA = (
-    "stem STRING, tags ARRAY<STRING>, caption STRING, draft_caption STRING, "
-    "caption_backend STRING, editor_backend STRING, "
-    "error STRUCT<stage: STRING, error: STRING, traceback: STRING>"
-)
+_TEXTS = ("caption", "draft_caption", "caption_backend", "editor_backend")
+_ERROR = ("stage", "error", "traceback")
 
 
 def model_tagger(load: Callable[[], Callable[[str, list[str]], Mapping]], stage: str) -> Tagger:
     """Tagger around a Python model, loaded once per task.
 
     ``load`` returns a function of image path and context tags. An error while
-    loading or tagging becomes an error field; the record goes on.
+    loading or tagging becomes an error field; the record goes on. The worker
+    function refers to nothing of this package, so executors need not have it.
     """
-
-    def failed(error: Exception, where: str) -> dict:
-        return {"stage": where, "error": repr(error), "traceback": traceback.format_exc()}
+    texts, parts = list(_TEXTS), list(_ERROR)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, load_error = None, None
+        def failed(error: Exception, where: str) -> dict:
+            found = (where, repr(error), traceback.format_exc())
+            return {f"error_{name}": value for name, value in zip(parts, found)}
+
+        model, load_error = None, {}
         try:
             model = load()
         except Exception as error:  # noqa: BLE001 - reported per record
@@ -46,19 +46,28 @@ def model_tagger(load: Callable[[], Callable[[str, list[str]], Mapping]], stage:
         for batch in batches:
             rows = []
             for stem, path, context in zip(batch["stem"], batch["image_path"], batch["context_tags"]):
-                row = {"stem": stem, "tags": [], "error": load_error}
+                row = {"stem": stem, "tags": [], **load_error}
                 if model is not None:
                     try:
                         row.update(model(path, list(context)))
                     except Exception as error:  # noqa: BLE001 - reported per record
-                        row["error"] = failed(error, stage)
+                        row.update(failed(error, stage))
                 rows.append(row)
-            names = [part.strip().split(" ")[0] for part in RESULT_SCHEMA.split(", ")[:6]]
-            yield pd.DataFrame(rows).reindex(columns=[*names, "error"])
+            columns = ["stem", "tags", *texts, *[f"error_{name}" for name in parts]]
+            made = pd.DataFrame(rows, dtype=object).reindex(columns=columns)
+            yield made.where(made.notna(), None)
+
+    flat = [*_TEXTS, *[f"error_{name}" for name in _ERROR]]
+    schema = "stem STRING, tags ARRAY<STRING>, " + ", ".join(f"{name} STRING" for name in flat)
+    error = F.struct(*[F.col(f"error_{name}").alias(name) for name in _ERROR])
+
+    def tagger(requests: DataFrame) -> DataFrame:
+        rows = requests.select("stem", "image_path", "context_tags").mapInPandas(run, schema)
+        return rows.select(
+            "stem", "tags", *_TEXTS, F.when(F.col("error_stage").isNotNull(), error).alias("error")
+        )
 
-    return lambda requests: requests.select("stem", "image_path", "context_tags").mapInPandas(
-        run, RESULT_SCHEMA
-    )
+    return tagger
 
 
 def composite(taggers: Sequence[Tagger]) -> Tagger:

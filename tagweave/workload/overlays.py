@@ -318,7 +318,7 @@ features AS (
   FROM parts
 )"""
 SQL["region_features"] = f"""WITH {_FEATURES}
-SELECT image_id, c1 AS l_linenumber, c2 AS l_partkey, c3 AS l_suppkey, round(placement, 6) AS placement,
+SELECT image_id, c1 AS l_linenumber, c2 AS l_partkey, c3 AS l_suppkey, c4 AS l_extendedprice, round(placement, 6) AS placement,
   round(scale, 6) AS scale, round(edge, 6) AS edge, allowed
 FROM features"""
 
@@ -331,11 +331,11 @@ def region_rank(spark: SparkSession, d: str) -> DataFrame:
 
 _RANKED = """
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area * (1 + 0.25e0 * edge) DESC, c1, c2, c3) AS rank
+  SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area * (1 + 0.25e0 * edge) DESC, c1, c2, c3, c4) AS rank
   FROM features WHERE allowed
 )"""
 SQL["region_rank"] = f"""WITH {_FEATURES}, {_RANKED}
-SELECT image_id, c1 AS l_linenumber, c2 AS l_partkey, c3 AS l_suppkey, CAST(rank AS INTEGER) AS rank
+SELECT image_id, c1 AS l_linenumber, c2 AS l_partkey, c3 AS l_suppkey, c4 AS l_extendedprice, CAST(rank AS INTEGER) AS rank
 FROM ranked WHERE rank <= 3"""
 
 
@@ -370,7 +370,7 @@ def scored_regions(spark: SparkSession, d: str) -> DataFrame:
 
 SQL["scored_regions"] = f"""WITH {_FEATURES}, {_RANKED},
 probed AS (
-  SELECT image_id, c1, c2, c3, placement, scale, greatest(0.01, least(0.99, 0.40 + 0.11 * least(5, (
+  SELECT image_id, c1, c2, c3, c4, placement, scale, greatest(0.01, least(0.99, 0.40 + 0.11 * least(5, (
     SELECT count(*) FROM regions o WHERE o.image_id = r.image_id AND o.area / greatest(1, r.area) BETWEEN 0.35e0 AND 2.85e0) - 1))) AS rep
   FROM ranked r WHERE rank <= 24
 ),
@@ -380,7 +380,7 @@ roots AS (
   FROM probed
 ),
 shares AS (SELECT *, yes / (yes + no) AS s FROM roots)
-SELECT image_id, c1 AS l_linenumber, c2 AS l_partkey, c3 AS l_suppkey, round(s, 6) AS overlay_score,
+SELECT image_id, c1 AS l_linenumber, c2 AS l_partkey, c3 AS l_suppkey, c4 AS l_extendedprice, round(s, 6) AS overlay_score,
   round(-log2(least(sqrt(placement * s) + sqrt((1 - placement) * (1 - s)), sqrt(scale * s) + sqrt((1 - scale) * (1 - s)),
     sqrt(rep * s) + sqrt((1 - rep) * (1 - s)))), 6) AS dispersion_bits,
   (s >= 0.68 OR (0.5 >= 0.48 AND placement >= 0.66 AND scale >= 0.58) OR (rep >= 0.68 AND s >= 0.52)) AS selected
@@ -417,12 +417,12 @@ boxes AS (
   UNION ALL SELECT *, 1, x / 2.0e0, x / 2.0e0 + 3, y::DOUBLE, y + 2.0e0 FROM regions
 ),
 clipped AS (
-  SELECT image_id, c1, c2, c3, item,
+  SELECT image_id, c1, c2, c3, c4, item,
     CAST(greatest(0, least(1023, round_even(xa, 0))) AS INTEGER) AS x1, CAST(greatest(0, least(1023, round_even(xb, 0))) AS INTEGER) AS x2,
     CAST(greatest(0, least(767, round_even(ya, 0))) AS INTEGER) AS y1, CAST(greatest(0, least(767, round_even(yb, 0))) AS INTEGER) AS y2
   FROM boxes
 )
-SELECT image_id, c1 AS l_linenumber, c2 AS l_partkey, c3 AS l_suppkey, item, x1, y1, x2, y2,
+SELECT image_id, c1 AS l_linenumber, c2 AS l_partkey, c3 AS l_suppkey, c4 AS l_extendedprice, item, x1, y1, x2, y2,
   CAST((x2 - x1) * (y2 - y1) AS DOUBLE) AS polygon_area, (x2 - x1) * (y2 - y1) >= 9 AS valid
 FROM clipped"""
 

@@ -208,11 +208,11 @@ def line_regions(spark: SparkSession, folder: str) -> DataFrame:
         return F.floor(value).cast("int")
 
     lines = table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_discount"
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_tax", "l_discount"
     )
     return spread(lines).select(
         F.col("l_orderkey").alias("image_id"),
-        F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("component_id"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("component_id"),
         whole(F.col("l_quantity") * 15).alias("x"),
         (F.col("l_suppkey") % 700).cast("int").alias("y"),
         (whole(F.col("l_tax") * 1000) + 1).alias("w"),
@@ -226,7 +226,7 @@ def line_regions(spark: SparkSession, folder: str) -> DataFrame:
 SQL_REGIONS = """
 regions AS (
   SELECT *, CAST(floor(w * h * 0.75e0) AS INTEGER) AS area, 1024 AS width, 768 AS height FROM (
-    SELECT l_orderkey AS image_id, l_linenumber AS c1, l_partkey AS c2, l_suppkey AS c3,
+    SELECT l_orderkey AS image_id, l_linenumber AS c1, l_partkey AS c2, l_suppkey AS c3, l_extendedprice AS c4,
       CAST(floor(l_quantity * 15) AS INTEGER) AS x, CAST(l_suppkey % 700 AS INTEGER) AS y,
       CAST(floor(l_tax * 1000) AS INTEGER) + 1 AS w, CAST(floor(l_discount * 500) AS INTEGER) + 1 AS h
     FROM lineitem)
