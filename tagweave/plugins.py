@@ -10,7 +10,7 @@ import traceback
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,41 +33,40 @@ def model_tagger(load: Callable[[], Callable[[str, list[str]], Mapping]], stage:
     """
     texts, parts = list(_TEXTS), list(_ERROR)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        error_type = pa.struct([(name, pa.string()) for name in parts])
+        shape = pa.schema(
+            [("stem", pa.string()), ("tags", pa.list_(pa.string()))]
+            + [(name, pa.string()) for name in texts]
+            + [("error", error_type)]
+        )
+
         def failed(error: Exception, where: str) -> dict:
-            found = (where, repr(error), traceback.format_exc())
-            return {f"error_{name}": value for name, value in zip(parts, found)}
+            return dict(zip(parts, (where, repr(error), traceback.format_exc())))
 
-        model, load_error = None, {}
+        model, load_error = None, None
         try:
             model = load()
         except Exception as error:  # noqa: BLE001 - reported per record
             load_error = failed(error, f"{stage}_load")
         for batch in batches:
             rows = []
-            for stem, path, context in zip(batch["stem"], batch["image_path"], batch["context_tags"]):
-                row = {"stem": stem, "tags": [], **load_error}
+            for request in batch.to_pylist():
+                row = {"stem": request["stem"], "tags": [], "error": load_error}
                 if model is not None:
                     try:
-                        row.update(model(path, list(context)))
+                        row.update(model(request["image_path"], request["context_tags"]))
                     except Exception as error:  # noqa: BLE001 - reported per record
-                        row.update(failed(error, stage))
+                        row["error"] = failed(error, stage)
                 rows.append(row)
-            columns = ["stem", "tags", *texts, *[f"error_{name}" for name in parts]]
-            made = pd.DataFrame(rows, dtype=object).reindex(columns=columns)
-            yield made.where(made.notna(), None)
-
-    flat = [*_TEXTS, *[f"error_{name}" for name in _ERROR]]
-    schema = "stem STRING, tags ARRAY<STRING>, " + ", ".join(f"{name} STRING" for name in flat)
-    error = F.struct(*[F.col(f"error_{name}").alias(name) for name in _ERROR])
-
-    def tagger(requests: DataFrame) -> DataFrame:
-        rows = requests.select("stem", "image_path", "context_tags").mapInPandas(run, schema)
-        return rows.select(
-            "stem", "tags", *_TEXTS, F.when(F.col("error_stage").isNotNull(), error).alias("error")
-        )
-
-    return tagger
+            yield pa.RecordBatch.from_pylist(rows, schema=shape)
+
+    schema = (
+        "stem STRING, tags ARRAY<STRING>, "
+        + ", ".join(f"{name} STRING" for name in _TEXTS)
+        + f", error STRUCT<{', '.join(f'{name}: STRING' for name in _ERROR)}>"
+    )
+    return lambda requests: requests.select("stem", "image_path", "context_tags").mapInArrow(run, schema)
 
 
 def composite(taggers: Sequence[Tagger]) -> Tagger:
