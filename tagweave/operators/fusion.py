@@ -222,25 +222,6 @@ def prune(judged: DataFrame, merged: DataFrame) -> DataFrame:
     return allowed.groupBy("stem", "field", "tag").agg(F.min("pos").alias("pos"))
 
 
-def final_tags(merged: DataFrame, kept: DataFrame, *required: DataFrame) -> DataFrame:
-    """Kept tags, or all merged ones of a record without any, then required tags.
-
-    ``kept`` and ``required`` hold ``(stem, pos, tag)``. The result orders a
-    record's tags by ``place``; block 1 marks tags of a record that fell back.
-    """
-    judged = kept.select("stem").distinct()
-    spare = merged.join(judged, "stem", "left_anti")
-    # Every block keeps its own, possibly differently typed, place column.
-    blocks = [(kept, "pos"), (spare, "rank"), *[(part, "pos") for part in required]]
-    rows = [
-        part.select("stem", "tag", F.lit(i).alias("block"), F.col(at).alias(f"at_{i}"))
-        for i, (part, at) in enumerate(blocks)
-    ]
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-    first = F.min(F.struct("block", *[f"at_{i}" for i in range(len(blocks))]))
-    return stacked.groupBy("stem", "tag").agg(first.alias("place"))
-
-
 def tag_facts(candidates: DataFrame, judged: DataFrame, required: tuple[str, ...]) -> DataFrame:
     """Everything the final list needs to know per (record, tag), in one grouping.
 
@@ -267,31 +248,48 @@ def tag_facts(candidates: DataFrame, judged: DataFrame, required: tuple[str, ...
     )
 
 
-def final_from_facts(facts: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
-    """Final tags by ``place``: as :func:`final_tags`, from :func:`tag_facts`.
+def final_tags(
+    facts: DataFrame, limit: int = MAX_CANDIDATES, *, bounded_records: bool = False
+) -> DataFrame:
+    """Final tags of :func:`tag_facts`, ordered within a record by ``place``.
+
+    Block 0 holds the judged tags among the best ``limit``; block 1 all of
+    those, for records where the judge kept none; later blocks the required
+    tags of each source.
 
-    One window per record ranks all its tags. Use it where a record's tags come
-    out of single rows, which bounds them; :func:`final_tags` has no such need.
+    Ranking lets only the best ``limit`` tags of a record through to its
+    window, and required tags take their own way. With ``bounded_records``,
+    for records whose tags all come out of single rows, one window per record
+    sees everything and the facts are computed once.
     """
     required = sorted(name for name in facts.columns if name.startswith("required_"))
     record = Window.partitionBy("stem")
     ranked = facts.withColumn(
         "rank", F.row_number().over(record.orderBy(F.col("score").desc(), "first_pos"))
     )
-    merged = F.col("rank") <= limit
-    kept = merged & F.col("judged_at").isNotNull()
-    spare = merged & (F.max(F.when(kept, F.col("judged_at"))).over(record).isNull())
-
-    def at(block: int, where: Column) -> Column:
-        return F.struct(F.lit(block).alias("block"), where.cast("long").alias("at"))
+    kept = (F.col("rank") <= limit) & F.col("judged_at").isNotNull()
+    judged = F.max(kept).over(record)
+    listed = F.when(kept, 0).when((F.col("rank") <= limit) & ~F.col("judged"), 1)
+    needed = F.coalesce(*[F.when(F.col(n).isNotNull(), 2 + i) for i, n in enumerate(required)])
+
+    def placed(rows: DataFrame, block: Column) -> DataFrame:
+        at = [(0, "judged_at"), (1, "rank"), *[(2 + i, n) for i, n in enumerate(required)]]
+        places = [F.when(F.col("block") == i, F.col(n)).alias(n) for i, n in at]
+        return (
+            rows.withColumn("block", block)
+            .where(F.col("block").isNotNull())
+            .select("stem", "tag", F.struct("block", *places).alias("place"))
+        )
 
-    place_of = F.when(kept, at(0, F.col("judged_at"))).when(F.col("spare"), at(1, F.col("rank")))
-    for i, name in enumerate(required):
-        place_of = place_of.when(F.col(name).isNotNull(), at(2 + i, F.col(name)))
+    if bounded_records:
+        return placed(ranked.withColumn("judged", judged), F.coalesce(listed, needed))
+    best = ranked.where(F.col("rank") <= limit).withColumn("judged", judged)
+    bypass = facts.where(needed.isNotNull()).withColumn("rank", F.lit(None).cast("int"))
     return (
-        ranked.withColumn("spare", spare)
-        .select("stem", "tag", place_of.alias("place"))
-        .where(F.col("place").isNotNull())
+        placed(best, listed)
+        .unionByName(placed(bypass, needed))
+        .groupBy("stem", "tag")
+        .agg(F.min("place").alias("place"))
     )
 
 

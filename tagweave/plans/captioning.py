@@ -9,6 +9,10 @@ from tagweave.functions import modeltext, tags, variants
 from tagweave.functions.text import let
 
 
+# Longest walk whose end is found by a top-k.
+SHORT_WALK = 10_000
+
+
 def has_tags(meta: Column) -> Column:
     """Whether stored metadata holds at least one tag."""
     found = variants.tags_of(variants.field(meta, "tags"))
@@ -32,8 +36,13 @@ def select_work(
         return images
     if limit <= 0:
         return images.where(F.lit(False))
-    chosen = images.where(~F.col("skipped")).select("stem").orderBy("stem").limit(limit)
-    cut = chosen.agg(F.max("stem").alias("last"), F.count("*").alias("n"))
+    chosen = images.where(~F.col("skipped")).select("stem")
+    if limit > SHORT_WALK:
+        last = _long_walk_end(chosen, limit)
+        return images if last is None else images.where(F.col("stem") <= last)
+    cut = chosen.orderBy("stem").limit(limit).agg(
+        F.max("stem").alias("last"), F.count("*").alias("n")
+    )
     # One row: a scalar bound, broadcast.
     return (
         images.join(
@@ -42,6 +51,26 @@ def select_work(
     )
 
 
+def _long_walk_end(chosen: DataFrame, limit: int) -> str | None:
+    """Stem of the ``limit``-th chosen image, or None when there are fewer.
+
+    Ranges of stems are counted first, one row per range; only the range that
+    holds the end is sorted.
+    """
+    ranges = (
+        chosen.repartitionByRange("stem")
+        .groupBy(F.spark_partition_id().alias("part"))
+        .agg(F.min("stem").alias("low"), F.max("stem").alias("high"), F.count("*").alias("n"))
+    )
+    left = limit
+    for part in sorted(ranges.collect(), key=lambda r: r["low"]):
+        if left <= part["n"]:
+            inside = chosen.where(F.col("stem").between(part["low"], part["high"]))
+            return inside.orderBy("stem").limit(left).agg(F.max("stem")).first()[0]
+        left -= part["n"]
+    return None
+
+
 def requests(work: DataFrame) -> DataFrame:
     """Work items with the stored tags as model context."""
     context = variants.tags_of(variants.field(F.col("meta"), "tags"))

@@ -54,7 +54,8 @@ def fuse(
     return Fusion(
         candidates=candidates,
         merged=merged,
-        final=fusion.final_from_facts(facts),
+        # One row per record and source: a record's tags fit one window.
+        final=fusion.final_tags(facts, bounded_records=True),
         sources=fusion.source_tags(candidates),
     )
 

@@ -331,13 +331,8 @@ SELECT stem, 'final_tags' AS field, tag, pos.a AS l_linenumber, pos.b AS l_partk
 @query
 def prune_and_require(spark: SparkSession, d: str) -> DataFrame:
     """Kept tags or the fallback, then the tags of two sources that always stay."""
-    scored = _scored(spark, d)
-    merged = fusion.merge_candidates(scored, limit=3)
-    kept = fusion.prune(_judged(spark, d), merged)
-    required = [
-        scored.where(F.col("source") == name).select("stem", "pos", "tag") for name in ("qwen", "ram++")
-    ]
-    return fusion.final_tags(merged, kept, *required).select("stem", "tag", F.col("place.block").alias("block"))
+    facts = fusion.tag_facts(_scored(spark, d), _judged(spark, d), required=("qwen", "ram++"))
+    return fusion.final_tags(facts, limit=3).select("stem", "tag", F.col("place.block").alias("block"))
 
 
 SQL["prune_and_require"] = f"""WITH {SQL_ORDER_TAGS}, {SQL_MERGED}, {_KEPT}

@@ -338,11 +338,22 @@ def caption_candidates(spark):
         ({"all_images": True, "limit": 2}, [("a", False), ("b", False)]),
     ],
 )
-def test_select_work(spark, options, expected):
+@pytest.mark.parametrize("short", [10_000, 0])
+def test_select_work(spark, monkeypatch, short, options, expected):
+    monkeypatch.setattr(captioning, "SHORT_WALK", short)
     rows = captioning.select_work(caption_candidates(spark), **options)
     assert sorted((r["stem"], r["skipped"]) for r in rows.collect()) == expected
 
 
+def test_long_walk_over_many_ranges(spark):
+    rows = spark.range(500).select(F.format_string("%05d", "id").alias("stem"), F.lit("x").alias("image_path"), (F.col("id") % 3 == 0).alias("tagged"))
+    chosen = rows.where("not tagged").select("stem")
+    untagged = [f"{i:05d}" for i in range(500) if i % 3]
+    for limit in (1, 100, 250, len(untagged)):
+        assert captioning._long_walk_end(chosen, limit) == untagged[limit - 1]
+    assert captioning._long_walk_end(chosen, len(untagged) + 1) is None
+
+
 def test_write_back(spark):
     stored = metas(
         spark,
