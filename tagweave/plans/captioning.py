@@ -37,22 +37,21 @@ def select_work(
     if limit <= 0:
         return images.where(F.lit(False))
     chosen = images.where(~F.col("skipped")).select("stem")
+    last = _walk_end(chosen, limit)
+    # A plain bound on the stem reaches the scan.
+    return images if last is None else images.where(F.col("stem") <= last)
+
+
+def _walk_end(chosen: DataFrame, limit: int) -> str | None:
+    """Stem of the ``limit``-th chosen image, or None when there are fewer."""
     if limit > SHORT_WALK:
-        last = _long_walk_end(chosen, limit)
-        return images if last is None else images.where(F.col("stem") <= last)
-    cut = chosen.orderBy("stem").limit(limit).agg(
-        F.max("stem").alias("last"), F.count("*").alias("n")
-    )
-    # One row: a scalar bound, broadcast.
-    return (
-        images.join(
-            F.broadcast(cut), (F.col("n") < limit) | (F.col("stem") <= F.col("last")), "inner"
-        ).drop("last", "n")
-    )
+        return _long_walk_end(chosen, limit)
+    end = chosen.orderBy("stem").limit(limit).agg(F.max("stem"), F.count("*")).first()
+    return end[0] if end[1] == limit else None
 
 
 def _long_walk_end(chosen: DataFrame, limit: int) -> str | None:
-    """Stem of the ``limit``-th chosen image, or None when there are fewer.
+    """As :func:`_walk_end`, without sorting all stems up to the end.
 
     Ranges of stems are counted first, one row per range; only the range that
     holds the end is sorted.
