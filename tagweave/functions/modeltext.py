@@ -11,6 +11,11 @@ from tagweave.functions.variants import parse_object
 # Labels a reply may start with, tried in this order.
 CAPTION_LABELS = ("Corrected caption:", "Caption:", "Output:")
 RAW_REPLY_FIELD = "_raw_response"
+# Fixed value: layout of an editor request.
+EDIT_REQUEST = (
+    "Trusted source tags:\n%s\n\nDraft caption:\n%s\n\n"
+    "Rewrite the draft as a natural-language training caption."
+)
 
 
 def unfenced(text: Column) -> Column:
@@ -94,10 +99,4 @@ def prune_request(semantic_json: Column, payload_json: Column, max_rejected: int
 
 def edit_request(tag_text: Column, draft: Column) -> Column:
     """Request asking an editor model to correct a draft caption."""
-    return F.concat(
-        F.lit("Trusted source tags:\n"),
-        tag_text,
-        F.lit("\n\nDraft caption:\n"),
-        draft,
-        F.lit("\n\nRewrite the draft as a natural-language training caption."),
-    )
+    return F.format_string(EDIT_REQUEST, tag_text, draft)
