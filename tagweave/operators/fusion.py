@@ -72,8 +72,10 @@ def _exploded(
     namespace: str,
     confidence: float,
 ) -> DataFrame:
+    # The outer form keeps Spark from computing the lists a second time just to
+    # skip empty ones ahead of the explode.
     return (
-        records.select("stem", F.posexplode(items).alias("at", "raw"))
+        records.select("stem", F.posexplode_outer(items).alias("at", "raw"))
         .where(F.col("raw").isNotNull())
         .select(
             "stem",
@@ -145,7 +147,7 @@ def semantic_tags(semantics: DataFrame) -> DataFrame:
             ]
         )
     )
-    rows = usable.select("stem", F.explode(listed).alias("item")).where(
+    rows = usable.select("stem", F.explode_outer(listed).alias("item")).where(
         F.col("item.raw").isNotNull()
     )
     parts.append(

@@ -260,13 +260,13 @@ FROM events GROUP BY 1, 2 HAVING count(DISTINCT event_type) >= 2"""
 
 @query
 def marked_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Positions either of two detections marks: strong and weak values."""
     marks = _marks(spark, d)
-    return evidence.marked_positions(*[marks.where(F.col("frame") == name) for name in ("click", "view", "error")])
+    return evidence.marked_positions(marks.where(F.col("hit")), marks.where(~F.col("hit")))
 
 
 SQL["marked_positions"] = """
-SELECT DISTINCT user_id AS image_id, CAST(floor(value) AS BIGINT) AS pos FROM events
-WHERE event_type IN ('click', 'view', 'error')"""
+SELECT DISTINCT user_id AS image_id, CAST(floor(value) AS BIGINT) AS pos FROM events"""
 
 
 @query

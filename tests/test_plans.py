@@ -63,6 +63,13 @@ def test_one_hot_record_is_cut_before_it_is_shuffled(spark):
     assert merged.where("stem <> 0").count() == 20_000
 
 
+@needs_tables
+@pytest.mark.parametrize("name", ["merge_candidates", "prune_and_require", "edit_budget", "region_rank", "scored_regions"])
+def test_top_k_is_cut_on_both_sides_of_the_shuffle(plans, name):
+    text = plans[name]
+    assert text.count("WindowGroupLimit") >= 2 and "Partial" in text and "Final" in text
+
+
 def test_pairing_is_one_grouped_pass(spark):
     files = pairing.classify(spark.createDataFrame([("a.png",)], "path STRING"))
     text = plan(pairing.pair(files))
