@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import line_dedup, mixing, pieces, token_files, url_filters, warc
+from tagweave.llm import line_dedup, mixing, pieces, token_files, url_filters, vector_search, warc
 from tagweave.llm.common import shared_folder, stored, table
 
 QUERIES = {}
@@ -130,3 +130,23 @@ SELECT page_id, host, path, rule, CASE
   WHEN bool_or(coalesce(rule IN ('example.org/en/1', 'example.org/es/', 'com/de/'), false)) OVER (PARTITION BY host) THEN 'block'
   ELSE 'allow' END AS verdict
 FROM ruled"""
+
+
+@query
+def op10_top_k(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best other vectors of every hundredth vector."""
+    return vector_search.top_k(table(spark, d, "embeddings"), is_query=F.col("vec_id") % 100 == 0)
+
+
+SQL["op10_top_k"] = """
+WITH vectors AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON c.vec_id <> q.vec_id AND q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scores QUALIFY rank <= 10"""
