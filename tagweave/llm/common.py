@@ -70,3 +70,11 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def row_beside_text(docs: DataFrame, text: str, with_text: bool) -> tuple[DataFrame, str]:
+    """``row`` (struct of the columns, with or without the text) beside ``text``; and the type of the struct."""
+    names = [name for name in docs.columns if with_text or name != text]
+    row = F.struct(*[F.col(f"`{name}`") for name in names]) if names else F.struct(F.lit(0).alias("none"))
+    rows = docs.select(row.alias("row"), F.col(text).alias("text"))
+    return rows, rows.schema["row"].dataType.simpleString()

@@ -15,7 +15,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tagweave.llm.common import row_beside_text
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -75,8 +76,7 @@ def encode_pieces(docs: DataFrame, model: str, *, text: str = "text") -> DataFra
     has no ids and decodes to the empty text. Repeated rows are encoded each. An
     empty table gives an empty result.
     """
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != text], F.lit(0).alias("_")).alias("row"), F.col(text).alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
+    rows, kind = row_beside_text(docs, text, False)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunk_encoder(model)

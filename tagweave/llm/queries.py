@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import line_dedup, mixing, pieces, token_files, url_filters, vector_search, warc
+from tagweave.llm import language_id, line_dedup, mixing, near_dedup, pieces, quality, token_files, url_filters, vector_search, warc
 from tagweave.llm.common import shared_folder, stored, table
 
 QUERIES = {}
@@ -150,3 +150,33 @@ scores AS (
 )
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scores QUALIFY rank <= 10"""
+
+
+@query
+def op4_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Base counts and verdict by divergence of every document."""
+    rated = quality.rate(table(spark, d, "documents").select("doc_id", "text", "lang"), with_text=False)
+    return rated.select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "class_distance", "word_distance",
+    )
+
+
+def held_out(doc: str):
+    return F.coalesce(F.crc32(F.col(doc).cast("string")) % 3 == 1, F.lit(False))
+
+
+@query
+def op5_language(spark: SparkSession, d: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(F.col("doc_id").isNotNull() & ~held_out("doc_id")))
+    found = language_id.identify(docs.select("doc_id", "text"), model, with_text=False)
+    return found.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op2_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Near-duplicate components of all documents on four-word shingles."""
+    found = near_dedup.components(table(spark, d, "documents"), width=4, percent=80)
+    return found.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id", "kept")
