@@ -243,8 +243,9 @@ def read_archives(spark, archives: DataFrame) -> DataFrame:
                     if rows:
                         yield _rows_batch(rows)
 
-    names = archives.select("archive").distinct()
-    return names.repartition(shuffle_partitions(spark), "archive").mapInArrow(
+    # one name per writing task; a task of its own each
+    names = [(r["archive"],) for r in archives.select("archive").distinct().collect()]
+    return spark.createDataFrame(names, "archive string").repartition(max(1, len(names))).mapInArrow(
         read, "page long, record_type string, refers_to long, payload binary, digest string, archive string, offset long"
     )
 
