@@ -27,22 +27,20 @@ def resolve_metadata(
     """Metadata of every staged image: its dataset's override, else the pool's.
 
     ``overrides(dataset, stem, meta)`` and ``pool(stem, meta)`` have unique
-    keys. Only the staged side can repeat a stem, and adaptive execution
+    keys and a NULL ``meta`` where a record exists but cannot be read. Such a
+    record is taken as it is: ``origin`` names it and ``meta`` stays NULL.
+    Only the staged side can repeat a stem, and adaptive execution
     splits that side when one stem is hot.
     """
-    over = overrides.select("dataset", "stem", F.col("meta").alias("override_meta"))
-    base = pool.select("stem", F.col("meta").alias("pool_meta"))
+    there = F.lit(True)
+    over = overrides.select("dataset", "stem", F.col("meta").alias("override_meta"), there.alias("has_override"))
+    base = pool.select("stem", F.col("meta").alias("pool_meta"), there.alias("has_pool"))
     return (
         staged_images.join(over, ["dataset", "stem"], "left")
         .join(base, "stem", "left")
-        .withColumn("meta", F.coalesce("override_meta", "pool_meta"))
-        .withColumn(
-            "origin",
-            F.when(F.col("override_meta").isNotNull(), "override").when(
-                F.col("pool_meta").isNotNull(), "candidate"
-            ),
-        )
-        .drop("override_meta", "pool_meta")
+        .withColumn("meta", F.when(F.col("has_override"), F.col("override_meta")).otherwise(F.col("pool_meta")))
+        .withColumn("origin", F.when(F.col("has_override"), "override").when(F.col("has_pool"), "candidate"))
+        .drop("override_meta", "pool_meta", "has_override", "has_pool")
     )
 
 
@@ -95,21 +93,24 @@ def status(
 ) -> DataFrame:
     """Counts per dataset; every staged JSON counts as an override."""
     image = F.col("kind") == "image"
-    counted = staged.groupBy("dataset").agg(
-        F.count_if(image).alias("staged_images"),
-        F.count_if(~image).alias("overrides"),
+    # One pass: files are counted per stem, then stems per dataset.
+    stems = staged.groupBy("dataset", "stem").agg(
+        F.count_if(image).alias("n_images"), F.count_if(~image).alias("n_overrides")
     )
-    own = ["dataset", "stem"]
-    missing = (
-        staged.where(image)
-        .join(staged.where(~image).select(own), own, "left_anti")
-        .join(pool.select("stem"), "stem", "left_anti")
+    known = pool.select("stem", F.lit(True).alias("in_pool"))
+    alone = (F.col("n_overrides") == 0) & F.col("in_pool").isNull()
+    counted = (
+        stems.join(known, "stem", "left")
         .groupBy("dataset")
-        .agg(F.count("*").alias("missing_metadata"))
+        .agg(
+            F.sum("n_images").alias("staged_images"),
+            F.sum("n_overrides").alias("overrides"),
+            F.sum(F.when(alone, F.col("n_images")).otherwise(0)).alias("missing_metadata"),
+        )
     )
     runs = artifacts.groupBy("dataset").agg(F.count("*").alias("artifacts"))
     joined = datasets
-    for part in (counted, missing, validity, runs):
+    for part in (counted, validity, runs):
         joined = joined.join(part, "dataset", "left")
     zero = F.lit(0).cast("long")
     return joined.select(
@@ -178,9 +179,9 @@ def upsert_staged(staged: DataFrame, resolved: DataFrame) -> DataFrame:
 def stage_all(candidates: DataFrame, dataset: str) -> DataFrame:
     """Membership rows for the whole pool, or an error naming the broken stems."""
     repeated = candidates.where(F.col("n_images") > 1)
-    gate(repeated, "Candidates have multiple images", "stem")
+    gate(repeated, "Stems with several images in the pool", "stem")
     broken = candidates.where(F.col("is_broken"))
-    gate(broken, "Cannot stage all candidates with broken entries", "stem")
+    gate(broken, "The pool holds unpaired stems", "stem")
     name = names.file_name(F.col("image_path"))
     return candidates.select(
         F.lit(dataset).alias("dataset"),
@@ -259,7 +260,13 @@ def rename(datasets: DataFrame, table: DataFrame, old: str, new: str) -> DataFra
 
 
 def rename_many(datasets: DataFrame, table: DataFrame, renames: DataFrame) -> DataFrame:
-    """Rename by a mapping ``(dataset, new_name)``; taken names are refused."""
+    """Rename by a mapping ``(dataset, new_name)``.
+
+    Names that are taken, new names given twice and unknown datasets are refused.
+    """
+    twice = renames.groupBy("new_name").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    gate(twice, "Several datasets would get one name", "new_name")
+    gate(renames.join(datasets.select("dataset"), "dataset", "left_anti"), "No such datasets", "dataset")
     taken = renames.join(
         datasets.select(F.col("dataset").alias("new_name")), "new_name", "left_semi"
     )

@@ -12,12 +12,13 @@ MODE_PREFERENCE = ("sample", "preview", "original")
 
 
 def numeric_ids(listing: DataFrame) -> DataFrame:
-    """Distinct ids of files whose stem is a number."""
+    """Distinct ids of files whose stem is a number that fits 64 bits."""
     stem = names.stem(names.file_name(F.col("path")))
     return (
         listing.select(stem.alias("stem"))
         .where(F.col("stem").rlike("^[0-9]+$"))
         .select(F.expr("try_cast(stem AS BIGINT)").alias("post_id"))
+        .where(F.col("post_id").isNotNull())
         .distinct()
     )
 

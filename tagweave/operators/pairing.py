@@ -8,8 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.errors import gate
 from tagweave.functions import names
 
+# Why a file is reported.
+NO_JSON = "candidate image has no JSON sibling"
+NO_IMAGE = "candidate JSON has no image sibling"
+NO_METADATA = "staged image has no metadata"
+NO_STAGED_IMAGE = "staged JSON has no matching staged image"
+
 
 def classify(listing: DataFrame) -> DataFrame:
     """Add name, stem and kind; files of no interest are dropped."""
@@ -44,6 +51,12 @@ def pair(files: DataFrame) -> DataFrame:
     )
 
 
+def check_repeats(candidates: DataFrame) -> None:
+    """Raise unless every stem of :func:`pair` has at most one file of each kind."""
+    several = candidates.where((F.col("n_images") > 1) | (F.col("n_metadata") > 1))
+    gate(several, "Several files of one kind share a stem", "stem")
+
+
 def candidate_list(candidates: DataFrame) -> DataFrame:
     return candidates.orderBy("stem")
 
@@ -74,30 +87,43 @@ def candidate_orphans(candidates: DataFrame) -> DataFrame:
     no_metadata = F.col("metadata_path").isNull()
     return candidates.where(F.col("is_broken")).select(
         F.coalesce("image_path", "metadata_path").alias("path"),
-        F.when(no_metadata, "candidate image has no JSON sibling")
-        .otherwise("candidate JSON has no image sibling")
-        .alias("reason"),
+        F.when(no_metadata, NO_JSON).otherwise(NO_IMAGE).alias("reason"),
     )
 
 
-def staged_orphans(staged: DataFrame, pool_metadata: DataFrame) -> DataFrame:
-    """Staged images without any metadata and staged JSON without an image.
+def staged_flags(staged: DataFrame, pool_metadata: DataFrame) -> DataFrame:
+    """Every staged file with the reason it is an orphan, or NULL; ``staged`` is read once.
 
     ``staged`` is a classified listing with a ``dataset`` column,
-    ``pool_metadata`` has one row per stem.
+    ``pool_metadata`` has one row per stem. The files of one dataset and stem
+    differ in their suffix only, so a list of them is short.
     """
-    images = staged.where(F.col("kind") == "image")
-    overrides = staged.where(F.col("kind") == "metadata")
-    own = ["dataset", "stem"]
-    lonely = (
-        images.join(overrides.select(own), own, "left_anti")
-        .join(pool_metadata.select("stem"), "stem", "left_anti")
-        .select("path", F.lit("staged image has no metadata").alias("reason"))
+    image = F.col("kind") == "image"
+    stems = staged.groupBy("dataset", "stem").agg(
+        F.count_if(image).alias("n_images"),
+        F.count_if(~image).alias("n_overrides"),
+        F.collect_list(F.struct("path", "kind")).alias("files"),
     )
-    unused = overrides.join(images.select(own), own, "left_anti").select(
-        "path", F.lit("staged JSON has no matching staged image").alias("reason")
+    known = pool_metadata.select("stem", F.lit(True).alias("in_pool"))
+    return (
+        stems.join(known, "stem", "left")
+        .withColumn("alone", (F.col("n_overrides") == 0) & F.col("in_pool").isNull())
+        .select("dataset", "stem", "alone", "n_images", F.explode("files").alias("file"))
+        .select(
+            "dataset",
+            "stem",
+            "file.*",
+            F.when((F.col("file.kind") == "image") & F.col("alone"), NO_METADATA)
+            .when((F.col("file.kind") == "metadata") & (F.col("n_images") == 0), NO_STAGED_IMAGE)
+            .alias("reason"),
+        )
     )
-    return lonely.unionByName(unused)
+
+
+def staged_orphans(staged: DataFrame, pool_metadata: DataFrame) -> DataFrame:
+    """Staged images without any metadata and staged JSON without an image."""
+    flagged = staged_flags(staged, pool_metadata)
+    return flagged.where(F.col("reason").isNotNull()).select("path", "reason")
 
 
 def find_orphans(candidates: DataFrame, staged: DataFrame) -> DataFrame:

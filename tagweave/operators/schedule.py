@@ -25,7 +25,8 @@ def batch_schedule(
     Each epoch orders the rows by a seeded hash and cuts them into batches, the
     last one short. A step takes ``accumulation`` batches, or what is left at
     the end of an epoch. Rows are numbered block by block, a block being the
-    leading digits of the hash, so no task sees a whole epoch.
+    leading digits of the hash, so no task sees a whole epoch. Blocks are
+    counted first; those past the last needed step are never numbered.
     """
     total = rows.count()
     if total == 0:
@@ -53,9 +54,11 @@ def batch_schedule(
     inside = Window.partitionBy(*own).orderBy("hash", key)
     if not epochs:
         steps_per_epoch = 1
+    places = (F.lit(steps).cast("long") - F.col("epoch").cast("long") * steps_per_epoch) * accumulation * batch_size
+    needed = offsets.where(F.col("offset") < places)
     return (
-        hashed.withColumn("inside", F.row_number().over(inside))
-        .join(offsets, own)
+        hashed.join(needed, own)
+        .withColumn("inside", F.row_number().over(inside))
         .withColumn("place", F.col("offset") + F.col("inside") - 1)
         .withColumn("batch", F.floor(F.col("place") / batch_size))
         .withColumn(

@@ -5,16 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.errors import gate
 from tagweave.functions import modeltext, tags, variants
 from tagweave.functions.text import let
+from tagweave.operators import pairing
+from tagweave.sources import sinks
 
 
 # Longest walk whose end is found by a top-k.
 SHORT_WALK = 10_000
 
 
+def metadata_problem(exists: Column, meta: Column) -> Column:
+    """Why a stored record must not be touched; NULL for good and for absent ones.
+
+    ``meta`` is NULL both where no record exists and where one cannot be read,
+    so ``exists`` tells them apart.
+    """
+    raw = variants.field(meta, "tags")
+    odd = raw.isNotNull() & variants.tags_of(raw).isNull()
+    return F.when(exists & meta.isNull(), "metadata cannot be read").when(
+        exists & odd, "tags are neither a list of strings nor categories of strings"
+    )
+
+
+def caption_candidates(pairs: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Images with their stored metadata: ``(stem, image_path, meta, tagged)``.
+
+    Stems with several files of a kind and records that cannot be read raise
+    before any model runs.
+    """
+    pairing.check_repeats(pairs)
+    known = metadata.select("stem", "meta", F.lit(True).alias("exists"))
+    joined = pairs.join(known, "stem", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
+    checked = joined.withColumn("problem", metadata_problem(F.col("exists"), F.col("meta")))
+    gate(checked.where(F.col("problem").isNotNull()), "Unusable metadata", "stem")
+    return checked.select("stem", "image_path", "meta", has_tags(F.col("meta")).alias("tagged"))
+
+
 def has_tags(meta: Column) -> Column:
-    """Whether stored metadata holds at least one tag."""
+    """Whether stored metadata holds at least one tag; see :func:`metadata_problem` for invalid ones."""
     found = variants.tags_of(variants.field(meta, "tags"))
     return F.coalesce(F.size(found) > 0, F.lit(False))
 
@@ -53,21 +83,27 @@ def _walk_end(chosen: DataFrame, limit: int) -> str | None:
 def _long_walk_end(chosen: DataFrame, limit: int) -> str | None:
     """As :func:`_walk_end`, without sorting all stems up to the end.
 
-    Ranges of stems are counted first, one row per range; only the range that
-    holds the end is sorted.
+    Ranges of stems are counted first, one row per range; the range that holds
+    the end is split again until it is as short as a short walk.
     """
-    ranges = (
-        chosen.repartitionByRange("stem")
-        .groupBy(F.spark_partition_id().alias("part"))
-        .agg(F.min("stem").alias("low"), F.max("stem").alias("high"), F.count("*").alias("n"))
-    )
-    left = limit
-    for part in sorted(ranges.collect(), key=lambda r: r["low"]):
-        if left <= part["n"]:
-            inside = chosen.where(F.col("stem").between(part["low"], part["high"]))
+    left, inside = limit, chosen
+    while True:
+        ranges = (
+            inside.repartitionByRange("stem")
+            .groupBy(F.spark_partition_id().alias("part"))
+            .agg(F.min("stem").alias("low"), F.max("stem").alias("high"), F.count("*").alias("n"))
+        )
+        for part in sorted(ranges.collect(), key=lambda r: r["low"]):
+            if left <= part["n"]:
+                break
+            left -= part["n"]
+        else:
+            return None
+        if part["low"] == part["high"]:
+            return part["low"]
+        inside = chosen.where(F.col("stem").between(part["low"], part["high"]))
+        if part["n"] <= max(SHORT_WALK, 1000):
             return inside.orderBy("stem").limit(left).agg(F.max("stem")).first()[0]
-        left -= part["n"]
-    return None
 
 
 def requests(work: DataFrame) -> DataFrame:
@@ -98,7 +134,9 @@ def write_back(metadata: DataFrame, results: DataFrame, *, default_source: str)
 
     ``metadata(stem, meta)`` may lack a stem; ``results`` hold ``stem, tags,
     caption, draft_caption, caption_backend, editor_backend, sidecar VARIANT``.
-    Adds ``added_tags`` for the report.
+    Adds ``added_tags`` for the report. A record that exists but cannot be read,
+    or whose tags are invalid, keeps NULL in ``meta`` and says why in ``problem``;
+    store such a result through :func:`store` only, which refuses it.
     """
     fresh = F.parse_json(F.to_json(F.struct(F.struct(F.lit(default_source).alias("source")).alias("metadata"))))
     none = F.array().cast("array<string>")
@@ -119,13 +157,24 @@ def write_back(metadata: DataFrame, results: DataFrame, *, default_source: str)
     members = _with_member(_members(meta), "tags", merged)
     members = _with_member(members, "caption", F.col("caption").cast("variant"))
     members = _with_member(members, "metadata", F.when(touched, F.to_variant_object(inner)))
-    return results.join(metadata.select("stem", "meta"), "stem", "left").select(
+    known = metadata.select("stem", "meta", F.lit(True).alias("exists"))
+    problem = metadata_problem(F.coalesce("exists", F.lit(False)), F.col("meta"))
+    joined = results.join(known, "stem", "left").withColumn("problem", problem)
+    good = F.col("problem").isNull()
+    return joined.select(
         "stem",
-        let(members, F.to_variant_object).alias("meta"),
-        F.array_distinct(tags.added_tags(existing, F.col("tags"))).alias("added_tags"),
+        F.when(good, let(members, F.to_variant_object)).alias("meta"),
+        F.when(good, F.array_distinct(tags.added_tags(existing, F.col("tags")))).alias("added_tags"),
+        "problem",
     )
 
 
+def store(written: DataFrame, path: str) -> None:
+    """Write merged metadata; nothing is written if any record had a problem."""
+    gate(written.where(F.col("problem").isNotNull()), "Unusable metadata", "stem")
+    sinks.write_metadata(written, path)
+
+
 def report(work: DataFrame, written: DataFrame) -> DataFrame:
     """One row per reported image: what was added, or that it was skipped."""
     none = F.array().cast("array<string>")

@@ -52,9 +52,9 @@ def import_folder(
     classified = pairing.classify(files)
     if only_stems is not None:
         classified = imports.restrict(classified, only_stems)
-    pairs = imports.complete_pairs(pairing.pair(classified))
-    repeated = pairs.where((F.col("n_images") > 1) | (F.col("n_metadata") > 1))
-    gate(repeated, "Importer produced several files for one stem", "stem")
+    listed = pairing.pair(classified)
+    pairing.check_repeats(listed)
+    pairs = imports.complete_pairs(listed)
     return _planned(pairs, records, targets, site, overwrite)
 
 

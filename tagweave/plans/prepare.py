@@ -40,7 +40,8 @@ def resolved_rows(
         .withColumn("caption_text", variants.string_member(meta, "caption"))
         .withColumn(
             "problem",
-            F.when(meta.isNull(), "missing metadata")
+            F.when(F.col("origin").isNull(), "missing metadata")
+            .when(meta.isNull(), "metadata cannot be read")
             .when(raw_tags.isNull(), "metadata has no tags")
             .when(
                 F.col("raw_tags").isNull(),
@@ -67,7 +68,10 @@ def size_plan(images: DataFrame, config: PrepareConfig) -> DataFrame:
     width, height = F.col("width"), F.col("height")
     return images.withColumn("output", geometry.output_size(width, height, config)).withColumn(
         "alpha_problem",
-        geometry.alpha_blocks_jpg(F.col("mode"), F.col("has_transparency"), config.image_format),
+        # An image of unknown mode may be transparent.
+        F.when(F.col("mode").isNull(), F.lit(config.image_format == "jpg")).otherwise(
+            geometry.alpha_blocks_jpg(F.col("mode"), F.col("has_transparency"), config.image_format)
+        ),
     )
 
 
@@ -85,10 +89,10 @@ def prepare(
     output is replaced.
     """
     config = config.validated()
-    gate(name_collisions(staged_images, config), "Prepared image filename collision", "target")
+    gate(name_collisions(staged_images, config), "Several images would get one output name", "target")
     if sizes is not None:
         blocked = size_plan(sizes, config).where(F.col("alpha_problem"))
-        gate(blocked, "Cannot convert transparent images to jpg", "path")
+        gate(blocked, "Images that are or may be transparent do not fit jpg", "path")
     resolved = resolved_rows(staged_images, overrides, pool, config)
     gate(resolved.where(F.col("problem").isNotNull()), "Staged images without usable metadata", "stem")
     rows = manifest_rows(resolved, config)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions import modeltext, tags
@@ -86,58 +87,131 @@ def source_lists(sources: DataFrame) -> DataFrame:
     )
 
 
+def judged_lists(judged: DataFrame, merged: DataFrame) -> DataFrame:
+    """Map of the judge's lists per record: field to the candidates that it kept, in order.
+
+    A list holds at most the merge limit of tags and there are eleven fields.
+    """
+    kept = fusion.prune(judged, merged)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "tag"))), lambda e: e["tag"])
+    per_field = kept.groupBy("stem", "field").agg(ordered.alias("tags"))
+    return per_field.groupBy("stem").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "tags")))).alias("kept_lists")
+    )
+
+
 def stage_errors(errors: DataFrame) -> DataFrame:
-    """Errors per record in stage order; a stage fails once per record at most."""
-    entry = F.struct("stage_rank", "stage", "error")
-    listed = F.array_sort(F.collect_list(entry))
+    """Errors per record in stage order, with their traceback where one is known.
+
+    A stage fails once per record at most, so the list is as short as the list of stages.
+    """
+    trace = F.col("traceback") if "traceback" in errors.columns else F.lit(None).cast("string")
+    listed = F.array_sort(F.collect_list(F.struct("stage_rank", "stage", "error", trace.alias("traceback"))))
     return errors.groupBy("stem").agg(
         F.transform(
-            listed, lambda e: F.struct(e["stage"].alias("stage"), e["error"].alias("error"))
+            listed,
+            lambda e: F.struct(e["stage"].alias("stage"), e["error"].alias("error"), e["traceback"].alias("traceback")),
         ).alias("errors")
     )
 
 
+def plugin_errors(results: DataFrame, stage_rank: int) -> DataFrame:
+    """Errors of a plug-in's results in the form of :func:`stage_errors`."""
+    failed = results.where(F.col("error").isNotNull())
+    return failed.select("stem", F.lit(stage_rank).alias("stage_rank"), "error.stage", "error.error", "error.traceback")
+
+
+# Fixed value: what stands beside the tags when the judge failed.
+JUDGE_STAGE = "qwen_prune"
+NO_LISTS = "map<string,array<string>>"
+
+
 def results(
     fused: Fusion,
+    requests: DataFrame,
     semantics: DataFrame,
     judgements: DataFrame,
+    judged: DataFrame,
     errors: DataFrame,
     *,
     caption_backend: str,
     editor_backend: str,
 ) -> DataFrame:
-    """Tagging results with captions and the sidecar record.
+    """One result per request, with captions and the sidecar record.
 
-    ``judgements(stem, caption)`` holds the judge's captions.
+    ``requests(stem)`` decides which records come out, whether or not they have
+    tags. ``semantics`` and ``judgements(stem, caption, ...)`` hold the replies;
+    all their columns but a raw reply go into the sidecar. ``judged(stem, field,
+    pos, raw)`` holds the judge's lists. A record with an error of the judge keeps
+    all merged tags and says so; that is no fallback.
     """
-    final = final_lists(fused.final)
-    told = semantics.select("stem", F.col("caption").alias("semantic_caption"), "content_type")
+    told = semantics.select("stem", F.struct(*_replies(semantics)).alias("semantic"), F.col("caption").alias("semantic_caption"))
+    said = judgements.select("stem", F.struct(*_replies(judgements)).alias("judgement"), F.col("caption").alias("judged_caption"))
     joined = (
-        final.join(source_lists(fused.sources), "stem", "left")
+        requests.select("stem")
+        .join(final_lists(fused.final), "stem", "left")
+        .join(source_lists(fused.sources), "stem", "left")
         .join(told, "stem", "left")
-        .join(judgements.select("stem", F.col("caption").alias("judged_caption")), "stem", "left")
+        .join(said, "stem", "left")
+        .join(judged_lists(judged, fused.merged), "stem", "left")
         .join(stage_errors(errors), "stem", "left")
     )
-    caption = modeltext.final_caption(F.col("judged_caption"), F.col("semantic_caption"))
-    sidecar = F.struct(
-        F.struct(F.col("semantic_caption").alias("caption"), "content_type").alias("semantic"),
-        F.struct(F.col("judged_caption").alias("caption"), F.col("tags").alias("final_tags")).alias(
-            "final"
+    none = F.array().cast("array<string>")
+    all_tags = F.coalesce("tags", none)
+    listed = F.coalesce("errors", F.array().cast("array<struct<stage:string,error:string,traceback:string>>"))
+    broken = F.get(F.filter(listed, lambda e: e["stage"] == JUDGE_STAGE), F.lit(0))
+    failed = broken.isNotNull()
+    lists = F.when(failed, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<string>>"))).otherwise(
+        F.coalesce("kept_lists", F.create_map().cast(NO_LISTS))
+    )
+    empty = F.coalesce(F.size(F.try_element_at(lists, F.lit("final_tags"))), F.lit(0)) == 0
+    final = _merged_object(
+        F.when(~failed, F.col("judgement")),
+        F.map_concat(F.map_filter(lists, lambda name, _: name != "final_tags"), F.create_map(F.lit("final_tags"), all_tags)),
+        F.struct(
+            broken["error"].alias("error"),
+            broken["traceback"].alias("traceback"),
+            F.when(failed, "the judge failed; all merged tags are kept").alias("note"),
         ),
-        F.col("source_tags"),
-        F.coalesce(
-            F.col("errors"), F.array().cast("array<struct<stage:string,error:string>>")
-        ).alias("errors"),
-        F.when(F.col("fell_back") & (F.size("tags") > 0), "merged_model_outputs").alias(
-            "tag_fallback"
+    )
+    caption = modeltext.final_caption(F.when(~failed, F.col("judged_caption")), F.col("semantic_caption"))
+    sidecar = F.map_filter(
+        F.create_map(
+            F.lit("semantic"), F.parse_json(F.coalesce(F.to_json("semantic"), F.lit("{}"))),
+            F.lit("final"), final,
+            F.lit("source_tags"), F.parse_json(F.to_json(F.coalesce("source_tags", F.create_map().cast(NO_LISTS)))),
+            F.lit("errors"), F.parse_json(F.to_json(listed)),
+            F.lit("tag_fallback"), F.when(empty & ~failed & (F.size(all_tags) > 0), F.parse_json(F.lit('"merged_model_outputs"'))),
         ),
+        lambda _, value: value.isNotNull(),
     )
     return joined.select(
         "stem",
-        "tags",
+        all_tags.alias("tags"),
         caption.alias("caption"),
         modeltext.draft_caption(F.col("semantic_caption"), caption).alias("draft_caption"),
         F.lit(caption_backend).alias("caption_backend"),
         F.lit(editor_backend).alias("editor_backend"),
-        F.parse_json(F.to_json(sidecar)).alias("sidecar"),
+        F.to_variant_object(sidecar).alias("sidecar"),
     )
+
+
+def _replies(records: DataFrame) -> list[Column]:
+    return [F.col(name) for name in records.columns if name not in ("stem", modeltext.RAW_REPLY_FIELD)]
+
+
+def _merged_object(*parts: Column) -> Column:
+    """One VARIANT object out of structs and maps; members of later ones win, NULL ones are left out."""
+    maps = [
+        F.coalesce(
+            F.try_variant_get(F.try_parse_json(F.to_json(part)), "$", "map<string,variant>"),
+            F.create_map().cast("map<string,variant>"),
+        )
+        for part in parts
+    ]
+    return F.to_variant_object(reduce(_overlaid, maps))
+
+
+def _overlaid(members: Column, later: Column) -> Column:
+    others = F.map_filter(members, lambda name, _: ~F.array_contains(F.map_keys(later), name))
+    return F.map_concat(others, later)

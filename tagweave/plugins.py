@@ -25,12 +25,29 @@ _ERROR = ("stage", "error", "traceback")
 
 
 def model_tagger(load: Callable[[], Callable[[str, list[str]], Mapping]], stage: str) -> Tagger:
-    """Tagger around a Python model, loaded once per task.
+    """Tagger around a Python model of one record, loaded once per task.
 
     ``load`` returns a function of image path and context tags. An error while
     loading or tagging becomes an error field; the record goes on. The worker
     function refers to nothing of this package, so executors need not have it.
     """
+
+    def load_batches() -> Callable[[list[Mapping]], list[Mapping]]:
+        model = load()
+        return lambda requests: [model(r["image_path"], r["context_tags"]) for r in requests]
+
+    return batch_tagger(load_batches, stage, batch_size=1)
+
+
+def batch_tagger(
+    load: Callable[[], Callable[[list[Mapping]], list[Mapping]]], stage: str, batch_size: int = 64
+) -> Tagger:
+    """Tagger around a Python model of many records, loaded once per task.
+
+    ``load`` returns a function of up to ``batch_size`` requests (mappings with ``stem``,
+    ``image_path`` and ``context_tags``) that gives one result each. A batch that
+    raises is tried again record by record, so the error stays with its record.
+    """
     texts, parts = list(_TEXTS), list(_ERROR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,16 +66,25 @@ def model_tagger(load: Callable[[], Callable[[str, list[str]], Mapping]], stage:
             model = load()
         except Exception as error:  # noqa: BLE001 - reported per record
             load_error = failed(error, f"{stage}_load")
+
+        def answers(requests: list[dict]) -> list[dict]:
+            try:
+                found = list(model(requests))
+                if len(found) != len(requests):
+                    raise ValueError(f"{len(found)} results for {len(requests)} requests")
+                return [dict(one) for one in found]
+            except Exception as error:  # noqa: BLE001 - reported per record
+                if len(requests) == 1:
+                    return [{"error": failed(error, stage)}]
+            return [row for request in requests for row in answers([request])]
+
         for batch in batches:
-            rows = []
-            for request in batch.to_pylist():
-                row = {"stem": request["stem"], "tags": [], "error": load_error}
-                if model is not None:
-                    try:
-                        row.update(model(request["image_path"], request["context_tags"]))
-                    except Exception as error:  # noqa: BLE001 - reported per record
-                        row["error"] = failed(error, stage)
-                rows.append(row)
+            requests = batch.to_pylist()
+            rows = [{"stem": request["stem"], "tags": [], "error": load_error} for request in requests]
+            if model is not None:
+                for first in range(0, len(rows), batch_size):
+                    for row, found in zip(rows[first:], answers(requests[first : first + batch_size])):
+                        row.update(found)
             yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
     schema = (
@@ -101,10 +127,10 @@ def build_tagger(presets: Sequence[str] | None, registry: Mapping[str, Tagger])
     """Tagger for a list of presets; natural language replaces the whole list."""
     chosen = list(presets) if presets is not None else ["image_tags"]
     if not chosen:
-        raise CurationError("At least one caption preset is required")
+        raise CurationError("Name a caption preset")
     for name in chosen:
         if name not in PRESETS:
-            raise CurationError(f"Unknown caption preset '{name}'. Choose from: {', '.join(PRESETS)}")
+            raise CurationError(f"No caption preset {name}; there are {', '.join(PRESETS)}")
     if "natural_language" in chosen:
         return registry["natural_language"]
     return composite([registry[name] for name in chosen])
@@ -113,5 +139,5 @@ def build_tagger(presets: Sequence[str] | None, registry: Mapping[str, Tagger])
 def find_importer(name: str, registry: Mapping[str, Importer]) -> Importer:
     """Importer by name or alias."""
     if name not in registry:
-        raise CurationError(f"Unknown importer: {name}")
+        raise CurationError(f"No importer named {name}")
     return registry[name]

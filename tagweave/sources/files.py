@@ -172,16 +172,20 @@ def read_strict_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_image_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    """Width, height and colour mode of decodable images."""
+    """Width, height and colour mode of every image; NULL for those that cannot be decoded.
+
+    The decoder knows no WebP, so such files come out as unknown.
+    """
     channels = F.col("image.nChannels")
+    known = channels > 0
     return (
         spark.read.format("image")
-        .option("dropInvalid", "true")
+        .option("dropInvalid", "false")
         .load(folder)
         .select(
             F.col("image.origin").alias("path"),
-            F.col("image.width").alias("width"),
-            F.col("image.height").alias("height"),
-            F.when(channels == 4, "RGBA").when(channels == 3, "RGB").otherwise("L").alias("mode"),
+            F.when(known, F.col("image.width")).alias("width"),
+            F.when(known, F.col("image.height")).alias("height"),
+            F.when(channels == 4, "RGBA").when(channels == 3, "RGB").when(known, "L").alias("mode"),
         )
     )

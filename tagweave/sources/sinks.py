@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagweave.errors import CurationError
 from tagweave.functions.geometry import PrepareConfig
 
 MANIFEST_FOLDER = "manifest"
@@ -56,10 +57,17 @@ def write_prepared(rows: DataFrame, config: PrepareConfig, folder: str) -> None:
 def snapshot_run(
     spark: SparkSession, prepared: str, root: str, dataset: str, run: str, plan: DataFrame
 ) -> str:
-    """Copy the prepared manifest under the run; an existing run is an error."""
+    """Copy the prepared manifest under the run, in its order; an existing run is an error.
+
+    The config is written last and marks a whole run: what a run that broke off
+    left behind is replaced.
+    """
     target = f"{root}/dataset={dataset}/run={run}"
-    plan.write.mode("errorifexists").json(f"{target}/config")
-    spark.read.text(f"{prepared}/{MANIFEST_FOLDER}").write.mode("errorifexists").text(
-        f"{target}/manifest"
-    )
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/config/_SUCCESS")
+    if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        raise CurationError(f"Run exists: {target}")
+    lines = spark.read.text(f"{prepared}/{MANIFEST_FOLDER}")
+    ordered = lines.orderBy(F.get_json_object("value", "$.image"), "value")
+    ordered.write.mode("overwrite").text(f"{target}/manifest")
+    plan.write.mode("overwrite").json(f"{target}/config")
     return target

@@ -113,8 +113,7 @@ SQL["orphan_counts"] = f"WITH {_ORPHANS} SELECT reason, count(*) AS n FROM orpha
 
 @query
 def clean_apply(spark: SparkSession, d: str) -> DataFrame:
-    found = pairing.find_orphans(pool_pairs(spark, d), staged_files(spark, d))
-    pool, staged = cleaning.apply(pool_files(spark, d), staged_files(spark, d), found)
+    pool, staged = cleaning.clean(pool_files(spark, d), staged_files(spark, d))
     return pool.select("path").unionByName(staged.select("path"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tagweave import plugins
 from tagweave.cluster import broadcast_if_small, spread
 from tagweave.errors import CurationError, GateError
+from tagweave.functions import variants
 from tagweave.functions.geometry import PrepareConfig
 from tagweave.operators import datasets, imports, pairing
 from tagweave.plans import captioning, importing, prepare, runs, tag_fusion
@@ -138,7 +139,7 @@ def test_prepare_writes_and_gates(spark, tmp_path):
         "caption": "word, wide. word, wide", "image": "images/wide.png", "tags": ["wide"],
     }
     assert spark.read.json(f"{folder}/config").first()["trigger"] == "word"
-    with pytest.raises(GateError, match="filename collision: same.png"):
+    with pytest.raises(GateError, match="one output name: same.png"):
         prepare.prepare(members(spark, "same.png", "same.jpg"), none, pool, PrepareConfig(image_format="png"), folder)
     for name in ("lonely.png", "odd.png", "bare.png"):
         with pytest.raises(GateError, match="without usable metadata"):
@@ -185,7 +186,7 @@ def test_record_run(spark, tmp_path):
         runs.record_run(plan, images=images.where("false"), **args)
     target = runs.record_run(plan, images=images, **args)
     assert spark.read.json(f"{target}/manifest").count() == 1
-    with pytest.raises(Exception, match="already exists"):
+    with pytest.raises(Exception, match="Run exists|already exist"):
         runs.record_run(plan, images=images, **args)
 
 
@@ -219,7 +220,7 @@ def test_import_folder(spark, tmp_path):
     nothing = importing.import_folder(listed, records, empty, site="board", only_stems=spark.createDataFrame([("x",)], "stem STRING"))
     assert nothing.log.count() == 0
     write_png(root / "sub" / "0001.gif", 1, 1)
-    with pytest.raises(GateError, match="several files"):
+    with pytest.raises(GateError, match="Several files"):
         importing.import_folder(*folder_tables(spark, root), empty, site="board")
 
 
@@ -316,7 +317,7 @@ def test_composite_and_registry(spark):
         with pytest.raises(CurationError):
             plugins.build_tagger(bad, registry)
     assert plugins.find_importer("alias", {"alias": 1, "name": 1}) == 1
-    with pytest.raises(CurationError, match="Unknown importer"):
+    with pytest.raises(CurationError, match="No importer"):
         plugins.find_importer("zzz", {})
 
 
@@ -372,6 +373,18 @@ def test_write_back(spark):
         ["fox"],
     )
     assert rows["b"] == ({"tags": ["one"], "metadata": 5}, [])
+    odd = spark.createDataFrame([("a", '{"tags": "one, two", "keep": 1}'), ("b", "[1]"), ("new", None)], "stem STRING, j STRING").select("stem", variants.parse_object(F.col("j")).alias("meta"))
+    refused = captioning.write_back(odd, results, default_source="curation")
+    assert {r["stem"]: (r["meta"], r["problem"] is None) for r in refused.collect()} == {s: (None, False) for s in ("a", "b", "new")}
+    with pytest.raises(GateError, match="Unusable metadata"):
+        captioning.store(refused, "never written")
+    pairs = pairing.pair(pairing.classify(spark.createDataFrame([("a.png",), ("a.json",), ("c.png",)], "path STRING")))
+    with pytest.raises(GateError, match="Unusable metadata: a"):
+        captioning.caption_candidates(pairs, odd)
+    assert sorted(tuple(r) for r in captioning.caption_candidates(pairs, stored).select("stem", "tagged").collect()) == [("a", True), ("c", False)]
+    twice = pairing.pair(pairing.classify(spark.createDataFrame([("a.png",), ("a.jpg",)], "path STRING")))
+    with pytest.raises(GateError, match="share a stem: a"):
+        captioning.caption_candidates(twice, stored)
     assert rows["new"] == ({"tags": ["t"], "metadata": {"source": "curation", "tagging": {"i": 0}}}, ["t"])
     work = captioning.select_work(spark.createDataFrame([("a", "a.png", False), ("b", "b.png", True)], "stem STRING, image_path STRING, tagged BOOLEAN"))
     assert tuple(captioning.summary(captioning.report(work, written)).first()) == (1, 1, 1)
@@ -391,17 +404,26 @@ def test_fusion_job(spark):
     assert [r["stem"] for r in tag_fusion.needs_art_tagger(semantics).collect()] == ["a"]
     art = spark.createDataFrame([("a", 1, 0, "Anthro", "booru", 0.9), ("a", 0, 5, "safe", "rating", 0.5)], "stem STRING, group_rank INT, pos INT, raw STRING, namespace STRING, confidence DOUBLE")
     judged = spark.createDataFrame([("a", "final_tags", 0, "FOX"), ("a", "final_tags", 1, "invented"), ("a", "scene", 0, "tree")], "stem STRING, field STRING, pos LONG, raw STRING")
+    requests = requests.union(spark.createDataFrame([("bare", None)], requests.schema))
     fused = tag_fusion.fuse(requests, open_set, art, semantics, judged)
     errors = spark.createDataFrame([("p", 2, "qwen_prune", "E2"), ("p", 1, "ram++", "E1")], "stem STRING, stage_rank INT, stage STRING, error STRING")
-    judgements = spark.createDataFrame([("a", " Final. ")], "stem STRING, caption STRING")
-    out = {r["stem"]: r for r in tag_fusion.results(fused, semantics, judgements, errors, caption_backend="m", editor_backend="e").withColumn("sidecar", F.to_json("sidecar")).collect()}
+    judgements = spark.createDataFrame([("a", " Final. ", "mood", "raw"), ("bare", "Only told.", None, None)], "stem STRING, caption STRING, tone STRING, _raw_response STRING")
+    out = {r["stem"]: r for r in tag_fusion.results(fused, requests, semantics, judgements, judged, errors, caption_backend="m", editor_backend="e").withColumn("sidecar", F.to_json("sidecar")).collect()}
     assert out["a"]["tags"] == ["fox", "digital art", "tree"] and out["a"]["caption"] == "Final." and out["a"]["draft_caption"] == "Rough."
     side = json.loads(out["a"]["sidecar"])
     assert side["source_tags"] == {"metadata": ["anthro"], "qwen": ["digital art", "tree"], "ram++": ["fox", "tree"], "smilingwolf": ["safe", "anthro"]}
     assert side["errors"] == [] and "tag_fallback" not in side
+    assert side["final"] == {"caption": " Final. ", "tone": "mood", "final_tags": ["fox", "digital art", "tree"], "scene": ["tree"]}
+    assert side["semantic"] == {"caption": "Rough.", "content_type": "digital_art", "objects": ["Tree"]}
     side = json.loads(out["p"]["sidecar"])
-    assert out["p"]["tags"] == ["photo", "potty"] and side["tag_fallback"] == "merged_model_outputs"
+    assert out["p"]["tags"] == ["photo", "potty"] and "tag_fallback" not in side  # the judge failed
+    assert side["final"]["error"] == "E2" and side["final"]["final_tags"] == ["photo", "potty"] and "note" in side["final"]
     assert [e["stage"] for e in side["errors"]] == ["ram++", "qwen_prune"]
+    assert out["bare"]["tags"] == [] and out["bare"]["caption"] == "Only told."
+    none = judged.where("false")
+    kept = tag_fusion.fuse(requests, open_set, art, semantics, none)
+    out = {r["stem"]: r["side"] for r in tag_fusion.results(kept, requests, semantics, judgements, none, errors.where("false"), caption_backend="m", editor_backend="e").select("stem", F.to_json("sidecar").alias("side")).collect()}
+    assert json.loads(out["a"])["tag_fallback"] == "merged_model_outputs" and "tag_fallback" not in json.loads(out["bare"])
 
 
 # --- streams ----------------------------------------------------------------
