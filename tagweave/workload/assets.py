@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.functions import names
+from tagweave.functions import names, variants
 from tagweave.functions.geometry import PrepareConfig
 from tagweave.operators import datasets, pairing
 from tagweave.plans import captioning, cleaning, prepare
@@ -259,6 +259,73 @@ LEFT JOIN staged_overrides o ON o.dataset = i.dataset AND o.stem = i.stem
 LEFT JOIN labels l ON CAST(l.doc_id AS VARCHAR) = i.stem"""
 
 
+# --- records that cannot be read ---------------------------------------------
+
+
+def _stored_text() -> Column:
+    """Stored JSON of a document by its labels: odd tags, a list, a broken text, or a good record."""
+    toxic, good = F.col("toxic") == 1, F.col("quality") == 1
+    return (
+        F.when(toxic & (F.col("lang") == "en"), '{"tags": "one, two", "keep": 1}')
+        .when(toxic, "[1]")
+        .when(~good, '{"tags": ["cut')
+        .otherwise(F.concat(F.lit('{"keep": 1, "tags": ["'), F.col("source"), F.lit('", "kept"]}')))
+    )
+
+
+@query
+def write_back(spark: SparkSession, d: str) -> DataFrame:
+    """Tags of every document merged into its record; Spanish ones have none yet."""
+    documents = table(spark, d, "documents").select("doc_id", "lang", "source")
+    stored = documents.where("lang <> 'es'").join(table(spark, d, "labels"), "doc_id").select(
+        F.col("doc_id").alias("stem"), variants.parse_object(_stored_text()).alias("meta")
+    )
+    none = [F.lit(None).cast("string").alias(n) for n in ("caption", "draft_caption", "caption_backend", "editor_backend")]
+    results = documents.select(
+        F.col("doc_id").alias("stem"), F.array("lang", F.lit("kept")).alias("tags"), *none,
+        F.lit(None).cast("variant").alias("sidecar"),
+    )
+    written = captioning.write_back(stored, results, default_source="curation")
+    return written.select("stem", F.to_json("meta").alias("json"), F.array_join("added_tags", "|").alias("added"), "problem")
+
+
+SQL["write_back"] = """
+WITH stored AS (
+  SELECT doc_id AS stem, CASE WHEN toxic = 1 AND lang = 'en' THEN 'odd' WHEN toxic = 1 OR quality <> 1 THEN 'unread' ELSE 'good' END AS kind
+  FROM documents JOIN labels USING (doc_id) WHERE lang <> 'es'
+)
+SELECT doc_id AS stem, CASE WHEN kind = 'good' THEN '{"keep":1,"tags":["' || source || '","kept","' || lang || '"]}'
+    WHEN kind IS NULL THEN '{"metadata":{"source":"curation"},"tags":["' || lang || '","kept"]}' END AS json,
+  CASE WHEN kind = 'good' THEN lang WHEN kind IS NULL THEN lang || '|kept' END AS added,
+  CASE kind WHEN 'odd' THEN 'tags are neither a list of strings nor categories of strings' WHEN 'unread' THEN 'metadata cannot be read' END AS problem
+FROM documents LEFT JOIN stored ON stem = doc_id"""
+
+
+@query
+def override_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Staged documents without usable metadata; an unreadable override hides the pool's record."""
+    documents = table(spark, d, "documents").select("doc_id", "lang", "source")
+    labelled = documents.join(table(spark, d, "labels"), "doc_id")
+    stem = F.col("doc_id").cast("string").alias("stem")
+    images = documents.select(F.col("source").alias("dataset"), stem, F.concat(F.col("doc_id"), F.lit(".png")).alias("file_name"))
+    meta = variants.parse_object(_stored_text()).alias("meta")
+    overrides = labelled.where("toxic = 1 OR lang = 'fr'").select(F.col("source").alias("dataset"), stem, meta)
+    pool = labelled.where("lang <> 'es'").select(stem, variants.parse_object(F.lit('{"tags": ["pool"]}')).alias("meta"))
+    rows = prepare.resolved_rows(images, overrides, pool, PrepareConfig())
+    return rows.where(F.col("problem").isNotNull()).select("dataset", "stem", "origin", "problem")
+
+
+SQL["override_rejects"] = """
+SELECT * FROM (
+  SELECT source AS dataset, CAST(doc_id AS VARCHAR) AS stem,
+    CASE WHEN toxic = 1 OR (lang = 'fr' AND toxic IS NOT NULL) THEN 'override' WHEN lang <> 'es' AND toxic IS NOT NULL THEN 'candidate' END AS origin,
+    CASE WHEN toxic = 1 AND lang = 'en' THEN 'tags are neither a list of strings nor categories of strings'
+      WHEN toxic = 1 OR (lang = 'fr' AND quality <> 1) THEN 'metadata cannot be read'
+      WHEN toxic IS NULL OR (lang = 'es' AND toxic = 0) THEN 'missing metadata' END AS problem
+  FROM documents LEFT JOIN labels USING (doc_id))
+WHERE problem IS NOT NULL"""
+
+
 # --- staging ----------------------------------------------------------------
 
 
@@ -397,7 +464,7 @@ def rename_datasets(spark: SparkSession, d: str) -> DataFrame:
     renames = table(spark, d, "nation").select(
         F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("dataset"),
         F.col("n_name").alias("new_name"),
-    )
+    ).join(every, "dataset", "left_semi")
     named = datasets.rename_many(every, every, renames)
     return datasets.create(datasets.delete(named, "NATION_5"), "fresh")
 

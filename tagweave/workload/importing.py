@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions import names
 from tagweave.operators import imports, pairing
+from tagweave.plans import importing
 from tagweave.streaming.incremental import unseen
 from tagweave.workload.tables import table
 
@@ -103,6 +104,26 @@ def import_summary(spark: SparkSession, d: str) -> DataFrame:
 SQL["import_summary"] = f"WITH {_LOG} SELECT action, count(*) AS n FROM log GROUP BY 1"
 
 
+@query
+def import_job(spark: SparkSession, d: str) -> DataFrame:
+    """The import job itself: metadata of complete pairs whose record is not in the pool yet."""
+    records = _records(spark, d).select(
+        "path",
+        names.stem(names.file_name(F.col("path"))).alias("stem"),
+        F.parse_json(F.concat(F.lit('{"id": '), F.length("path"), F.lit(', "tags": {"artist": ["by"], "general": ["'), F.substring("path", 6, 12), F.lit('"]}}'))).alias("raw"),
+    )
+    orders = table(spark, d, "orders")
+    targets = orders.where(F.col("o_orderstatus") == "F").select(F.concat(_padded("o_orderkey"), F.lit(".json")).alias("name"))
+    plan = importing.import_folder(_images(spark, d).unionByName(_records(spark, d)), records, targets, site="board")
+    return plan.metadata.select("stem", F.array_join("tags", "|").alias("tags"), "post_id", "source")
+
+
+SQL["import_job"] = f"""WITH {_FILES}
+SELECT stem, stem AS tags, CAST(22 AS BIGINT) AS post_id, 'board' AS source
+FROM images JOIN records USING (stem)
+WHERE stem NOT IN (SELECT printf('%012d', o_orderkey) FROM orders WHERE o_orderstatus = 'F')"""
+
+
 @query
 def import_overwrite(spark: SparkSession, d: str) -> DataFrame:
     return imports.action_counts(_log(spark, d, True))

@@ -462,6 +462,77 @@ def _semantics(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _judged(spark: SparkSession, d: str, fields: tuple[str, ...] = ("final_tags",)) -> DataFrame:
+    """The judge's lists of every document of good quality, the same in each field."""
+    asked = F.array(F.upper("source"), F.lit("nobody said this"), F.concat(F.lit("lang_"), F.col("lang")))
+    return (
+        table(spark, d, "documents").select("doc_id", "source", "lang")
+        .join(table(spark, d, "labels").where(F.col("quality") == 1), "doc_id", "left_semi")
+        .select(F.col("doc_id").alias("stem"), F.posexplode(asked).alias("pos", "raw"))
+        .select("stem", F.explode(F.array(*[F.lit(f) for f in fields])).alias("field"), F.col("pos").cast("long").alias("pos"), "raw")
+    )
+
+
+@query
+def tagging_results(spark: SparkSession, d: str) -> DataFrame:
+    """Whole results of a job without open-set tags: one per document, judged, failed, bare or fallen back.
+
+    Toxic documents are those that the judge failed on; German ones get no tag from any source.
+    """
+    documents = table(spark, d, "documents").select("doc_id", "source", "lang")
+    none = F.array().cast("array<string>")
+    requests = documents.select(
+        F.col("doc_id").alias("stem"), F.when(F.col("lang") == "de", none).otherwise(F.array("source", "lang")).alias("context_tags")
+    )
+    replies = table(spark, d, "labels").join(documents, "doc_id").where("lang <> 'de'")
+    semantics = replies.select(
+        F.col("doc_id").alias("stem"), F.concat(F.lit("a text of "), F.col("source")).alias("caption"), F.lit("photo").alias("content_type"),
+        *[(F.array("lang") if name == "scene" else F.lit(None).cast("array<string>")).alias(name) for name in fusion.SEMANTIC_FIELDS],
+    )
+    judged = _judged(spark, d, fusion.JUDGED_FIELDS)
+    errors = table(spark, d, "labels").where("toxic = 1").select(
+        F.col("doc_id").alias("stem"), F.lit(2).alias("stage_rank"), F.lit("qwen_prune").alias("stage"), F.lit("E").alias("error"), F.lit("T").alias("traceback")
+    )
+    fine = judged.join(errors.select("stem"), "stem", "left_anti")
+    told = replies.where("toxic = 0 AND quality = 1").select(F.col("doc_id").alias("stem"), F.lit(" Judged. ").alias("caption"), F.lit("calm").alias("mood"))
+    empty = requests.select("stem", none.alias("open_set_tags"))
+    art = spark.sql("SELECT 0L AS stem, 0 AS group_rank, 0 AS pos, '' AS raw, '' AS namespace, 0D AS confidence WHERE false")
+    fused = job.fuse(requests, empty, art, semantics, fine)
+    rows = job.results(fused, requests, semantics, told, fine, errors, caption_backend="m", editor_backend="e")
+    side = F.col("sidecar")
+    return rows.select(
+        "stem", F.array_join("tags", "|").alias("tags"), "caption", F.to_json(F.try_variant_get(side, "$.final", "variant")).alias("final"),
+        F.to_json(F.try_variant_get(side, "$.semantic", "variant")).alias("semantic"),
+        F.to_json(F.try_variant_get(side, "$.errors", "variant")).alias("errors"),
+        F.try_variant_get(side, "$.tag_fallback", "string").alias("fallback"),
+    )
+
+
+SQL["tagging_results"] = """
+WITH known AS (
+  SELECT doc_id AS stem, source, lang, lang <> 'de' AS tagged, coalesce(toxic = 1, false) AS failed,
+    quality IS NOT NULL AND lang <> 'de' AS semantic, coalesce(quality = 1 AND toxic = 0, false) AND lang <> 'de' AS fine
+  FROM documents LEFT JOIN labels USING (doc_id)
+),
+listed AS (
+  SELECT *, CASE WHEN NOT tagged THEN [] WHEN fine THEN [source, 'photo', lang] WHEN semantic THEN [source, lang, 'photo'] ELSE [source, lang] END AS tags,
+    '":["' || source || '"],"' AS one
+  FROM known
+),
+shown AS (
+  SELECT *, CASE WHEN tagged THEN '["' || array_to_string(tags, '","') || '"]' ELSE '[]' END AS tags_json FROM listed
+)
+SELECT stem, array_to_string(tags, '|') AS tags, CASE WHEN fine THEN 'Judged.' WHEN semantic THEN 'a text of ' || source END AS caption,
+  CASE WHEN failed THEN '{"error":"E","final_tags":' || tags_json || ',"note":"the judge failed; all merged tags are kept","traceback":"T"}'
+    WHEN fine THEN '{"abstract_tags' || one || 'actions' || one || 'attributes' || one || 'booru' || one || 'caption":" Judged. ","characters' || one
+      || 'composition' || one || 'final_tags":' || tags_json || ',"medium' || one || 'mood":"calm","objects' || one || 'scene' || one || 'style":["' || source || '"]}'
+    ELSE '{"final_tags":' || tags_json || '}' END AS final,
+  CASE WHEN semantic THEN '{"caption":"a text of ' || source || '","content_type":"photo","scene":["' || lang || '"]}' ELSE '{}' END AS semantic,
+  CASE WHEN failed THEN '[{"error":"E","stage":"qwen_prune","traceback":"T"}]' ELSE '[]' END AS errors,
+  CASE WHEN tagged AND NOT failed AND NOT fine THEN 'merged_model_outputs' END AS fallback
+FROM shown"""
+
+
 def _fused(spark: SparkSession, d: str) -> job.Fusion:
     documents = spread(table(spark, d, "documents").select("doc_id", "text", "source", "lang"))
     semantics = _semantics(spark, d)
@@ -471,12 +542,7 @@ def _fused(spark: SparkSession, d: str) -> job.Fusion:
     art = predictions.route(
         predictions.select_labels(labelled, GENERAL_BAR, CHARACTER_BAR), predictions.rating(labelled)
     ).join(job.needs_art_tagger(semantics).select("stem"), "stem", "left_semi")
-    asked = F.array(F.upper("source"), F.lit("nobody said this"), F.concat(F.lit("lang_"), F.col("lang")))
-    judged = (
-        documents.join(table(spark, d, "labels").where(F.col("quality") == 1), "doc_id", "left_semi")
-        .select(F.col("doc_id").alias("stem"), F.posexplode(asked).alias("pos", "raw"))
-        .select("stem", F.lit("final_tags").alias("field"), F.col("pos").cast("long").alias("pos"), "raw")
-    )
+    judged = _judged(spark, d)
     return job.fuse(
         requests=documents.select(
             F.col("doc_id").alias("stem"),
