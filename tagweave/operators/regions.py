@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,18 +82,16 @@ def similar_counts(regions: DataFrame) -> DataFrame:
 # --- near repeats -----------------------------------------------------------
 
 
-def _first_come(order: list[str]):
-    """Function keeping the boxes of one small group that no earlier kept box covers.
+def _first_come(keys: list[str], order: list[str]):
+    """Function over sorted batches that keeps the boxes no earlier kept box of their group covers.
 
     It refers to nothing of this package, so executors need not have it.
     """
     names, bar = list(BOX), overlay.NEAR_IOU
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes = pdf[names].to_numpy(dtype=np.float64)
+    def chosen(boxes: np.ndarray) -> np.ndarray:
         areas = (boxes[:, 2:] - boxes[:, :2] + 1).prod(axis=1)
-        open_rows = np.lexsort([pdf[name].to_numpy() for name in reversed(order)])
-        kept = []
+        open_rows, kept = np.arange(len(boxes)), []
         while open_rows.size:
             first, open_rows = open_rows[0], open_rows[1:]
             kept.append(first)
@@ -102,7 +101,46 @@ def _first_come(order: list[str]):
             inter = np.clip(high - low + 1, 0, None).prod(axis=1)
             union = areas[open_rows] + areas[first] - inter
             open_rows = open_rows[inter / np.maximum(union, 1) <= bar]
-        return pdf.iloc[kept]
+        return np.array(kept, np.int64)
+
+    def settled(table: pa.Table) -> pa.RecordBatch:
+        """The kept rows of a table that holds whole groups, one after the other."""
+        boxes = np.column_stack([table[name].to_numpy().astype(np.float64) for name in names])
+        change = np.zeros(len(boxes), bool)
+        for name in keys:
+            codes = table[name].combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            change[1:] |= codes[1:] != codes[:-1]
+        starts = np.concatenate([[0], np.flatnonzero(change), [len(boxes)]])
+        kept = [low + chosen(boxes[low:high]) for low, high in zip(starts, starts[1:]) if high > low]
+        rows = table.take(pa.array(np.concatenate(kept))).combine_chunks()
+        return rows.to_batches()[0]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held:
+                last = [held[-1][name][held[-1].num_rows - 1] for name in keys]
+                same = 0
+                while same < batch.num_rows and [batch[name][same] for name in keys] == last:
+                    same += 1
+                held.append(batch.slice(0, same))
+                batch = batch.slice(same)
+                if not batch.num_rows:
+                    continue
+                yield settled(pa.Table.from_batches(held))
+                held = []
+            # the batch's last group may go on in the next one
+            end = [batch[name][batch.num_rows - 1] for name in keys]
+            cut = batch.num_rows
+            while cut and [batch[name][cut - 1] for name in keys] == end:
+                cut -= 1
+            if cut:
+                yield settled(pa.Table.from_batches([batch.slice(0, cut)]))
+            held = [batch.slice(cut)]
+        if held:
+            yield settled(pa.Table.from_batches(held))
 
     return keep
 
@@ -214,7 +252,7 @@ def drop_near_repeats(
     """Boxes ``(keys, order, x1, y1, x2, y2)`` overlapping no earlier kept box.
 
     Equal boxes collapse to their earliest first, before any shuffle of
-    groups. Small groups are settled one per call; larger ones are spread.
+    groups. Small groups are settled in sorted batches, many per call; larger ones are spread.
     """
     names = list(keys)
     columns = [*names, *order, *BOX]
@@ -226,7 +264,8 @@ def drop_near_repeats(
 
     def settle(groups: DataFrame) -> DataFrame:
         flat = groups.select(*names, "pos.*", *BOX)
-        return flat.groupBy(*names).applyInPandas(_first_come(list(order)), flat.schema)
+        dealt = flat.repartition(*names).sortWithinPartitions(*names, *order)
+        return dealt.mapInArrow(_first_come(names, list(order)), flat.schema)
 
     # Counting all boxes is cheap and mostly settles the matter.
     if not large_groups(boxes).take(1):

@@ -34,7 +34,7 @@ def test_no_cross_joins_and_no_unpartitioned_windows(plans):
 
 @needs_tables
 def test_python_runs_only_for_near_boxes(plans):
-    users = {name for name, text in plans.items() if "InPandas" in text or "Python" in text}
+    users = {name for name, text in plans.items() if "InPandas" in text or "Arrow" in text or "Python" in text}
     assert users == {"near_boxes"}
 
 
