@@ -128,53 +128,62 @@ class FrameReader:
         return b"".join(parts)
 
 
-#: Words of printable ASCII take the short way; the pattern is the tokenizer's own for such words.
-PLAIN = re.compile(rb"[!-~]+")
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Words of printable ASCII and Latin-1 letters take the short way; the pattern is the tokenizer's own for such words.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 TABLE_WORDS = 400_000
 
 
-class WordEncoder:
-    """Encode texts word by word, each distinct word once.
+def byte_letters() -> dict[int, str]:
+    """How byte-level tokenizers write bytes: printable ones as themselves, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-    Holds for tokenizers whose pieces end at white space, as with word ends.
-    Distinct words are kept up to ``TABLE_WORDS``; then the table starts anew.
-    """
+
+class WordTable(dict):
+    """Ids of words as bytes, made when a word is first met."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
+        self.letters = byte_letters()
         self.pieces: dict[str, bytes] = {}
 
-    def _word(self, word: bytes) -> bytes:
-        if PLAIN.fullmatch(word) and b"<|" not in word:
-            return b"".join([self._piece(p) for p in PIECE.findall(word.decode().lower())])
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            ids = b"".join([self.pieces.get(p) or self._piece(p) for p in PIECE.findall(text.lower())])
+        else:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(piece)], "<u4").tobytes()
-            self.pieces[piece] = found
+        spelled = "".join([self.letters[b] for b in piece.encode()])
+        found = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+        self.pieces[piece] = found
         return found
 
+
+class WordEncoder:
+    """Encode texts word by word, each distinct word once.
+
+    Holds for tokenizers whose pieces end at white space, as with word ends.
+    Distinct words are kept up to ``TABLE_WORDS``; then the table starts anew.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.words = WordTable(path)
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers; none for a null text."""
-        words, known = (text or "").encode().split(), self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > TABLE_WORDS:
-            known.clear()
-            self.pieces.clear()
-        for word in words:
-            if word not in known:
-                known[word] = self._word(word)
-        return b"".join([known[w] for w in words])
+        if len(self.words) > TABLE_WORDS:
+            self.words.clear()
+            self.words.pieces.clear()
+        return b"".join(map(self.words.__getitem__, (text or "").encode().split()))
 
 
 @lru_cache(2)

@@ -73,18 +73,18 @@ def frame_agreement(
 ) -> DataFrame:
     """Weighted support and minimax agreement over the fixed list of frames.
 
-    ``occupancy`` holds ``(entity, frame, occupancy, weight)``, one row per
-    frame at most; naming the frames bounds the list built per region.
+    ``occupancy`` holds ``(entity, frame, occupancy)``, one row per frame at
+    most; naming the frames bounds the list built per region. A frame without a
+    row saw nothing of the region: it counts with 0 and its whole weight.
     """
     frames = list(overlay.FRAME_WEIGHTS) if frames is None else frames
-    listed = F.array_compact(
-        F.array(
-            *[F.max(F.when(F.col("frame") == name, F.col("occupancy"))) for name in frames]
-        )
-    )
-    support = F.sum(F.col("occupancy") * F.col("weight")) / F.greatest(
-        F.lit(overlay.EPS), F.sum("weight")
-    )
+    weights = [overlay.FRAME_WEIGHTS[name] for name in frames]
+    seen = [
+        F.coalesce(F.max(F.when(F.col("frame") == name, F.col("occupancy"))), F.lit(0.0))
+        for name in frames
+    ]
+    listed = F.array(*seen)
+    support = sum((p * w for p, w in zip(seen, weights)), F.lit(0.0)) / max(overlay.EPS, sum(weights))
     return (
         occupancy.where(F.col("frame").isin(*frames))
         .groupBy(key)

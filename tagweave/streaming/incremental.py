@@ -2,13 +2,16 @@
 
 Every micro-batch replaces its own ``batch=<id>`` folder and looks only at
 earlier ones, so a batch repeated after a failure gives the same result.
+What could not be used goes to the same folder below ``<target>-rejects`` and
+does not count as done: it is taken up when it comes again. A batch reads the
+key column of earlier ones, so fewer, larger batches read less.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,9 +32,20 @@ def _earlier(spark: SparkSession, target: str, batch: int, key: str) -> DataFram
     return spark.read.parquet(target).where(F.col("batch") < batch).select(key)
 
 
+def _store(rows: DataFrame, failed: Column, target: str, batch: int) -> None:
+    """Good rows, one per stem, below ``target``; the others beside it."""
+    rows = rows.persist()
+    try:
+        rows.where(failed).write.mode("overwrite").parquet(f"{target}-rejects/batch={batch}")
+        good = rows.where(~failed).dropDuplicates(["stem"])
+        good.write.mode("overwrite").parquet(f"{target}/batch={batch}")
+    finally:
+        rows.unpersist()
+
+
 def unseen(rows: DataFrame, done: DataFrame | None, key: str) -> DataFrame:
     """Rows whose key is not stored yet: the batch form of both jobs."""
-    return rows if done is None else rows.join(done, key, "left_anti")
+    return rows if done is None else rows.join(done.select(key), key, "left_anti")
 
 
 def import_stream(
@@ -42,13 +56,18 @@ def import_stream(
     *,
     site: str,
     seen: DataFrame | None = None,
+    targets: DataFrame | None = None,
+    images: DataFrame | None = None,
     max_files: int | None = None,
 ) -> StreamingQuery:
     """Import new JSON records of a growing folder, then stop.
 
-    ``seen(post_id)`` restricts the import to the posts of one query.
+    ``seen(post_id)`` restricts the import to the posts of one query,
+    ``images(stem)`` to records whose image is there, and ``targets(stem)``
+    lists the records that the pool holds already.
     """
     reader = spark.readStream.format("text").schema("value STRING").option("wholetext", "true")
+    reader = reader.option("recursiveFileLookup", "true")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     lines = reader.load(records).select(decoded_path().alias("path"), "value")
@@ -62,8 +81,10 @@ def import_stream(
         read = imports.import_metadata(parsed, site)
         if seen is not None:
             read = read.join(seen.select("post_id"), "post_id", "left_semi")
-        fresh = unseen(read, _earlier(session, target, batch_id, "stem"), "stem")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        if images is not None:
+            read = read.join(images.select("stem"), "stem", "left_semi")
+        fresh = unseen(unseen(read, targets, "stem"), _earlier(session, target, batch_id, "stem"), "stem")
+        _store(fresh, F.col("reject").isNotNull(), target, batch_id)
 
     return (
         lines.writeStream.foreachBatch(store)
@@ -80,7 +101,7 @@ def caption_stream(
     checkpoint: str,
     tagger: Callable[[DataFrame], DataFrame],
     *,
-    max_files: int = 1,
+    max_files: int = 64,
 ) -> StreamingQuery:
     """Tag request files batch by batch; finished records survive an abort."""
     schema = "stem STRING, image_path STRING, context_tags ARRAY<STRING>"
@@ -90,7 +111,10 @@ def caption_stream(
 
     def store(batch: DataFrame, batch_id: int) -> None:
         open_requests = unseen(batch, _earlier(batch.sparkSession, target, batch_id, "stem"), "stem")
-        tagger(open_requests).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        # A request that comes twice in one batch is answered once.
+        tagged = tagger(open_requests.dropDuplicates(["stem"]))
+        failed = F.col("error").isNotNull() if "error" in tagged.columns else F.lit(False)
+        _store(tagged, failed, target, batch_id)
 
     return (
         source.writeStream.foreachBatch(store)

@@ -147,7 +147,7 @@ def frame_agreement(spark: SparkSession, d: str) -> DataFrame:
     )
     frames = seen.select(
         F.col("user_id").alias("entity_id"), _mapped("event_type", FRAME_OF).alias("frame"), "occupancy"
-    ).withColumn("weight", overlay.frame_weight(F.col("frame")))
+    )
     found = evidence.frame_agreement(frames)
     return found.select("entity_id", *[F.round(c, 6).alias(c) for c in found.columns if c != "entity_id"])
 
@@ -159,8 +159,8 @@ WITH frames AS (
   FROM events GROUP BY user_id, event_type
 ),
 regions AS (
-  SELECT entity_id, sum(p * weight) / sum(weight) AS support, list(p) AS ps, avg(p) AS mean, median(p) AS mid
-  FROM frames GROUP BY 1
+  SELECT entity_id, support, ps, list_avg(ps) AS mean, list_median(ps) AS mid FROM (
+    SELECT entity_id, sum(p * weight) / 4.6e0 AS support, list_resize(list(p), 5, 0.0e0) AS ps FROM frames GROUP BY 1)
 ),
 tried AS (
   SELECT entity_id, support, ps, unnest(list_concat(list_transform(range(1001), lambda i: i / 1000.0e0), ps, [mean, mid])) AS q

@@ -340,6 +340,16 @@ def test_polygon_helpers(spark):
     assert one(spark, overlay.rectangles(nested)) == [[0.0, 1.0, 2.0, 3.0]]
 
 
+def test_replies_of_mixed_depth(spark):
+    reply = F.parse_json(F.lit("[[1, 2, 3, 4], [[5, 6, 7, 8], [9, 9]], 7, []]"))
+    assert one(spark, overlay.flat_or_nested_rectangles(reply)) == [[1.0, 2.0, 3.0, 4.0], [5.0, 6.0, 7.0, 8.0]]
+    reply = F.parse_json(F.lit("[[[0, 0], [1, 0], [1, 1]], [[[2, 2], [3, 2], [3, 3], [2, 3]], [[1, 1]]]]"))
+    assert one(spark, F.transform(overlay.flat_or_nested_polygons(reply), F.size)) == [3, 4]
+    assert one(spark, overlay.flat_or_nested_rectangles(F.parse_json(F.lit("null")))) == []
+    nested = F.array(F.array(F.array(F.lit(1.0)), F.array(*[F.lit(float(i)) for i in range(3)])))
+    assert one(spark, overlay.polygons(nested)) == [[0.0, 1.0, 2.0]]
+
+
 def test_accept_rules(spark):
     def decide(score, **p):
         return one(spark, overlay.accept(F.lit(score), {k: F.lit(v) for k, v in p.items()}))

@@ -450,12 +450,67 @@ def test_import_stream_is_incremental(spark, tmp_path):
     assert run() == [("1", 0), ("2", 1), ("4", 2)]
 
 
+def test_import_stream_checks_images_targets_and_rejects(spark, tmp_path):
+    source, target, checkpoint = tmp_path / "json", str(tmp_path / "pool"), str(tmp_path / "cp")
+    images = spark.createDataFrame([("1",), ("2",), ("3",), ("4",)], "stem STRING")
+    held = spark.createDataFrame([("2",)], "stem STRING")
+
+    def run():
+        incremental.import_stream(spark, str(source), target, checkpoint, site="board", targets=held, images=images).awaitTermination()
+        return sorted(r["stem"] for r in spark.read.parquet(target).collect())
+
+    write_json(source / "1.json", post(1))
+    write_json(source / "twice" / "1.json", post(1))
+    write_json(source / "2.json", post(2))  # in the pool already
+    write_json(source / "3.json", "[1]")  # no record
+    write_json(source / "9.json", post(9))  # no image
+    assert run() == ["1"]
+    assert [r["stem"] for r in spark.read.parquet(f"{target}-rejects").collect()] == ["3"]
+    write_json(source / "again" / "3.json", post(3))
+    assert run() == ["1", "3"]
+
+
+def test_caption_stream_retries_failures(spark, tmp_path):
+    source, target, checkpoint = tmp_path / "requests", str(tmp_path / "done"), str(tmp_path / "cp")
+    ask = lambda stem: json.dumps({"stem": stem, "image_path": f"{stem}.png", "context_tags": []})
+
+    def tagger(broken):
+        def load():
+            def model(path, tags):
+                if path in broken:
+                    raise ValueError(path)
+                return {"tags": [path]}
+            return model
+        return plugins.model_tagger(load, "m")
+
+    write_json(source / "0.json", "\n".join([ask("a"), ask("b"), ask("a")]))
+    incremental.caption_stream(spark, str(source), target, checkpoint, tagger({"b.png"})).awaitTermination()
+    assert [r["stem"] for r in spark.read.parquet(target).collect()] == ["a"]
+    write_json(source / "1.json", ask("b"))
+    incremental.caption_stream(spark, str(source), target, checkpoint, tagger(set())).awaitTermination()
+    assert sorted(r["stem"] for r in spark.read.parquet(target).collect()) == ["a", "b"]
+
+
+def test_batch_model(spark):
+    def load():
+        def model(requests):
+            if any(r["stem"] == "bad" for r in requests):
+                raise ValueError("bad batch")
+            return [{"tags": [f"{r['stem']} of {len(requests)}"]} for r in requests]
+        return model
+
+    requests = spark.createDataFrame([(s, f"{s}.png", []) for s in ("a", "b", "c", "bad", "e")], "stem STRING, image_path STRING, context_tags ARRAY<STRING>").coalesce(1)
+    rows = {r["stem"]: r for r in plugins.batch_tagger(load, "m", batch_size=3)(requests).collect()}
+    assert rows["a"]["tags"] == ["a of 3"] and rows["e"]["tags"] == ["e of 1"]
+    assert "bad batch" in rows["bad"]["error"]["error"] and rows["bad"]["error"]["stage"] == "m"
+
+
 def test_caption_stream_resumes(spark, tmp_path):
     source, target, checkpoint = tmp_path / "requests", str(tmp_path / "done"), str(tmp_path / "cp")
     for i, stems in enumerate((["a", "b"], ["b", "c"])):
         rows = [json.dumps({"stem": s, "image_path": f"{s}.png", "context_tags": []}) for s in stems]
         write_json(source / f"{i}.json", "\n".join(rows))
-    incremental.caption_stream(spark, str(source), target, checkpoint, plain_tags).awaitTermination()
+    incremental.caption_stream(spark, str(source), target, checkpoint, plain_tags, max_files=1).awaitTermination()
     done = spark.read.parquet(target)
     assert sorted(r["stem"] for r in done.collect()) == ["a", "b", "c"]
     assert done.select("batch").distinct().count() == 2
