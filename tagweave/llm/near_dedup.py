@@ -9,8 +9,11 @@ number of agreeing bins concentrates as if the bins were independent.
 Documents with the same words are one class. Classes that agree in a band of bins share
 a bucket. In a bucket only pairs with a pivot are checked, on full sets: classes that the
 checked links already join need no pair of their own, so a bucket of many near copies
-costs one pair per member. A pivot that was compared with all others leaves its bucket;
-rounds go on, with twice as many pivots each, until no bucket spans two components.
+costs one pair per member. The pivot is the class with the most company in all its buckets.
+Before that, each class counts the shingles that no other class in a bucket has. They bound
+its similarity with any other one, so texts that only share a passage, or a template, with
+many others take part in no pair at all. A pivot that was compared with all others leaves its bucket;
+rounds go on, with ``MORE_PIVOTS`` times as many pivots each, until no bucket spans two components.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.llm.common import release, stored
@@ -29,6 +32,8 @@ from tagweave.llm.common import release, stored
 BANDS, ROWS = 45, 5
 BINS = BANDS * ROWS
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+#: A round compares with this many times the pivots of the one before.
+MORE_PIVOTS = 8
 #: Hash evaluations of one step of a sketch.
 STEP = 2048
 
@@ -127,6 +132,37 @@ def sets_of(docs: DataFrame, classes: DataFrame, doc: str, text: str, width: int
     return found.mapInArrow(run, "cls long, items binary").where("items IS NOT NULL").dropDuplicates(["cls"])
 
 
+def _items(sets: DataFrame) -> DataFrame:
+    """Rows (cls, item) of the full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cls, items in zip(batch["cls"].to_pylist(), batch["items"]):
+                found = np.frombuffer(items.as_py(), np.int64)
+                yield pa.RecordBatch.from_pydict({"cls": np.full(len(found), cls, np.int64), "item": found})
+
+    return sets.mapInArrow(run, "cls long, item long")
+
+
+def own_items(sets: DataFrame) -> DataFrame:
+    """Rows (cls, own): how many shingles of a class no other class has."""
+    single = _items(sets).groupBy("item").agg(F.min("cls").alias("cls"), F.max("cls").alias("most")).where("cls = most")
+    return single.groupBy("cls").agg(F.count("*").alias("own"))
+
+
+def own_items_of_components(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (cls, own): how many shingles of a class no class of another component has, among the classes of ``roots``."""
+    rows = _items(sets.join(roots.select("cls"), "cls", "left_semi").select("cls", "items")).join(roots, "cls")
+    single = rows.groupBy("item").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least = most").select("item")
+    return rows.join(single, "item").groupBy("cls").agg(F.count("*").alias("own"))
+
+
+def may_link(n: Column, own: Column, other: Column, other_own: Column, percent: int) -> Column:
+    """Whether two sets can be linked, given their sizes and how many items are theirs alone."""
+    shared = F.least(n - own, other - other_own)
+    return shared * 100 >= (n + other - shared) * percent
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union."""
 
@@ -149,31 +185,35 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """Rows (node, root): the smallest node of each connected component, by alternating stars.
+def connected(edges: DataFrame) -> DataFrame | None:
+    """Rows (node, root): the smallest node of each connected component; None without edges.
 
-    The large star ties a node's larger neighbours to its smallest one, the small star its
-    smaller ones; both keep components whole and end in stars around the roots. State
-    between rounds is a table in the shared folder.
+    Alternating stars: the large star ties a node's larger neighbours to its smallest one, the
+    small star its smaller ones; both keep components whole and end in stars around the roots.
+    State between rounds is a table in the shared folder; two equal states, by count and
+    checksum, end the rounds.
     """
-    # a star whose centre is the root has every edge as (node, root)
     links = stored(edges.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).where("high <> low").distinct())
+    state = _state(links)
+    if not state[0]:
+        release(links)
+        return None
     while True:
         both = links.select(F.col("high").alias("u"), F.col("low").alias("v")).unionByName(links.select(F.col("low").alias("u"), F.col("high").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("high"), F.col("m").alias("low")).distinct()
-        large = stored(large)
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("high"), F.col("m").alias("low"))
         least = large.groupBy("high").agg(F.min("low").alias("m"))
         tied = large.join(least, "high")
         small = tied.select(F.col("low").alias("high"), F.col("m").alias("low")).unionByName(least.select("high", F.col("m").alias("low"))).where("high <> low").distinct()
         small = stored(small)
-        release(large)
-        same = links.join(small, ["high", "low"], "left_anti").isEmpty() and small.join(links, ["high", "low"], "left_anti").isEmpty()
         release(links)
-        links = small
-        if same:
-            break
-    return links.select(F.col("high").alias("node"), F.col("low").alias("root"))
+        links, before, state = small, state, _state(small)
+        if state == before:
+            return links.select(F.col("high").alias("node"), F.col("low").alias("root"))
+
+
+def _state(links: DataFrame) -> tuple[int, int | None]:
+    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("high", "low"))).first())
 
 
 def components(
@@ -191,41 +231,55 @@ def components(
     """
     rows = stored(sketched(docs, doc, text, width))
     filled = rows.where("n_shingles > 0")
-    classes = filled.groupBy("h1", "h2").agg(F.min("doc").alias("rep"))
+    classes = filled.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.min("n_shingles").alias("items"))
     classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()))
     same = F.col("doc").eqNullSafe(F.col("rep"))
-    firsts = filled.join(classes, ["h1", "h2"]).where(same).select("cls", F.explode("bands").alias("bucket"))
-    crowded = firsts.groupBy("bucket").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most").select("bucket")
+    firsts = filled.join(classes, ["h1", "h2"]).where(same).select("cls", "items", F.explode("bands").alias("bucket"))
+    crowded = firsts.groupBy("bucket").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("size"))
+    crowded = crowded.where("least <> most").select("bucket", "size")
     # a class may come twice, from rows that repeat its smallest id
     members = stored(firsts.join(crowded, "bucket").distinct())
     wanted = members.select("cls").distinct()
-    sets = stored(sets_of(docs, classes.join(wanted, "cls"), doc, text, width))
-    labels = stored(wanted.withColumn("root", F.col("cls")))
-    tested, pivots = None, 1
-    while True:
-        placed = members.join(labels, "cls")
-        open_ = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-        live = stored(placed.join(open_, "bucket"))
-        if live.isEmpty():
-            release(live)
-            break
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64("cls"), "cls")
-        heads = live.withColumn("at", F.row_number().over(order)).where(F.col("at") <= pivots)
-        heads = stored(heads.select("bucket", F.col("cls").alias("a"), F.col("root").alias("root_a")))
-        pairs = live.join(heads, "bucket").where("root <> root_a").select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    sets = stored(sets_of(docs, classes.drop("items").join(wanted, "cls"), doc, text, width))
+    # a text that others were made from meets them in more and larger buckets than they meet each other
+    known = members.groupBy("cls").agg(F.sum("size").alias("company"), F.first("items").alias("items")).join(own_items(sets), "cls", "left")
+    known = known.withColumn("own", F.coalesce("own", F.lit(0))).where((F.col("items") - F.col("own")) * 100 >= F.col("items") * percent)
+    labels = stored(known.withColumn("root", F.col("cls")))
+    placed = members.select("bucket", "cls").join(labels, "cls")
+    open_ = placed.groupBy("bucket").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most").select("bucket")
+    live = stored(placed.join(open_, "bucket"))
+    release(members)
+    tested, pivots = [], 1
+    while not live.isEmpty():
+        order = Window.partitionBy("bucket").orderBy(F.desc("company"), "cls")
+        heads = live.withColumn("at", F.row_number().over(order)).where(F.col("at") <= pivots).select("bucket", F.col("cls").alias("a"), F.col("root").alias("root_a"), F.col("items").alias("items_a"), F.col("own").alias("own_a"))
+        near = may_link(F.col("items"), F.col("own"), F.col("items_a"), F.col("own_a"), percent)
+        pairs = live.join(heads, "bucket").where((F.col("root") != F.col("root_a")) & near).select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+        for earlier in tested:
+            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
         pairs = stored(pairs)
-        links = stored(confirmed(pairs, sets, percent))
-        tested = pairs if tested is None else stored(tested.unionByName(pairs))
+        tested.append(pairs)
+        links = confirmed(pairs, sets, percent)
         named = labels.select(F.col("cls").alias("a"), F.col("root").alias("ra"))
         ends = links.join(named, "a").join(named.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b")
         roots = connected(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        moved = labels.join(roots, labels["root"] == roots["node"], "left").select("cls", F.coalesce(roots["root"], labels["root"]).alias("root"))
-        moved = stored(moved)
-        rest = stored(live.select("bucket", "cls").join(heads.select("bucket", F.col("a").alias("cls")), ["bucket", "cls"], "left_anti"))
-        release(members, labels, live, heads, links)
-        members, labels, pivots = rest, moved, pivots * 2
+        if roots is not None:
+            moved = labels.join(roots, labels["root"] == roots["node"], "left")
+            labels = stored(moved.select("cls", "company", "items", "own", F.coalesce(roots["root"], labels["root"]).alias("root")))
+        left = live.drop("root").join(heads.select("bucket", F.col("a").alias("cls")), ["bucket", "cls"], "left_anti").join(labels.select("cls", "root"), "cls")
+        open_ = left.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
+        rest = stored(left.join(open_, "bucket"))
+        release(live)
+        live = rest
+        if pivots == 1 and not live.isEmpty():
+            # pairs are now between components only, so what the rest of its own component has counts as a class's own too
+            own = own_items_of_components(sets, live.select("cls", "root").distinct())
+            closer = live.drop("own").join(own, "cls", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+            closer = closer.where((F.col("items") - F.col("own")) * 100 >= F.col("items") * percent)
+            several = closer.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
+            live = stored(closer.join(several, "bucket"))
+            release(rest)
+        pivots *= MORE_PIVOTS
     first = classes.join(labels, "cls", "left").select("h1", "h2", "rep", F.coalesce("root", "cls").alias("root"))
     lowest = first.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = first.join(lowest, "root").select("h1", "h2", "component_id")
