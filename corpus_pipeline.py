@@ -6,11 +6,13 @@ columns of ``docs``. Stages read text, lang, source and doc_id; other columns pa
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm import language_id, line_dedup, mixing, near_dedup, pieces
-from tagweave.llm.common import shared_folder, table
+from tagweave.llm.common import shared_folder, table, with_package
 from tagweave.llm.queries import PIECE_MODEL
 
 #: Below this share of its main language a text has none.
@@ -61,12 +63,23 @@ def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+def _ready(stage):
+    """The stage, run with workers that find the package."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with_package(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("language", keep_known_languages),
-    ("lines", drop_common_lines),
-    ("near_copies", keep_one_of_near_copies),
-    ("mix", mix_sources),
-    ("pieces", encode_text),
+    ("language", _ready(keep_known_languages)),
+    ("lines", _ready(drop_common_lines)),
+    ("near_copies", _ready(keep_one_of_near_copies)),
+    ("mix", _ready(mix_sources)),
+    ("pieces", _ready(encode_text)),
 ]
 
 #: A mix by seeded hashes and a tokenizer's ids cannot be stated in SQL; the tests compare with brute force.

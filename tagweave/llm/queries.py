@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm import language_id, line_dedup, mixing, near_dedup, pieces, quality, token_files, url_filters, vector_search, warc
-from tagweave.llm.common import shared_folder, stored, table
+from tagweave.llm.common import shared_folder, stored, table, with_package
 
 QUERIES = {}
 SQL = {}
@@ -25,8 +27,13 @@ URL_RULES = [
 
 
 def query(function):
-    QUERIES[function.__name__] = function
-    return function
+    @wraps(function)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        with_package(spark)
+        return function(spark, d)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 @query
