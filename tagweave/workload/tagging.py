@@ -462,7 +462,7 @@ def _semantics(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _judged(spark: SparkSession, d: str, fields: tuple[str, ...] = ("final_tags",)) -> DataFrame:
+def _judge_lists(spark: SparkSession, d: str, fields: tuple[str, ...] = ("final_tags",)) -> DataFrame:
     """The judge's lists of every document of good quality, the same in each field."""
     asked = F.array(F.upper("source"), F.lit("nobody said this"), F.concat(F.lit("lang_"), F.col("lang")))
     return (
@@ -489,7 +489,7 @@ def tagging_results(spark: SparkSession, d: str) -> DataFrame:
         F.col("doc_id").alias("stem"), F.concat(F.lit("a text of "), F.col("source")).alias("caption"), F.lit("photo").alias("content_type"),
         *[(F.array("lang") if name == "scene" else F.lit(None).cast("array<string>")).alias(name) for name in fusion.SEMANTIC_FIELDS],
     )
-    judged = _judged(spark, d, fusion.JUDGED_FIELDS)
+    judged = _judge_lists(spark, d, fusion.JUDGED_FIELDS)
     errors = table(spark, d, "labels").where("toxic = 1").select(
         F.col("doc_id").alias("stem"), F.lit(2).alias("stage_rank"), F.lit("qwen_prune").alias("stage"), F.lit("E").alias("error"), F.lit("T").alias("traceback")
     )
@@ -542,7 +542,7 @@ def _fused(spark: SparkSession, d: str) -> job.Fusion:
     art = predictions.route(
         predictions.select_labels(labelled, GENERAL_BAR, CHARACTER_BAR), predictions.rating(labelled)
     ).join(job.needs_art_tagger(semantics).select("stem"), "stem", "left_semi")
-    judged = _judged(spark, d)
+    judged = _judge_lists(spark, d)
     return job.fuse(
         requests=documents.select(
             F.col("doc_id").alias("stem"),
