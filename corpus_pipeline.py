@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm import language_id, line_dedup, mixing, near_dedup, pieces
-from tagweave.llm.common import shared_folder, table, with_package
+from tagweave.llm.common import shared_folder, stored, table, with_package
 from tagweave.llm.queries import PIECE_MODEL
 
 #: Below this share of its main language a text has none.
@@ -40,10 +40,17 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies on five-word shingles at 0.8."""
-    found = near_dedup.components(docs.where(F.col("doc_id").isNotNull()), width=5, percent=80)
-    gone = found.where("NOT kept").select("doc").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["doc"], "left_anti")
+    """One row of each group of near copies on five-word shingles at 0.8; rows without words stay.
+
+    Rows are judged one by one, by a number written with the table: a null or repeated ``doc_id`` ties nothing together.
+    The row of the smallest id stays (null last), of several such rows the one of the smallest text hash.
+    """
+    numbered = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")))
+    found = near_dedup.components(numbered, doc="number", text="row.text", width=5, percent=80)
+    order = F.struct(F.col("row.doc_id").isNull(), "row.doc_id", F.xxhash64("row.text"), "number")
+    named = found.select(F.col("doc").alias("number"), "component_id").join(numbered.select("number", order.alias("order")), "number")
+    stays = named.groupBy("component_id").agg(F.min("order").alias("first")).select("first.number")
+    return numbered.join(stays, "number", "left_semi").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,6 +64,23 @@ def test_stages_take_effect(spark, make_docs, corpus, tmp_path):
     assert sorted((repr(r["doc_id"]), list(r["ids"])) for r in docs.collect()) == expected
 
 
+def test_near_copies_are_judged_row_by_row(spark, make_docs):
+    base = [f"w{i}" for i in range(60)]
+    copy, near = " ".join(base), " ".join([*base[:59], "edit"])
+    rows = [
+        (None, copy, "en", "a"), (None, copy, "en", "a"), (None, near, "en", "a"),  # a group without any id
+        (1, "one text here that comes twice", "en", "a"), (1, "one text here that comes twice", "en", "a"),
+        (2, "the text of two", "en", "b"), (3, "The Text of two", "en", "b"), (3, "a text of its own at the same id", "en", "b"),
+        (4, "same as a row without id", "en", "c"), (None, "same as a row without id", "en", "c"), (None, "nothing like it", "en", "c"),
+        (None, None, "en", "c"), (None, " ", "en", "c"),
+    ]
+    kept = [(r["doc_id"], r["text"]) for r in pipeline.keep_one_of_near_copies(spark, make_docs(rows), "").collect()]
+    group = [k for k in kept if k in ((None, copy), (None, near))]
+    assert len(group) == 1
+    rest = [(1, rows[3][1]), (2, rows[5][1]), (3, rows[7][1]), (4, rows[8][1]), (None, rows[10][1]), (None, None), (None, " ")]
+    assert sorted(map(repr, kept)) == sorted(map(repr, rest + group))
+
+
 def test_pipeline_of_nothing(spark, make_docs):
     docs = make_docs([(1, "a", "en", "s")]).limit(0)
     for _, stage in pipeline.STAGES[:-1]:
