@@ -38,7 +38,8 @@ class Source:
     passes: int = 0  # whole ones
     rest: int = 0  # words of the last pass
     cut: int = -1  # hash at which the last pass is cut
-    cut_words: int = 0  # words that the rows with that hash give together
+    cut_row: tuple[int, int] = (0, 0)  # content and nth of the row at which it is cut, of those with that hash
+    cut_words: int = 0  # words that this row gives
     blocks: int = 1
     quota: int = 0
 
@@ -60,9 +61,33 @@ def targets(sizes: list[int], weights: list[float], share: float, most: float) -
     return found
 
 
-def draw_hash(row: str, which: Column, seed: int) -> Column:
-    """Place of a document in a pass, from its id and source only, so reruns agree."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), which, F.col(row)), 64 - SPAN)
+def draw_hash(which: Column, seed: int) -> Column:
+    """Place of a row in a pass, from what it holds and which of its repeats it is, so reruns agree."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), which, F.col("key"), F.col("content"), F.col("nth")), 64 - SPAN)
+
+
+def numbered(docs: DataFrame, doc: str, size: str, source: str) -> DataFrame:
+    """A stored table (row, key, source, size, content, number, nth) of ``docs``.
+
+    ``content`` hashes all columns but maps and variants, ``number`` is the row's own, and ``nth`` counts rows of the same content from 0.
+    Repeats are counted within the parts that ``number`` was given by, each offset by the parts before, so no task
+    sees more repeats of a row than one part holds.
+    """
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    words = F.coalesce(F.col(size), F.lit(0)).cast("long")
+    rows = stored(docs.select(
+        F.struct("*").alias("row"), F.struct(F.col(doc), F.col(source)).alias("key"), F.col(source).alias("source"), words.alias("size"),
+        F.xxhash64(*hashed).alias("content"), F.monotonically_increasing_id().alias("number"),
+    ))
+    places = rows.select("content", "number", F.shiftright("number", 33).alias("part"))
+    repeated = places.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content")
+    counts = places.groupBy("content", "part").agg(F.count("*").alias("n")).join(repeated, "content")
+    before = F.sum("n").over(Window.partitionBy("content").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = stored(counts.select("content", "part", F.coalesce(before, F.lit(0)).alias("before")))
+    here = F.row_number().over(Window.partitionBy("content", "part").orderBy("number")) - 1
+    later = stored(places.join(offsets, ["content", "part"]).select("number", (F.col("before") + here).alias("nth")).where("nth > 0"))
+    release(offsets)
+    return rows.join(later, "number", "left").withColumn("nth", F.coalesce("nth", F.lit(0)))
 
 
 def block_of(at, blocks):
@@ -113,8 +138,17 @@ def _find_cuts(spark: SparkSession, hashed: DataFrame, sources: list[Source]) ->
         bins = bins.withColumn("before", F.coalesce(before, F.lit(0)))
         hits = bins.where("before < need AND before + words >= need").select("si", "bin", (F.col("need") - F.col("before")).alias("need"))
         open_ = {r["si"]: (r["bin"] << shift, r["need"]) for r in hits.collect()}
-    for i, (cut, need) in open_.items():
-        sources[i].cut, sources[i].cut_words = cut, need
+    if not open_:
+        return
+    # rows may still share a hash by chance
+    cuts = F.broadcast(constant_rows(spark, ["si", "cut", "need"], [(i, cut, need) for i, (cut, need) in open_.items()]))
+    order = Window.partitionBy("si").orderBy("content", "nth")
+    met = hashed.join(cuts, "si").where("last_hash = cut")
+    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    met = met.withColumn("before", F.coalesce(before, F.lit(0))).where("before < need AND before + size >= need")
+    for r in met.select("si", "cut", "content", "nth", (F.col("need") - F.col("before")).alias("words")).collect():
+        found = sources[r["si"]]
+        found.cut, found.cut_row, found.cut_words = r["cut"], (r["content"], r["nth"]), r["words"]
 
 
 def split_tree(quotas: list[int], shards: int, first: int, last: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -166,62 +200,56 @@ def mix(
 
     ``size`` names a column of word counts (see :func:`word_count`). Sources stand by code point,
     null last, and take the weights in turn. One row per document and pass that takes words of it:
-    the columns of ``docs`` in the struct ``row``, ``size``, ``source_size``, ``target``, ``pass``, ``shard``,
+    the columns of ``docs`` in the struct ``row``, ``number`` (one per row of ``docs``), ``size``, ``source_size``, ``target``, ``pass``, ``shard``,
     ``place`` (order within the shard) and ``taken`` (words; below the size only for the document at
     which a source's last pass is cut). A document that is never taken has one row with null
     ``pass``, ``shard`` and ``place`` and 0 ``taken``.
 
-    Documents of null or no size are not taken. A null source is a source. Rows that share id and
-    source stand at the same place of a pass; where the cut falls on them, each gives an equal part
-    of what is wanted. An empty table gives an empty result. One row per source passes the driver;
+    Documents of null or no size are not taken. A null source is a source. Every row has a place of its own
+    in a pass, also where ids are null or repeated; at most one document per source is cut short. An empty table gives an empty result. One row per source passes the driver;
     more than ``max_sources`` raise an error. A mix has at most 10**9 blocks.
     """
     spark = docs.sparkSession
-    words = F.coalesce(F.col(size), F.lit(0)).cast("long")
-    sized = docs.select(F.struct("*").alias("row"), F.struct(F.col(doc), F.col(source)).alias("key"), F.col(source).alias("source"), words.alias("size"))
+    sized = numbered(docs, doc, size, source)
     sources = _sources(sized, weights, share, most, block_words, max_sources)
     if not sources:
         return sized.select(
-            "row", "size", *[F.lit(None).cast(t).alias(c) for c, t in (
+            "row", "number", "size", *[F.lit(None).cast(t).alias(c) for c, t in (
                 ("source_size", "long"), ("target", "double"), ("pass", "long"), ("shard", "long"), ("place", "int"), ("taken", "long"))]
         )
     passes = _facts(spark, ["si", "name", "passes"], [(i, s.name, s.passes) for i, s in enumerate(sources)])
     hashed = stored(
         sized.join(F.broadcast(passes), F.col("source").eqNullSafe(F.col("name"))).where("size > 0")
-        .select("si", "size", draw_hash("key", F.col("passes"), seed).alias("last_hash"))
+        .select("si", "size", "content", "nth", draw_hash(F.col("passes"), seed).alias("last_hash"))
     )
     _find_cuts(spark, hashed, sources)
-    cuts = [(i, s.cut) for i, s in enumerate(sources) if s.rest]
-    ties = {}
-    if cuts:
-        met = hashed.join(F.broadcast(constant_rows(spark, ["si", "cut"], cuts)), "si").where("last_hash = cut")
-        ties = {r["si"]: r["ties"] for r in met.groupBy("si").agg(F.count("*").alias("ties")).collect()}
     release(hashed)
     for s in sources:
         s.quota = s.passes * s.blocks + (block_of(s.cut, s.blocks) + 1 if s.rest else 0)
     shards = max(1, math.ceil(sum(s.quota for s in sources) / shard_blocks))
     facts = _facts(
-        spark, ["si", "name", "source_size", "target", "passes", "cut", "cut_words", "blocks"],
-        [(i, s.name, s.size, s.target, s.passes, s.cut, s.cut_words // ties.get(i, 1), s.blocks) for i, s in enumerate(sources)],
+        spark, ["si", "name", "source_size", "target", "passes", "cut", "cut_content", "cut_nth", "cut_words", "blocks"],
+        [(i, s.name, s.size, s.target, s.passes, s.cut, *s.cut_row, s.cut_words, s.blocks) for i, s in enumerate(sources)],
     )
     here = sized.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("name"))).select(
-        "row", "key", "size", "source_size", "target", "si", "passes", "cut", "cut_words", "blocks",
+        "row", "number", "key", "content", "nth", "size", "source_size", "target", "si", "passes", "cut", "cut_content", "cut_nth", "cut_words", "blocks",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))).alias("pass"),
-    ).withColumn("at", draw_hash("key", F.col("pass"), seed))
+    ).withColumn("at", draw_hash(F.col("pass"), seed))
+    here_at, cut_at = F.struct("at", "content", "nth"), F.struct(F.col("cut").alias("at"), F.col("cut_content").alias("content"), F.col("cut_nth").alias("nth"))
     taken = (
-        F.when((F.col("pass") < F.col("passes")) | (F.col("at") < F.col("cut")), F.col("size"))
-        .when(F.col("at") == F.col("cut"), F.least("size", "cut_words")).otherwise(0)
+        F.when((F.col("pass") < F.col("passes")) | (here_at < cut_at), F.col("size"))
+        .when(here_at == cut_at, F.col("cut_words")).otherwise(0)
     )
     here = here.withColumn("taken", taken)
     drawn = here.where("taken > 0").withColumn("draw", F.col("pass") * F.col("blocks") + block_of(F.col("at"), F.col("blocks")))
     never = here.where("taken = 0 AND pass = 0").select(
-        "row", "size", "source_size", "target", F.lit(None).cast("long").alias("pass"), F.lit(None).cast("long").alias("shard"),
+        "row", "number", "size", "source_size", "target", F.lit(None).cast("long").alias("pass"), F.lit(None).cast("long").alias("shard"),
         F.lit(None).cast("int").alias("place"), "taken",
     )
     placed = drawn.join(_shard_of_block(spark, sources, shards, seed), ["si", "draw"])
-    order = F.xxhash64(F.lit(seed), "shard", "pass", "key")
-    place = F.row_number().over(Window.partitionBy("shard").orderBy(order, "key", "pass"))
-    return placed.select("row", "size", "source_size", "target", "pass", "shard", place.alias("place"), "taken").unionByName(never)
+    order = F.xxhash64(F.lit(seed), "shard", "pass", "key", "content", "nth")
+    place = F.row_number().over(Window.partitionBy("shard").orderBy(order, "content", "nth", "pass"))
+    return placed.select("row", "number", "size", "source_size", "target", "pass", "shard", place.alias("place"), "taken").unionByName(never)
 
 
 def word_count(text: Column) -> Column:

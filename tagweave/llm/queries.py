@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm import language_id, line_dedup, mixing, near_dedup, pieces, quality, token_files, url_filters, vector_search, warc
-from tagweave.llm.common import shared_folder, stored, table, with_package
+from tagweave.llm.common import shared_folder, table, with_package
 
 QUERIES = {}
 SQL = {}
@@ -40,9 +40,8 @@ def query(function):
 def op1_mix(spark: SparkSession, d: str) -> DataFrame:
     """Words that a mix at weights 5, 2, 1 takes of every document."""
     docs = table(spark, d, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    docs = stored(docs.withColumn("number", F.monotonically_increasing_id()))
     mixed = mixing.mix(docs)
-    return mixed.groupBy("row.number", "row.doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken")).drop("number")
+    return mixed.groupBy("number", "row.doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken")).drop("number")
 
 
 @query

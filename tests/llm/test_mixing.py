@@ -41,6 +41,21 @@ def test_mix_meets_its_targets(make_docs, corpus, options):
     assert sorted(map(repr, mixed(docs.repartition(3), **options))) == sorted(map(repr, rows))
 
 
+def test_rows_without_an_id_are_drawn_one_by_one(make_docs):
+    """Null and repeated ids, repeated rows among them: targets are met, one document per source is cut, lumps spread."""
+    rows = [(None, f"t{i} " * (1 + i % 40), "en", "a") for i in range(300)] + [(7, "same text here " * 3, "en", "b")] * 200
+    rows += [(i, "x " * 20, "en", "c") for i in range(300)]
+    docs = make_docs(rows)
+    found = mixed(docs, weights=(2, 1, 3), share=0.4, block_words=100, shard_blocks=4)
+    for source in "abc":
+        mine = [r for r in found if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 1
+        assert sum(0 < r["taken"] < r["size"] for r in mine) <= 1
+        assert len({r["shard"] for r in mine if r["taken"]}) > 3
+    again = mixed(docs.repartition(3), weights=(2, 1, 3), share=0.4, block_words=100, shard_blocks=4)
+    assert sorted(map(repr, again)) == sorted(map(repr, found))
+
+
 def test_shards_are_even_and_shuffled(make_docs, corpus):
     rows = [r for r in mixed(make_docs(corpus), block_words=20, shard_blocks=16) if r["taken"]]
     shards = defaultdict(list)
