@@ -2,11 +2,13 @@
 
 Every vector becomes a row of cells, one byte per component, which bounds its inner
 product with a query from both sides. A scan of the cells keeps what may still be among
-the best; exact vectors are then read from the highest bound down: first the k + 1 best
+the best; exact vectors are then read from the highest bound down: first the k best
 by bound, whose scores tell what further bounds are still open, then only those.
 
 Equal vectors are one class that keeps its k + 1 smallest ids: no result can need more, and
-a vector that many rows share costs one row.
+a vector that many rows share costs one row. A candidate is an id at a vector, as in the query's SQL: an id at
+several vectors may stand in a result several times. A class that holds the query's own id only is
+left out of its bounds, however many vectors that id has.
 """
 
 from __future__ import annotations
@@ -78,7 +80,7 @@ def by_length(vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
 
 
 def approximate(classes: DataFrame, cells: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """The approximation file: rows (h1, h2, cells), a byte per component."""
+    """The approximation file: rows (h1, h2, only, cells), a byte per component; ``only`` is the id of a class that has just one."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,24 +90,26 @@ def approximate(classes: DataFrame, cells: dict[int, tuple[np.ndarray, np.ndarra
                 rows = ((block - low) // width).astype(np.uint8)
                 for place, row in zip(places, rows):
                     packed[place] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([batch["h1"], batch["h2"], pa.array(packed, pa.binary())], ["h1", "h2", "cells"])
+            yield pa.RecordBatch.from_arrays([batch["h1"], batch["h2"], batch["only"], pa.array(packed, pa.binary())], ["h1", "h2", "only", "cells"])
 
-    return classes.select("h1", "h2", "v").mapInArrow(pack, "h1 long, h2 long, cells binary")
+    only = F.when(F.size("ids") == 1, F.element_at("ids", 1))
+    return classes.select("h1", "h2", only.alias("only"), "v").mapInArrow(pack, "h1 long, h2 long, only long, cells binary")
 
 
-def scan(approximations: DataFrame, block: list[tuple[int, list[int]]], cells: dict, keep: int) -> DataFrame:
-    """What a task cannot rule out for a block of queries: rows (query, h1, h2, low, high).
+def scan(approximations: DataFrame, block: list[tuple[int, int, list[int]]], cells: dict, keep: int) -> DataFrame:
+    """What a task cannot rule out for a block of queries (query, id, vector): rows (query, h1, h2, low, high).
 
-    ``low`` and ``high`` bound the score. A task keeps the ``keep`` best lower bounds of every query as it goes.
+    ``low`` and ``high`` bound the score. Classes of a query's own id only are none of its candidates. A task keeps the ``keep`` best lower bounds of every query as it goes.
     """
     sides = {}
-    for size in {len(v) for _, v in block}:
-        names = np.array([q for q, v in block if len(v) == size], np.int64)
-        matrix = np.array([v for _, v in block if len(v) == size], np.float64).reshape(len(names), size)
+    for size in {len(v) for *_, v in block}:
+        names = np.array([q for q, _, v in block if len(v) == size], np.int64)
+        ids = np.array([i for _, i, v in block if len(v) == size], np.int64)
+        matrix = np.array([v for *_, v in block if len(v) == size], np.float64).reshape(len(names), size)
         low, width = cells.get(size, (np.zeros(size, np.int64), np.ones(size, np.int64)))
         reach = matrix * (width - 1)
         slack = 1e-9 * np.abs(matrix) @ (np.abs(low) + width * CELLS).astype(np.float64)
-        sides[size] = names, matrix * width, matrix @ low, np.minimum(reach, 0).sum(1) - slack, np.maximum(reach, 0).sum(1) + slack
+        sides[size] = names, ids, matrix * width, matrix @ low, np.minimum(reach, 0).sum(1) - slack, np.maximum(reach, 0).sum(1) + slack
     shared = approximations.sparkSession.sparkContext.broadcast(sides)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,23 +117,27 @@ def scan(approximations: DataFrame, block: list[tuple[int, list[int]]], cells: d
         open_: dict[int, list] = {size: [] for size in shared.value}
         for batch in batches:
             h1, h2 = batch["h1"].to_numpy(), batch["h2"].to_numpy()
+            single = batch["only"].is_valid().to_numpy(zero_copy_only=False)
+            only = batch["only"].fill_null(0).to_numpy()
             packed = batch["cells"].to_pylist()
             sizes = np.array([len(p) for p in packed])
-            for size, (names, weighted, base, under, over) in shared.value.items():
+            for size, (names, ids, weighted, base, under, over) in shared.value.items():
                 places = np.flatnonzero(sizes == size)
                 step = max(1, SCAN_SCORES // max(1, len(names)))
                 for start in range(0, len(places), step):
                     part = places[start : start + step]
                     rows = np.frombuffer(b"".join([packed[i] for i in part]), np.uint8).reshape(len(part), size)
                     scores = weighted @ rows.T.astype(np.float64) + base[:, None]
+                    for c in np.flatnonzero(single[part] & np.isin(only[part], ids)):
+                        scores[ids == only[part[c]], c] = -np.inf
                     joint = np.concatenate([best[size], scores], axis=1)
                     best[size] = np.partition(joint, joint.shape[1] - keep, axis=1)[:, -keep:]
                     limit = best[size].min(1) + under - over
-                    q, c = np.nonzero(scores >= limit[:, None])
+                    q, c = np.nonzero((scores >= limit[:, None]) & (scores > -np.inf))
                     open_[size].append((q, h1[part[c]], h2[part[c]], scores[q, c]))
                     if sum(len(x[0]) for x in open_[size]) > SCAN_SCORES:
                         open_[size] = _still_open(open_[size], limit)
-        for size, (names, _, _, under, over) in shared.value.items():
+        for size, (names, _, _, _, under, over) in shared.value.items():
             limit = best[size].min(1) + under - over
             for q, a, b, score in _still_open(open_[size], limit):
                 yield pa.RecordBatch.from_pydict({"query": names[q], "h1": a, "h2": b, "low": score + under[q], "high": score + over[q]})
@@ -158,8 +166,8 @@ def top_k(
     ``is_query`` picks the queries by the columns of ``rows``. Ties go to the smaller id. Rows without id or whose vector is
     null or holds null or non-finite components take no part. Vectors of different length are not
     compared; the score of empty vectors is 0. Rows that repeat id and vector count once; a query is not its own result, whatever row
-    has its id. A query id that stands at several vectors is searched for each and keeps its best. Fewer than k rows give what
-    there is; empty tables give an empty result. Scores are exact below 2**63.
+    has its id. An id that stands at several vectors is a candidate with each. A query id that does is searched for each, and its
+    k best pairs of own and other row count. Fewer than k pairs give what there is; empty tables give an empty result. Scores are exact below 2**63.
     """
     spark = rows.sparkSession
     classes = stored(classes_of(integer_vectors(rows, vector_id, vector, scale), k + 1))
@@ -170,19 +178,19 @@ def top_k(
     blocks = -(-queries.count() // block_queries)
     found = []
     for number in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == number).select("query", "v").collect()
-        bounds = scan(approximations, [(r["query"], r["v"]) for r in block], cells, k + 1)
+        block = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == number).select("query", "id", "v").collect()
+        bounds = scan(approximations, [(r["query"], r["id"], r["v"]) for r in block], cells, k)
         found.append(stored(bounds))
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     bounds = reduce(DataFrame.unionByName, found)
     by_low = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("low")))
-    # k + 1 classes, of which one may hold the query's own row only
-    least = bounds.withColumn("at", by_low).where(F.col("at") <= k + 1).groupBy("query").agg(F.min("low").alias("least"), F.count("*").alias("n"))
-    least = least.select("query", F.when(F.col("n") > k, F.col("least")).otherwise(float("-inf")).alias("least"))
+    # each class holds a candidate at least
+    least = bounds.withColumn("at", by_low).where(F.col("at") <= k).groupBy("query").agg(F.min("low").alias("least"), F.count("*").alias("n"))
+    least = least.select("query", F.when(F.col("n") >= k, F.col("least")).otherwise(float("-inf")).alias("least"))
     possible = stored(bounds.join(least, "query").where(F.col("high") >= F.col("least")).select("query", "h1", "h2", "high"))
     by_high = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("high"), "h1", "h2"))
-    first = possible.withColumn("at", by_high).where(F.col("at") <= k + 1).drop("at")
+    first = possible.withColumn("at", by_high).where(F.col("at") <= k).drop("at")
 
     def scored(pairs: DataFrame) -> DataFrame:
         both = pairs.join(classes.withColumnRenamed("v", "candidate"), ["h1", "h2"]).join(queries, "query")
@@ -194,7 +202,7 @@ def top_k(
     kth = read.withColumn("at", F.row_number().over(by_score)).where(F.col("at") == k).select("query", F.col("score").alias("kth"))
     rest = possible.join(kth, "query", "left").where("kth IS NULL OR high >= kth").select("query", "h1", "h2")
     rest = rest.join(read.select("query", "h1", "h2").distinct(), ["query", "h1", "h2"], "left_anti")
-    every = read.unionByName(scored(rest)).groupBy("id", "vec_id").agg(F.max("score").alias("score"))
+    every = read.unionByName(scored(rest))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "vec_id"))
     best = every.withColumn("rank", rank).where(F.col("rank") <= k)
     result = stored(best.select(F.col("id").alias("query_id"), "rank", "vec_id", "score"))

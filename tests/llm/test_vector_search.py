@@ -1,10 +1,11 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagweave.llm import vector_search
+from tagweave.llm import queries, vector_search
 
 
 def plain_top(rows, k):
@@ -46,3 +47,22 @@ def test_few_rows_and_none(spark):
     assert found(spark, rows) == plain_top(rows, 10) and len(found(spark, rows)) == 2
     assert found(spark, [(100, [1.0])]) == [] and found(spark, [(1, [1.0])]) == []
     assert found(spark, rows, k=1) == plain_top(rows, 1)
+
+
+@pytest.mark.parametrize("size", [2, 8])
+def test_ids_at_more_than_k_vectors_match_sql_and_brute_force(spark, tmp_path, size):
+    """A candidate and a query that each stand at more vectors than k, all near the top."""
+    chance = np.random.default_rng(11)
+    rows = [(i, chance.normal(0, 0.2, size).tolist()) for i in range(90, 190)]
+    rows += [(7, (np.array(rows[10][1]) * (3 + i / 50)).tolist()) for i in range(30)]
+    rows += [(200, (np.array(rows[10][1]) * (4 + i / 50)).tolist()) for i in range(30)]
+    expected = []
+    usable = {(i, tuple(math.floor(1024 * float(np.float32(c))) for c in v)) for i, v in rows}
+    for query in (100, 200):
+        pairs = [(-sum(a * b for a, b in zip(q, v)), vec) for i, q in usable if i == query for vec, v in usable if vec != query]
+        expected += [(query, rank, vec, -score) for rank, (score, vec) in enumerate(sorted(pairs)[:10], 1)]
+    assert found(spark, rows) == expected
+    spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<FLOAT>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        assert sorted(db.execute(queries.SQL["op10_top_k"]).fetchall()) == expected
