@@ -5,6 +5,9 @@ earlier ones, so a batch repeated after a failure gives the same result.
 What could not be used goes to the same folder below ``<target>-rejects`` and
 does not count as done: it is taken up when it comes again. A batch reads the
 key column of earlier ones, so fewer, larger batches read less.
+
+Good records that lack their image or are no posts of the query yet wait below ``<target>-waiting``. The start of
+every import run looks at them again and stores what it takes as ``batch=-1``, ``batch=-2`` and so on.
 """
 
 from __future__ import annotations
@@ -32,6 +35,13 @@ def _earlier(spark: SparkSession, target: str, batch: int, key: str) -> DataFram
     return spark.read.parquet(target).where(F.col("batch") < batch).select(key)
 
 
+def _batches(spark: SparkSession, folder: str) -> list[int]:
+    """Ids of the finished batches of a folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder, "batch=*/_SUCCESS")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    return [int(f.getPath().getParent().getName().removeprefix("batch=")) for f in found]
+
+
 def _store(rows: DataFrame, failed: Column, target: str, batch: int) -> None:
     """Good rows, one per stem, below ``target``; the others beside it."""
     rows = rows.persist()
@@ -48,6 +58,51 @@ def unseen(rows: DataFrame, done: DataFrame | None, key: str) -> DataFrame:
     return rows if done is None else rows.join(done.select(key), key, "left_anti")
 
 
+def _judged(rows: DataFrame, seen: DataFrame | None, images: DataFrame | None) -> DataFrame:
+    """Rows with their ``reject`` and, for good ones that cannot be imported yet, ``waits``: what for."""
+    columns, waits = rows.columns, F.lit(None).cast("string")
+    for known, key, reason in ((images, "stem", "no image"), (seen, "post_id", "not a post of the query")):
+        if known is not None:
+            flag = f"has_{key}"
+            rows = rows.join(known.select(key).distinct().withColumn(flag, F.lit(True)), key, "left")
+            waits = F.when(F.col(flag).isNull(), reason).otherwise(waits)
+    rows = rows.select(*columns, F.when(F.col("reject").isNull(), waits).alias("waits"))
+    ready = F.col("reject").isNull() & F.col("waits").isNull()
+    content = F.when(ready, F.struct("tags", "post_id", "source"))
+    several = rows.groupBy("stem").agg((F.min(content) != F.max(content)).alias("several")).where("several")
+    rows = rows.join(several, "stem", "left")
+    reject = F.when(ready & F.col("several"), "repeated stem with different content").otherwise(F.col("reject"))
+    return rows.withColumn("reject", reject).select(*columns, "waits")
+
+
+def _import(rows: DataFrame, target: str, batch: int) -> None:
+    """Store judged rows: good ones, rejects and those that wait."""
+    rows = rows.persist()
+    try:
+        waiting = rows.where("waits IS NOT NULL").distinct()
+        waiting.write.mode("overwrite").parquet(f"{target}-waiting/batch={batch}")
+        _store(rows.where("waits IS NULL").drop("waits"), F.col("reject").isNotNull(), target, batch)
+    finally:
+        rows.unpersist()
+
+
+def _take_up(spark: SparkSession, target: str, targets: DataFrame | None, seen: DataFrame | None, images: DataFrame | None) -> None:
+    """Import what earlier batches left waiting; the rest waits on in one folder."""
+    old = _batches(spark, f"{target}-waiting")
+    if not old:
+        return
+    read = spark.read.parquet(*[f"{target}-waiting/batch={b}" for b in old]).drop("waits").distinct()
+    if read.isEmpty():
+        return
+    known = [*old, *_batches(spark, target), *_batches(spark, f"{target}-rejects"), 0]
+    batch = min(known) - 1
+    fresh = unseen(unseen(read, targets, "stem"), _earlier(spark, target, max(known) + 1, "stem"), "stem")
+    _import(_judged(fresh, seen, images), target, batch)
+    for b in old:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{target}-waiting/batch={b}")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def import_stream(
     spark: SparkSession,
     records: str,
@@ -64,8 +119,11 @@ def import_stream(
 
     ``seen(post_id)`` restricts the import to the posts of one query,
     ``images(stem)`` to records whose image is there, and ``targets(stem)``
-    lists the records that the pool holds already.
+    lists the records that the pool holds already. Records outside ``seen`` or
+    ``images`` wait for a later run. Unreadable records and those that share a
+    stem in a batch but differ are rejected.
     """
+    _take_up(spark, target, targets, seen, images)
     reader = spark.readStream.format("text").schema("value STRING").option("wholetext", "true")
     reader = reader.option("recursiveFileLookup", "true")
     if max_files is not None:
@@ -79,12 +137,8 @@ def import_stream(
             variants.parse_object(F.col("value")).alias("raw"),
         )
         read = imports.import_metadata(parsed, site)
-        if seen is not None:
-            read = read.join(seen.select("post_id"), "post_id", "left_semi")
-        if images is not None:
-            read = read.join(images.select("stem"), "stem", "left_semi")
         fresh = unseen(unseen(read, targets, "stem"), _earlier(session, target, batch_id, "stem"), "stem")
-        _store(fresh, F.col("reject").isNotNull(), target, batch_id)
+        _import(_judged(fresh, seen, images), target, batch_id)
 
     return (
         lines.writeStream.foreachBatch(store)

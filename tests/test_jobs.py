@@ -470,6 +470,33 @@ def test_import_stream_checks_images_targets_and_rejects(spark, tmp_path):
     assert run() == ["1", "3"]
 
 
+def test_import_stream_loses_no_record(spark, tmp_path):
+    source, target, checkpoint = tmp_path / "json", str(tmp_path / "pool"), str(tmp_path / "cp")
+
+    def run(stems, posts):
+        images = spark.createDataFrame([(s,) for s in stems], "stem STRING")
+        seen = spark.createDataFrame([(p,) for p in posts], "post_id LONG")
+        incremental.import_stream(spark, str(source), target, checkpoint, site="board", seen=seen, images=images).awaitTermination()
+        return sorted(r["stem"] for r in spark.read.parquet(target).collect())
+
+    def left(kind):
+        rows = spark.read.parquet(f"{target}-{kind}").collect()
+        return sorted((r["stem"], r["waits" if kind == "waiting" else "reject"]) for r in rows)
+
+    for n in (1, 2, 3):
+        write_json(source / f"{n}.json", post(n))
+    write_json(source / "4.json", "[1]")
+    write_json(source / "5.json", post(5))
+    write_json(source / "twice" / "5.json", post(1))  # another record of the same stem
+    assert run(["1", "3", "5"], [1, 2, 5]) == ["1"]
+    assert left("waiting") == [("2", "no image"), ("3", "not a post of the query")]
+    assert [s for s, _ in left("rejects")] == ["4", "5", "5"]
+    # No new file comes, the image does.
+    assert run(["1", "2", "3"], [1, 2]) == ["1", "2"] and left("waiting") == [("3", "not a post of the query")]
+    assert run(["1", "2", "3"], [1, 2, 3]) == ["1", "2", "3"] and left("waiting") == []
+    assert run(["1", "2", "3"], [1, 2, 3]) == ["1", "2", "3"] and len(left("rejects")) == 3
+
+
 def test_caption_stream_retries_failures(spark, tmp_path):
     source, target, checkpoint = tmp_path / "requests", str(tmp_path / "done"), str(tmp_path / "cp")
     ask = lambda stem: json.dumps({"stem": stem, "image_path": f"{stem}.png", "context_tags": []})
