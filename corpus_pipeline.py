@@ -46,7 +46,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     The row of the smallest id stays (null last), of several such rows the one of the smallest text hash.
     """
     numbered = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")))
-    found = near_dedup.components(numbered, doc="number", text="row.text", width=5, percent=80)
+    found = near_dedup.components(numbered, doc="number", text="row.text", number="number", width=5, percent=80)
     order = F.struct(F.col("row.doc_id").isNull(), "row.doc_id", F.xxhash64("row.text"), "number")
     named = found.select(F.col("doc").alias("number"), "component_id").join(numbered.select("number", order.alias("order")), "number")
     stays = named.groupBy("component_id").agg(F.min("order").alias("first")).select("first.number")

@@ -91,8 +91,8 @@ def bands(bins: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sketched(docs: DataFrame, doc: str, text: str, width: int) -> DataFrame:
-    """Rows (doc, n_shingles, h1, h2, bands); h1 and h2 name the sequence of words, bands are null without words."""
+def sketched(texts: DataFrame, width: int) -> DataFrame:
+    """Rows (doc, number, n_shingles, h1, h2, bands) of (doc, number, text); h1 and h2 name the sequence of words, bands are null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,30 +106,21 @@ def sketched(docs: DataFrame, doc: str, text: str, width: int) -> DataFrame:
                 low.append((name & (1 << 64) - 1) - (1 << 63))
                 keys.append(bands(sketch(items)) if len(items) else None)
             yield pa.RecordBatch.from_arrays([
-                batch["doc"], pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
-            ], ["doc", "n_shingles", "h1", "h2", "bands"])
+                batch["doc"], batch["number"], pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+            ], ["doc", "number", "n_shingles", "h1", "h2", "bands"])
 
-    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return texts.mapInArrow(run, "doc long, number long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, doc: str, text: str, width: int) -> DataFrame:
-    """Rows (cls, items): the full set of each class, read from the text of its smallest document."""
+def sets_of(texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """Rows (cls, items): the full set of each class of (cls, number), read from the text of the row with that number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = []
-            for content, high, low in zip(batch["text"], batch["h1"].to_pylist(), batch["h2"].to_pylist()):
-                words = words_of(content.as_py())
-                name = xxhash.xxh3_128_intdigest(b" ".join(words))
-                # another row of the same id may hold other words
-                same = (name >> 64) - (1 << 63) == high and (name & (1 << 64) - 1) - (1 << 63) == low
-                items.append(shingles(words, width).tobytes() if same else None)
+            items = [shingles(words_of(content.as_py()), width).tobytes() for content in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["cls"], pa.array(items, pa.binary())], ["cls", "items"])
 
-    texts = docs.select(F.col(doc).cast("long").alias("rep"), F.col(text).alias("text"))
-    found = texts.join(classes, texts["rep"].eqNullSafe(classes["rep"])).select("cls", "h1", "h2", "text")
-    return found.mapInArrow(run, "cls long, items binary").where("items IS NOT NULL").dropDuplicates(["cls"])
+    return texts.join(classes, "number").select("cls", "text").mapInArrow(run, "cls long, items binary")
 
 
 def _items(sets: DataFrame) -> DataFrame:
@@ -217,7 +208,7 @@ def _state(links: DataFrame) -> tuple[int, int | None]:
 
 
 def components(
-    docs: DataFrame, *, doc: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80
+    docs: DataFrame, *, doc: str = "doc_id", text: str = "text", number: str | None = None, width: int = 5, percent: int = 80
 ) -> DataFrame:
     """Near-duplicate groups: (doc, n_shingles, component_id, kept), one row per row of ``docs``.
 
@@ -227,20 +218,24 @@ def components(
 
     Rows of equal text share a component; rows that repeat an id are kept or not together. A null id counts as larger than every
     number: its component has the smallest number in it, or null if there is none, and it is never kept unless alone.
-    An empty table gives an empty result.
+    ``number`` names a column of ``docs`` that numbers its rows and is stored with them; without it the texts are stored with such a
+    number. An empty table gives an empty result.
     """
-    rows = stored(sketched(docs, doc, text, width))
+    texts = docs.select(F.col(doc).cast("long").alias("doc"), (F.col(number) if number else F.monotonically_increasing_id()).alias("number"), F.col(text).alias("text"))
+    if not number:
+        texts = stored(texts)
+    rows = stored(sketched(texts, width))
     filled = rows.where("n_shingles > 0")
-    classes = filled.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.min("n_shingles").alias("items"))
+    classes = filled.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.min("number").alias("number"), F.min("n_shingles").alias("items"))
     classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()))
-    same = F.col("doc").eqNullSafe(F.col("rep"))
-    firsts = filled.join(classes, ["h1", "h2"]).where(same).select("cls", "items", F.explode("bands").alias("bucket"))
+    firsts = filled.join(classes, ["h1", "h2", "number"]).select("cls", "items", F.explode("bands").alias("bucket"))
     crowded = firsts.groupBy("bucket").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("size"))
     crowded = crowded.where("least <> most").select("bucket", "size")
-    # a class may come twice, from rows that repeat its smallest id
-    members = stored(firsts.join(crowded, "bucket").distinct())
+    members = stored(firsts.join(crowded, "bucket"))
     wanted = members.select("cls").distinct()
-    sets = stored(sets_of(docs, classes.drop("items").join(wanted, "cls"), doc, text, width))
+    sets = stored(sets_of(texts, classes.select("cls", "number").join(wanted, "cls"), width))
+    if not number:
+        release(texts)
     # a text that others were made from meets them in more and larger buckets than they meet each other
     known = members.groupBy("cls").agg(F.sum("size").alias("company"), F.first("items").alias("items")).join(own_items(sets), "cls", "left")
     known = known.withColumn("own", F.coalesce("own", F.lit(0))).where((F.col("items") - F.col("own")) * 100 >= F.col("items") * percent)

@@ -71,6 +71,23 @@ def test_a_crowd_that_shares_buckets_without_links(make_docs):
     assert found(make_docs(rows), width=4) == sorted(map(repr, plain_components(rows, 4, 80)))
 
 
+def test_each_class_reads_one_text(make_docs, monkeypatch):
+    """Many near copies under a null id: their full sets are made of as many texts, not of all pairs."""
+    rows = [(None, " ".join([*(f"w{i}" for i in range(60)), f"end{n}"]), "en", "a") for n in range(30)]
+    docs, read = make_docs(rows), []
+    frame = type(docs)
+    run = frame.mapInArrow
+
+    def spy(self, function, schema, *args, **options):
+        if schema == "cls long, items binary":
+            read.append(self.count())
+        return run(self, function, schema, *args, **options)
+
+    monkeypatch.setattr(frame, "mapInArrow", spy)
+    assert found(docs) == sorted(map(repr, plain_components(rows, 5, 80)))
+    assert read == [30]
+
+
 def test_sketch_fills_and_estimates():
     for size in (1, 2, 7, 100, 5000):
         items = near_dedup.mixed(np.arange(1, size + 1, dtype=np.uint64))
