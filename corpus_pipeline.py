@@ -27,9 +27,13 @@ def with_text(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with a main language; null texts, texts without letters and even mixtures go.
 
-    The model is learned from all labelled documents of the stage's input.
+    The model is learned from all labelled documents of the stage's input. If that gives no language, as where ``lang``
+    is null throughout, every document with a letter stays.
     """
-    found = language_id.identify(docs, language_id.fit(docs))
+    model = language_id.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language_id.identify(docs, model)
     kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
     return kept.select("row.*")
 

@@ -64,6 +64,11 @@ def test_stages_take_effect(spark, make_docs, corpus, tmp_path):
     assert sorted((repr(r["doc_id"]), list(r["ids"])) for r in docs.collect()) == expected
 
 
+def test_documents_without_any_label_stay(spark, make_docs):
+    docs = make_docs([(1, "a clean text", None, "a"), (2, "Ελλάδα", None, "a"), (3, "12 !?", None, "a"), (4, None, None, "a"), (5, "", None, "a")])
+    assert sorted(r["doc_id"] for r in pipeline.keep_known_languages(spark, docs, "").collect()) == [1, 2]
+
+
 def test_near_copies_are_judged_row_by_row(spark, make_docs):
     base = [f"w{i}" for i in range(60)]
     copy, near = " ".join(base), " ".join([*base[:59], "edit"])
