@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import language_id, line_dedup, mixing, near_dedup, pieces, quality, token_files, url_filters, vector_search, warc
+from tagweave.llm import collocations, infilling, language_id, line_dedup, mixing, near_dedup, pieces, quality, token_files, url_filters, vector_search, warc
 from tagweave.llm.common import shared_folder, table, with_package
 
 QUERIES = {}
@@ -186,3 +186,85 @@ def op2_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Near-duplicate components of all documents on four-word shingles."""
     found = near_dedup.components(table(spark, d, "documents"), width=4, percent=80)
     return found.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+@query
+def op11_infilling(spark: SparkSession, d: str) -> DataFrame:
+    """Every document rearranged for fill-in-middle, and put together again."""
+    turned = infilling.fill_in_middle(table(spark, d, "documents").select("doc_id", "text"))
+    back = infilling.restored(turned)
+    return back.select(
+        "row.row.doc_id", "row.n", "row.form", "row.prefix_chars", "row.middle_chars",
+        F.sha2("row.output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+SQL["op11_infilling"] = r"""
+WITH hashed AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+),
+numbered AS (
+  SELECT doc_id, text, n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM hashed
+),
+cut AS (
+  SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbered
+),
+parts AS (
+  SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts"""
+
+
+@query
+def op13_collocations(spark: SparkSession, d: str) -> DataFrame:
+    """The 2000 strongest collocations of every language."""
+    return collocations.collocations(table(spark, d, "documents").select("text", "lang"))
+
+
+SQL["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split(translate(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.,;:!?' || chr(11) || chr(12) || chr(13) || chr(9),
+    repeat(chr(10), 9) || ' '), chr(10))) AS piece FROM documents
+),
+split AS (
+  SELECT lang, list_filter(string_split(piece, ' '), lambda x: x <> '') AS words FROM pieces
+),
+places AS (
+  SELECT lang, words, unnest(generate_series(1, len(words))) AS i FROM split WHERE len(words) > 0
+),
+counts AS (
+  SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM places, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(words) GROUP BY ALL
+),
+totals AS (SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS words, f AS a FROM counts WHERE k > 1 AND f >= 100),
+cuts AS (
+  SELECT lang, phrase, words, a, unnest(generate_series(1, k - 1)) AS cut, k FROM candidates
+),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, cut, x.f AS l, y.f AS r, t.n,
+    (1000 * CAST(c.a AS HUGEINT) * CAST(t.n AS HUGEINT)) // (CAST(x.f AS HUGEINT) * CAST(y.f AS HUGEINT)) AS score
+  FROM cuts c JOIN totals t USING (lang)
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1 : cut], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[cut + 1 : c.k], ' ')
+),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (
+  SELECT b.* FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM candidates c WHERE c.lang = b.lang AND c.phrase <> b.phrase AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')
+      AND 100 * c.a >= 100 * b.a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r,
+  CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000"""
