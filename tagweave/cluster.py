@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,16 +46,9 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
 
 
 def constant_rows(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
-    """Fixed lookup table as an in-plan relation."""
-
-    def literal(value: object) -> str:
-        if value is None:
-            return "NULL"
-        if isinstance(value, str):
-            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-        if isinstance(value, float):
-            return f"{value!r}D"
-        return str(value)
-
-    values = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")
+    """Fixed lookup table as an in-plan relation; whole numbers come out as longs.
+
+    The values travel as Arrow data, never as SQL text, so no value is read as anything but itself.
+    """
+    values = list(zip(*rows)) or [()] * len(columns)
+    return spark.createDataFrame(pa.table([pa.array(column) for column in values], names=columns))

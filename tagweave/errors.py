@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+#: So many offending rows are named in a message, which the driver has to hold.
+NAMED = 100_000
+
+
 class CurationError(Exception):
     """A request that cannot be carried out."""
 
@@ -12,8 +16,8 @@ class CurationError(Exception):
 class GateError(CurationError):
     """A whole-table check failed.
 
-    ``rows`` holds every offending row as a DataFrame, however many there are;
-    the message quotes only the first few.
+    ``rows`` holds every offending row as a DataFrame. The message names all of them up to
+    ``NAMED``; what more there are it counts, and ``rows`` lists.
     """
 
     def __init__(self, message: str, rows: DataFrame):
@@ -23,7 +27,9 @@ class GateError(CurationError):
 
 def gate(rows: DataFrame, message: str, label: str) -> None:
     """Raise :class:`GateError` unless ``rows`` is empty."""
-    first = [str(row[label]) for row in rows.select(label).take(10)]
-    if first:
-        more = ", ..." if len(first) == 10 else ""
-        raise GateError(f"{message}: {', '.join(first)}{more}", rows)
+    named = [str(row[label]) for row in rows.select(label).orderBy(label).take(NAMED)]
+    if len(named) == NAMED:
+        more = rows.count() - NAMED
+        named += [f"and {more} more"] * (more > 0)
+    if named:
+        raise GateError(f"{message}: {', '.join(named)}", rows)

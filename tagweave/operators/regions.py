@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagweave.cluster import cut_lineage
+from tagweave.cluster import broadcast_if_small, cut_lineage
 from tagweave.functions import overlay
 
 BOX = ("x1", "y1", "x2", "y2")
@@ -81,197 +82,185 @@ def similar_counts(regions: DataFrame) -> DataFrame:
 
 # --- near repeats -----------------------------------------------------------
 
-
-def _first_come(keys: list[str], order: list[str]):
-    """Function over sorted batches that keeps the boxes no earlier kept box of their group covers.
-
-    It refers to nothing of this package, so executors need not have it.
+#: Two boxes that overlap by more than NEAR_IOU have sides that differ by less than this factor, ...
+_SIDE_RATIO = 1 / overlay.NEAR_IOU
+#: ... and corners less than this share of either one's side apart. Both are widened a little against rounding.
+_REACH = (1 / overlay.NEAR_IOU - 1) * 1.01
+#: Boxes that a group may hold and still be one tile.
+TILE_ROWS = 20_000
+#: Widest and narrowest tiles, in sides of the smallest boxes of their size; the narrowest are still wider than a reach.
+_WIDEST, _NARROWEST = 12.0, 0.8
+#: Boxes of one tile have sides within this factor of each other.
+_TILE_SIDES = 3.3
+_TILE = ("tile_w", "tile_h", "tile_x", "tile_y")
+
+
+def _tiles_along(low: Column, side: Column, width: Column) -> Column:
+    """Tiles (size, place, own) that a box may have near boxes in along one axis; ``width`` in sides, null for one tile."""
+    side = F.greatest(side, F.lit(1)).cast("double")
+    level = F.ln(side) / math.log(_TILE_SIDES)
+    step = math.log(_SIDE_RATIO) * 1.01 / math.log(_TILE_SIDES)
+    own_size = F.floor(level).cast("int")
+
+    def place(at: Column, size: Column) -> Column:
+        return F.floor(at / (width * F.pow(F.lit(_TILE_SIDES), size))).cast("long")
+
+    sizes = F.array_distinct(F.array(own_size, F.floor(level - step).cast("int"), F.floor(level + step).cast("int")))
+    reach = side * _REACH
+    places = F.flatten(F.transform(sizes, lambda size: F.transform(
+        F.array_distinct(F.array(place(low, size), place(low - reach, size), place(low + reach, size))),
+        lambda at: F.struct(size.alias("size"), at.alias("place"), ((size == own_size) & (at == place(low, size))).alias("own")),
+    )))
+    one = F.array(F.struct(F.lit(0).alias("size"), F.lit(0).cast("long").alias("place"), F.lit(True).alias("own")))
+    return F.when(width.isNull(), one).otherwise(places)
+
+
+def _tiles() -> Column:
+    """Every tile that a box belongs to or borders on, with ``own``: whether it is its own."""
+    x = _tiles_along(F.col("x1"), F.col("x2") - F.col("x1") + 1, F.col("width"))
+    y = _tiles_along(F.col("y1"), F.col("y2") - F.col("y1") + 1, F.col("width"))
+    return F.flatten(F.transform(x, lambda a: F.transform(y, lambda b: F.struct(
+        a["size"].alias("tile_w"), b["size"].alias("tile_h"), a["place"].alias("tile_x"), b["place"].alias("tile_y"), (a["own"] & b["own"]).alias("own"),
+    ))))
+
+
+def _settle(keys: list[str], columns: list[str]):
+    """Function over batches sorted by tile and order: what first-come selection can tell of each tile's own boxes.
+
+    A box is kept if no earlier near box is kept or open, dropped if one is kept, else open. Border boxes of
+    other tiles are open unless they are known as kept. It refers to nothing of this package, so executors need not have it.
     """
-    names, bar = list(BOX), overlay.NEAR_IOU
+    names, bar, share = list(BOX), overlay.NEAR_IOU, _REACH
 
-    def chosen(boxes: np.ndarray) -> np.ndarray:
+    def told(boxes: np.ndarray, own: np.ndarray, known: np.ndarray, by_x: np.ndarray) -> np.ndarray:
+        """0 dropped, 1 kept, 2 open of the boxes of one tile, which stand in order; ``by_x`` sorts them by their left side."""
+        lefts = boxes[by_x, 0]
         areas = (boxes[:, 2:] - boxes[:, :2] + 1).prod(axis=1)
-        open_rows, kept = np.arange(len(boxes)), []
-        while open_rows.size:
-            first, open_rows = open_rows[0], open_rows[1:]
-            kept.append(first)
-            rest = boxes[open_rows]
-            low = np.maximum(rest[:, :2], boxes[first, :2])
-            high = np.minimum(rest[:, 2:], boxes[first, 2:])
-            inter = np.clip(high - low + 1, 0, None).prod(axis=1)
-            union = areas[open_rows] + areas[first] - inter
-            open_rows = open_rows[inter / np.maximum(union, 1) <= bar]
-        return np.array(kept, np.int64)
+        reach = (boxes[:, 2] - boxes[:, 0] + 1) * share
+        low, high = np.searchsorted(lefts, boxes[:, 0] - reach), np.searchsorted(lefts, boxes[:, 0] + reach, "right")
+        found = np.ones(len(boxes), np.int8)
+        shaded = np.zeros(len(boxes), bool)
+        for i in range(len(boxes)):
+            if not found[i]:
+                continue
+            if not known[i] and (not own[i] or shaded[i]):
+                found[i] = 2
+            near = by_x[low[i] : high[i]]
+            near = near[near > i]
+            if not near.size:
+                continue
+            corner = np.minimum(boxes[near, 2:], boxes[i, 2:]) - np.maximum(boxes[near, :2], boxes[i, :2]) + 1
+            inter = np.clip(corner, 0, None).prod(axis=1)
+            near = near[inter / np.maximum(areas[near] + areas[i] - inter, 1) > bar]
+            if found[i] == 1:
+                found[near] = 0
+            else:
+                shaded[near] = True
+        return found
 
     def settled(table: pa.Table) -> pa.RecordBatch:
-        """The kept rows of a table that holds whole groups, one after the other."""
+        """Own boxes that are not dropped, with ``kept``, out of a table of whole tiles."""
         boxes = np.column_stack([table[name].to_numpy().astype(np.float64) for name in names])
+        own, known = (table[name].to_numpy().astype(bool) for name in ("own", "kept"))
         change = np.zeros(len(boxes), bool)
         for name in keys:
             codes = table[name].combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
             change[1:] |= codes[1:] != codes[:-1]
-        starts = np.concatenate([[0], np.flatnonzero(change), [len(boxes)]])
-        kept = [low + chosen(boxes[low:high]) for low, high in zip(starts, starts[1:]) if high > low]
-        rows = table.take(pa.array(np.concatenate(kept))).combine_chunks()
-        return rows.to_batches()[0]
+        tile = np.cumsum(change)
+        by_x = np.lexsort((boxes[:, 0], tile))
+        # a box whose neighbours to the left and right of it are out of reach is near none
+        apart = np.full(len(boxes) + 1, np.inf)
+        same = tile[by_x[1:]] == tile[by_x[:-1]]
+        apart[1:-1][same] = np.diff(boxes[by_x, 0])[same]
+        reach = ((boxes[:, 2] - boxes[:, 0] + 1) * share)[by_x]
+        close = np.zeros(len(boxes), bool)
+        close[by_x] = (apart[:-1] <= reach) | (apart[1:] <= reach)
+        found = np.ones(len(boxes), np.int8)
+        rows = np.flatnonzero(close)
+        starts = np.flatnonzero(np.diff(tile[rows], prepend=-1))
+        for low, high in zip(starts, [*starts[1:], len(rows)]):
+            part = rows[low:high]
+            found[part] = told(boxes[part], own[part], known[part], np.argsort(boxes[part, 0], kind="stable"))
+        take = np.flatnonzero(own & (found > 0))
+        chosen = table.select(columns).take(pa.array(take)).append_column("kept", pa.array(found[take] == 1)).combine_chunks()
+        return chosen.to_batches()[0] if take.size else pa.RecordBatch.from_pylist([], schema=chosen.schema)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if held:
-                last = [held[-1][name][held[-1].num_rows - 1] for name in keys]
-                same = 0
-                while same < batch.num_rows and [batch[name][same] for name in keys] == last:
-                    same += 1
-                held.append(batch.slice(0, same))
-                batch = batch.slice(same)
-                if not batch.num_rows:
-                    continue
-                yield settled(pa.Table.from_batches(held))
-                held = []
-            # the batch's last group may go on in the next one
+            # the last tile of a batch may go on in the next one
             end = [batch[name][batch.num_rows - 1] for name in keys]
             cut = batch.num_rows
             while cut and [batch[name][cut - 1] for name in keys] == end:
                 cut -= 1
+            first = [batch[name][0] for name in keys]
+            if held and first != [held[-1][name][held[-1].num_rows - 1] for name in keys]:
+                yield settled(pa.Table.from_batches(held))
+                held = []
             if cut:
-                yield settled(pa.Table.from_batches([batch.slice(0, cut)]))
-            held = [batch.slice(cut)]
+                yield settled(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
         if held:
             yield settled(pa.Table.from_batches(held))
 
     return keep
 
 
-# Sides and offsets of two boxes that overlap by more than NEAR_IOU differ by
-# less than these factors, so such boxes share a cell or sit in touching ones.
-_SIDE_BASE = 1.17
-_CELL_SHARE = 0.17
-
-
-def _side_class(side: Column) -> Column:
-    return F.floor(F.ln(side.cast("double")) / math.log(_SIDE_BASE)).cast("int")
-
-
-def _cell(start: Column, side_class: Column) -> Column:
-    width = F.pow(F.lit(_SIDE_BASE), side_class + 1) * _CELL_SHARE
-    return F.floor(start / width).cast("long")
-
-
-def _own_cell() -> Column:
-    w = _side_class(F.col("x2") - F.col("x1") + 1)
-    h = _side_class(F.col("y2") - F.col("y1") + 1)
-    return F.struct(
-        w.alias("cw"), h.alias("ch"), _cell(F.col("x1"), w).alias("cx"), _cell(F.col("y1"), h).alias("cy")
-    )
-
-
-def _touching_cells() -> Column:
-    """The 81 cells that can hold a box overlapping this one enough."""
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-
-    def axis(size: str, first: str, last: str, start: str) -> Column:
-        own = _side_class(F.col(last) - F.col(first) + 1)
-        return F.flatten(
-            F.transform(
-                steps,
-                lambda d: F.transform(
-                    steps,
-                    lambda s: F.struct(
-                        (own + d).alias(size), (_cell(F.col(first), own + d) + s).alias(start)
-                    ),
-                ),
-            )
-        )
-
-    across = axis("cw", "x1", "x2", "cx")
-    down = axis("ch", "y1", "y2", "cy")
-    return F.flatten(
-        F.transform(
-            across,
-            lambda a: F.transform(
-                down, lambda d: F.struct(a["cw"].alias("cw"), d["ch"].alias("ch"), a["cx"].alias("cx"), d["cy"].alias("cy"))
-            ),
-        )
-    )
-
-
-def _too_close() -> Column:
-    a = {name: F.col(name) for name in BOX}
-    b = {name: F.col(f"near_{name}") for name in BOX}
-    return overlay.box_iou(a, b) > overlay.NEAR_IOU
-
-
-def _spread_out(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """First-come selection inside groups too large for one task.
-
-    Boxes are spread over cells of like size and place. Each round tests the
-    earliest open box of every cell against open boxes in touching cells; an
-    untouched one is kept and removes the boxes it covers. A round compares
-    each box with at most one box per touching cell, never all pairs, and the
-    rounds end when no box is open.
-    """
-    at = [*keys, "cell"]
-    near = [F.col(name).alias(f"near_{name}") for name in ("pos", *BOX)]
-    open_boxes = cut_lineage(boxes.withColumn("cell", _own_cell()))
-    kept_rounds: list[DataFrame] = []
-    while open_boxes.take(1):
-        leaders = (
-            open_boxes.groupBy(*at)
-            .agg(F.min(F.struct("pos", *BOX)).alias("lead"))
-            .select(*keys, "lead.*")
-        )
-        reach = leaders.withColumn("cell", F.explode(_touching_cells())).select(*at, *near)
-        blocked = (
-            open_boxes.join(reach, at)
-            .where((F.col("pos") < F.col("near_pos")) & _too_close())
-            .select(*keys, F.col("near_pos").alias("pos"))
-            .distinct()
-        )
-        kept = cut_lineage(leaders.join(blocked, [*keys, "pos"], "left_anti"))
-        kept_rounds.append(kept)
-        covering = kept.withColumn("cell", F.explode(_touching_cells())).select(*at, *near)
-        covered = (
-            open_boxes.join(covering, at).where(_too_close()).select(*keys, "pos").distinct()
-        )
-        open_boxes = cut_lineage(open_boxes.join(covered, [*keys, "pos"], "left_anti"))
-    selected = kept_rounds[0] if kept_rounds else open_boxes
-    for part in kept_rounds[1:]:
-        selected = selected.unionByName(part)
-    return selected.select(*keys, "pos", *BOX)
-
-
 def drop_near_repeats(
     boxes: DataFrame,
     keys: tuple[str, ...] = ("image_id", "frame"),
     order: tuple[str, ...] = ("pos",),
-    small_group: int = 2000,
+    tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
-    """Boxes ``(keys, order, x1, y1, x2, y2)`` overlapping no earlier kept box.
+    """Boxes ``(keys, order, x1, y1, x2, y2)`` overlapping no earlier kept box of their group.
 
-    Equal boxes collapse to their earliest first, before any shuffle of
-    groups. Small groups are settled in sorted batches, many per call; larger ones are spread.
+    Equal boxes collapse to their earliest first. A group is dealt out in tiles of boxes of like size and place; one of
+    up to ``tile_rows`` boxes is one tile, and the tiles of larger ones get narrower with the root of their size. A task settles
+    whole tiles, with the boxes of other tiles that border on them. What hangs on an open border box stays open, and the
+    next round looks at the tiles of open boxes again, with what is known by then. So rounds follow the tiles that a
+    chain of near boxes runs through, and most inputs take one.
     """
     names = list(keys)
     columns = [*names, *order, *BOX]
-    distinct = boxes.groupBy(*names, *BOX).agg(F.min(F.struct(*order)).alias("pos"))
-
-    def large_groups(rows: DataFrame) -> DataFrame:
-        sizes = rows.groupBy(*names).agg(F.count("*").alias("n"))
-        return sizes.where(F.col("n") > small_group).select(*names)
-
-    def settle(groups: DataFrame) -> DataFrame:
-        flat = groups.select(*names, "pos.*", *BOX)
-        dealt = flat.repartition(*names).sortWithinPartitions(*names, *order)
-        return dealt.mapInArrow(_first_come(names, list(order)), flat.schema)
-
-    # Counting all boxes is cheap and mostly settles the matter.
-    if not large_groups(boxes).take(1):
-        return settle(distinct)
-    large = large_groups(distinct)
-    spread = _spread_out(distinct.join(large, names, "left_semi").select(*names, "pos", *BOX), names)
-    return settle(distinct.join(large, names, "left_anti")).unionByName(
-        spread.select(*names, "pos.*", *BOX).select(*columns)
-    )
+    sizes = boxes.groupBy(*names).agg(F.count("*").alias("n")).where(F.col("n") > tile_rows)
+    large = cut_lineage(sizes)
+    tiled = bool(large.take(1))
+    distinct = boxes.groupBy(*names, *BOX).agg(F.min(F.struct(*order)).alias("pos")).select(*names, "pos.*", *BOX)
+    width = F.lit(None).cast("double")
+    if tiled:
+        narrow = F.lit(_WIDEST) * F.sqrt(F.lit(float(tile_rows)) / F.col("n"))
+        widths = large.select(*[F.col(c).alias(f"large_{c}") for c in names], F.greatest(narrow, F.lit(_NARROWEST)).alias("width"))
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"large_{c}")) for c in names])
+        distinct = distinct.join(broadcast_if_small(widths), same, "left").select(*columns, "width")
+        width = F.col("width")
+    open_boxes = distinct.select(*columns, width.alias("width"), F.lit(False).alias("kept"))
+    if not tiled:
+        return _round(open_boxes, names, order, columns).drop("kept", "width")
+    kept_rounds: list[DataFrame] = []
+    while True:
+        found = cut_lineage(_round(open_boxes, names, order, columns, kept_rounds))
+        kept_rounds.append(found.where("kept"))
+        open_boxes = found.where("NOT kept")
+        if not open_boxes.take(1):
+            return reduce(DataFrame.unionByName, kept_rounds).select(*columns)
+
+
+def _round(open_boxes: DataFrame, names: list[str], order: tuple[str, ...], columns: list[str], kept: list[DataFrame] = ()) -> DataFrame:
+    """Open boxes after their tiles were settled once, without those dropped; ``kept`` are those of earlier rounds."""
+    at = [*names, *_TILE]
+    placed = open_boxes.select("*", F.inline(_tiles()))
+    if kept:
+        known = reduce(DataFrame.unionByName, kept).select("*", F.inline(_tiles()))
+        tiles = placed.where("own").select(*[F.col(c).alias(f"open_{c}") for c in at]).distinct()
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"open_{c}")) for c in at])
+        # a known box is a border box everywhere: it was put out in its own round
+        known = known.join(tiles, same, "left_semi").withColumn("own", F.lit(False))
+        placed = placed.unionByName(known)
+    dealt = placed.repartition(*at).sortWithinPartitions(*at, *order, *BOX)
+    out = [*columns, "width"]
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in out) + ", kept boolean"
+    return dealt.mapInArrow(_settle(at, out), schema)

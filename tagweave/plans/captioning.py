@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from tagweave.operators import pairing
 from tagweave.sources import sinks
 
 
-# Longest walk whose end is found by a top-k.
-SHORT_WALK = 10_000
+# Bytes that a round of the radix selection counts by.
+STEP = 2
 
 
 def metadata_problem(exists: Column, meta: Column) -> Column:
@@ -56,8 +58,8 @@ def select_work(
 
     ``candidates`` holds ``(stem, image_path, tagged)``. Tagged images are
     reported as skipped. The walk stops after ``limit`` images were chosen, so
-    the cut is the stem of the last chosen one; finding it is a bounded top-k,
-    not a running count over the whole pool.
+    the cut is the stem of the last chosen one; counting by prefixes finds it
+    without a sort or a running count over the pool.
     """
     images = candidates.where(F.col("image_path").isNotNull()).withColumn(
         "skipped", F.lit(False) if all_images else F.col("tagged")
@@ -73,37 +75,28 @@ def select_work(
 
 
 def _walk_end(chosen: DataFrame, limit: int) -> str | None:
-    """Stem of the ``limit``-th chosen image, or None when there are fewer."""
-    if limit > SHORT_WALK:
-        return _long_walk_end(chosen, limit)
-    end = chosen.orderBy("stem").limit(limit).agg(F.max("stem"), F.count("*")).first()
-    return end[0] if end[1] == limit else None
-
-
-def _long_walk_end(chosen: DataFrame, limit: int) -> str | None:
-    """As :func:`_walk_end`, without sorting all stems up to the end.
+    """Stem of the ``limit``-th chosen image, or None when there are fewer.
 
-    Ranges of stems are counted first, one row per range; the range that holds
-    the end is split again until it is as short as a short walk.
+    Radix selection by the bytes of the stems: each round counts the stems of the open range by their next ``STEP``
+    bytes, at most 256**STEP + 256 + 1 groups, and goes on with the group that holds the end. What its smallest and largest
+    stem share is passed over, so every round fixes one byte at least and no stem is ever sorted.
     """
-    left, inside = limit, chosen
+    stems = chosen.where(F.col("stem").isNotNull()).select("stem")
+    left, inside, fixed = limit, stems, 0
     while True:
-        ranges = (
-            inside.repartitionByRange("stem")
-            .groupBy(F.spark_partition_id().alias("part"))
-            .agg(F.min("stem").alias("low"), F.max("stem").alias("high"), F.count("*").alias("n"))
-        )
-        for part in sorted(ranges.collect(), key=lambda r: r["low"]):
-            if left <= part["n"]:
+        step = F.substring(F.col("stem").cast("binary"), fixed + 1, STEP)
+        groups = inside.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("stem").alias("low"), F.max("stem").alias("high"))
+        for group in sorted(groups.collect(), key=lambda row: bytes(row["step"])):
+            if left <= group["n"]:
                 break
-            left -= part["n"]
+            left -= group["n"]
         else:
             return None
-        if part["low"] == part["high"]:
-            return part["low"]
-        inside = chosen.where(F.col("stem").between(part["low"], part["high"]))
-        if part["n"] <= max(SHORT_WALK, 1000):
-            return inside.orderBy("stem").limit(left).agg(F.max("stem")).first()[0]
+        low, high = group["low"], group["high"]
+        if low == high:
+            return low
+        fixed = len(os.path.commonprefix([low.encode(), high.encode()]))
+        inside = stems.where(F.col("stem").between(low, high))
 
 
 def requests(work: DataFrame) -> DataFrame:

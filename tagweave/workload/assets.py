@@ -497,3 +497,27 @@ walk AS (
   FROM pool_images i LEFT JOIN labels l ON CAST(l.doc_id AS VARCHAR) = i.stem
 )
 SELECT stem, skipped FROM walk WHERE coalesce(before, 0) < 25"""
+
+
+def _line_images(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as images; returned ones are tagged already."""
+    keys = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    return table(spark, d, "lineitem").select(
+        F.concat_ws("-", *keys).alias("stem"), F.lit("x").alias("image_path"), (F.col("l_returnflag") == "R").alias("tagged")
+    )
+
+
+@query
+def long_walk(spark: SparkSession, d: str) -> DataFrame:
+    """The first 20,000 untagged order lines in stem order, and the tagged ones passed by."""
+    return captioning.select_work(_line_images(spark, d), limit=20_000).select("stem", "skipped")
+
+
+SQL["long_walk"] = """WITH images AS (
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS stem, l_returnflag = 'R' AS skipped FROM lineitem
+),
+walk AS (
+  SELECT stem, skipped, sum(CASE WHEN skipped THEN 0 ELSE 1 END) OVER (ORDER BY stem ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM images
+)
+SELECT stem, skipped FROM walk WHERE coalesce(before, 0) < 20000"""

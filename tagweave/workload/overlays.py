@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.cluster import spread
@@ -430,6 +430,14 @@ FROM clipped"""
 @query
 def near_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Boxes per supplier picture and frame that no earlier kept box covers."""
+    return regions.drop_near_repeats(_line_boxes(spark, d, F.col("l_suppkey")), order=_LINE_ORDER)
+
+
+_LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey")
+
+
+def _line_boxes(spark: SparkSession, d: str, image: Column) -> DataFrame:
+    """Order lines as boxes in pictures."""
 
     def whole(name: str, factor: float):
         return F.floor(F.col(name) * factor).cast("int")
@@ -437,8 +445,8 @@ def near_boxes(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select(
         "l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax", "l_discount", "l_linestatus"
     )
-    boxes = spread(lines).select(
-        F.col("l_suppkey").alias("image_id"),
+    return spread(lines).select(
+        image.alias("image_id"),
         F.col("l_returnflag").alias("frame"),
         "l_orderkey", "l_linenumber", "l_partkey",
         (whole("l_quantity", 2)).alias("x1"),
@@ -446,13 +454,12 @@ def near_boxes(spark: SparkSession, d: str) -> DataFrame:
         (whole("l_quantity", 2) + 40 + whole("l_discount", 100)).alias("x2"),
         (whole("l_tax", 200) + 30 + F.when(F.col("l_linestatus") == "F", 3).otherwise(0)).alias("y2"),
     )
-    order = ("l_orderkey", "l_linenumber", "l_partkey")
-    return regions.drop_near_repeats(boxes, order=order)
 
 
-SQL["near_boxes"] = """
+def _sql_near_boxes(image: str) -> str:
+    return f"""
 WITH RECURSIVE lined AS (
-  SELECT l_suppkey AS image_id, l_returnflag AS frame, l_orderkey, l_linenumber, l_partkey,
+  SELECT {image} AS image_id, l_returnflag AS frame, l_orderkey, l_linenumber, l_partkey,
     CAST(floor(l_quantity * 2) AS INTEGER) AS x1, CAST(floor(l_tax * 200) AS INTEGER) AS y1,
     CAST(floor(l_quantity * 2) + 40 + floor(l_discount * 100) AS INTEGER) AS x2,
     CAST(floor(l_tax * 200) + 30 + CASE l_linestatus WHEN 'F' THEN 3 ELSE 0 END AS INTEGER) AS y2
@@ -466,13 +473,13 @@ numbered AS (
   SELECT *, row_number() OVER (PARTITION BY image_id, frame ORDER BY l_orderkey, l_linenumber, l_partkey) AS rn FROM firsts
 ),
 walk AS (
-  SELECT image_id, frame, 1 AS rn, [{'rn': rn, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}] AS kept FROM numbered WHERE rn = 1
+  SELECT image_id, frame, 1 AS rn, [{{'rn': rn, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept FROM numbered WHERE rn = 1
   UNION ALL
   SELECT w.image_id, w.frame, w.rn + 1, CASE WHEN len(list_filter(w.kept, lambda k:
       greatest(0, least(k.x2, n.x2) - greatest(k.x1, n.x1) + 1) * greatest(0, least(k.y2, n.y2) - greatest(k.y1, n.y1) + 1)
       > 0.86e0 * ((k.x2 - k.x1 + 1) * (k.y2 - k.y1 + 1) + (n.x2 - n.x1 + 1) * (n.y2 - n.y1 + 1)
         - greatest(0, least(k.x2, n.x2) - greatest(k.x1, n.x1) + 1) * greatest(0, least(k.y2, n.y2) - greatest(k.y1, n.y1) + 1)))) > 0
-    THEN w.kept ELSE list_append(w.kept, {'rn': n.rn, 'x1': n.x1, 'y1': n.y1, 'x2': n.x2, 'y2': n.y2}) END
+    THEN w.kept ELSE list_append(w.kept, {{'rn': n.rn, 'x1': n.x1, 'y1': n.y1, 'x2': n.x2, 'y2': n.y2}}) END
   FROM walk w JOIN numbered n ON n.image_id = w.image_id AND n.frame = w.frame AND n.rn = w.rn + 1
 ),
 kept AS (
@@ -481,3 +488,16 @@ kept AS (
 )
 SELECT n.image_id, n.frame, l_orderkey, l_linenumber, l_partkey, x1, y1, x2, y2
 FROM numbered n JOIN kept k ON k.image_id = n.image_id AND k.frame = n.frame AND k.rn = n.rn"""
+
+
+SQL["near_boxes"] = _sql_near_boxes("l_suppkey")
+
+
+@query
+def near_boxes_in_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """The same in eight crowded pictures, each cut into tiles of about a thousand boxes."""
+    boxes = _line_boxes(spark, d, F.col("l_suppkey") % 8)
+    return regions.drop_near_repeats(boxes, order=_LINE_ORDER, tile_rows=1000)
+
+
+SQL["near_boxes_in_tiles"] = _sql_near_boxes("l_suppkey % 8")

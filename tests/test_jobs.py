@@ -5,6 +5,8 @@ import struct
 import zlib
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tagweave import plugins
@@ -339,20 +341,33 @@ def caption_candidates(spark):
         ({"all_images": True, "limit": 2}, [("a", False), ("b", False)]),
     ],
 )
-@pytest.mark.parametrize("short", [10_000, 0])
-def test_select_work(spark, monkeypatch, short, options, expected):
-    monkeypatch.setattr(captioning, "SHORT_WALK", short)
+def test_select_work(spark, options, expected):
     rows = captioning.select_work(caption_candidates(spark), **options)
     assert sorted((r["stem"], r["skipped"]) for r in rows.collect()) == expected
 
 
-def test_long_walk_over_many_ranges(spark):
-    rows = spark.range(500).select(F.format_string("%05d", "id").alias("stem"), F.lit("x").alias("image_path"), (F.col("id") % 3 == 0).alias("tagged"))
-    chosen = rows.where("not tagged").select("stem")
-    untagged = [f"{i:05d}" for i in range(500) if i % 3]
-    for limit in (1, 100, 250, len(untagged)):
-        assert captioning._long_walk_end(chosen, limit) == untagged[limit - 1]
-    assert captioning._long_walk_end(chosen, len(untagged) + 1) is None
+def rounds_of(spark, chosen, limit):
+    """The end of a walk and how many jobs with results at the driver it took."""
+    spark.sparkContext.setJobGroup(f"walk-{limit}", "walk")
+    found = captioning._walk_end(chosen, limit)
+    return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"walk-{limit}"))
+
+
+@pytest.mark.parametrize("count, limit", [(40_000, 20_000), (40_000, 40_000), (400_000, 203_942), (400_000, 1)])
+def test_long_walks_end(spark, count, limit):
+    chosen = spark.range(count).select(F.format_string("image_%06d", "id").alias("stem"))
+    found, jobs = rounds_of(spark, chosen, limit)
+    assert found == f"image_{limit - 1:06d}" and jobs <= 2 * len(found)
+    assert captioning._walk_end(chosen, count + 1) is None
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.text("ab\x00é漢🎈", max_size=5), min_size=1, max_size=30), st.data())
+def test_walk_ends_at_its_rank_by_bytes(spark, stems, data):
+    limit = data.draw(st.integers(1, len(stems) + 1))
+    chosen = spark.createDataFrame([(s,) for s in stems] + [(None,)], "stem STRING")
+    ordered = sorted(stems, key=str.encode)
+    assert captioning._walk_end(chosen, limit) == (ordered[limit - 1] if limit <= len(stems) else None)
 
 
 def test_write_back(spark):
