@@ -10,18 +10,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits per member, and the least and most bits of a bitmap (8 MB).
-BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26
+#: Bits per member, and the least and most bits of a bitmap (16 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 27
+#: Parts of a hash, by their lowest bit, that say which bits are set.
+SHIFTS = (0, 16, 32, 37)
 
 
 def bitmap(hashes: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
-    """The bitmap of the long column ``hash``: two bits per hash, in 64-bit words."""
+    """The bitmap of the long column ``hash``: a bit per hash and shift, in 64-bit words."""
     members = hashes.count()
     bits = LEAST_BITS
     while bits < min(members * BITS_EACH, most_bits):
         bits *= 2
-    spots = F.array(F.col("hash").bitwiseAND(bits - 1), F.shiftrightunsigned("hash", 32).bitwiseAND(bits - 1))
-    spots = hashes.select(F.explode(spots).alias("spot"))
+    spots = [F.shiftrightunsigned("hash", shift).bitwiseAND(bits - 1) for shift in SHIFTS]
+    spots = hashes.select(F.explode(F.array(*spots)).alias("spot"))
     words = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, CAST(spot & 63 AS INT))")).alias("bits")
     ).toArrow()
@@ -34,6 +36,7 @@ def may_hold(found: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether each of the unsigned 64-bit hashes may be in the set; never false for a member."""
     mask = np.uint64(len(found) * 64 - 1)
     held = np.ones(len(hashes), bool)
-    for spot in (hashes & mask, (hashes >> np.uint64(32)) & mask):
+    for shift in SHIFTS:
+        spot = (hashes >> np.uint64(shift)) & mask
         held &= ((found[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1)).astype(bool)
     return held

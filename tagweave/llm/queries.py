@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import collocations, infilling, language_id, line_dedup, mixing, near_dedup, pieces, quality, token_files, url_filters, vector_search, warc
+from tagweave.llm import collocations, contamination, infilling, language_id, line_dedup, mixing, near_dedup, pieces, quality, token_files, url_filters, vector_search, warc
 from tagweave.llm.common import shared_folder, table, with_package
 
 QUERIES = {}
@@ -268,3 +268,47 @@ kept AS (
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r,
   CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
 FROM kept QUALIFY rank <= 2000"""
+
+
+@query
+def op12_contamination(spark: SparkSession, d: str) -> DataFrame:
+    """How much of every document lies in ten-word windows of benchmark items."""
+    found = contamination.contamination(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+    return found.select(
+        "row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+SQL["op12_contamination"] = r"""
+WITH doc_words AS (
+  SELECT row_number() OVER () AS number, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+),
+item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+),
+item_places AS (
+  SELECT item_id, words, least(10, len(words)) AS size, unnest(generate_series(1, len(words) - least(10, len(words)) + 1)) AS i
+  FROM item_words WHERE len(words) > 0
+),
+windows AS (SELECT DISTINCT item_id, size, array_to_string(words[i : i + size - 1], ' ') AS win FROM item_places),
+doc_places AS (
+  SELECT number, words, size, unnest(generate_series(1, len(words) - size + 1)) AS i
+  FROM doc_words, (SELECT DISTINCT size FROM windows) WHERE len(words) >= size
+),
+found AS (
+  SELECT p.number, p.i, p.size, w.item_id
+  FROM (SELECT number, i, size, array_to_string(words[i : i + size - 1], ' ') AS win FROM doc_places) p JOIN windows w USING (size, win)
+),
+hits AS (
+  SELECT number, count(DISTINCT at) AS n_hit FROM (SELECT number, unnest(generate_series(i, i + size - 1)) AS at FROM found) GROUP BY number
+),
+named AS (
+  SELECT number, count(*) AS n_items, string_agg(item, ',' ORDER BY encode(item)) AS items
+  FROM (SELECT DISTINCT number, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY number
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hits USING (number) LEFT JOIN named USING (number)"""
