@@ -303,7 +303,7 @@ found AS (
   FROM (SELECT number, i, size, array_to_string(words[i : i + size - 1], ' ') AS win FROM doc_places) p JOIN windows w USING (size, win)
 ),
 hits AS (
-  SELECT number, count(DISTINCT at) AS n_hit FROM (SELECT number, unnest(generate_series(i, i + size - 1)) AS at FROM found) GROUP BY number
+  SELECT number, count(DISTINCT place) AS n_hit FROM (SELECT number, unnest(generate_series(i, i + size - 1)) AS place FROM found) GROUP BY number
 ),
 named AS (
   SELECT number, count(*) AS n_items, string_agg(item, ',' ORDER BY encode(item)) AS items
