@@ -4,7 +4,8 @@ A reference is what all documents of a language look like together: the shares o
 character classes, and the shares of the language's most common words with all
 others as one. A document is compared with every reference by Jensen-Shannon
 distance (base 2, so 0 to 1) and judged by the nearest one. Texts too short to
-show a distribution are not judged by it.
+show a distribution are not judged by it. A reference stands only with enough documents and words
+besides the judged one, whose own counts are taken out of it, so no document vouches for itself.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SENTENCE = ".,;:!?'\"()-–—‘’“”«»¿¡…"
 SYMBOLS = "#*$%&|<>"
 MARKUP = SYMBOLS + "=+_/\\^~`@{}[]"
 PARTIAL_WORDS = 300_000
+#: A reference needs so many documents and words besides the judged document.
+LEAST_DOCS, LEAST_WORDS = 20, 1000
 MAX_LANGUAGES = 1000
 
 
@@ -107,22 +110,27 @@ def distance(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class Reference:
-    def __init__(self, classes: np.ndarray, words: list[bytes], shares: np.ndarray):
-        self.classes, self.words, self.shares = classes, {w: i for i, w in enumerate(words)}, shares
+    """Counts of a language: character classes, its common words, all words and documents."""
 
-    def distances(self, classes: np.ndarray, words: Counter, total: int) -> tuple[float, float]:
-        """By character classes and by common words."""
-        found = np.zeros(len(self.words) + 1)
-        for word, place in self.words.items():
-            found[place] = words.get(word, 0)
-        found[-1] = total - found[:-1].sum()
-        return distance(classes, self.classes), distance(found, self.shares) if total else 0.0
+    def __init__(self, lang: str, classes: np.ndarray, words: dict[bytes, int], total: int, docs: int):
+        self.lang, self.classes, self.total, self.docs = lang, classes, total, docs
+        self.words, self.counts = list(words), np.array(list(words.values()), float)
+
+    def distances(self, classes: np.ndarray, words: Counter, total: int, own: bool) -> tuple[float, float] | None:
+        """By character classes and by common words; ``own``: the document is one of the reference's. None if too little is left."""
+        docs, all_words = self.docs - own, self.total - own * total
+        if docs < LEAST_DOCS or all_words < LEAST_WORDS:
+            return None
+        found = np.array([words.get(word, 0) for word in self.words], float)
+        theirs = self.counts - own * found
+        rest = lambda counts, all_: np.append(counts, all_ - counts.sum())
+        return distance(classes, self.classes - own * classes), distance(rest(found, total), rest(theirs, all_words))
 
 
 def references(docs: DataFrame, text: str, language: str, common: int) -> list[Reference]:
-    """One reference per language (null: one more), from all documents.
+    """One reference per language (null: one more) of more than ``LEAST_DOCS`` documents and ``LEAST_WORDS`` words, from all documents.
 
-    Tasks count classes and words before they are shuffled; what reaches the driver is ``common`` words per language.
+    Tasks count classes and words before they are shuffled; what reaches the driver is ``common`` words per such language.
     """
     rows = docs.where(F.col(text).isNotNull()).select(F.coalesce(F.col(language), F.lit("")).alias("lang"), F.col(text).alias("text"))
 
@@ -141,8 +149,8 @@ def references(docs: DataFrame, text: str, language: str, common: int) -> list[R
         for batch in batches:
             for lang, content in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
                 found = plain_words(content)
-                # the last place counts all words
-                classes[lang] = classes.get(lang, 0) + np.append(class_counts(content), len(found))
+                # the last places count all words and the documents
+                classes[lang] = classes.get(lang, 0) + np.append(class_counts(content), [len(found), 1])
                 for word, n in Counter(found).items():
                     words[lang, word] += n
                 if len(words) > PARTIAL_WORDS:
@@ -156,22 +164,24 @@ def references(docs: DataFrame, text: str, language: str, common: int) -> list[R
 
     sums = rows.mapInArrow(count, "lang string, word binary, class int, n long").groupBy("lang", "class", "word").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang", F.col("class").isNull()).orderBy(F.desc("n"), "word")
-    most = max(common, CLASSES + 1)
+    most = max(common, CLASSES + 2)
     best = sums.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most)
+    whole = Window.partitionBy("lang")
+    best = best.withColumn("words", F.max(F.when(F.col("class") == CLASSES, F.col("n"))).over(whole))
+    best = best.withColumn("docs", F.max(F.when(F.col("class") == CLASSES + 1, F.col("n"))).over(whole))
+    best = best.where((F.col("docs") >= LEAST_DOCS) & (F.col("words") >= LEAST_WORDS))
     top = best.limit(2 * most * MAX_LANGUAGES + 1).collect()
     if len(top) > 2 * most * MAX_LANGUAGES:
         raise CurationError(f"more than {MAX_LANGUAGES} languages")
     found = []
     for lang in sorted({r["lang"] for r in top}):
         mine = [r for r in top if r["lang"] == lang]
-        counts = np.zeros(CLASSES + 1)
+        counts = np.zeros(CLASSES)
         for r in mine:
-            if r["class"] is not None:
+            if r["class"] is not None and r["class"] < CLASSES:
                 counts[r["class"]] = r["n"]
         words = sorted((r for r in mine if r["word"] is not None and r["at"] <= common), key=lambda r: r["at"])
-        shares = np.array([r["n"] for r in words] + [counts[-1] - sum(r["n"] for r in words)], float)
-        if counts[:-1].sum() and shares.sum():
-            found.append(Reference(counts[:-1], [bytes(r["word"]) for r in words], shares))
+        found.append(Reference(lang, counts, {bytes(r["word"]): r["n"] for r in words}, mine[0]["words"], mine[0]["docs"]))
     return found
 
 
@@ -190,24 +200,29 @@ def rate(
     their nearest reference than a limit allows, by character classes or by common words; shorter ones stay.
 
     Null and empty texts have no words and fail. The language column only groups the references; a
-    null language is a group of its own. Without any text there are no references and all distances are null. Repeated
-    rows are rated each. An empty table gives an empty result.
+    null language is a group of its own. Of its own group's reference a document's counts are taken out first, and references of
+    fewer than ``LEAST_DOCS`` documents or ``LEAST_WORDS`` words are passed over, so a document under a rare label is judged by
+    the other languages. Without any reference all distances are null and the base rules alone decide. References at the same
+    distance judge alike. Repeated rows are rated each, one beside the other in their reference. A text of any length is counted
+    whole. An empty table gives an empty result.
     """
     refs = references(docs, text, language, common)
     shared = docs.sparkSession.sparkContext.broadcast(refs)
     rows, kind = row_beside_text(docs, text, with_text)
+    rows = rows.select("row", "text", F.coalesce(F.col(f"row.`{language}`"), F.lit("")).alias("label"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for content in batch["text"]:
+            for lang, content in zip(batch["label"].to_pylist(), batch["text"]):
                 content = content.as_py() or ""
                 facts = base_counts(content)
                 near: tuple[float | None, float | None] = (None, None)
                 if facts[0] and shared.value:
                     classes, words = class_counts(content), plain_words(content)
                     counted = Counter(words)
-                    near = min((r.distances(classes, counted, len(words)) for r in shared.value), key=sum)
+                    found = (r.distances(classes, counted, len(words), r.lang == lang) for r in shared.value)
+                    near = min((f for f in found if f is not None), key=sum, default=near)
                 out.append((*facts, *near))
             columns = [pa.array([r[i] for r in out], pa.int64() if i < 5 else pa.float64()) for i in range(7)]
             yield pa.RecordBatch.from_arrays([batch["row"], *columns], ["row", *[f.split()[0] for f in FACTS.split(", ")]])

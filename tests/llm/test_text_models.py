@@ -69,6 +69,66 @@ def test_distance():
     assert quality.distance(np.array([1.0, 0]), np.array([0, 3.0])) == 1 and quality.distance(np.array([1.0, 2]), np.array([2.0, 4])) == 0
 
 
+def plain_distances(rows, common=50):
+    """Distances of every text to its nearest reference, each reference counted anew without the text."""
+
+    def classes(text):
+        found = [0] * 7
+        for c in text:
+            kind = 0 if c.isalpha() and c.islower() else 1 if c.isalpha() else 2 if c.isspace() else 3 if c.isdigit() else None
+            found[kind if kind is not None else 4 if c in quality.SENTENCE else 5 if c in quality.MARKUP else 6] += 1
+        return found
+
+    def divergence(a, b):
+        total = 0.0
+        for x, y in zip(a, b):
+            x, y = x / sum(a), y / sum(b)
+            total += sum(z * np.log2(2 * z / (x + y)) for z in (x, y) if z) / 2
+        return np.sqrt(max(0.0, total))
+
+    words = [Counter(quality.plain_words(text or "")) for _, text, *_ in rows]
+    kinds = [np.array(classes(text or "")) for _, text, *_ in rows]
+    labels = {lang or "" for _, _, lang, _ in rows}
+    every = {lang: sum((w for w, r in zip(words, rows) if (r[2] or "") == lang), Counter()) for lang in labels}
+    listed = {lang: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:common]] for lang, c in every.items()}
+    out = {}
+    for i, (doc, text, lang, _) in enumerate(rows):
+        near = []
+        for label in labels:
+            others = [j for j, r in enumerate(rows) if (r[2] or "") == label and r[1] is not None and j != i]
+            left = sum((words[j] for j in others), Counter())
+            if len(others) < quality.LEAST_DOCS or sum(left.values()) < quality.LEAST_WORDS or not words[i]:
+                continue
+            share = lambda c, names: [c[w] for w in names] + [sum(c.values()) - sum(c[w] for w in names)]
+            near.append((divergence(kinds[i], sum(kinds[j] for j in others)), divergence(share(words[i], listed[label]), share(left, listed[label]))))
+        out[doc] = min(near, key=sum, default=(None, None))
+    return out
+
+
+def test_distances_match_recounting(make_docs, chance):
+    rows = [(i, " ".join(chance.choices(TEXTS.get(lang, "x y z").split() + [f"{lang}{i}", "12%", "A."], k=chance.randint(30, 70))), lang, "s")
+            for i, lang in enumerate(["en"] * 40 + ["de"] * 30 + ["fr"] * 21 + ["xx"] * 3)]
+    rows += [(200, "the cat " * 400, "en", "s"), (201, None, "en", "s"), (202, "", None, "s"), (203, "Ω" * 90, None, "s")]
+    found = {r["doc_id"]: r for r in quality.rate(make_docs(rows)).select("row.doc_id", "class_distance", "word_distance", "n_words", "base_failed", "kept").collect()}
+    for doc, (by_class, by_word) in plain_distances(rows).items():
+        r = found[doc]
+        if by_class is None:
+            assert r["class_distance"] is None and r["word_distance"] is None
+            continue
+        assert (r["class_distance"], r["word_distance"]) == pytest.approx((by_class, by_word), abs=1e-9)
+        assert r["kept"] == (not r["base_failed"] and not (r["n_words"] >= 50 and (by_class > 0.26 or by_word > 0.46)))
+
+
+def test_no_document_vouches_for_itself(make_docs, chance):
+    clean = [(i, " ".join(chance.choices(TEXTS["en"].split(), k=90)), "en", "s") for i in range(60)]
+    junk = " ".join("".join(chance.choices("ABCDEFGHIJ#$%", k=9)) for _ in range(300))
+    for label in ("own", "en", None):
+        rated = {r["doc_id"]: r["kept"] for r in quality.rate(make_docs([*clean, (500, junk, label, "s")])).select("row.doc_id", "kept").collect()}
+        assert not rated[500] and all(rated[i] for i in range(60))
+    few = quality.rate(make_docs([(1, junk, "en", "s")])).first()
+    assert few["kept"] and few["class_distance"] is None
+
+
 def test_verdicts(make_docs, samples, chance):
     clean = [(i, " ".join(chance.choices(TEXTS["en"].split(), k=90)), "en", "s") for i in range(60)]
     noisy = (500, " ".join(w + "###$$$" for w in chance.choices(TEXTS["en"].split(), k=90)), "en", "s")
