@@ -8,17 +8,20 @@ number. For keys of the universe this is exact.
 
 Filters are arrays of 64-bit words. They enter the query as scalar subqueries,
 so that judging a URL needs no join. Their bits are counted before they are
-built; beyond ``max_bits`` the keys are joined with the list instead.
+built. A cascade holds at most ``max_bits``; keys of a larger one are cut by their hash into
+parts with a cascade each, and a URL asks the cascade of its part.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.errors import CurationError
 from tagweave.llm.common import ascii_lower, release, stored
 
 
@@ -145,6 +148,35 @@ def build_cascade(universe: DataFrame, max_bits: int = 1 << 28, rate: float = 0.
     return Cascade(levels)
 
 
+#: The least that a cascade may be allowed, enough for the levels of a few keys.
+LEAST_BITS = 1 << 12
+
+
+def part_of(key: Column, parts: int) -> Column:
+    """Which part a key falls into; the hash is none that a level uses."""
+    return F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts)) if parts > 1 else F.lit(0)
+
+
+def build_cascades(universe: DataFrame, max_bits: int = 1 << 28, rate: float = 0.125) -> list[Cascade]:
+    """Cascades over the parts of ``universe``, each within ``max_bits``; as many parts as that takes, by doubling."""
+    if max_bits < LEAST_BITS:
+        raise CurationError(f"a cascade needs {LEAST_BITS} bits")
+    parts = 1
+    while True:
+        found = []
+        for part in range(parts):
+            keys = universe if parts == 1 else universe.where(part_of(F.col("key"), parts) == part)
+            cascade = build_cascade(keys, max_bits, rate)
+            if cascade is None:
+                break
+            found.append(cascade)
+        else:
+            return found
+        for cascade in found:
+            release(*[level.words for level in cascade.levels])
+        parts *= 2
+
+
 def judge_urls(
     pages: DataFrame, rules: list[Rule], *, url: str = "url", max_bits: int = 1 << 28
 ) -> DataFrame:
@@ -155,20 +187,20 @@ def judge_urls(
     ``pages`` in the struct ``row`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
     A null URL or one without ``://`` has an empty host and path, which no rule
-    fits; the empty host is a key like any other. Repeated rows are judged alike.
-    An empty table gives an empty result.
+    fits; the empty host is a key like any other. Repeated rows are judged alike, URLs of any length whole.
+    An empty table gives an empty result. The pages are read once for each part of the cascade (32 MB by default).
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
     parsed = pages.select(F.struct("*").alias("row"), host.alias("host"), path.alias("path"))
     ruled = parsed.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     blocked = F.coalesce(F.col("fit.verdict") == "block", F.lit(False))
     universe = stored(ruled.groupBy(F.col("host").alias("key")).agg(F.max(blocked).alias("listed")))
-    cascade = build_cascade(universe, max_bits)
-    if cascade is not None:
-        listed = cascade.lists(F.col("host"))
-    else:
-        names = universe.where("listed").select(F.col("key").alias("host"), F.lit(True).alias("on_list"))
-        ruled = ruled.join(names, "host", "left")
-        listed = F.coalesce(F.col("on_list"), F.lit(False))
-    verdict = F.coalesce(F.col("fit.verdict"), F.when(listed, "block").otherwise("allow"))
-    return ruled.select("row", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
+    cascades = build_cascades(universe, max_bits)
+    release(universe)
+
+    def judged(part: int, cascade: Cascade) -> DataFrame:
+        mine = ruled if len(cascades) == 1 else ruled.where(part_of(F.col("host"), len(cascades)) == part)
+        verdict = F.coalesce(F.col("fit.verdict"), F.when(cascade.lists(F.col("host")), "block").otherwise("allow"))
+        return mine.select("row", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
+
+    return reduce(DataFrame.unionByName, [judged(part, cascade) for part, cascade in enumerate(cascades)])

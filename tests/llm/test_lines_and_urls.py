@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tagweave.errors import CurationError
 from tagweave.llm import line_dedup, url_filters
 from tagweave.llm.queries import URL_RULES
 
@@ -77,7 +78,7 @@ def plain_verdicts(urls):
     return [(h, p, r and r.text, r.verdict if r else "block" if h in listed else "allow") for h, p, r in parsed]
 
 
-@pytest.mark.parametrize("max_bits", [1 << 28, 0])
+@pytest.mark.parametrize("max_bits", [1 << 28, 1 << 12])
 def test_urls_match_brute_force(spark, max_bits):
     pages = spark.createDataFrame([(i, u, "x", "y", "z") for i, u in enumerate(URLS)], "page_id LONG, url STRING, host STRING, rule STRING, row STRING")
     judged = url_filters.judge_urls(pages, URL_RULES, max_bits=max_bits)
@@ -93,3 +94,17 @@ def test_cascade_is_exact_on_its_universe(spark):
     wrong = universe.where(cascade.lists(F.col("key")) != F.col("listed"))
     assert wrong.count() == 0
     assert url_filters.build_cascade(universe, max_bits=100) is None
+
+
+def test_parts_of_a_cascade_are_exact_and_bounded(spark):
+    hosts = spark.range(3000).select(F.concat(F.lit("http://h"), F.col("id") % 900, F.when(F.col("id") % 5 == 0, ".com/de/").otherwise(".com/x")).alias("url"))
+    universe = hosts.select(url_filters.host_of(F.col("url")).alias("key")).distinct().withColumn("listed", F.xxhash64("key") % 3 == 0)
+    cascades = url_filters.build_cascades(universe, max_bits=1 << 12)
+    assert len(cascades) > 1 and all(sum(level.bits for level in c.levels) <= 1 << 12 for c in cascades)
+    for part, cascade in enumerate(cascades):
+        mine = universe.where(url_filters.part_of(F.col("key"), len(cascades)) == part)
+        assert mine.count() and mine.where(cascade.lists(F.col("key")) != F.col("listed")).count() == 0
+    few, many = (sorted(map(tuple, url_filters.judge_urls(hosts, URL_RULES, max_bits=b).select("row.url", "verdict").collect())) for b in (1 << 28, 1 << 12))
+    assert few == many and len(few) == 3000
+    with pytest.raises(CurationError):
+        url_filters.build_cascades(universe, max_bits=100)
