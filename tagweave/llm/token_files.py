@@ -10,6 +10,7 @@ wants, reads and checks those and leaves the rest.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -128,12 +129,31 @@ class FrameReader:
         return b"".join(parts)
 
 
+#: The steps before the merges, as a tokenizer file states them, that the short way below restates. Fixed values.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"},
+]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
 #: Words of printable ASCII and Latin-1 letters take the short way; the pattern is the tokenizer's own for such words.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 TABLE_WORDS = 400_000
 
 
+def cuts_words(path: str) -> bool:
+    """Whether a tokenizer file states just the steps that the short way restates, so that words can be encoded one by one."""
+    with open(path, encoding="utf-8") as file:
+        stated = json.load(file)
+    plain = all(stated.get(name) is None for name in ("truncation", "padding", "post_processor"))
+    special = all(token["content"].startswith("<|") and not token["normalized"] for token in stated.get("added_tokens") or [])
+    model = stated["model"]
+    whole = model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("ignore_merges")
+    return plain and special and whole and stated["normalizer"] == NORMALIZER and stated["pre_tokenizer"] == PRE_TOKENIZER
+
+
 def byte_letters() -> dict[int, str]:
     """How byte-level tokenizers write bytes: printable ones as themselves, the others from U+0100 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -168,18 +188,21 @@ class WordTable(dict):
 
 
 class WordEncoder:
-    """Encode texts word by word, each distinct word once.
+    """Encode texts word by word, each distinct word once, where the tokenizer file allows it; else by the library, text by text.
 
-    Holds for tokenizers whose pieces end at white space, as with word ends.
     Distinct words are kept up to ``TABLE_WORDS``; then the table starts anew.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.words = WordTable(path)
+        self.by_word = cuts_words(path)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers; none for a null text."""
+        if not self.by_word:
+            ids = self.words.tokenizer.encode(text or "", add_special_tokens=False).ids
+            return np.array(ids, "<u4").tobytes()
         if len(self.words) > TABLE_WORDS:
             self.words.clear()
             self.words.pieces.clear()
@@ -197,14 +220,17 @@ def write_token_files(
 ) -> list[tuple[int, int, int]]:
     """Write shard files in ascending order of ids; returns (shard, documents, ids), one row per shard.
 
-    Rows are dealt by ranges of ``doc`` (null first) and sorted by it, then by text. A null
-    text has no ids but the end id. Repeated rows are written as often as they occur.
-    An empty table writes shards without documents or none.
+    Rows are dealt by ranges of ``doc`` (null first), of rows of one id by the text's hash and of equal ones by a number of their own,
+    so no id, null or repeated, has to fit one shard. A null text has no ids but the end id. Repeated rows are written as
+    often as they occur. A text of any length is encoded whole and spans frames. An empty table writes shards without documents or none.
     """
     spark = docs.sparkSession
     end = b"" if end_id is None else struct.pack("<I", end_id)
-    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(shards or shuffle_partitions(spark), "doc").sortWithinPartitions("doc", "text")
+    order = ["doc", "print", "number"]
+    rows = docs.select(
+        F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("print"), F.monotonically_increasing_id().alias("number")
+    )
+    rows = rows.repartitionByRange(shards or shuffle_partitions(spark), *order).sortWithinPartitions(*order).select("doc", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, encode, counts = TaskContext.get().partitionId(), encoder(), [0, 0]
@@ -246,5 +272,5 @@ def read_token_files(spark, folder: str, shards: list[tuple[int, int, int]]) ->
                             "ids": pa.array([reader.ids(low + i) for i in range(len(rows))], pa.binary()),
                         })
 
-    names = spark.createDataFrame([(s,) for s, _, _ in shards], "shard long").repartition(max(1, len(shards)), "shard")
+    names = spark.createDataFrame([(s,) for s, _, _ in shards], "shard long").repartitionByRange(max(1, len(shards)), "shard")
     return names.mapInArrow(read, "doc long, start long, ids binary")

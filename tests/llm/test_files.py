@@ -40,6 +40,34 @@ def test_word_encoder_matches_the_library(chance, monkeypatch):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_go_by_the_library(tmp_path):
+    """A file whose front is not the one restated: case is kept and pieces cross blanks."""
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    assert token_files.cuts_words(WORD_TOKENIZER)
+    vocab = {c: i for i, c in enumerate("abAB ")} | {"a b": 5, " b": 6}
+    other = Tokenizer(models.BPE(vocab=vocab, merges=[(" ", "b"), ("a", " b")]))
+    other.save(f"{tmp_path}/plain.json")
+    other.normalizer = normalizers.Lowercase()
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(f"{tmp_path}/lower.json")
+    for name in ("plain", "lower"):
+        path = f"{tmp_path}/{name}.json"
+        encoder, library = token_files.WordEncoder(path), Tokenizer.from_file(path)
+        assert not token_files.cuts_words(path)
+        for text in ("a b A B", "ab aB  b", "", "B a b"):
+            assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ["one text", None])
+def test_a_hot_id_is_dealt_to_several_shards(spark, make_docs, tmp_path, text):
+    rows = [(None, text, "en", "a")] * 300 + [(1, f"text {i}", "en", "a") for i in range(300)] + [(i, "x", "en", "a") for i in range(2, 20)]
+    shards = token_files.write_token_files(make_docs(rows), str(tmp_path), lambda: token_files.word_encoder(WORD_TOKENIZER).encode, shards=6)
+    assert sum(n for _, n, _ in shards) == 618 and max(n for _, n, _ in shards) < 250
+    read = token_files.read_token_files(spark, str(tmp_path), shards).orderBy("start", F.octet_length("ids").desc()).collect()
+    assert [r["doc"] for r in read] == [None] * 300 + [1] * 300 + list(range(2, 20))
+
+
 def test_token_files_round_trip(spark, make_docs, corpus, tmp_path):
     folder, path = f"file://{tmp_path}/ids", WORD_TOKENIZER
     shards = token_files.write_token_files(make_docs(corpus), folder, lambda: token_files.word_encoder(path).encode, shards=3)
