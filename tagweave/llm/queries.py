@@ -73,7 +73,8 @@ FROM marked GROUP BY doc_id"""
 def op6_captures(spark: SparkSession, d: str) -> DataFrame:
     """Pages written to archives, read back and placed in the merged capture index."""
     pages = table(spark, d, "pages")
-    time = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod("page_id", F.lit(31_536_000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    instant = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod("page_id", F.lit(31_536_000)))
+    time = F.date_format(F.to_utc_timestamp(instant, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     index = warc.write_archives(pages, shared_folder(spark), time=time)
     records = warc.read_archives(spark, index)
     histories = warc.capture_histories(index).select("archive", "offset", "part", "place", "capture")
