@@ -7,13 +7,18 @@ fills however small the set. Two sketches agree in a bin with probability J, and
 number of agreeing bins concentrates as if the bins were independent.
 
 Documents with the same words are one class. Classes that agree in a band of bins share
-a bucket. In a bucket only pairs with a pivot are checked, on full sets: classes that the
-checked links already join need no pair of their own, so a bucket of many near copies
-costs one pair per member. The pivot is the class with the most company in all its buckets.
-Before that, each class counts the shingles that no other class in a bucket has. They bound
-its similarity with any other one, so texts that only share a passage, or a template, with
-many others take part in no pair at all. A pivot that was compared with all others leaves its bucket;
-rounds go on, with ``MORE_PIVOTS`` times as many pivots each, until no bucket spans two components.
+a bucket. Before anything is compared, each class counts the shingles that no other class in a bucket has. They bound
+its similarity with any other one, so texts that only share a passage with many others take part in no pair at all.
+
+Every class is compared with the pivot of each of its buckets, the class with the most company, on full sets. That
+settles buckets whose classes then are one component, whatever their size. In the stars of the other pivots any two
+classes of different components may still be linked. They are named by how they differ from the pivot: with D the symmetric
+difference of a class and the pivot, two classes differ by the symmetric difference of their Ds, so a link needs
+(size of D + size of the other D - most) / 2 common elements, where ``most`` is how far linked sets of their sizes may differ. One of two classes is not
+linked with the pivot, which makes this number positive, so the two share one of the first elements of their Ds in any common order.
+Rare elements come first: those of a class alone, which nothing can share, fill the prefix of a text that was changed
+on its own, and texts made from one template do not meet by the template, which is in no D. Only classes that share a
+prefix element of the same star, with room behind it for all the common elements they need, are compared.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.llm.common import release, stored
@@ -32,8 +37,6 @@ from tagweave.llm.common import release, stored
 BANDS, ROWS = 45, 5
 BINS = BANDS * ROWS
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
-#: A round compares with this many times the pivots of the one before.
-MORE_PIVOTS = 8
 #: Hash evaluations of one step of a sketch.
 STEP = 2048
 
@@ -141,11 +144,66 @@ def own_items(sets: DataFrame) -> DataFrame:
     return single.groupBy("cls").agg(F.count("*").alias("own"))
 
 
-def own_items_of_components(sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (cls, own): how many shingles of a class no class of another component has, among the classes of ``roots``."""
-    rows = _items(sets.join(roots.select("cls"), "cls", "left_semi").select("cls", "items")).join(roots, "cls")
-    single = rows.groupBy("item").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least = most").select("item")
-    return rows.join(single, "item").groupBy("cls").agg(F.count("*").alias("own"))
+def ranked_sets(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (cls, items, counts): sets of the wanted classes, and in how many of these each item is."""
+    chosen = sets.join(wanted.select("cls"), "cls", "left_semi")
+    places = _items(chosen)
+    counts = places.groupBy("item").agg(F.count("*").alias("n"))
+    met = places.join(counts, "item").groupBy("cls").agg(F.collect_list(F.struct("item", "n")).alias("met"))
+    return met.select("cls", F.col("met.item").alias("items"), F.col("met.n").alias("counts"))
+
+
+def difference_prefixes(stars: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
+    """Rows (pivot, cls, out, root, items, apart, at, item): first elements of how classes differ from their pivot.
+
+    ``stars`` holds (pivot, cls, root, out, company): ``out`` marks classes of another component than the pivot, ``company`` counts the star.
+    ``apart`` is the size of the difference, ``at`` the place of ``item`` in it. What only one class has comes
+    first and is left out, since no other one can share it.
+    """
+    kinds = "pivot long, cls long, out boolean, root long, items int, apart int, at int, item long"
+
+    names = ["pivot", "cls", "out", "root", "items", "apart", "at", "item"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[list[np.ndarray]] = [[] for _ in names]
+            facts = zip(*(batch[c].to_pylist() for c in ("pivot", "cls", "out", "root", "company")))
+            for row, (pivot, cls, out, root, company) in enumerate(facts):
+                x, x_counts, y, y_counts = (np.asarray(batch[c][row].values) for c in ("x", "x_counts", "y", "y_counts"))
+                added, removed = ~np.isin(x, y, assume_unique=True), ~np.isin(y, x, assume_unique=True)
+                items = np.concatenate([x[added], y[removed]])
+                # about how many of the star differ from the pivot in it: those that have it, or those that have not
+                sharing = np.concatenate([x_counts[added], np.maximum(company - y_counts[removed], 1)])
+                alone = np.concatenate([x_counts[added] == 1, np.zeros(int(removed.sum()), bool)])
+                order = np.lexsort((items, np.where(alone, 0, sharing)))
+                if out:  # a class that is not linked with the pivot shares all but this many at least
+                    last = len(x) * (100 - percent) // percent
+                else:  # its partner is not, and differs from the pivot by more than linked sets may
+                    last = (len(items) + max(0, len(x) - len(y)) * (100 - percent) // (100 + percent) + 3) // 2
+                spots = np.flatnonzero(~alone[order][: last + 1])
+                for values, value in zip(found, (pivot, cls, out, root, len(x), len(items), spots, items[order][spots])):
+                    values.append(value if isinstance(value, np.ndarray) else np.full(len(spots), value))
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)).cast(t) for v, t in zip(found, types)], names)
+
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+    x = ranked.select("cls", F.col("items").alias("x"), F.col("counts").alias("x_counts"))
+    y = ranked.select(F.col("cls").alias("pivot"), F.col("items").alias("y"), F.col("counts").alias("y_counts"))
+    both = stars.join(x, "cls").join(y, "pivot")
+    return both.select("pivot", "cls", "root", "out", "company", "x", "x_counts", "y", "y_counts").mapInArrow(run, kinds)
+
+
+def prefix_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of different components that share a prefix element of a star and have room for a link behind it."""
+    x, y = prefixes.where("out").alias("x"), prefixes.alias("y")
+    both = F.col("x.items") + F.col("y.items")
+    apart = both - 2 * F.ceil(both * percent / (100 + percent))
+    common = (F.col("x.apart") + F.col("y.apart") - apart) / 2
+    room = F.least(F.col("x.apart") - F.col("x.at"), F.col("y.apart") - F.col("y.at"))
+    once = ~F.col("y.out") | (F.col("x.cls") < F.col("y.cls"))
+    near = F.least("x.items", "y.items") * 100 >= F.greatest("x.items", "y.items") * percent
+    met = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.item") == F.col("y.item")) & (F.col("x.root") != F.col("y.root")) & once & near & (room >= common))
+    return met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
 
 
 def may_link(n: Column, own: Column, other: Column, other_own: Column, percent: int) -> Column:
@@ -200,7 +258,22 @@ def connected(edges: DataFrame) -> DataFrame | None:
         release(links)
         links, before, state = small, state, _state(small)
         if state == before:
-            return links.select(F.col("high").alias("node"), F.col("low").alias("root"))
+            roots = links.select(F.col("high").alias("node"), F.col("low").alias("root"))
+            roots.stored_path = links.stored_path
+            return roots
+
+
+def joined_by(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """A stored table of ``labels`` (cls, root) whose components are joined where links (a, b) run between classes of theirs."""
+    named = labels.select(F.col("cls").alias("a"), F.col("root").alias("ra"))
+    ends = links.join(named, "a").join(named.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b")
+    roots = connected(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    if roots is None:
+        return stored(labels)
+    moved = labels.join(roots, labels["root"] == roots["node"], "left")
+    found = stored(moved.select("cls", F.coalesce(roots["root"], labels["root"]).alias("root")))
+    release(roots)
+    return found
 
 
 def _state(links: DataFrame) -> tuple[int, int | None]:
@@ -239,46 +312,35 @@ def components(
     # a text that others were made from meets them in more and larger buckets than they meet each other
     known = members.groupBy("cls").agg(F.sum("size").alias("company"), F.first("items").alias("items")).join(own_items(sets), "cls", "left")
     known = known.withColumn("own", F.coalesce("own", F.lit(0))).where((F.col("items") - F.col("own")) * 100 >= F.col("items") * percent)
-    labels = stored(known.withColumn("root", F.col("cls")))
-    placed = members.select("bucket", "cls").join(labels, "cls")
-    open_ = placed.groupBy("bucket").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most").select("bucket")
-    live = stored(placed.join(open_, "bucket"))
+    known = stored(known)
+    placed = stored(members.select("bucket", "cls").join(known.select("cls", "company"), "cls"))
     release(members)
-    tested, pivots = [], 1
-    while not live.isEmpty():
-        order = Window.partitionBy("bucket").orderBy(F.desc("company"), "cls")
-        heads = live.withColumn("at", F.row_number().over(order)).where(F.col("at") <= pivots).select("bucket", F.col("cls").alias("a"), F.col("root").alias("root_a"), F.col("items").alias("items_a"), F.col("own").alias("own_a"))
-        near = may_link(F.col("items"), F.col("own"), F.col("items_a"), F.col("own_a"), percent)
-        pairs = live.join(heads, "bucket").where((F.col("root") != F.col("root_a")) & near).select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
-        for earlier in tested:
-            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        tested.append(pairs)
-        links = confirmed(pairs, sets, percent)
-        named = labels.select(F.col("cls").alias("a"), F.col("root").alias("ra"))
-        ends = links.join(named, "a").join(named.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b")
-        roots = connected(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        if roots is not None:
-            moved = labels.join(roots, labels["root"] == roots["node"], "left")
-            labels = stored(moved.select("cls", "company", "items", "own", F.coalesce(roots["root"], labels["root"]).alias("root")))
-        left = live.drop("root").join(heads.select("bucket", F.col("a").alias("cls")), ["bucket", "cls"], "left_anti").join(labels.select("cls", "root"), "cls")
-        open_ = left.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-        rest = stored(left.join(open_, "bucket"))
-        release(live)
-        live = rest
-        if pivots == 1 and not live.isEmpty():
-            # pairs are now between components only, so what the rest of its own component has counts as a class's own too
-            own = own_items_of_components(sets, live.select("cls", "root").distinct())
-            closer = live.drop("own").join(own, "cls", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-            closer = closer.where((F.col("items") - F.col("own")) * 100 >= F.col("items") * percent)
-            several = closer.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-            live = stored(closer.join(several, "bucket"))
-            release(rest)
-        pivots *= MORE_PIVOTS
-    first = classes.join(labels, "cls", "left").select("h1", "h2", "rep", F.coalesce("root", "cls").alias("root"))
+    pivots = placed.groupBy("bucket").agg(F.max_by("cls", F.struct("company", -F.col("cls"))).alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    stars = stored(placed.select("bucket", "cls").join(pivots.select("bucket", "pivot"), "bucket").select("pivot", "cls").distinct())
+    release(placed)
+    facts = known.select("cls", "items", "own")
+    arms = stars.where("pivot <> cls").join(facts, "cls").join(facts.select(*[F.col(c).alias(f"pivot_{c}") for c in facts.columns]).withColumnRenamed("pivot_cls", "pivot"), "pivot")
+    arms = arms.where(may_link(F.col("items"), F.col("own"), F.col("pivot_items"), F.col("pivot_own"), percent))
+    labels = joined_by(known.select("cls", F.col("cls").alias("root")), confirmed(arms.select(F.col("pivot").alias("a"), F.col("cls").alias("b")), sets, percent))
+    # of the stars whose other classes are not one component: who differs how from the pivot
+    rooted = stars.join(labels, "cls").join(labels.select(F.col("cls").alias("pivot"), F.col("root").alias("pivot_root")), "pivot")
+    others = F.when(F.col("cls") != F.col("pivot"), F.col("root"))
+    mixed_ = rooted.groupBy("pivot").agg(F.min(others).alias("least"), F.max(others).alias("most"), F.count("*").alias("company")).where("least <> most")
+    open_stars = stored(
+        rooted.where("cls <> pivot").join(mixed_.select("pivot", "company"), "pivot").select("pivot", "cls", "root", (F.col("root") != F.col("pivot_root")).alias("out"), "company")
+    )
+    wanted = open_stars.select("cls").union(open_stars.select("pivot")).distinct()
+    ranked = stored(ranked_sets(sets, wanted))
+    prefixes = stored(difference_prefixes(open_stars, ranked, percent))
+    links = confirmed(prefix_pairs(prefixes, percent), sets, percent)
+    final = joined_by(labels, links)
+    release(known, stars, open_stars, ranked, prefixes, sets)
+    first = classes.join(final, "cls", "left").select("h1", "h2", "rep", F.coalesce("root", "cls").alias("root"))
     lowest = first.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = first.join(lowest, "root").select("h1", "h2", "component_id")
     joined = filled.select("doc", "n_shingles", "h1", "h2").join(named, ["h1", "h2"]).select("doc", "n_shingles", "component_id")
     alone = rows.where("n_shingles = 0").select("doc", "n_shingles", F.col("doc").alias("component_id"))
     every = joined.unionByName(alone)
-    return every.withColumn("kept", F.col("doc").eqNullSafe(F.col("component_id")))
+    found = stored(every.withColumn("kept", F.col("doc").eqNullSafe(F.col("component_id"))))
+    release(rows, classes, labels, final)
+    return found

@@ -71,6 +71,24 @@ def test_a_crowd_that_shares_buckets_without_links(make_docs):
     assert found(make_docs(rows), width=4) == sorted(map(repr, plain_components(rows, 4, 80)))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_crowds_around_the_threshold(make_docs, seed):
+    """Edits, cuts and additions of two bases and of each other, most pairs between J = 0.6 and 0.95."""
+    chance = random.Random(seed)
+    bases = [[f"{name}{i}" for i in range(chance.randint(60, 140))] for name in "ab"]
+    rows = []
+    for doc in range(130):
+        words = list(chance.choice(bases)) if doc < 70 or chance.random() < 0.3 else rows[chance.randrange(doc)][1].split()
+        for _ in range(chance.randint(0, 5)):
+            place = chance.randrange(len(words))
+            new = chance.choice(["x", "y", f"new{doc}", words[0]])
+            words[place : place + chance.choice([0, 1, 1, 1, 2, 12])] = [new] * chance.choice([0, 1, 1, 2, 9])
+        rows.append((doc, " ".join(words), "en", "a"))
+    expected = plain_components(rows, 4, 80)
+    assert 5 < len({c for _, _, c in expected}) < 120
+    assert found(make_docs(rows), width=4) == sorted(map(repr, expected))
+
+
 def test_each_class_reads_one_text(make_docs, monkeypatch):
     """Many near copies under a null id: their full sets are made of as many texts, not of all pairs."""
     rows = [(None, " ".join([*(f"w{i}" for i in range(60)), f"end{n}"]), "en", "a") for n in range(30)]
