@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,16 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors see, below ``spark.checkpoint.dir``."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise CurationError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="spark-work-")
+    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
 def constant_rows(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
     """Fixed lookup table as an in-plan relation; whole numbers come out as longs.
 

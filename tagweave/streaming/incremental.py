@@ -1,19 +1,19 @@
-"""Incremental jobs on file streams.
+"""Incremental jobs on file streams with keyed state.
 
-Every micro-batch replaces its own ``batch=<id>`` folder and looks only at
-earlier ones, so a batch repeated after a failure gives the same result.
-What could not be used goes to the same folder below ``<target>-rejects`` and
-does not count as done: it is taken up when it comes again. A batch reads the
-key column of earlier ones, so fewer, larger batches read less.
+What earlier batches did lies in the state of the streams, by stem or post: no batch reads earlier results, inputs or keys
+again. Every micro-batch replaces its own ``batch=<id>`` folder, so a batch repeated after a failure gives the same
+result. What could not be used goes to the same folder below ``<target>-rejects``.
 
-Good records that lack their image or are no posts of the query yet wait below ``<target>-waiting``. The start of
-every import run looks at them again and stores what it takes as ``batch=-1``, ``batch=-2`` and so on.
+State grows with the stems seen; on a cluster keep it in RocksDB
+(``spark.sql.streaming.stateStore.providerClass``) and the checkpoint on shared storage.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,85 +22,73 @@ from tagweave.functions import names, variants
 from tagweave.operators import imports
 from tagweave.sources.files import decoded_path
 
+RECORD = "stem string, tags array<string>, post_id long, source string, reject string"
+REQUEST = "stem string, image_path string, context_tags array<string>"
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+#: A retry waits this long after the first failure and twice as long after each further one.
+RETRY_MS = 60_000
+MOST_ATTEMPTS = 8
 
-def _earlier(spark: SparkSession, target: str, batch: int, key: str) -> DataFrame | None:
-    """Keys stored by earlier batches, or None before the first."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        return None
-    stored = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(target, "batch=*/_SUCCESS"))
-    if not stored:
-        return None
-    return spark.read.parquet(target).where(F.col("batch") < batch).select(key)
 
-
-def _batches(spark: SparkSession, folder: str) -> list[int]:
-    """Ids of the finished batches of a folder."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder, "batch=*/_SUCCESS")
-    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
-    return [int(f.getPath().getParent().getName().removeprefix("batch=")) for f in found]
+def unseen(rows: DataFrame, done: DataFrame | None, key: str) -> DataFrame:
+    """Rows whose key is not stored yet: the batch form of both jobs."""
+    return rows if done is None else rows.join(done.select(key), key, "left_anti")
 
 
 def _store(rows: DataFrame, failed: Column, target: str, batch: int) -> None:
-    """Good rows, one per stem, below ``target``; the others beside it."""
+    """Good rows below ``target``, the others beside it."""
     rows = rows.persist()
     try:
         rows.where(failed).write.mode("overwrite").parquet(f"{target}-rejects/batch={batch}")
-        good = rows.where(~failed).dropDuplicates(["stem"])
-        good.write.mode("overwrite").parquet(f"{target}/batch={batch}")
+        rows.where(~failed).write.mode("overwrite").parquet(f"{target}/batch={batch}")
     finally:
         rows.unpersist()
 
 
-def unseen(rows: DataFrame, done: DataFrame | None, key: str) -> DataFrame:
-    """Rows whose key is not stored yet: the batch form of both jobs."""
-    return rows if done is None else rows.join(done.select(key), key, "left_anti")
+# --- import -----------------------------------------------------------------
 
 
-def _judged(rows: DataFrame, seen: DataFrame | None, images: DataFrame | None) -> DataFrame:
-    """Rows with their ``reject`` and, for good ones that cannot be imported yet, ``waits``: what for."""
-    columns, waits = rows.columns, F.lit(None).cast("string")
-    for known, key, reason in ((images, "stem", "no image"), (seen, "post_id", "not a post of the query")):
-        if known is not None:
-            flag = f"has_{key}"
-            rows = rows.join(known.select(key).distinct().withColumn(flag, F.lit(True)), key, "left")
-            waits = F.when(F.col(flag).isNull(), reason).otherwise(waits)
-    rows = rows.select(*columns, F.when(F.col("reject").isNull(), waits).alias("waits"))
-    ready = F.col("reject").isNull() & F.col("waits").isNull()
-    content = F.when(ready, F.struct("tags", "post_id", "source"))
-    several = rows.groupBy("stem").agg((F.min(content) != F.max(content)).alias("several")).where("several")
-    rows = rows.join(several, "stem", "left")
-    reject = F.when(ready & F.col("several"), "repeated stem with different content").otherwise(F.col("reject"))
-    return rows.withColumn("reject", reject).select(*columns, "waits")
-
-
-def _import(rows: DataFrame, target: str, batch: int) -> None:
-    """Store judged rows: good ones, rejects and those that wait."""
-    rows = rows.persist()
-    try:
-        waiting = rows.where("waits IS NOT NULL").distinct()
-        waiting.write.mode("overwrite").parquet(f"{target}-waiting/batch={batch}")
-        _store(rows.where("waits IS NULL").drop("waits"), F.col("reject").isNotNull(), target, batch)
-    finally:
-        rows.unpersist()
+def _first_come(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """The records of one stem in a batch: the first one is imported, later ones are known, several different ones rejected."""
+    rows = pd.concat(frames, ignore_index=True)
+    good = rows[rows["reject"].isna()]
+    bad = rows[rows["reject"].notna()]
+    content = {(None if tags is None else tuple(tags), post, source) for tags, post, source in zip(good["tags"], good["post_id"], good["source"])}
+    if not state.exists and len(content) > 1:
+        bad = pd.concat([bad, good.assign(reject="repeated stem with different content")])
+    elif not state.exists and len(content) == 1:
+        state.update((True,))
+        yield good.head(1)
+    if len(bad):
+        yield bad
+
 
+def admitted(records: DataFrame, images: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
+    """Stream of records that can be imported now, each stem once, and of rejects.
+
+    All arguments are streams: ``records`` holds the columns of ``RECORD``, ``images(stem)`` the images that are there, ``seen(post_id)``
+    the posts of the query. A record waits in the state of a join until its image and its post have come, in any order. Records of one
+    stem that differ are rejected if they come in one batch; after an import, what comes for its stem is known and dropped.
+    """
+    ready = records.where(F.col("reject").isNull())
+    if images is not None:
+        ready = ready.join(images.select("stem").dropDuplicates(["stem"]), "stem")
+    if seen is not None:
+        ready = ready.join(seen.select("post_id").dropDuplicates(["post_id"]), "post_id")
+    columns = [c.split()[0] for c in RECORD.split(", ")]
+    every = ready.select(*columns).unionByName(records.where(F.col("reject").isNotNull()).select(*columns))
+    return every.groupBy("stem").applyInPandasWithState(_first_come, RECORD, "imported boolean", "append", "NoTimeout")
 
-def _take_up(spark: SparkSession, target: str, targets: DataFrame | None, seen: DataFrame | None, images: DataFrame | None) -> None:
-    """Import what earlier batches left waiting; the rest waits on in one folder."""
-    old = _batches(spark, f"{target}-waiting")
-    if not old:
-        return
-    read = spark.read.parquet(*[f"{target}-waiting/batch={b}" for b in old]).drop("waits").distinct()
-    if read.isEmpty():
-        return
-    known = [*old, *_batches(spark, target), *_batches(spark, f"{target}-rejects"), 0]
-    batch = min(known) - 1
-    fresh = unseen(unseen(read, targets, "stem"), _earlier(spark, target, max(known) + 1, "stem"), "stem")
-    _import(_judged(fresh, seen, images), target, batch)
-    for b in old:
-        where = spark._jvm.org.apache.hadoop.fs.Path(f"{target}-waiting/batch={b}")
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+def store_admitted(found: DataFrame, target: str, checkpoint: str, targets: DataFrame | None = None) -> StreamingQuery:
+    """Run a stream of :func:`admitted` over all that has come, then stop."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        fresh = unseen(batch, targets, "stem")
+        _store(fresh, F.col("reject").isNotNull(), target, batch_id)
+
+    writer = found.writeStream.outputMode("append").foreachBatch(store).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
 
 
 def import_stream(
@@ -110,41 +98,90 @@ def import_stream(
     checkpoint: str,
     *,
     site: str,
-    seen: DataFrame | None = None,
+    seen: str | None = None,
     targets: DataFrame | None = None,
-    images: DataFrame | None = None,
+    images: str | None = None,
     max_files: int | None = None,
 ) -> StreamingQuery:
     """Import new JSON records of a growing folder, then stop.
 
-    ``seen(post_id)`` restricts the import to the posts of one query,
-    ``images(stem)`` to records whose image is there, and ``targets(stem)``
-    lists the records that the pool holds already. Records outside ``seen`` or
-    ``images`` wait for a later run. Unreadable records and those that share a
-    stem in a batch but differ are rejected.
+    ``images`` and ``seen`` are growing folders too, of JSON lines with ``stem`` and ``post_id``: the images that are there and the posts of
+    the query. A record whose image or post has not come yet waits in the state for a later run. ``targets(stem)`` lists
+    records that the pool holds already. Unreadable records, and those that share a stem in a batch but differ, are rejected.
     """
-    _take_up(spark, target, targets, seen, images)
-    reader = spark.readStream.format("text").schema("value STRING").option("wholetext", "true")
-    reader = reader.option("recursiveFileLookup", "true")
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    lines = reader.load(records).select(decoded_path().alias("path"), "value")
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        parsed = batch.select(
-            names.stem(names.file_name(F.col("path"))).alias("stem"),
-            variants.parse_object(F.col("value")).alias("raw"),
-        )
-        read = imports.import_metadata(parsed, site)
-        fresh = unseen(unseen(read, targets, "stem"), _earlier(session, target, batch_id, "stem"), "stem")
-        _import(_judged(fresh, seen, images), target, batch_id)
-
-    return (
-        lines.writeStream.foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+    def limited(reader):
+        return reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)
+
+    def listing(folder: str | None, schema: str) -> DataFrame | None:
+        return None if folder is None else limited(spark.readStream.schema(schema)).json(folder)
+
+    reader = spark.readStream.format("text").schema("value STRING").option("wholetext", "true")
+    lines = limited(reader.option("recursiveFileLookup", "true")).load(records)
+    parsed = lines.select(
+        names.stem(names.file_name(decoded_path())).alias("stem"),
+        variants.parse_object(F.col("value")).alias("raw"),
+    )
+    found = admitted(imports.import_metadata(parsed, site), listing(images, "stem STRING"), listing(seen, "post_id LONG"))
+    return store_admitted(found, target, checkpoint, targets)
+
+
+# --- captions ---------------------------------------------------------------
+
+
+def _due(wait_ms: int, most: int):
+    """State function over the requests and failures of one stem: what is to be tried now."""
+
+    def due(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs()
+
+        def ask(path: str | None, context: list, attempt: int) -> pd.DataFrame:
+            state.update((path, context, attempt, True))
+            return pd.DataFrame({"stem": [key[0]], "image_path": [path], "context_tags": [context], "attempt": [attempt], "problem": [None]})
+
+        path, context, attempt, asked = state.get if state.exists else (None, None, 0, False)
+        if state.hasTimedOut:
+            yield ask(path, context, attempt + 1)
+            return
+        rows = pd.concat(frames, ignore_index=True)
+        if key[0] is None:  # ticks, and requests that name no stem
+            nameless = rows[rows["kind"] == "request"]
+            if len(nameless):
+                yield nameless.assign(attempt=0, problem="no stem")[["stem", "image_path", "context_tags", "attempt", "problem"]]
+            return
+        failed = rows[(rows["kind"] == "failure") & (rows["attempt"] == attempt)]
+        if len(failed) and asked:
+            at, asked = int(failed["at"].max()) + wait_ms * 2 ** (attempt - 1), False
+            state.update((path, context, attempt, asked))
+            if attempt < most and at <= now:
+                yield ask(path, context, attempt + 1)
+                return
+            if attempt < most:
+                state.setTimeoutDuration(at - now)
+        requests = rows[rows["kind"] == "request"]
+        if asked or not len(requests):
+            return
+        told = {(p, None if c is None else tuple(c)) for p, c in zip(requests["image_path"], requests["context_tags"])}
+        if len(told) > 1:
+            yield requests.assign(attempt=0, problem="repeated stem with different requests")[["stem", "image_path", "context_tags", "attempt", "problem"]]
+            return
+        # also a request that comes again while a failed one waits
+        path, context = told.pop()
+        yield ask(path, None if context is None else list(context), attempt + 1)
+
+    return due
+
+
+def due_requests(events: DataFrame, wait_ms: int = RETRY_MS, most_attempts: int = MOST_ATTEMPTS) -> DataFrame:
+    """Stream of requests to try now: the columns of ``REQUEST``, ``attempt`` and ``problem`` (set for requests that cannot be tried).
+
+    ``events`` holds requests and failures by ``kind``: the columns of ``REQUEST``, ``attempt`` and ``at`` (milliseconds; both of failures).
+    A stem is asked once. A failure sets a timer in its state, for ``wait_ms`` after the first and twice as long after each
+    further one; when it has run out, the request that the state holds is due again, up to ``most_attempts`` times.
+    """
+    return events.groupBy("stem").applyInPandasWithState(
+        _due(wait_ms, most_attempts), f"{REQUEST}, attempt int, problem string",
+        "image_path string, context_tags array<string>, attempt int, asked boolean", "append", "ProcessingTimeTimeout",
     )
 
 
@@ -156,23 +193,57 @@ def caption_stream(
     tagger: Callable[[DataFrame], DataFrame],
     *,
     max_files: int = 64,
+    wait_ms: int = RETRY_MS,
+    most_attempts: int = MOST_ATTEMPTS,
 ) -> StreamingQuery:
-    """Tag request files batch by batch; finished records survive an abort."""
-    schema = "stem STRING, image_path STRING, context_tags ARRAY<STRING>"
-    source = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(requests)
-    )
+    """Tag request files batch by batch, then stop; finished records survive an abort.
+
+    Failed requests are taken up by later runs once their wait is over, without a new file: failures come back to the state
+    through files beside the checkpoint, and a run begins with a tick there, so that timers run out even if nothing else is new. A
+    tagger sees the number of the attempt in ``attempt``. Requests of one stem that differ within a batch are rejected.
+    """
+    failures, ticks = f"{checkpoint}-failures", f"{checkpoint}-ticks"
+    tick = spark.range(1).select(F.lit(None).cast("string").alias("stem"))
+    tick.write.mode("append").json(f"{ticks}/{uuid.uuid4().hex}")
+    spark.createDataFrame([], "stem string, attempt int, at long").write.mode("ignore").parquet(f"{failures}/batch=none")
+
+    def events(stream: DataFrame, kind: str) -> DataFrame:
+        there = {c: F.col(c) for c in stream.columns}
+        absent = {"image_path": "string", "context_tags": "array<string>", "attempt": "int", "at": "long"}
+        rest = {c: F.lit(None).cast(t) for c, t in absent.items()}
+        return stream.select(F.lit(kind).alias("kind"), *[(rest | there)[c].alias(c) for c in ("stem", *absent)])
+
+    asked = spark.readStream.schema(REQUEST).option("maxFilesPerTrigger", max_files).json(requests)
+    failed = spark.readStream.schema("stem string, attempt int, at long").option("recursiveFileLookup", "true").parquet(failures)
+    ticked = spark.readStream.schema("stem string").option("recursiveFileLookup", "true").json(ticks)
+    every = events(asked, "request").unionByName(events(failed, "failure")).unionByName(events(ticked, "tick"))
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        open_requests = unseen(batch, _earlier(batch.sparkSession, target, batch_id, "stem"), "stem")
-        # A request that comes twice in one batch is answered once.
-        tagged = tagger(open_requests.dropDuplicates(["stem"]))
-        failed = F.col("error").isNotNull() if "error" in tagged.columns else F.lit(False)
-        _store(tagged, failed, target, batch_id)
-
-    return (
-        source.writeStream.foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        batch = batch.persist()
+        try:
+            tagged = tagger(batch.where("problem IS NULL").drop("problem"))
+            if "error" not in tagged.columns:
+                tagged = tagged.withColumn("error", F.lit(None).cast("struct<stage:string,error:string,traceback:string>"))
+            attempts = batch.where("problem IS NULL").select("stem", F.col("attempt").alias("tried"))
+            tagged = tagged.join(attempts, "stem").persist()
+            try:
+                refused = batch.where("problem IS NOT NULL").select("stem", "problem")
+                rows = tagged.withColumn("problem", F.lit(None).cast("string")).unionByName(refused, allowMissingColumns=True)
+                bad = F.col("error").isNotNull() | F.col("problem").isNotNull()
+                now = F.unix_millis(F.current_timestamp())
+                lost = tagged.where(F.col("error").isNotNull()).select("stem", F.col("tried").alias("attempt"), now.alias("at"))
+                lost.write.mode("overwrite").parquet(f"{failures}/batch={batch_id}")
+                _store(rows, bad, target, batch_id)
+            finally:
+                tagged.unpersist()
+        finally:
+            batch.unpersist()
+
+    writer = due_requests(every, wait_ms, most_attempts).writeStream.outputMode("append").foreachBatch(store)
+    # timers ask for batches without end; the tick is the one that lets them run out
+    before = spark.conf.get(NO_DATA, "true")
+    spark.conf.set(NO_DATA, "false")
+    try:
+        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(NO_DATA, before)

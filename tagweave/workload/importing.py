@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagweave.cluster import work_folder
 from tagweave.functions import names
 from tagweave.operators import imports, pairing
 from tagweave.plans import importing
+from tagweave.streaming import incremental
 from tagweave.streaming.incremental import unseen
 from tagweave.workload.tables import table
 
@@ -205,3 +207,64 @@ def resumable_work(spark: SparkSession, d: str) -> DataFrame:
 
 SQL["resumable_work"] = """
 SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
+
+
+# --- streams over the tables --------------------------------------------------
+
+
+@query
+def import_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as records that come in two runs, before or after their images and posts; each run sees new files only."""
+    folder = work_folder(spark)
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    arriving = {
+        "records": orders.select(
+            _padded("o_orderkey").alias("stem"), F.array("o_orderpriority").alias("tags"), F.col("o_orderkey").alias("post_id"),
+            F.lit("board").alias("source"), F.when(F.col("o_orderstatus") == "P", "missing tags").alias("reject"),
+        ),
+        "images": lines.where("l_quantity > 20").select(_padded("l_orderkey").alias("stem")).distinct(),
+        "seen": lines.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("post_id")).distinct(),
+    }
+
+    def stream(name: str) -> DataFrame:
+        return spark.readStream.schema(arriving[name].schema).option("recursiveFileLookup", "true").parquet(f"{folder}/{name}")
+
+    for run in (0, 1):
+        for name, rows in arriving.items():
+            rows.where(F.pmod(F.xxhash64(F.lit(name), rows.columns[0]), F.lit(2)) == run).write.parquet(f"{folder}/{name}/{run}")
+        found = incremental.admitted(stream("records"), stream("images"), stream("seen"))
+        incremental.store_admitted(found, f"{folder}/pool", f"{folder}/state").awaitTermination()
+    stored = spark.read.parquet(f"{folder}/pool").select("stem", "post_id", F.array_join("tags", ",").alias("tags"), "reject")
+    rejects = spark.read.parquet(f"{folder}/pool-rejects").select("stem", "post_id", F.array_join("tags", ",").alias("tags"), "reject")
+    return stored.unionByName(rejects)
+
+
+SQL["import_arrivals"] = """
+SELECT printf('%012d', o_orderkey) AS stem, o_orderkey AS post_id, o_orderpriority AS tags,
+  CASE WHEN o_orderstatus = 'P' THEN 'missing tags' END AS reject
+FROM orders
+WHERE o_orderstatus = 'P' OR (o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 20)
+  AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'))"""
+
+
+@query
+def caption_retries(spark: SparkSession, d: str) -> DataFrame:
+    """Documents captioned by a model that fails every third one twice: timers bring those back in later runs without a new file."""
+    folder = work_folder(spark)
+    requests = table(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("stem"), F.col("source").alias("image_path"), F.array("lang").alias("context_tags")
+    )
+    requests.write.json(f"{folder}/requests")
+
+    def tagger(asked: DataFrame) -> DataFrame:
+        fails = (F.col("stem").cast("long") % 3 == 0) & (F.col("attempt") < 3)
+        error = F.when(fails, F.struct(F.lit("model").alias("stage"), F.lit("busy").alias("error"), F.lit("").alias("traceback")))
+        return asked.select("stem", F.col("context_tags").alias("tags"), error.alias("error"))
+
+    for _ in range(3):
+        incremental.caption_stream(spark, f"{folder}/requests", f"{folder}/done", f"{folder}/state", tagger, wait_ms=0).awaitTermination()
+    return spark.read.parquet(f"{folder}/done").select("stem", "tried", F.array_join("tags", ",").alias("tags"))
+
+
+SQL["caption_retries"] = """
+SELECT CAST(doc_id AS VARCHAR) AS stem, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 1 END AS tried, coalesce(lang, '') AS tags FROM documents"""

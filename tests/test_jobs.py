@@ -2,6 +2,7 @@
 
 import json
 import struct
+import time
 import zlib
 
 import pytest
@@ -444,9 +445,24 @@ def test_fusion_job(spark):
 # --- streams ----------------------------------------------------------------
 
 
+class Growing:
+    """A folder of JSON lines that gets a file with what is new."""
+
+    def __init__(self, path, name):
+        self.path, self.name, self.known = path, name, set()
+        path.mkdir()
+
+    def add(self, *values):
+        fresh = [v for v in values if v not in self.known]
+        self.known |= set(fresh)
+        if fresh:
+            write_json(self.path / f"{len(self.known)}.json", "\n".join(json.dumps({self.name: v}) for v in fresh))
+        return str(self.path)
+
+
 def test_import_stream_is_incremental(spark, tmp_path):
     source, target, checkpoint = tmp_path / "json", str(tmp_path / "pool"), str(tmp_path / "cp")
-    seen = spark.createDataFrame([(1,), (2,), (4,)], "post_id LONG")
+    seen = Growing(tmp_path / "seen", "post_id").add(1, 2, 4)
 
     def run():
         query = incremental.import_stream(spark, str(source), target, checkpoint, site="board", seen=seen)
@@ -459,15 +475,16 @@ def test_import_stream_is_incremental(spark, tmp_path):
     write_json(source / "3.json", post(3))
     assert run() == [("1", 0), ("2", 1)]
     assert run() == [("1", 0), ("2", 1)]
-    # A record that comes again is not stored twice.
+    # A record that comes again is not stored twice, whatever it holds.
     write_json(source / "again" / "1.json", post(1))
+    write_json(source / "other" / "2.json", post(2, ("another",)))
     write_json(source / "4.json", post(4))
     assert run() == [("1", 0), ("2", 1), ("4", 2)]
 
 
 def test_import_stream_checks_images_targets_and_rejects(spark, tmp_path):
     source, target, checkpoint = tmp_path / "json", str(tmp_path / "pool"), str(tmp_path / "cp")
-    images = spark.createDataFrame([("1",), ("2",), ("3",), ("4",)], "stem STRING")
+    images = Growing(tmp_path / "images", "stem").add("1", "2", "3", "4")
     held = spark.createDataFrame([("2",)], "stem STRING")
 
     def run():
@@ -487,16 +504,15 @@ def test_import_stream_checks_images_targets_and_rejects(spark, tmp_path):
 
 def test_import_stream_loses_no_record(spark, tmp_path):
     source, target, checkpoint = tmp_path / "json", str(tmp_path / "pool"), str(tmp_path / "cp")
+    images, seen = Growing(tmp_path / "images", "stem"), Growing(tmp_path / "seen", "post_id")
 
     def run(stems, posts):
-        images = spark.createDataFrame([(s,) for s in stems], "stem STRING")
-        seen = spark.createDataFrame([(p,) for p in posts], "post_id LONG")
-        incremental.import_stream(spark, str(source), target, checkpoint, site="board", seen=seen, images=images).awaitTermination()
+        options = {"images": images.add(*stems), "seen": seen.add(*posts)}
+        incremental.import_stream(spark, str(source), target, checkpoint, site="board", **options).awaitTermination()
         return sorted(r["stem"] for r in spark.read.parquet(target).collect())
 
-    def left(kind):
-        rows = spark.read.parquet(f"{target}-{kind}").collect()
-        return sorted((r["stem"], r["waits" if kind == "waiting" else "reject"]) for r in rows)
+    def rejects():
+        return sorted((r["stem"], r["reject"]) for r in spark.read.parquet(f"{target}-rejects").collect())
 
     for n in (1, 2, 3):
         write_json(source / f"{n}.json", post(n))
@@ -504,33 +520,78 @@ def test_import_stream_loses_no_record(spark, tmp_path):
     write_json(source / "5.json", post(5))
     write_json(source / "twice" / "5.json", post(1))  # another record of the same stem
     assert run(["1", "3", "5"], [1, 2, 5]) == ["1"]
-    assert left("waiting") == [("2", "no image"), ("3", "not a post of the query")]
-    assert [s for s, _ in left("rejects")] == ["4", "5", "5"]
+    assert [s for s, _ in rejects()] == ["4", "5", "5"] and "different" in rejects()[1][1]
     # No new file comes, the image does.
-    assert run(["1", "2", "3"], [1, 2]) == ["1", "2"] and left("waiting") == [("3", "not a post of the query")]
-    assert run(["1", "2", "3"], [1, 2, 3]) == ["1", "2", "3"] and left("waiting") == []
-    assert run(["1", "2", "3"], [1, 2, 3]) == ["1", "2", "3"] and len(left("rejects")) == 3
+    assert run(["2"], []) == ["1", "2"]
+    assert run(["2"], [3]) == ["1", "2", "3"]
+    assert run([], []) == ["1", "2", "3"] and len(rejects()) == 3
+
+
+def test_no_batch_reads_earlier_results(spark, tmp_path):
+    """What was stored may be gone: the state alone knows the stems."""
+    source, target, checkpoint = tmp_path / "json", tmp_path / "pool", str(tmp_path / "cp")
+    for n in (1, 2):
+        write_json(source / str(n) / "1.json", post(1))
+        incremental.import_stream(spark, str(source), str(target), checkpoint, site="board").awaitTermination()
+        first = target / "batch=0"
+        if n == 1:
+            first.rename(tmp_path / "moved")
+    assert spark.read.parquet(str(target / "batch=1")).count() == 0
+
+
+def caption_model(broken):
+    def load():
+        def model(path, tags):
+            if path in broken:
+                raise ValueError(path)
+            return {"tags": [path]}
+        return model
+    return plugins.model_tagger(load, "m")
+
+
+def ask(stem, path=None, tags=()):
+    return json.dumps({"stem": stem, "image_path": path or f"{stem}.png", "context_tags": list(tags)})
 
 
 def test_caption_stream_retries_failures(spark, tmp_path):
     source, target, checkpoint = tmp_path / "requests", str(tmp_path / "done"), str(tmp_path / "cp")
-    ask = lambda stem: json.dumps({"stem": stem, "image_path": f"{stem}.png", "context_tags": []})
-
-    def tagger(broken):
-        def load():
-            def model(path, tags):
-                if path in broken:
-                    raise ValueError(path)
-                return {"tags": [path]}
-            return model
-        return plugins.model_tagger(load, "m")
-
-    write_json(source / "0.json", "\n".join([ask("a"), ask("b"), ask("a")]))
-    incremental.caption_stream(spark, str(source), target, checkpoint, tagger({"b.png"})).awaitTermination()
-    assert [r["stem"] for r in spark.read.parquet(target).collect()] == ["a"]
-    write_json(source / "1.json", ask("b"))
-    incremental.caption_stream(spark, str(source), target, checkpoint, tagger(set())).awaitTermination()
-    assert sorted(r["stem"] for r in spark.read.parquet(target).collect()) == ["a", "b"]
+
+    def run(broken, wait_ms=0, most=8):
+        incremental.caption_stream(spark, str(source), target, checkpoint, caption_model(broken), wait_ms=wait_ms, most_attempts=most).awaitTermination()
+        return sorted((r["stem"], r["tried"]) for r in spark.read.parquet(target).collect())
+
+    write_json(source / "0.json", "\n".join([ask("a"), ask("b"), ask("a"), ask("c"), ask("d"), ask("d", "other.png"), ask("e")]))
+    assert run({"b.png", "c.png", "e.png"}) == [("a", 1)]
+    refused = {(r["stem"], r["problem"]) for r in spark.read.parquet(f"{target}-rejects").where("problem IS NOT NULL").collect()}
+    assert refused == {("d", "repeated stem with different requests")}
+    # no new file comes: what failed is tried again, and what fails again waits on
+    assert run({"c.png", "e.png"}) == [("a", 1), ("b", 2)]
+    # a failed request that comes again is tried at once
+    write_json(source / "1.json", "\n".join([ask("c"), ask("a"), ask("b")]))
+    assert run({"e.png"}) == [("a", 1), ("b", 2), ("c", 3)]
+    assert run(set(), most=3) == [("a", 1), ("b", 2), ("c", 3)]  # the third attempt of e was its last
+    errors = spark.read.parquet(f"{target}-rejects").where("error IS NOT NULL").groupBy("stem").count().collect()
+    assert {r["stem"]: r["count"] for r in errors} == {"b": 1, "c": 2, "e": 3}
+
+
+def test_caption_timers_wait(spark, tmp_path):
+    source, target, checkpoint = tmp_path / "requests", str(tmp_path / "done"), str(tmp_path / "cp")
+
+    def run(broken):
+        incremental.caption_stream(spark, str(source), target, checkpoint, caption_model(broken), wait_ms=12_000).awaitTermination()
+        return sorted((r["stem"], r["tried"]) for r in spark.read.parquet(target).collect())
+
+    write_json(source / "0.json", "\n".join([ask("a"), ask("b", tags=["x"])]))
+    started = time.time()
+    assert run({"b.png"}) == [("a", 1)]
+    if time.time() - started < 8:
+        assert run(set()) == [("a", 1)]  # the timer is set, it is too early
+    else:
+        run({"b.png"})
+    time.sleep(max(0, 14 - (time.time() - started)))
+    for _ in range(3):
+        found = run(set())
+    assert [s for s, _ in found] == ["a", "b"]
 
 
 def test_batch_model(spark):
