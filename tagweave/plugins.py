@@ -46,7 +46,8 @@ def batch_tagger(
 
     ``load`` returns a function of up to ``batch_size`` requests (mappings with ``stem``,
     ``image_path`` and ``context_tags``) that gives one result each. A batch that
-    raises is tried again record by record, so the error stays with its record.
+    raises is cut in halves that are tried again, so the error stays with its record and one bad record
+    costs two calls per halving. Batches are filled across the Arrow batches of a task.
     """
     texts, parts = list(_TEXTS), list(_ERROR)
 
@@ -76,16 +77,25 @@ def batch_tagger(
             except Exception as error:  # noqa: BLE001 - reported per record
                 if len(requests) == 1:
                     return [{"error": failed(error, stage)}]
-            return [row for request in requests for row in answers([request])]
+            half = len(requests) // 2
+            return answers(requests[:half]) + answers(requests[half:])
 
-        for batch in batches:
-            requests = batch.to_pylist()
+        def tagged(requests: list[dict]) -> pa.RecordBatch:
             rows = [{"stem": request["stem"], "tags": [], "error": load_error} for request in requests]
             if model is not None:
-                for first in range(0, len(rows), batch_size):
-                    for row, found in zip(rows[first:], answers(requests[first : first + batch_size])):
-                        row.update(found)
-            yield pa.RecordBatch.from_pylist(rows, schema=shape)
+                for row, found in zip(rows, answers(requests)):
+                    row.update(found)
+            return pa.RecordBatch.from_pylist(rows, schema=shape)
+
+        held: list[dict] = []
+        for batch in batches:
+            held += batch.to_pylist()
+            full = len(held) - len(held) % batch_size
+            for first in range(0, full, batch_size):
+                yield tagged(held[first : first + batch_size])
+            held = held[full:]
+        if held:
+            yield tagged(held)
 
     schema = (
         "stem STRING, tags ARRAY<STRING>, "

@@ -608,6 +608,29 @@ def test_batch_model(spark):
     assert "bad batch" in rows["bad"]["error"]["error"] and rows["bad"]["error"]["stage"] == "m"
 
 
+def test_one_bad_record_costs_few_calls(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def load():
+        def model(requests):
+            with open(calls, "a") as file:
+                file.write(f"{len(requests)}\n")
+            if any(r["stem"] == "37" for r in requests):
+                raise ValueError("bad record")
+            return [{"tags": [r["stem"]]} for r in requests]
+        return model
+
+    requests = spark.range(128).coalesce(1).select(F.col("id").cast("string").alias("stem"), F.lit("x").alias("image_path"), F.array().cast("array<string>").alias("context_tags"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        rows = {r["stem"]: r for r in plugins.batch_tagger(load, "m", batch_size=64)(requests).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = [int(x) for x in open(calls).read().split()]
+    assert len(sizes) == 14 and sizes[0] == 64 and sizes[-1] == 64  # Arrow batches of 10 fill batches of 64
+    assert [s for s, r in rows.items() if r["error"]] == ["37"] and len(rows) == 128 and rows["36"]["tags"] == ["36"]
+
+
 def test_caption_stream_resumes(spark, tmp_path):
     source, target, checkpoint = tmp_path / "requests", str(tmp_path / "done"), str(tmp_path / "cp")
     for i, stems in enumerate((["a", "b"], ["b", "c"])):
