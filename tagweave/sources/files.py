@@ -9,6 +9,7 @@ from tagweave.errors import CurationError
 from tagweave.functions import names, variants
 from tagweave.functions.text import strip
 from tagweave.operators import predictions
+from tagweave.sources.headers import image_headers
 
 
 def list_files(spark: SparkSession, folder: str, *, recursive: bool = False) -> DataFrame:
@@ -171,21 +172,10 @@ def read_strict_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_image_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    """Width, height and colour mode of every image; NULL for those that cannot be decoded.
+def read_image_sizes(spark: SparkSession, folder: str, *, recursive: bool = False) -> DataFrame:
+    """``(path, length, width, height, mode, has_transparency)`` of every file, from headers alone; see :mod:`tagweave.sources.headers`.
 
-    The decoder knows no WebP, so such files come out as unknown.
+    Knows PNG, JPEG, GIF, BMP and WebP. Files without a readable header have NULL for all but path and length.
     """
-    channels = F.col("image.nChannels")
-    known = channels > 0
-    return (
-        spark.read.format("image")
-        .option("dropInvalid", "false")
-        .load(folder)
-        .select(
-            F.col("image.origin").alias("path"),
-            F.when(known, F.col("image.width")).alias("width"),
-            F.when(known, F.col("image.height")).alias("height"),
-            F.when(channels == 4, "RGBA").when(channels == 3, "RGB").when(known, "L").alias("mode"),
-        )
-    )
+    spark.dataSource.register(image_headers())
+    return spark.read.format("image_headers").option("recursive", str(recursive).lower()).load(folder)

@@ -115,6 +115,50 @@ def test_vocabulary_and_sizes(spark, tmp_path):
     assert sorted((r["width"], r["height"], r["mode"]) for r in sizes.collect()) == [(3, 4, "RGBA"), (100, 50, "RGB")]
 
 
+def chunked(*chunks):
+    return b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(b)) + k + b + bytes(4) for k, b in chunks)
+
+
+def little(*values):
+    return b"".join(v.to_bytes(n, "little") for v, n in values)
+
+
+HEADERS = {
+    "gray.png": (chunked((b"IHDR", struct.pack(">IIBBBBB", 7, 9, 8, 0, 0, 0, 0)), (b"IDAT", b"")), (7, 9, "L", False)),
+    "gray_alpha.png": (chunked((b"IHDR", struct.pack(">IIBBBBB", 7, 9, 8, 4, 0, 0, 0))), (7, 9, "LA", True)),
+    "palette.png": (chunked((b"IHDR", struct.pack(">IIBBBBB", 70, 9, 8, 3, 0, 0, 0)), (b"PLTE", bytes(9)), (b"IDAT", b"")), (70, 9, "P", False)),
+    "clear.png": (chunked((b"IHDR", struct.pack(">IIBBBBB", 70, 9, 8, 3, 0, 0, 0)), (b"PLTE", bytes(9)), (b"tRNS", b"\0"), (b"IDAT", b"")), (70, 9, "P", True)),
+    "large_exif.jpg": (b"\xff\xd8\xff\xe1\xff\xf0" + bytes(0xFFEE) + b"\xff\xff\xc4\x00\x04ab\xff\xc2\x00\x11\x08" + struct.pack(">HHB", 300, 400, 3), (400, 300, "RGB", False)),
+    "gray.jpg": (b"\xff\xd8\xff\xc0\x00\x0b\x08" + struct.pack(">HHB", 3, 4, 1), (4, 3, "L", False)),
+    "clear.gif": (b"GIF89a" + little((5, 2), (6, 2)) + b"\x80\0\0" + bytes(6) + b"!\xfe\x02hi\x00" + b"!\xf9\x04\x01\0\0\0\0,", (5, 6, "P", True)),
+    "plain.gif": (b"GIF87a" + little((5, 2), (6, 2)) + b"\0\0\0,", (5, 6, "P", False)),
+    "rgb.bmp": (b"BM" + bytes(12) + little((40, 4), (8, 4)) + (-9).to_bytes(4, "little", signed=True) + little((1, 2), (24, 2)), (8, 9, "RGB", False)),
+    "alpha.bmp": (b"BM" + bytes(12) + little((124, 4), (8, 4), (9, 4), (1, 2), (32, 2)) + bytes(36) + b"\0\0\0\xff", (8, 9, "RGBA", True)),
+    "lossy.webp": (b"RIFF\0\0\0\0WEBPVP8 \0\0\0\0\0\0\0\x9d\x01\x2a" + little((33, 2), (44, 2)), (33, 44, "RGB", False)),
+    "lossless.webp": (b"RIFF\0\0\0\0WEBPVP8L\0\0\0\0\x2f" + little((32 | 43 << 14 | 1 << 28, 4)), (33, 44, "RGBA", True)),
+    "extended.webp": (b"RIFF\0\0\0\0WEBPVP8X\x0a\0\0\0\x10\0\0\0" + little((32, 3), (43, 3)), (33, 44, "RGBA", True)),
+    "cut.png": (b"\x89PNG\r\n\x1a\n\0\0", (None,) * 4), "empty.png": (b"", (None,) * 4), "text.jpg": (b"not an image at all", (None,) * 4),
+}
+
+
+def test_image_headers(spark, tmp_path):
+    (tmp_path / "img" / "deep").mkdir(parents=True)
+    for name, (content, _) in HEADERS.items():
+        (tmp_path / "img" / name).write_bytes(content)
+    (tmp_path / "img" / "deep" / "a.gif").write_bytes(HEADERS["plain.gif"][0])
+    rows = files.read_image_sizes(spark, str(tmp_path / "img")).collect()
+    assert {r["path"].rsplit("/", 1)[1]: tuple(r)[2:] for r in rows} == {name: want for name, (_, want) in HEADERS.items()}
+    listed = {(r["path"], r["length"]) for r in files.list_files(spark, str(tmp_path / "img"), recursive=True).collect()}
+    found = {(r["path"], r["length"]) for r in files.read_image_sizes(spark, f"file:{tmp_path}/img", recursive=True).collect()}
+    assert {f for f in found if f[1]} == listed and len(found) == len(HEADERS) + 1  # Spark's own listing leaves empty files out
+    # transparent palettes and WebP images reach the gate, others pass it
+    plan = prepare.size_plan(files.read_image_sizes(spark, str(tmp_path / "img")), PrepareConfig(image_format="jpg"))
+    blocked = {r["path"].rsplit("/", 1)[1] for r in plan.where("alpha_problem").collect()}
+    assert blocked == {n for n, (_, want) in HEADERS.items() if want[3] is not False}
+    (tmp_path / "none").mkdir()
+    assert files.read_image_sizes(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_other_sinks(spark, tmp_path):
     meta = metas(spark, ("a", {"z": 1, "a": {"y": 2, "b": 3}}))
     sinks.write_metadata(meta, str(tmp_path / "meta"))
