@@ -11,7 +11,7 @@ from tagweave.errors import gate
 from tagweave.functions import modeltext, tags, variants
 from tagweave.functions.text import let
 from tagweave.operators import pairing
-from tagweave.sources import sinks
+from tagweave.sources import versions
 
 
 # Bytes that a round of the radix selection counts by.
@@ -162,10 +162,13 @@ def write_back(metadata: DataFrame, results: DataFrame, *, default_source: str)
     )
 
 
-def store(written: DataFrame, path: str) -> None:
-    """Write merged metadata; nothing is written if any record had a problem."""
+def store(written: DataFrame, folder: str) -> list[int]:
+    """Put merged metadata into the record store of a folder; nothing is written if any record had a problem.
+
+    Only ranges of stems with a changed record are written; returns them.
+    """
     gate(written.where(F.col("problem").isNotNull()), "Unusable metadata", "stem")
-    sinks.write_metadata(written, path)
+    return versions.write_records(written.select("stem", F.to_json("meta").alias("json")), folder)
 
 
 def report(work: DataFrame, written: DataFrame) -> DataFrame:

@@ -97,14 +97,18 @@ def record_run(
     images: DataFrame,
     dry_run: bool = False,
 ) -> str | None:
-    """Check the prepared data, then freeze it under the run's folder."""
+    """Check the prepared data, then freeze it under the run's folder.
+
+    Whether manifest and config are there is looked up in what is live in ``prepared``.
+    """
     if dry_run:
         return None
     spark = plan.sparkSession
+    parts = sinks.prepared_parts(spark, prepared)
     present = spark.range(1).select(
         F.lit(dataset).alias("dataset"),
-        F.lit(True).alias("has_manifest"),
-        F.lit(True).alias("has_config"),
+        F.lit(parts[sinks.MANIFEST_FOLDER] is not None).alias("has_manifest"),
+        F.lit(parts[sinks.CONFIG_FOLDER] is not None).alias("has_config"),
     )
     usable_gate(datasets.prepared_validity(present, manifest, images))
     if not manifest.take(1):

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tagweave.errors import CurationError
 from tagweave.functions.geometry import PrepareConfig
+from tagweave.sources import versions
 
 MANIFEST_FOLDER = "manifest"
 CONFIG_FOLDER = "config"
@@ -48,10 +49,22 @@ def config_frame(spark: SparkSession, config: PrepareConfig) -> DataFrame:
     )
 
 
-def write_prepared(rows: DataFrame, config: PrepareConfig, folder: str) -> None:
-    """Rebuild a prepared dataset: its manifest and the config that made it."""
-    write_manifest(rows, f"{folder}/{MANIFEST_FOLDER}")
-    write_rows(config_frame(rows.sparkSession, config), f"{folder}/{CONFIG_FOLDER}")
+def write_prepared(rows: DataFrame, config: PrepareConfig, folder: str) -> str:
+    """Rebuild a prepared dataset: its manifest and the config that made it, live once both are whole."""
+    spark = rows.sparkSession
+
+    def write(version: str) -> None:
+        write_manifest(rows, f"{version}/{MANIFEST_FOLDER}")
+        write_rows(config_frame(spark, config), f"{version}/{CONFIG_FOLDER}")
+
+    return versions.publish(spark, folder, write)
+
+
+def prepared_parts(spark: SparkSession, folder: str) -> dict[str, str | None]:
+    """Paths of the manifest and the config of what is live in a prepared folder; None for one that is not there."""
+    version = versions.live(spark, folder)
+    paths = {name: f"{version}/{name}" for name in (MANIFEST_FOLDER, CONFIG_FOLDER)}
+    return {name: path if version and versions.exists(spark, f"{path}/_SUCCESS") else None for name, path in paths.items()}
 
 
 def snapshot_run(
@@ -59,15 +72,17 @@ def snapshot_run(
 ) -> str:
     """Copy the prepared manifest under the run, in its order; an existing run is an error.
 
-    The config is written last and marks a whole run: what a run that broke off
-    left behind is replaced.
+    The run is live once it is whole: what a run that broke off left behind counts for nothing, and of two runs of
+    one name at once one is refused.
     """
     target = f"{root}/dataset={dataset}/run={run}"
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/config/_SUCCESS")
-    if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        raise CurationError(f"Run exists: {target}")
-    lines = spark.read.text(f"{prepared}/{MANIFEST_FOLDER}")
-    ordered = lines.orderBy(F.get_json_object("value", "$.image"), "value")
-    ordered.write.mode("overwrite").text(f"{target}/manifest")
-    plan.write.mode("overwrite").json(f"{target}/config")
-    return target
+    source = prepared_parts(spark, prepared)[MANIFEST_FOLDER]
+    if source is None:
+        raise CurationError(f"No prepared manifest: {prepared}")
+
+    def write(version: str) -> None:
+        lines = spark.read.text(source)
+        lines.orderBy(F.get_json_object("value", "$.image"), "value").write.text(f"{version}/{MANIFEST_FOLDER}")
+        plan.write.json(f"{version}/{CONFIG_FOLDER}")
+
+    return versions.publish(spark, target, write, once=True)

@@ -1,6 +1,7 @@
 """Jobs, files and streams end to end on temporary folders."""
 
 import json
+import pathlib
 import struct
 import time
 import zlib
@@ -17,7 +18,7 @@ from tagweave.functions import variants
 from tagweave.functions.geometry import PrepareConfig
 from tagweave.operators import datasets, imports, pairing
 from tagweave.plans import captioning, importing, prepare, runs, tag_fusion
-from tagweave.sources import files, sinks
+from tagweave.sources import files, sinks, versions
 from tagweave.streaming import incremental
 
 
@@ -181,11 +182,12 @@ def test_prepare_writes_and_gates(spark, tmp_path):
     folder = str(tmp_path / "prepared")
     config = PrepareConfig(width=50, height=50, trigger="word")
     prepare.prepare(members(spark, "wide.png"), none, pool, config, folder)
-    good, _ = files.read_manifest(spark, f"{folder}/manifest")
+    parts = sinks.prepared_parts(spark, folder)
+    good, _ = files.read_manifest(spark, parts["manifest"])
     assert json.loads(good.select(F.to_json("row").alias("j")).first()["j"]) == {
         "caption": "word, wide. word, wide", "image": "images/wide.png", "tags": ["wide"],
     }
-    assert spark.read.json(f"{folder}/config").first()["trigger"] == "word"
+    assert spark.read.json(parts["config"]).first()["trigger"] == "word"
     with pytest.raises(GateError, match="one output name: same.png"):
         prepare.prepare(members(spark, "same.png", "same.jpg"), none, pool, PrepareConfig(image_format="png"), folder)
     for name in ("lonely.png", "odd.png", "bare.png"):
@@ -195,7 +197,7 @@ def test_prepare_writes_and_gates(spark, tmp_path):
     with pytest.raises(GateError, match="transparent"):
         prepare.prepare(members(spark, "wide.png"), none, pool, PrepareConfig(image_format="jpg"), folder, sizes)
     # Failed runs left the earlier output alone.
-    assert files.read_manifest(spark, f"{folder}/manifest")[0].count() == 1
+    assert sinks.prepared_parts(spark, folder) == parts and files.read_manifest(spark, parts["manifest"])[0].count() == 1
 
 
 def test_override_wins_in_manifest(spark):
@@ -223,7 +225,7 @@ def test_record_run(spark, tmp_path):
     pool = metas(spark, ("item", {"tags": ["t"]}))
     folder, root = str(tmp_path / "prepared"), str(tmp_path / "artifacts")
     prepare.prepare(members(spark, "item.png"), none, pool, PrepareConfig(), folder)
-    manifest = files.read_manifest(spark, f"{folder}/manifest")[0].select(F.lit("ds").alias("dataset"), "row")
+    manifest = files.read_manifest(spark, sinks.prepared_parts(spark, folder)["manifest"])[0].select(F.lit("ds").alias("dataset"), "row")
     images = spark.createDataFrame([("ds", "images/item.png")], "dataset STRING, image STRING")
     plan = spark.createDataFrame([("ds", "run-001")], "dataset STRING, run_name STRING")
     args = dict(dataset="ds", run="run-001", prepared=folder, root=root, manifest=manifest)
@@ -233,8 +235,56 @@ def test_record_run(spark, tmp_path):
         runs.record_run(plan, images=images.where("false"), **args)
     target = runs.record_run(plan, images=images, **args)
     assert spark.read.json(f"{target}/manifest").count() == 1
-    with pytest.raises(Exception, match="Run exists|already exist"):
+    with pytest.raises(CurationError, match="Exists already"):
         runs.record_run(plan, images=images, **args)
+    # presence is looked up: without the config the run is refused
+    version = pathlib.Path(versions.live(spark, folder))
+    (version / "config").rename(tmp_path / "moved")
+    with pytest.raises(GateError, match="missing or invalid"):
+        runs.record_run(plan, images=images, **(args | {"run": "run-002"}))
+
+
+def test_a_failed_publish_leaves_what_was_live(spark, tmp_path):
+    folder = str(tmp_path / "out")
+
+    def write(value, fail=False):
+        def run(version):
+            spark.range(value).write.parquet(f"{version}/rows")
+            if fail:
+                raise RuntimeError("broke off")
+        return run
+
+    assert versions.live(spark, folder) is None
+    versions.publish(spark, folder, write(1))
+    with pytest.raises(RuntimeError):
+        versions.publish(spark, folder, write(2, fail=True))
+    assert spark.read.parquet(f"{versions.live(spark, folder)}/rows").count() == 1
+    versions.publish(spark, folder, write(3))
+    assert spark.read.parquet(f"{versions.live(spark, folder)}/rows").count() == 3
+    number, _ = versions.pointer(spark, folder)
+    with pytest.raises(CurationError, match="another run"):  # a run that began before the last one ended
+        versions.point(spark, folder, number - 1, {"version": "late"})
+    with pytest.raises(CurationError, match="Exists already"):
+        versions.publish(spark, folder, write(4), once=True)
+
+
+def test_write_back_touches_changed_ranges_only(spark, tmp_path):
+    folder = str(tmp_path / "records")
+    rows = spark.range(5000).select(F.format_string("%06d", "id").alias("stem"), F.lit("{}").alias("json"))
+    assert versions.write_records(rows, folder) == list(range(64))
+
+    def stamps():
+        return {str(p): p.stat().st_mtime_ns for p in (tmp_path / "records").rglob("*.parquet")}
+
+    before = stamps()
+    changed = spark.range(1000, 1050).select(F.format_string("%06d", "id").alias("stem"), F.lit('{"a":1}').alias("json"))
+    fresh = spark.createDataFrame([("000001x", "{}"), ("zz", "{}")], "stem STRING, json STRING")
+    touched = versions.write_records(changed.union(fresh), folder)
+    assert len(touched) <= 4 and {k: v for k, v in stamps().items() if k in before} == before
+    assert len(stamps()) - len(before) == len(touched)
+    stored = {r["stem"]: r["json"] for r in versions.read_records(spark, folder).collect()}
+    assert len(stored) == 5002 and sum(j != "{}" for j in stored.values()) == 50 and stored["001049"] == '{"a":1}'
+    assert versions.write_records(changed.limit(0), folder) == [] and versions.read_records(spark, folder).count() == 5002
 
 
 # --- imports ----------------------------------------------------------------
