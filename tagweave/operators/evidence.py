@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.errors import CurationError
 from tagweave.functions import overlay
 
 
@@ -78,6 +79,9 @@ def frame_agreement(
     row saw nothing of the region: it counts with 0 and its whole weight.
     """
     frames = list(overlay.FRAME_WEIGHTS) if frames is None else frames
+    unknown = [name for name in frames if name not in overlay.FRAME_WEIGHTS]
+    if unknown:
+        raise CurationError(f"No weight for the frames {', '.join(unknown)}; there are {', '.join(overlay.FRAME_WEIGHTS)}")
     weights = [overlay.FRAME_WEIGHTS[name] for name in frames]
     seen = [
         F.coalesce(F.max(F.when(F.col("frame") == name, F.col("occupancy"))), F.lit(0.0))

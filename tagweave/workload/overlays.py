@@ -389,15 +389,12 @@ FROM shares"""
 
 @query
 def polygon_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Rectangles and triangles of a nested detector reply, clipped and measured."""
+    """Rectangles of detector replies, flat lists of boxes and lists of lists, clipped and measured."""
     box = {name: F.col(name).cast("double") for name in ("x", "y", "w", "h")}
-    reply = F.array(
-        F.array(
-            F.array(box["x"] - 5, box["x"] + box["w"] * 3 + 0.5, box["y"] * 1.2, box["y"] * 1.2 + box["h"]),
-            F.array(box["x"], box["y"]),
-        ),
-        F.array(F.array(box["x"] / 2, box["x"] / 2 + 3, box["y"], box["y"] + 2)),
-    )
+    wide = F.array(box["x"] - 5, box["x"] + box["w"] * 3 + 0.5, box["y"] * 1.2, box["y"] * 1.2 + box["h"])
+    point, narrow = F.array(box["x"], box["y"]), F.array(box["x"] / 2, box["x"] / 2 + 3, box["y"], box["y"] + 2)
+    nested, flat = F.to_variant_object(F.array(F.array(wide, point), F.array(narrow))), F.to_variant_object(F.array(wide, point, narrow))
+    reply = F.when(F.col("image_id") % 2 == 0, nested).otherwise(flat)
     rows = line_regions(spark, d).select(
         "image_id", "component_id", "width", "height", F.posexplode(overlay.rectangles(reply)).alias("item", "box")
     )

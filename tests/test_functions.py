@@ -336,18 +336,18 @@ def test_polygon_helpers(spark):
     assert [tuple(p) for p in one(spark, clipped)] == [(0, 1), (10, 1), (10, 19), (0, 19)]
     assert one(spark, overlay.polygon_area(clipped)) == 180.0
     assert tuple(one(spark, overlay.bounding_box(clipped))) == (0, 1, 10, 19)
-    nested = F.array(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(*[F.lit(float(i)) for i in range(4)])))
+    nested = F.to_variant_object(F.array(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(*[F.lit(float(i)) for i in range(4)]))))
     assert one(spark, overlay.rectangles(nested)) == [[0.0, 1.0, 2.0, 3.0]]
 
 
 def test_replies_of_mixed_depth(spark):
     reply = F.parse_json(F.lit("[[1, 2, 3, 4], [[5, 6, 7, 8], [9, 9]], 7, []]"))
-    assert one(spark, overlay.flat_or_nested_rectangles(reply)) == [[1.0, 2.0, 3.0, 4.0], [5.0, 6.0, 7.0, 8.0]]
+    assert one(spark, overlay.rectangles(reply)) == [[1.0, 2.0, 3.0, 4.0], [5.0, 6.0, 7.0, 8.0]]
     reply = F.parse_json(F.lit("[[[0, 0], [1, 0], [1, 1]], [[[2, 2], [3, 2], [3, 3], [2, 3]], [[1, 1]]]]"))
-    assert one(spark, F.transform(overlay.flat_or_nested_polygons(reply), F.size)) == [3, 4]
-    assert one(spark, overlay.flat_or_nested_rectangles(F.parse_json(F.lit("null")))) == []
-    nested = F.array(F.array(F.array(F.lit(1.0)), F.array(*[F.lit(float(i)) for i in range(3)])))
-    assert one(spark, overlay.polygons(nested)) == [[0.0, 1.0, 2.0]]
+    assert one(spark, F.transform(overlay.polygons(reply), F.size)) == [3, 4]
+    assert one(spark, overlay.rectangles(F.parse_json(F.lit("null")))) == []
+    reply = F.parse_json(F.lit("[[[[0, 0], [1, 0]], [[2, 2], [3, 2], [3, 3]]], []]"))
+    assert one(spark, overlay.polygons(reply)) == [[[2.0, 2.0], [3.0, 2.0], [3.0, 3.0]]]
 
 
 def test_accept_rules(spark):
