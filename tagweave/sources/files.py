@@ -92,13 +92,6 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 # --- download catalogue -----------------------------------------------------
 
-CATALOGUE_SCHEMA = (
-    "queries MAP<STRING, STRUCT<seen_post_ids: ARRAY<BIGINT>>>, "
-    "posts MAP<STRING, STRUCT<file_paths: STRUCT<json: STRING, "
-    "image_paths: STRUCT<preview: STRING, sample: STRING, original: STRING>>>>"
-)
-
-
 def is_catalogue(spark: SparkSession, folder: str) -> bool:
     """A manifest file beside an ``images`` and a ``json`` folder."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
@@ -112,30 +105,33 @@ def is_catalogue(spark: SparkSession, folder: str) -> bool:
     return fs.exists(fs_path(root, "manifest.json")) and is_dir("images") and is_dir("json")
 
 
+def _entries(spark: SparkSession, catalogue: DataFrame, member: str) -> DataFrame:
+    """Rows ``(key, value VARIANT)`` of one member of a catalogue, dealt out before anything is read from them."""
+    whole = catalogue.select(F.try_variant_get("c", f"$.{member}", "variant").alias("entries"))
+    each = whole.lateralJoin(spark.tvf.variant_explode(F.col("entries").outer()))
+    return each.select("key", "value").repartition(spark.sparkContext.defaultParallelism)
+
+
 def read_catalogue(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``query_seen(query_key, post_id)`` and ``post_paths(post_id, mode, path)``.
 
-    The mode ``json`` names the record of a post.
+    The mode ``json`` names the record of a post. The catalogue is one JSON document and is parsed by one task; its
+    entries leave that task as they are, and all cores read their members.
     """
-    catalogue = spark.read.text(path, wholetext=True).select(
-        F.from_json("value", CATALOGUE_SCHEMA).alias("c")
-    )
+    catalogue = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("c"))
+    ids = F.try_variant_get("value", "$.seen_post_ids", "array<bigint>")
     seen = (
-        catalogue.select(F.explode("c.queries").alias("query_key", "state"))
-        .select("query_key", F.explode("state.seen_post_ids").alias("post_id"))
+        _entries(spark, catalogue, "queries")
+        .select(F.col("key").alias("query_key"), F.explode(ids).alias("post_id"))
         .where(F.col("post_id").isNotNull())
     )
-    images = "post.file_paths.image_paths"
+    modes = {"json": "$.file_paths.json"} | {m: f"$.file_paths.image_paths.{m}" for m in ("preview", "sample", "original")}
     paths = F.array(
-        F.struct(F.lit("json").alias("mode"), F.col("post.file_paths.json").alias("path")),
-        *[
-            F.struct(F.lit(mode).alias("mode"), F.col(f"{images}.{mode}").alias("path"))
-            for mode in ("preview", "sample", "original")
-        ],
+        *[F.struct(F.lit(m).alias("mode"), F.try_variant_get("value", at, "string").alias("path")) for m, at in modes.items()]
     )
     posts = (
-        catalogue.select(F.explode("c.posts").alias("id", "post"))
-        .select(F.expr("try_cast(id AS BIGINT)").alias("post_id"), F.explode(paths).alias("file"))
+        _entries(spark, catalogue, "posts")
+        .select(F.expr("try_cast(key AS BIGINT)").alias("post_id"), F.explode(paths).alias("file"))
         .where(F.col("post_id").isNotNull() & F.col("file.path").isNotNull())
         .select("post_id", "file.mode", "file.path")
     )

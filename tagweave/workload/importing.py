@@ -9,6 +9,7 @@ from tagweave.cluster import work_folder
 from tagweave.functions import names
 from tagweave.operators import imports, pairing
 from tagweave.plans import importing
+from tagweave.sources import files as files_source
 from tagweave.streaming import incremental
 from tagweave.streaming.incremental import unseen
 from tagweave.workload.tables import table
@@ -268,3 +269,38 @@ def caption_retries(spark: SparkSession, d: str) -> DataFrame:
 
 SQL["caption_retries"] = """
 SELECT CAST(doc_id AS VARCHAR) AS stem, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 1 END AS tried, coalesce(lang, '') AS tags FROM documents"""
+
+
+# --- files written from the tables and read back --------------------------------
+
+
+@query
+def catalogue_posts(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and their lines as one download catalogue, written as a file and read back: posts of a query and their paths."""
+    folder = work_folder(spark)
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    path = lambda mode: F.concat(F.lit(f"images/{mode}/"), _padded("o_orderkey"), F.lit(".png"))
+    status = F.col("o_orderstatus")
+    files = F.struct(
+        F.concat(F.lit("json/"), _padded("o_orderkey"), F.lit(".json")).alias("json"),
+        F.struct(
+            F.when(status == "P", path("preview")).alias("preview"), F.when(status != "F", path("sample")).alias("sample"),
+            path("original").alias("original"),
+        ).alias("image_paths"),
+    )
+    # the layout asks for one document
+    posts = orders.agg(F.map_from_entries(F.collect_list(F.struct(F.col("o_orderkey").cast("string"), F.struct(files.alias("file_paths"))))).alias("posts"), F.lit(1).alias("one"))
+    wanted = lines.groupBy("l_returnflag").agg(F.collect_set("l_orderkey").alias("ids"))
+    queries = wanted.agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", F.struct(F.col("ids").alias("seen_post_ids"))))).alias("queries"), F.lit(1).alias("one"))
+    posts.join(queries, "one").select(F.to_json(F.struct("queries", "posts"))).write.text(folder)
+    seen, paths = files_source.read_catalogue(spark, folder)
+    return paths.join(seen.where("query_key = 'R'"), "post_id", "left_semi")
+
+
+SQL["catalogue_posts"] = """
+WITH paths AS (
+  SELECT o_orderkey AS post_id, printf('%012d', o_orderkey) AS name, o_orderstatus AS status, unnest(['json', 'preview', 'sample', 'original']) AS mode
+  FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+)
+SELECT post_id, mode, CASE mode WHEN 'json' THEN 'json/' || name || '.json' ELSE 'images/' || mode || '/' || name || '.png' END AS path
+FROM paths WHERE mode IN ('json', 'original') OR (mode = 'preview' AND status = 'P') OR (mode = 'sample' AND status <> 'F')"""

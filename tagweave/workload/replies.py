@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagweave import plugins
 from tagweave.functions import modeltext
 from tagweave.workload.tables import sql_strip, table
 
@@ -142,6 +145,56 @@ SELECT conv_id, caption, coalesce(semantic, caption) AS draft, CASE WHEN caption
 FROM final"""
 
 
+def _captioner(turns: DataFrame, first: int) -> Callable[[DataFrame], DataFrame]:
+    """A tagger that says what the assistant said from a turn on, in one of three turns, with the role and turn as tags."""
+    said = turns.where((F.col("role") == "assistant") & (F.col("turn") % 6 == first)).groupBy("conv_id").agg(
+        F.max_by("text", "turn").alias("caption"), F.collect_set(F.concat("role", F.lit(" "), F.col("turn").cast("string"))).alias("told")
+    )
+
+    def run(requests: DataFrame) -> DataFrame:
+        none = F.lit(None).cast("string")
+        answers = requests.join(said.select(F.col("conv_id").cast("string").alias("stem"), "caption", "told"), "stem", "left")
+        return answers.select(
+            "stem", F.array_sort(F.concat(F.col("context_tags"), F.coalesce("told", F.array().cast("array<string>")))).alias("tags"), "caption",
+            none.alias("draft_caption"), F.lit(f"captioner {first}").alias("caption_backend"), none.alias("editor_backend"),
+            F.lit(None).cast("struct<stage:string,error:string,traceback:string>").alias("error"),
+        )
+
+    return run
+
+
+@query
+def several_captioners(spark: SparkSession, d: str) -> DataFrame:
+    """Three captioners on every conversation: all their tags in order, the last caption given with its origin."""
+    turns = table(spark, d, "conversations")
+    requests = turns.groupBy(F.col("conv_id").cast("string").alias("stem")).agg(F.array(F.min("role")).alias("context_tags"))
+    requests = requests.withColumn("image_path", F.lit("x"))
+    told = plugins.composite([_captioner(turns, first) for first in (1, 3, 5)])(requests)
+    return told.select("stem", F.array_join("tags", "|").alias("tags"), "caption", F.when(F.col("caption").isNotNull(), F.col("caption_backend")).alias("backend"))
+
+
+SQL["several_captioners"] = """
+WITH said AS (
+  SELECT conv_id, turn % 6 AS captioner, arg_max(text, turn) AS caption, list(DISTINCT role || ' ' || turn) AS told
+  FROM conversations WHERE role = 'assistant' AND turn % 6 IN (1, 3, 5) GROUP BY 1, 2
+),
+stems AS (SELECT conv_id, min(role) AS context FROM conversations GROUP BY 1),
+lists AS (
+  SELECT s.conv_id, c.captioner, a.caption, list_sort(list_append(coalesce(a.told, []), s.context)) AS tags
+  FROM stems s CROSS JOIN (SELECT unnest([1, 3, 5]) AS captioner) c LEFT JOIN said a ON a.conv_id = s.conv_id AND a.captioner = c.captioner
+),
+places AS (
+  SELECT conv_id, tag, min(captioner * 100000 + place) AS first_place
+  FROM (SELECT conv_id, captioner, unnest(tags) AS tag, generate_subscripts(tags, 1) AS place FROM lists) GROUP BY 1, 2
+),
+joined AS (SELECT conv_id, string_agg(tag, '|' ORDER BY first_place) AS tags FROM places GROUP BY 1),
+last AS (
+  SELECT conv_id, arg_max(caption, captioner) FILTER (caption IS NOT NULL) AS caption, max(captioner) FILTER (caption IS NOT NULL) AS captioner
+  FROM lists GROUP BY 1
+)
+SELECT CAST(j.conv_id AS VARCHAR) AS stem, j.tags, l.caption, 'captioner ' || l.captioner AS backend FROM joined j JOIN last l USING (conv_id)"""
+
+
 @query
 def last_captions(spark: SparkSession, d: str) -> DataFrame:
     """Of several captioners, turn by turn, the last one that said anything wins."""

@@ -239,7 +239,32 @@ routed AS (
     confidence
   FROM selected WHERE label_group <> 'artists'
 )"""
-SQL["routed_labels"] = f"WITH {_LABELLED}, {_ROUTED} SELECT stem, group_rank, pos, raw, namespace FROM routed"
+SQL["routed_labels"] = """
+SELECT stem, CASE category WHEN 9 THEN 0 WHEN 4 THEN 2 WHEN 3 THEN 3 WHEN 5 THEN 4 ELSE 1 END AS group_rank, pos, 'Label_' || pos AS raw,
+  CASE category WHEN 9 THEN 'rating' WHEN 4 THEN 'characters' WHEN 3 THEN 'copyright' ELSE 'booru' END AS namespace
+FROM (
+  SELECT *, min(CASE WHEN category = 9 AND confidence = highest THEN pos END) OVER (PARTITION BY stem) AS rated
+  FROM (
+    SELECT *, max(CASE WHEN category = 9 THEN confidence END) OVER (PARTITION BY stem) AS highest
+    FROM (
+      SELECT stem, CAST(place - 1 AS INTEGER) AS pos, CAST((place - 1) % 10 AS INTEGER) AS category, CAST(score AS DOUBLE) AS confidence
+      FROM (SELECT vec_id AS stem, unnest(embedding) AS score, generate_subscripts(embedding, 1) AS place FROM embeddings)
+    )
+  )
+)
+WHERE pos = rated OR (category NOT IN (1, 9) AND confidence >= CASE category WHEN 4 THEN 0.2e0 ELSE 0.1e0 END)"""
+
+
+@query
+def cut_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Scores against a shorter vocabulary: the longer side is cut."""
+    scores = table(spark, d, "embeddings").select(F.col("vec_id").alias("stem"), F.col("embedding").alias("scores"))
+    short = _vocabulary(spark).where("pos < 40")
+    return predictions.simple_tags(predictions.label_scores(scores, short, strict=False), SIMPLE_BAR).select("stem", "pos", "name")
+
+
+SQL["cut_labels"] = f"""WITH {_LABELLED}
+SELECT stem, pos, name FROM labelled WHERE pos < 40 AND category IN (0, 4) AND confidence >= 0.05e0"""
 
 
 # --- scoring and merging ----------------------------------------------------
