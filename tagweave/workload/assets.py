@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagweave.errors import GateError
 from tagweave.functions import names, variants
 from tagweave.functions.geometry import PrepareConfig
 from tagweave.operators import datasets, pairing
@@ -521,3 +522,48 @@ walk AS (
   FROM images
 )
 SELECT stem, skipped FROM walk WHERE coalesce(before, 0) < 20000"""
+
+
+@query
+def caption_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What a captioning run reports: images captioned and passed by, and tags added."""
+    documents = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"), "lang", "source")
+    good = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("stem"))
+    stored = documents.join(good, "stem").select(
+        "stem", variants.parse_object(F.concat(F.lit('{"tags": ["'), F.col("source"), F.lit('"]}'))).alias("meta")
+    )
+    pairs = pairing.pair(pairing.classify(documents.select(F.concat("stem", F.lit(".png")).alias("path"))))
+    work = captioning.select_work(captioning.caption_candidates(pairs, stored), limit=300)
+    none = [F.lit(None).cast("string").alias(n) for n in ("caption", "draft_caption", "caption_backend", "editor_backend")]
+    results = captioning.requests(work).join(documents, "stem").select(
+        "stem", F.array("lang", "source", F.lit("new")).alias("tags"), *none, F.lit(None).cast("variant").alias("sidecar")
+    )
+    written = captioning.write_back(stored, results, default_source="curation")
+    return captioning.summary(captioning.report(work, written))
+
+
+SQL["caption_summary"] = """
+WITH walk AS (
+  SELECT CAST(doc_id AS VARCHAR) AS stem, lang, source, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS skipped FROM documents
+),
+reached AS (
+  SELECT *, sum(CASE WHEN skipped THEN 0 ELSE 1 END) OVER (ORDER BY stem ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM walk
+)
+SELECT count(*) FILTER (NOT skipped) AS captioned, count(*) FILTER (skipped) AS skipped,
+  CAST(coalesce(sum(CASE WHEN skipped THEN 0 ELSE len(list_distinct([lang, source, 'new'])) END), 0) AS BIGINT) AS added
+FROM reached WHERE coalesce(before, 0) < 300"""
+
+
+@query
+def broken_stems(spark: SparkSession, d: str) -> DataFrame:
+    """Staging the whole pool is refused: every stem that its error names, and every row it holds."""
+    pairs = pairing.candidate_list(pool_pairs(spark, d))
+    try:
+        datasets.stage_all(pairs, "all")
+    except GateError as error:
+        named = spark.createDataFrame([(s,) for s in str(error).split(": ", 1)[1].split(", ")], "stem STRING")
+        return named.join(error.rows.select("stem", "is_broken"), "stem", "full")
+    raise AssertionError("the pool holds broken stems")
+
+
+SQL["broken_stems"] = f"WITH {SQL_POOL} SELECT stem, is_broken FROM pairs WHERE is_broken"

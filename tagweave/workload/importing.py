@@ -10,6 +10,7 @@ from tagweave.functions import names
 from tagweave.operators import imports, pairing
 from tagweave.plans import importing
 from tagweave.sources import files as files_source
+from tagweave.sources import versions
 from tagweave.streaming import incremental
 from tagweave.streaming.incremental import unseen
 from tagweave.workload.tables import table
@@ -304,3 +305,44 @@ WITH paths AS (
 )
 SELECT post_id, mode, CASE mode WHEN 'json' THEN 'json/' || name || '.json' ELSE 'images/' || mode || '/' || name || '.png' END AS path
 FROM paths WHERE mode IN ('json', 'original') OR (mode = 'preview' AND status = 'P') OR (mode = 'sample' AND status <> 'F')"""
+
+
+@query
+def record_store(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as stored records, then those of one clerk's range written back: read from what is live."""
+    folder = work_folder(spark)
+    orders = table(spark, d, "orders")
+    stem = _padded("o_orderkey").alias("stem")
+    versions.write_records(orders.select(stem, F.to_json(F.struct("o_orderpriority")).alias("json")), folder)
+    last = orders.agg(F.max("o_orderkey")).first()[0]
+    changed = orders.where(F.col("o_orderkey") > last - last // 50)
+    versions.write_records(changed.select(stem, F.to_json(F.struct("o_orderstatus", "o_orderpriority")).alias("json")), folder)
+    return versions.read_records(spark, folder)
+
+
+SQL["record_store"] = """
+SELECT printf('%012d', o_orderkey) AS stem, CASE WHEN o_orderkey > (SELECT max(o_orderkey) - max(o_orderkey) // 50 FROM orders)
+  THEN '{"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '"}'
+  ELSE '{"o_orderpriority":"' || o_orderpriority || '"}' END AS json
+FROM orders"""
+
+
+@query
+def vocabulary_files(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as a label list, written as CSV and read back; every ninth has its name in another column, every seventh none."""
+    folder = work_folder(spark)
+    key = F.col("p_partkey")
+    named = F.when(key % 7 != 0, F.col("p_name"))
+    rows = table(spark, d, "part").select(
+        "p_partkey", F.when(key % 9 != 0, named).alias("name"), F.when(key % 9 == 0, named).alias("tag_name"),
+        F.when(key % 5 == 0, "x").otherwise((key % 5).cast("string")).alias("category"),
+    )
+    # the order of the rows is their meaning
+    rows.orderBy("p_partkey").coalesce(1).drop("p_partkey").write.option("header", "true").csv(folder)
+    return files_source.read_vocabulary(spark, folder).select("pos", "name", "category", "category_name")
+
+
+SQL["vocabulary_files"] = """
+SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS pos, p_name AS name, category,
+  CASE category WHEN 0 THEN 'general' WHEN 1 THEN 'artist' WHEN 3 THEN 'copyright' WHEN 4 THEN 'character' WHEN 5 THEN 'meta' ELSE 'unknown' END AS category_name
+FROM (SELECT p_partkey, p_name, CAST(CASE WHEN p_partkey % 5 = 0 THEN -1 ELSE p_partkey % 5 END AS INTEGER) AS category FROM part WHERE p_partkey % 7 <> 0)"""

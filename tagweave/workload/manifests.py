@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.functions import geometry, names, prompts, tags
+from tagweave.cluster import work_folder
+from tagweave.functions import geometry, names, prompts, tags, variants
 from tagweave.functions.geometry import PrepareConfig
-from tagweave.operators import imports
+from tagweave.operators import datasets, imports
 from tagweave.plans import prepare
-from tagweave.sources import sinks
+from tagweave.sources import files, sinks
 from tagweave.workload.tables import SQL_DOCUMENT_FILE, document_file, sql_once, sql_strip, table
 
 QUERIES = {}
@@ -127,6 +128,29 @@ def training_rows(spark: SparkSession, d: str) -> DataFrame:
 SQL["training_rows"] = f"WITH {_MANIFEST} SELECT image AS file_name, caption AS text FROM rows"
 
 
+@query
+def prepared_files(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest written as a prepared dataset, JSON lines in image order beside its config, and read back with its line's check."""
+    folder = work_folder(spark)
+    rows = prepare.manifest_rows(_resolved(spark, d), CONFIG)
+    image = F.concat_ws("/", F.lit("images"), "dataset", F.substring_index("image", "/", -1)).alias("image")
+    sinks.write_prepared(rows.select(image, "caption", "tags"), CONFIG, folder)
+    parts = sinks.prepared_parts(spark, folder)
+    read, rejects = files.read_manifest(spark, parts["manifest"])
+    row = F.col("row")
+    good = read.select(
+        variants.string_member(row, "image").alias("image"), variants.string_member(row, "caption").alias("caption"),
+        F.array_join(variants.tags_of(variants.field(row, "tags")), "|").alias("tags"), datasets.manifest_row_valid(row).alias("valid"),
+    )
+    bad = rejects.select(F.lit(None).cast("string").alias("image"), F.col("value").alias("caption"), F.col("reason").alias("tags"), F.lit(False).alias("valid"))
+    trigger = spark.read.json(parts["config"]).first()["trigger"]
+    return good.unionByName(bad).where(F.col("caption").contains(trigger))
+
+
+SQL["prepared_files"] = f"""WITH {_MANIFEST}
+SELECT 'images/' || dataset || '/' || split_part(image, '/', 2) AS image, caption, tags, true AS valid FROM rows WHERE contains(caption, 'wv')"""
+
+
 # --- prompts ----------------------------------------------------------------
 
 
