@@ -70,7 +70,7 @@ def test_distance():
 
 
 def plain_distances(rows, common=50):
-    """Distances of every text to its nearest reference, each reference counted anew without the text."""
+    """Distances of every text to its nearest reference, without the text's own part in it."""
 
     def classes(text):
         found = [0] * 7
@@ -91,16 +91,18 @@ def plain_distances(rows, common=50):
     labels = {lang or "" for _, _, lang, _ in rows}
     every = {lang: sum((w for w, r in zip(words, rows) if (r[2] or "") == lang), Counter()) for lang in labels}
     listed = {lang: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:common]] for lang, c in every.items()}
+    members = {lang: sum(1 for r in rows if (r[2] or "") == lang and r[1] is not None) for lang in labels}
+    kinds_of = {lang: sum(k for k, r in zip(kinds, rows) if (r[2] or "") == lang) for lang in labels}
     out = {}
     for i, (doc, text, lang, _) in enumerate(rows):
         near = []
         for label in labels:
-            others = [j for j, r in enumerate(rows) if (r[2] or "") == label and r[1] is not None and j != i]
-            left = sum((words[j] for j in others), Counter())
-            if len(others) < quality.LEAST_DOCS or sum(left.values()) < quality.LEAST_WORDS or not words[i]:
+            own = (lang or "") == label and text is not None
+            left = every[label] - words[i] if own else every[label]
+            if members[label] - own < quality.LEAST_DOCS or sum(left.values()) < quality.LEAST_WORDS or not words[i]:
                 continue
             share = lambda c, names: [c[w] for w in names] + [sum(c.values()) - sum(c[w] for w in names)]
-            near.append((divergence(kinds[i], sum(kinds[j] for j in others)), divergence(share(words[i], listed[label]), share(left, listed[label]))))
+            near.append((divergence(kinds[i], kinds_of[label] - own * kinds[i]), divergence(share(words[i], listed[label]), share(left, listed[label]))))
         out[doc] = min(near, key=sum, default=(None, None))
     return out
 
