@@ -250,48 +250,37 @@ def tag_facts(candidates: DataFrame, judged: DataFrame, required: tuple[str, ...
     )
 
 
-def final_tags(
-    facts: DataFrame, limit: int = MAX_CANDIDATES, *, bounded_records: bool = False
-) -> DataFrame:
+def final_tags(facts: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
     """Final tags of :func:`tag_facts`, ordered within a record by ``place``.
 
     Block 0 holds the judged tags among the best ``limit``; block 1 all of
     those, for records where the judge kept none; later blocks the required
     tags of each source.
 
-    Ranking lets only the best ``limit`` tags of a record through to its
-    window, and required tags take their own way. With ``bounded_records``,
-    for records whose tags all come out of single rows, one window per record
-    sees everything and the facts are computed once.
+    The facts are computed once. A required tag goes on in a lane of its own beside
+    the ranked one of its record, so the rank cuts every lane in every task before the
+    shuffle, and no window sees more than ``limit`` tags of a record.
     """
     required = sorted(name for name in facts.columns if name.startswith("required_"))
-    record = Window.partitionBy("stem")
-    ranked = facts.withColumn(
-        "rank", F.row_number().over(record.orderBy(F.col("score").desc(), "first_pos"))
-    )
-    kept = (F.col("rank") <= limit) & F.col("judged_at").isNotNull()
-    judged = F.max(kept).over(record)
-    listed = F.when(kept, 0).when((F.col("rank") <= limit) & ~F.col("judged"), 1)
     needed = F.coalesce(*[F.when(F.col(n).isNotNull(), 2 + i) for i, n in enumerate(required)])
-
-    def placed(rows: DataFrame, block: Column) -> DataFrame:
-        at = [(0, "judged_at"), (1, "rank"), *[(2 + i, n) for i, n in enumerate(required)]]
-        places = [F.when(F.col("block") == i, F.col(n)).alias(n) for i, n in at]
-        return (
-            rows.withColumn("block", block)
-            .where(F.col("block").isNotNull())
-            .select("stem", "tag", F.struct("block", *places).alias("place"))
-        )
-
-    if bounded_records:
-        return placed(ranked.withColumn("judged", judged), F.coalesce(listed, needed))
-    best = ranked.where(F.col("rank") <= limit).withColumn("judged", judged)
-    bypass = facts.where(needed.isNotNull()).withColumn("rank", F.lit(None).cast("int"))
+    ranking = F.lit(None).cast("string")
+    lanes = F.when(needed.isNotNull(), F.array(ranking, F.col("tag"))).otherwise(F.array(ranking))
+    lane = Window.partitionBy("stem", "lane")
+    ranked = (
+        facts.withColumn("lane", F.explode(lanes))
+        .withColumn("rank", F.row_number().over(lane.orderBy(F.col("score").desc(), "first_pos")))
+        .where(F.col("rank") <= limit)
+    )
+    kept = F.col("judged_at").isNotNull()
+    block = F.when(F.col("lane").isNotNull(), needed).when(kept, 0).when(~F.col("judged"), 1)
+    at = [(0, "judged_at"), (1, "rank"), *[(2 + i, n) for i, n in enumerate(required)]]
+    places = [F.when(F.col("block") == i, F.col(n)).alias(n) for i, n in at]
     return (
-        placed(best, listed)
-        .unionByName(placed(bypass, needed))
+        ranked.withColumn("judged", F.max(kept).over(lane))
+        .withColumn("block", block)
+        .where(F.col("block").isNotNull())
         .groupBy("stem", "tag")
-        .agg(F.min("place").alias("place"))
+        .agg(F.min(F.struct("block", *places)).alias("place"))
     )
 
 

@@ -55,8 +55,7 @@ def fuse(
     return Fusion(
         candidates=candidates,
         merged=merged,
-        # One row per record and source: a record's tags fit one window.
-        final=fusion.final_tags(facts, bounded_records=True),
+        final=fusion.final_tags(facts),
         sources=fusion.source_tags(candidates),
     )
 
