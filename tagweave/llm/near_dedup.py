@@ -144,13 +144,17 @@ def own_items(sets: DataFrame) -> DataFrame:
     return single.groupBy("cls").agg(F.count("*").alias("own"))
 
 
+#: Bits of a ranked element that are hash; above them stands how many sets hold it, up to 127.
+HASH_BITS = 56
+
+
 def ranked_sets(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (cls, items, counts): sets of the wanted classes, and in how many of these each item is."""
+    """Rows (cls, ranked): sets of the wanted classes as longs that hold, above ``HASH_BITS`` of an item, how many of these sets it is in."""
     chosen = sets.join(wanted.select("cls"), "cls", "left_semi")
     places = _items(chosen)
     counts = places.groupBy("item").agg(F.count("*").alias("n"))
-    met = places.join(counts, "item").groupBy("cls").agg(F.collect_list(F.struct("item", "n")).alias("met"))
-    return met.select("cls", F.col("met.item").alias("items"), F.col("met.n").alias("counts"))
+    packed = F.shiftleft(F.least("n", F.lit(127)).cast("long"), HASH_BITS).bitwiseOR(F.col("item").bitwiseAND((1 << HASH_BITS) - 1))
+    return places.join(counts, "item").groupBy("cls").agg(F.collect_list(packed).alias("ranked"))
 
 
 def difference_prefixes(stars: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
@@ -158,39 +162,40 @@ def difference_prefixes(stars: DataFrame, ranked: DataFrame, percent: int) -> Da
 
     ``stars`` holds (pivot, cls, root, out, company): ``out`` marks classes of another component than the pivot, ``company`` counts the star.
     ``apart`` is the size of the difference, ``at`` the place of ``item`` in it. What only one class has comes
-    first and is left out, since no other one can share it.
+    first and is left out, since no other one can share it. Sets are taken apart in the JVM, so only differences reach Python.
     """
     kinds = "pivot long, cls long, out boolean, root long, items int, apart int, at int, item long"
-
     names = ["pivot", "cls", "out", "root", "items", "apart", "at", "item"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[list[np.ndarray]] = [[] for _ in names]
-            facts = zip(*(batch[c].to_pylist() for c in ("pivot", "cls", "out", "root", "company")))
-            for row, (pivot, cls, out, root, company) in enumerate(facts):
-                x, x_counts, y, y_counts = (np.asarray(batch[c][row].values) for c in ("x", "x_counts", "y", "y_counts"))
-                added, removed = ~np.isin(x, y, assume_unique=True), ~np.isin(y, x, assume_unique=True)
-                items = np.concatenate([x[added], y[removed]])
+            facts = zip(*(batch[c].to_pylist() for c in ("pivot", "cls", "out", "root", "company", "n", "m")))
+            for row, (pivot, cls, out, root, company, n, m) in enumerate(facts):
+                added, removed = (np.asarray(batch[c][row].values).astype(np.int64) for c in ("added", "removed"))
+                items = np.concatenate([added, removed])
                 # about how many of the star differ from the pivot in it: those that have it, or those that have not
-                sharing = np.concatenate([x_counts[added], np.maximum(company - y_counts[removed], 1)])
-                alone = np.concatenate([x_counts[added] == 1, np.zeros(int(removed.sum()), bool)])
+                sharing = np.concatenate([added >> HASH_BITS, np.maximum(company - (removed >> HASH_BITS), 1)])
+                alone = np.concatenate([added >> HASH_BITS == 1, np.zeros(len(removed), bool)])
                 order = np.lexsort((items, np.where(alone, 0, sharing)))
                 if out:  # a class that is not linked with the pivot shares all but this many at least
-                    last = len(x) * (100 - percent) // percent
+                    last = n * (100 - percent) // percent
                 else:  # its partner is not, and differs from the pivot by more than linked sets may
-                    last = (len(items) + max(0, len(x) - len(y)) * (100 - percent) // (100 + percent) + 3) // 2
+                    last = (len(items) + max(0, n - m) * (100 - percent) // (100 + percent) + 3) // 2
                 spots = np.flatnonzero(~alone[order][: last + 1])
-                for values, value in zip(found, (pivot, cls, out, root, len(x), len(items), spots, items[order][spots])):
+                for values, value in zip(found, (pivot, cls, out, root, n, len(items), spots, items[order][spots])):
                     values.append(value if isinstance(value, np.ndarray) else np.full(len(spots), value))
             if found[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)).cast(t) for v, t in zip(found, types)], names)
 
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-    x = ranked.select("cls", F.col("items").alias("x"), F.col("counts").alias("x_counts"))
-    y = ranked.select(F.col("cls").alias("pivot"), F.col("items").alias("y"), F.col("counts").alias("y_counts"))
-    both = stars.join(x, "cls").join(y, "pivot")
-    return both.select("pivot", "cls", "root", "out", "company", "x", "x_counts", "y", "y_counts").mapInArrow(run, kinds)
+    x = ranked.select("cls", F.col("ranked").alias("x"))
+    y = ranked.select(F.col("cls").alias("pivot"), F.col("ranked").alias("y"))
+    both = stars.join(x, "cls").join(y, "pivot").select(
+        "pivot", "cls", "root", "out", "company", F.size("x").alias("n"), F.size("y").alias("m"),
+        F.array_except("x", "y").alias("added"), F.array_except("y", "x").alias("removed"),
+    )
+    return both.mapInArrow(run, kinds)
 
 
 def prefix_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
