@@ -39,7 +39,10 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that five or more documents share stay in one of them. Documents stay, if need be without text."""
+    """Lines that five or more documents share stay in one of them. Documents stay, if need be without text.
+
+    A null or empty text becomes an empty one. Rows of one id count as one document, rows of a null id lose nothing; repeated rows stay.
+    """
     return with_text(docs, line_dedup.dedup_lines(docs), "kept")
 
 
@@ -58,7 +61,10 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stands as often as the mix takes it; where a source's last pass is cut, with the words taken."""
+    """A document stands as often as the mix takes it; where a source's last pass is cut, with the words taken.
+
+    Rows without words are never taken. A null source is a source. Rows of a null or repeated id, and repeated rows, are each drawn on their own.
+    """
     sized = docs.select(F.struct("*").alias("all"), "doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     mixed = mixing.mix(sized).where("taken > 0")
     text = F.col("row.all.text")
@@ -68,7 +74,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document and the text that they decode to."""
+    """Piece ids of every document and the text that they decode to; none and empty for null and empty texts, repeated rows each."""
     return pieces.encode_pieces(docs.select("doc_id", "source", "text"), PIECE_MODEL).select(
         "row.doc_id", "row.source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded"
     )

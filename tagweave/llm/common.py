@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +90,16 @@ def row_beside_text(docs: DataFrame, text: str, with_text: bool) -> tuple[DataFr
     row = F.struct(*[F.col(f"`{name}`") for name in names]) if names else F.struct(F.lit(0).alias("none"))
     rows = docs.select(row.alias("row"), F.col(text).alias("text"))
     return rows, rows.schema["row"].dataType.simpleString()
+
+
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``most`` bytes of text, at least a row each, so what a task makes of one stays small."""
+    sizes = pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for row, size in enumerate(sizes.tolist()):
+        held += size
+        if held >= most:
+            yield batch.slice(start, row + 1 - start)
+            start, held = row + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tagweave.llm.common import row_beside_text
+from tagweave.llm.common import row_beside_text, slices
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -73,14 +73,14 @@ def encode_pieces(docs: DataFrame, model: str, *, text: str = "text") -> DataFra
     """The columns of ``docs`` but the text in the struct ``row``, ``ids`` and ``decoded``, their text.
 
     ``model`` is the path of the model file on every executor. A null or empty text
-    has no ids and decodes to the empty text. Repeated rows are encoded each. An
-    empty table gives an empty result.
+    has no ids and decodes to the empty text. Repeated rows are encoded each, a text of
+    any length whole. An empty table gives an empty result.
     """
     rows, kind = row_beside_text(docs, text, False)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunk_encoder(model)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids, decoded = [], []
             for content in batch["text"]:
                 found = encoder.encode(content.as_py())
