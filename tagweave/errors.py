@@ -17,19 +17,19 @@ class GateError(CurationError):
     """A whole-table check failed.
 
     ``rows`` holds every offending row as a DataFrame. The message names all of them up to
-    ``NAMED``; what more there are it counts, and ``rows`` lists.
+    ``NAMED``, as ``named`` lists them; what more there are it counts, and ``rows`` lists.
     """
 
-    def __init__(self, message: str, rows: DataFrame):
+    def __init__(self, message: str, rows: DataFrame, named: list[str]):
         super().__init__(message)
         self.rows = rows
+        self.named = named
 
 
 def gate(rows: DataFrame, message: str, label: str) -> None:
     """Raise :class:`GateError` unless ``rows`` is empty."""
     named = [str(row[label]) for row in rows.select(label).orderBy(label).take(NAMED)]
-    if len(named) == NAMED:
-        more = rows.count() - NAMED
-        named += [f"and {more} more"] * (more > 0)
     if named:
-        raise GateError(f"{message}: {', '.join(named)}", rows)
+        more = rows.count() - NAMED if len(named) == NAMED else 0
+        told = [*named, f"and {more} more"] if more > 0 else named
+        raise GateError(f"{message}: {', '.join(told)}", rows, named)
