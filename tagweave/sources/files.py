@@ -105,24 +105,119 @@ def is_catalogue(spark: SparkSession, folder: str) -> bool:
     return fs.exists(fs_path(root, "manifest.json")) and is_dir("images") and is_dir("json")
 
 
-def _entries(spark: SparkSession, catalogue: DataFrame, member: str) -> DataFrame:
-    """Rows ``(key, value VARIANT)`` of one member of a catalogue, dealt out before anything is read from them."""
-    whole = catalogue.select(F.try_variant_get("c", f"$.{member}", "variant").alias("entries"))
+#: Members of a catalogue that are read.
+_MEMBERS = ("queries", "posts")
+_SPLIT = ["file", "split"]
+
+
+def _cut_at_commas(spark: SparkSession, path: str) -> DataFrame:
+    """Pieces of JSON documents between commas, with what stands around them.
+
+    ``inside`` tells whether a piece begins within a string, ``depth`` in how many brackets, ``delta`` how many it opens.
+    Both are running sums over the pieces of a file split, which start from the sums of the splits before. Files whose
+    brackets do not close have no pieces.
+    """
+    plain = F.regexp_replace("value", r"(?s)\\.", "")
+    pieces = spark.read.option("lineSep", ",").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("seq"), "value", plain.alias("plain"),
+    )
+    before = Window.partitionBy(*_SPLIT).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+
+    def sum_over(value: Column, window) -> Column:
+        return F.coalesce(F.sum(value).over(window), F.lit(0))
+
+    def opened(inside: Column) -> Column:
+        shown = F.regexp_replace(F.concat(F.when(inside, '"').otherwise(""), "plain"), '"[^"]*("|$)', "")
+        return F.regexp_count(shown, F.lit(r"[\[{]")) - F.regexp_count(shown, F.lit(r"[\]}]"))
+
+    flips = F.length("plain") - F.length(F.replace(F.col("plain"), F.lit('"'), F.lit("")))
+    odd = sum_over(flips, before) % 2 == 1
+    local = pieces.withColumn("flips", flips).withColumn("odd", odd)
+    splits = (
+        local.groupBy(*_SPLIT)
+        .agg(F.sum("flips").alias("flips"), F.sum(opened(F.col("odd"))).alias("if_outside"), F.sum(opened(~F.col("odd"))).alias("if_inside"))
+        .withColumn("from_inside", sum_over(F.col("flips"), earlier) % 2 == 1)
+        .withColumn("gain", F.when(F.col("from_inside"), F.col("if_inside")).otherwise(F.col("if_outside")))
+        .withColumn("from_depth", sum_over(F.col("gain"), earlier))
+    )
+    whole = splits.groupBy("file").agg(F.sum("flips").alias("flips"), F.sum("gain").alias("gain")).where("flips % 2 = 0 AND gain = 0")
+    starts = splits.join(whole.select("file"), "file", "left_semi").select(*_SPLIT, "from_inside", "from_depth")
+    return (
+        # as many rows as there are file splits
+        local.join(F.broadcast(starts), _SPLIT)
+        .withColumn("inside", F.col("odd") != F.col("from_inside"))
+        .withColumn("delta", opened(F.col("inside")))
+        .withColumn("depth", F.col("from_depth") + sum_over(F.col("delta"), before))
+        .select(*_SPLIT, "seq", "value", "plain", "inside", "depth", "delta")
+    )
+
+
+def _catalogue_units(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Small catalogues ``(file, unit, member, c VARIANT)`` of an entry each, and the whole numbers cut out of their id lists.
+
+    Numbers ``(file, unit, post_id)`` come apart because one list may be as long as the catalogue.
+    """
+    pieces = _cut_at_commas(spark, path)
+    here, outside = F.struct("split", "seq"), ~F.col("inside")
+    number = outside & (F.col("depth") == 4) & F.col("value").rlike(r"^\s*-?[0-9]+\s*$")
+    member = F.regexp_extract("plain", rf'^\s*\{{?\s*"({"|".join(_MEMBERS)})"\s*:', 1)
+    listing = F.col("plain").rlike(r'"seen_post_ids"\s*:\s*\[[^\[\]{}:]*$') & (F.col("depth") + F.col("delta") == 4)
+    told = {
+        "unit": F.when(outside & (F.col("depth") <= 2), here),
+        "member": F.when(outside & (F.col("depth") <= 1), member),
+        # elements of a list leave it open
+        "listing": F.when(F.col("plain").rlike(r"[\[\]{}:]"), listing),
+    }
+    so_far = Window.partitionBy(*_SPLIT).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = pieces.select(
+        *_SPLIT, "seq", "value", "depth", "delta", number.alias("number"),
+        *[F.last(value, ignorenulls=True).over(so_far).alias(name) for name, value in told.items()],
+    )
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    ends = marked.groupBy(*_SPLIT).agg(*[F.max_by(name, F.when(F.col(name).isNotNull(), F.col("seq"))).alias(name) for name in told])
+    heads = ends.select(*_SPLIT, *[F.last(name, ignorenulls=True).over(earlier).alias(f"head_{name}") for name in told])
+    # as many rows as there are file splits
+    full = marked.join(F.broadcast(heads), _SPLIT).select(
+        "file", "split", "seq", "value", "depth", "delta", "number", *[F.coalesce(name, f"head_{name}").alias(name) for name in told]
+    ).where(F.col("member").isin(*_MEMBERS))
+    texts = (
+        full.where(~F.col("number"))
+        .groupBy("file", "unit", "member")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("split", "seq", "value"))).alias("pieces"),
+            F.min_by("depth", F.struct("split", "seq")).alias("depth"), F.sum("delta").alias("delta"),
+        )
+        .withColumn("text", F.array_join(F.transform("pieces", lambda p: p["value"]), ","))
+    )
+    opening = F.when(F.col("depth") == 0, "").when(F.col("depth") == 1, "{").otherwise(F.concat(F.lit('{"'), "member", F.lit('":{')))
+    document = F.concat(opening, "text", F.repeat(F.lit("}"), (F.col("depth") + F.col("delta")).cast("int")))
+    units = texts.select("file", "unit", "member", F.try_parse_json(document).alias("c"))
+    numbers = full.where(F.col("number") & F.col("listing") & (F.col("member") == "queries"))
+    return units, numbers.select("file", "unit", F.expr("try_cast(trim(value) AS BIGINT)").alias("post_id"))
+
+
+def _entries(spark: SparkSession, units: DataFrame, member: str) -> DataFrame:
+    """Rows ``(file, unit, key, value VARIANT)`` of one member of a catalogue."""
+    whole = units.where(F.col("member") == member).select("file", "unit", F.try_variant_get("c", f"$.{member}", "variant").alias("entries"))
     each = whole.lateralJoin(spark.tvf.variant_explode(F.col("entries").outer()))
-    return each.select("key", "value").repartition(spark.sparkContext.defaultParallelism)
+    return each.select("file", "unit", "key", "value")
 
 
 def read_catalogue(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``query_seen(query_key, post_id)`` and ``post_paths(post_id, mode, path)``.
 
-    The mode ``json`` names the record of a post. The catalogue is one JSON document and is parsed by one task; its
-    entries leave that task as they are, and all cores read their members.
+    The mode ``json`` names the record of a post. The catalogue is one JSON document of any size and layout; all cores read
+    splits of it, and no task holds more than a split's rows and an entry at a time. A document whose brackets do not close gives
+    no rows; entries that are no JSON are left out.
     """
-    catalogue = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("c"))
+    units, numbers = _catalogue_units(spark, path)
     ids = F.try_variant_get("value", "$.seen_post_ids", "array<bigint>")
+    listed = _entries(spark, units, "queries").select("file", "unit", F.col("key").alias("query_key"), ids.alias("ids")).where("ids IS NOT NULL")
     seen = (
-        _entries(spark, catalogue, "queries")
-        .select(F.col("key").alias("query_key"), F.explode(ids).alias("post_id"))
+        listed.select("query_key", F.explode("ids").alias("post_id"))
+        .unionByName(numbers.join(listed.select("file", "unit", "query_key"), ["file", "unit"]).select("query_key", "post_id"))
         .where(F.col("post_id").isNotNull())
     )
     modes = {"json": "$.file_paths.json"} | {m: f"$.file_paths.image_paths.{m}" for m in ("preview", "sample", "original")}
@@ -130,7 +225,7 @@ def read_catalogue(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
         *[F.struct(F.lit(m).alias("mode"), F.try_variant_get("value", at, "string").alias("path")) for m, at in modes.items()]
     )
     posts = (
-        _entries(spark, catalogue, "posts")
+        _entries(spark, units, "posts")
         .select(F.expr("try_cast(key AS BIGINT)").alias("post_id"), F.explode(paths).alias("file"))
         .where(F.col("post_id").isNotNull() & F.col("file.path").isNotNull())
         .select("post_id", "file.mode", "file.path")

@@ -1,8 +1,11 @@
 """What only larger or unlike tables show, on small tables of that kind."""
 
+import json
+
 import pytest
 
 from tagweave import errors
+from tagweave.sources import files
 from tagweave.workload import registry
 from tagweave.workload.check import differences
 
@@ -25,3 +28,44 @@ def test_broken_stems_beyond_those_named(spark, tmp_path, monkeypatch, labelled)
     documents = spark.sql("SELECT id AS doc_id, 'en' AS lang FROM range(5)")
     labels = spark.range(labelled).withColumnRenamed("id", "doc_id")
     assert against_sql(spark, tmp_path, "broken_stems", documents=documents, labels=labels) == []
+
+
+CATALOGUE = {
+    "schema_version": 3,
+    "queries": {
+        'a, "b" [x': {"key": "a, [", "other": [7, 8, 9], "seen_post_ids": [*range(2000), None, 5000], "more": [1, 2, 3]},
+        "strings": {"seen_post_ids": ["1", "2", "3"]}, "none": {"seen_post_ids": []}, "odd": {"seen_post_ids": [1, 2, "x", 3]},
+        "deep": {"seen_post_ids": {"seen_post_ids": [1, 2, 3]}},
+    },
+    "extra": {"posts": {"9": {"file_paths": {"json": "no"}}}, "list": [1, [2, {"a": "}"}], 3]},
+    "posts": {
+        str(i): {"tags": ["x", "},{"], "sizes": [1, 2, 3], "file_paths": {"json": f'json/{{"{i}",\\.json', "image_paths": {"preview": None, "sample": f"s,{i}", "original": "é\n"}}}
+        for i in range(1500)
+    },
+    "last": None,
+}
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_catalogue_in_any_layout_and_splits(spark, tmp_path, indent):
+    """One document read in many splits gives what a JSON reader gives, whatever its strings hold and wherever it is cut."""
+    (tmp_path / "manifest.json").write_text(json.dumps(CATALOGUE, indent=indent, ensure_ascii=False))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1001")
+    try:
+        seen, posts = files.read_catalogue(spark, str(tmp_path / "manifest.json"))
+        seen, posts = sorted(map(tuple, seen.collect())), sorted(map(tuple, posts.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert seen == sorted([('a, "b" [x', i) for i in [*range(2000), 5000]] + [(key, i) for key in ("odd", "strings") for i in (1, 2, 3)])
+    listed = [(int(k), v["file_paths"]) for k, v in CATALOGUE["posts"].items()]
+    assert posts == sorted(
+        [(k, "json", f["json"]) for k, f in listed] + [(k, m, f["image_paths"][m]) for k, f in listed for m in ("sample", "original")]
+    )
+
+
+def test_broken_catalogue_gives_no_rows(spark, tmp_path):
+    for text in ('{"posts": {"1": {"file_paths": {"json": "a"}}, "2": {"file', '{"posts": {"1": {"file_paths": {"json": "a"}}}', "[1, 2]", ""):
+        (tmp_path / "manifest.json").write_text(text)
+        seen, posts = files.read_catalogue(spark, str(tmp_path / "manifest.json"))
+        assert seen.collect() == [] and posts.collect() == []
