@@ -4,8 +4,8 @@ What earlier batches did lies in the state of the streams, by stem or post: no b
 again. Every micro-batch replaces its own ``batch=<id>`` folder, so a batch repeated after a failure gives the same
 result. What could not be used goes to the same folder below ``<target>-rejects``.
 
-State grows with the stems seen; on a cluster keep it in RocksDB
-(``spark.sql.streaming.stateStore.providerClass``) and the checkpoint on shared storage.
+State grows with the stems seen, so it is kept in RocksDB, outside the heap; keep the checkpoint on shared storage. A stream has
+at most two state partitions a core, since each of them costs files and time in every batch, however little it holds.
 """
 
 from __future__ import annotations
@@ -16,15 +16,21 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tagweave.functions import names, variants
 from tagweave.operators import imports
 from tagweave.sources.files import decoded_path
 
 RECORD = "stem string, tags array<string>, post_id long, source string, reject string"
+CONTENT = {"tags": "array<string>", "post_id": "long", "source": "string"}
+#: Stems share their keyed state by so many hash buckets, fixed for a checkpoint.
+BUCKETS = 4096
 REQUEST = "stem string, image_path string, context_tags array<string>"
 NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PARTITIONS = "spark.sql.shuffle.partitions"
 #: A retry waits this long after the first failure and twice as long after each further one.
 RETRY_MS = 60_000
 MOST_ATTEMPTS = 8
@@ -45,22 +51,45 @@ def _store(rows: DataFrame, failed: Column, target: str, batch: int) -> None:
         rows.unpersist()
 
 
+def _started(spark: SparkSession, writer: DataStreamWriter, checkpoint: str, **options: str) -> StreamingQuery:
+    """Start a stream over all that has come, with options that the session keeps for this stream only.
+
+    A checkpoint goes on with the store and the partitions that it began with.
+    """
+    partitions = min(int(spark.conf.get(PARTITIONS)), 2 * spark.sparkContext.defaultParallelism)
+    wanted = {STATE_STORE: ROCKS_DB, PARTITIONS: str(partitions)} | options
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 # --- import -----------------------------------------------------------------
 
 
 def _first_come(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """The records of one stem in a batch: the first one is imported, later ones are known, several different ones rejected."""
-    rows = pd.concat(frames, ignore_index=True)
-    good = rows[rows["reject"].isna()]
-    bad = rows[rows["reject"].notna()]
-    content = {(None if tags is None else tuple(tags), post, source) for tags, post, source in zip(good["tags"], good["post_id"], good["source"])}
-    if not state.exists and len(content) > 1:
-        bad = pd.concat([bad, good.assign(reject="repeated stem with different content")])
-    elif not state.exists and len(content) == 1:
-        state.update((True,))
-        yield good.head(1)
-    if len(bad):
-        yield bad
+    """The records of a bucket of stems in a batch: of each stem the first one is imported, later ones are known, several different ones rejected."""
+    rows = pd.concat(frames, ignore_index=True)[["stem", "content", "reject"]]
+    known = set(state.get[0]) if state.exists else set()
+    first: dict[str | None, int] = {}
+    differ = set()
+    for i, (stem, content, reject) in enumerate(zip(rows["stem"], rows["content"], rows["reject"])):
+        if reject is None and stem not in known and rows["content"].iat[first.setdefault(stem, i)] != content:
+            differ.add(stem)
+    good = [i for stem, i in first.items() if stem not in differ]
+    if good:
+        state.update(([*known, *rows["stem"].iloc[good]],))
+        yield rows.iloc[good]
+    bad = rows["reject"].notna()
+    repeated = ~bad & rows["stem"].isin(differ)
+    if repeated.any():
+        rows.loc[repeated, "reject"] = "repeated stem with different content"
+    if (bad | repeated).any():
+        yield rows[bad | repeated]
 
 
 def admitted(records: DataFrame, images: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
@@ -75,9 +104,13 @@ def admitted(records: DataFrame, images: DataFrame | None = None, seen: DataFram
         ready = ready.join(images.select("stem").dropDuplicates(["stem"]), "stem")
     if seen is not None:
         ready = ready.join(seen.select("post_id").dropDuplicates(["post_id"]), "post_id")
-    columns = [c.split()[0] for c in RECORD.split(", ")]
+    content = F.to_json(F.struct(*CONTENT)).alias("content")
+    columns = [F.pmod(F.xxhash64("stem"), F.lit(BUCKETS)).alias("bucket"), "stem", content, "reject"]
     every = ready.select(*columns).unionByName(records.where(F.col("reject").isNotNull()).select(*columns))
-    return every.groupBy("stem").applyInPandasWithState(_first_come, RECORD, "imported boolean", "append", "NoTimeout")
+    # a call per bucket: one per stem costs more than all else
+    chosen = every.groupBy("bucket").applyInPandasWithState(_first_come, "stem string, content string, reject string", "imported array<string>", "append", "NoTimeout")
+    read = F.from_json("content", ", ".join(f"{name} {kind}" for name, kind in CONTENT.items()))
+    return chosen.select("stem", read.alias("content"), "reject").select("stem", "content.*", "reject")
 
 
 def store_admitted(found: DataFrame, target: str, checkpoint: str, targets: DataFrame | None = None) -> StreamingQuery:
@@ -87,8 +120,7 @@ def store_admitted(found: DataFrame, target: str, checkpoint: str, targets: Data
         fresh = unseen(batch, targets, "stem")
         _store(fresh, F.col("reject").isNotNull(), target, batch_id)
 
-    writer = found.writeStream.outputMode("append").foreachBatch(store).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    return _started(found.sparkSession, found.writeStream.outputMode("append").foreachBatch(store), checkpoint)
 
 
 def import_stream(
@@ -241,9 +273,4 @@ def caption_stream(
 
     writer = due_requests(every, wait_ms, most_attempts).writeStream.outputMode("append").foreachBatch(store)
     # timers ask for batches without end; the tick is the one that lets them run out
-    before = spark.conf.get(NO_DATA, "true")
-    spark.conf.set(NO_DATA, "false")
-    try:
-        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finally:
-        spark.conf.set(NO_DATA, before)
+    return _started(spark, writer, checkpoint, **{NO_DATA: "false"})

@@ -2,10 +2,12 @@
 
 import json
 
+import pandas as pd
 import pytest
 
 from tagweave import errors
 from tagweave.sources import files
+from tagweave.streaming import incremental
 from tagweave.workload import registry
 from tagweave.workload.check import differences
 
@@ -69,3 +71,32 @@ def test_broken_catalogue_gives_no_rows(spark, tmp_path):
         (tmp_path / "manifest.json").write_text(text)
         seen, posts = files.read_catalogue(spark, str(tmp_path / "manifest.json"))
         assert seen.collect() == [] and posts.collect() == []
+
+
+class Held:
+    """Keyed state of one group."""
+
+    exists, value = False, None
+
+    @property
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.exists, self.value = True, value
+
+
+def test_one_call_imports_many_stems():
+    """Stems share a call and a state; each is judged alone."""
+    state = Held()
+
+    def told(*rows):
+        frame = pd.DataFrame(rows, columns=["bucket", "stem", "content", "reject"])
+        found = pd.concat([pd.DataFrame(columns=["stem", "content", "reject"]), *incremental._first_come((0,), iter([frame]), state)])
+        return sorted((s, c, None if pd.isna(r) else r) for s, c, r in found.itertuples(index=False))
+
+    different = "repeated stem with different content"
+    first = told((0, "a", "1", None), (0, "b", "1", None), (0, "b", "2", None), (0, "c", "3", "bad"), (0, "a", "1", None), (0, "c", "4", None))
+    assert first == [("a", "1", None), ("b", "1", different), ("b", "2", different), ("c", "3", "bad"), ("c", "4", None)]
+    assert told((0, "a", "2", None), (0, "b", "2", None), (0, "c", "5", "bad")) == [("b", "2", None), ("c", "5", "bad")]
+    assert told((0, "a", "1", None), (0, "b", "1", None)) == []
