@@ -32,6 +32,15 @@ def spread(frame: DataFrame) -> DataFrame:
     return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
 
 
+def dealt(frame: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all shuffle partitions of the session, by their keys.
+
+    Adaptive execution joins partitions by their compressed size, and names that resemble each other take ten times as much
+    memory as that. A stated number of partitions is left alone.
+    """
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder the cluster names."""
     spark = frame.sparkSession

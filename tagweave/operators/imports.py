@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.cluster import dealt
 from tagweave.functions import names, variants
 
 # Fixed value: which image of a post is taken first.
@@ -32,7 +33,7 @@ def complete_ids(image_folders: list[DataFrame], json_folder: DataFrame) -> Data
 
 
 def restrict(files: DataFrame, only_stems: DataFrame) -> DataFrame:
-    return files.join(only_stems.select("stem"), "stem", "left_semi")
+    return dealt(files, "stem").join(only_stems.select("stem"), "stem", "left_semi")
 
 
 def complete_pairs(pairs: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def actions(sources: DataFrame, targets: DataFrame, *, overwrite: bool = False)
         else F.when(F.col("exists"), "skipped").otherwise("imported")
     )
     return (
-        sources.join(existing, "name", "left").withColumn("action", action).drop("exists")
+        dealt(sources, "name").join(existing, "name", "left").withColumn("action", action).drop("exists")
     )
 
 

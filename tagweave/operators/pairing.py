@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.cluster import dealt
 from tagweave.errors import gate
 from tagweave.functions import names
 
@@ -33,12 +34,14 @@ def pair(files: DataFrame) -> DataFrame:
     """One row per stem with both sides, either of which may be missing.
 
     Both kinds share one listing, so a full outer join is a single grouped
-    pass that also counts repeated files and combines before the shuffle.
+    pass that also counts repeated files. Files are dealt out first: the least
+    of several paths is found by sorting, and a scan task would sort all it reads.
     """
     image = F.col("kind") == "image"
     metadata = F.col("kind") == "metadata"
     return (
-        files.groupBy("stem")
+        dealt(files, "stem")
+        .groupBy("stem")
         .agg(
             F.min(F.when(image, F.col("path"))).alias("image_path"),
             F.min(F.when(metadata, F.col("path"))).alias("metadata_path"),

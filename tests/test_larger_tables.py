@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 from tagweave import errors
+from tagweave.operators import imports, pairing
 from tagweave.sources import files
 from tagweave.streaming import incremental
 from tagweave.workload import registry
@@ -100,3 +101,12 @@ def test_one_call_imports_many_stems():
     assert first == [("a", "1", None), ("b", "1", different), ("b", "2", different), ("c", "3", "bad"), ("c", "4", None)]
     assert told((0, "a", "2", None), (0, "b", "2", None), (0, "c", "5", "bad")) == [("b", "2", None), ("c", "5", "bad")]
     assert told((0, "a", "1", None), (0, "b", "1", None)) == []
+
+
+def test_files_are_paired_in_all_shuffle_partitions(spark):
+    """However well their names compress, files stay dealt out, so that a task sorts its share only."""
+    listing = pairing.classify(spark.sql("SELECT id || '.png' AS path FROM range(50)"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairing.pair(listing)
+    log = imports.actions(imports.pair_files(pairs), spark.createDataFrame([], "name string"))
+    assert n > 1 and pairs.rdd.getNumPartitions() == n and log.rdd.getNumPartitions() == n
