@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.cluster import constant_rows
+from tagweave.cluster import broadcast_if_small, constant_rows
 from tagweave.errors import CurationError, gate
 from tagweave.functions import names
 from tagweave.operators import datasets
@@ -72,7 +72,8 @@ def run_plans(specs: DataFrame, artifacts: DataFrame) -> DataFrame:
     upcoming = next_runs(specs, artifacts).withColumnRenamed("run_name", "next_name")
     run = F.coalesce("run_name", "next_name")
     return (
-        effective.join(upcoming, "dataset")
+        # one row per dataset; shuffled by dataset, specs would lie in as many tasks as there are datasets
+        effective.join(broadcast_if_small(upcoming), "dataset")
         .withColumn("run_name", run)
         .drop("next_name")
         .withColumn("prepare_would_run", ~F.col("no_prepare"))

@@ -7,6 +7,7 @@ import pytest
 
 from tagweave import errors
 from tagweave.operators import imports, pairing
+from tagweave.plans import runs
 from tagweave.sources import files
 from tagweave.streaming import incremental
 from tagweave.workload import registry
@@ -110,3 +111,22 @@ def test_files_are_paired_in_all_shuffle_partitions(spark):
     pairs = pairing.pair(listing)
     log = imports.actions(imports.pair_files(pairs), spark.createDataFrame([], "name string"))
     assert n > 1 and pairs.rdd.getNumPartitions() == n and log.rdd.getNumPartitions() == n
+
+
+def test_specs_are_not_shuffled_by_dataset(spark):
+    """Many specs of few datasets stay where they were read."""
+    presets = "CAST(NULL AS STRING) AS preset, CAST(NULL AS STRING) AS run_name, false AS no_prepare"
+    numbers = ", ".join(f"CAST(NULL AS {'DOUBLE' if name == 'learning_rate' else 'INT'}) AS {name}" for name in runs.DEFAULTS)
+    specs = spark.sql(f"SELECT 'd' || id % 3 AS dataset, {presets}, {numbers} FROM range(90)")
+    artifacts = spark.createDataFrame([("d1", "run-007")], "dataset string, run string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = runs.run_plans(specs, artifacts)
+        top = plans._jdf.queryExecution().sparkPlan().toString()
+        found = {(r["dataset"], r["run_name"]) for r in plans.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert found == {("d0", "run-001"), ("d1", "run-008"), ("d2", "run-001")} and plans.count() == 90
+    # the only join by sorting is that of datasets with their artifacts
+    assert top.count("SortMergeJoin") == 1 and "BroadcastHashJoin" in top
