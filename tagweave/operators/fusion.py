@@ -316,12 +316,8 @@ def edit_budget(
 
 def joined_in_order(rows: DataFrame, keys: list[str], order: str, item: str, sep: str) -> DataFrame:
     """One text per group. Use only where the group size has a bound."""
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(item).alias("i"))))
-    return (
-        rows.groupBy(*keys)
-        .agg(listed.alias("listed"))
-        .select(*keys, F.array_join(F.transform("listed", lambda e: e["i"]), sep).alias("joined"))
-    )
+    listed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(item).alias("i"))))
+    return rows.groupBy(*keys).agg(F.array_join(listed["i"], sep).alias("joined"))
 
 
 def prune_payload(merged: DataFrame) -> DataFrame:
@@ -337,7 +333,7 @@ def prune_payload(merged: DataFrame) -> DataFrame:
             F.round("confidence", 4).alias("confidence"),
         ).alias("payload"),
     )
-    listed = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["payload"])
+    listed = F.sort_array(F.collect_list(entry))["payload"]
     return merged.groupBy("stem").agg(
         F.to_json(listed, {"ignoreNullFields": "false"}).alias("payload")
     )

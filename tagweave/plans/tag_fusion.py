@@ -66,21 +66,20 @@ def final_lists(final: DataFrame) -> DataFrame:
     A list is no longer than the source arrays of its own record plus the
     merge limit, all of which came out of single rows.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("place", "tag")))
+    # Taking the field out of the array keeps the sort in compiled code; under a lambda every comparison is interpreted.
+    ordered = F.sort_array(F.collect_list(F.struct("place", "tag")))
     return final.groupBy("stem").agg(
-        F.transform(ordered, lambda e: e["tag"]).alias("tags"),
+        ordered["tag"].alias("tags"),
         F.min("place.block").alias("first_block"),
     ).withColumn("fell_back", F.col("first_block") != 0).drop("first_block")
 
 
 def source_lists(sources: DataFrame) -> DataFrame:
     """Map source to ordered tags per record, sources by name."""
-    listed = F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "tag"))), lambda e: e["tag"]
-    )
+    listed = F.sort_array(F.collect_list(F.struct("pos", "tag")))["tag"]
     per_source = sources.groupBy("stem", "source").agg(listed.alias("tags"))
     return per_source.groupBy("stem").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "tags")))).alias(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "tags")))).alias(
             "source_tags"
         )
     )
@@ -92,10 +91,10 @@ def judged_lists(judged: DataFrame, merged: DataFrame) -> DataFrame:
     A list holds at most the merge limit of tags and there are eleven fields.
     """
     kept = fusion.prune(judged, merged)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "tag"))), lambda e: e["tag"])
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "tag")))["tag"]
     per_field = kept.groupBy("stem", "field").agg(ordered.alias("tags"))
     return per_field.groupBy("stem").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "tags")))).alias("kept_lists")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "tags")))).alias("kept_lists")
     )
 
 
