@@ -93,6 +93,8 @@ _WIDEST, _NARROWEST = 12.0, 0.8
 #: Boxes of one tile have sides within this factor of each other.
 _TILE_SIDES = 3.3
 _TILE = ("tile_w", "tile_h", "tile_x", "tile_y")
+#: Candidates that a task compares at once.
+_PAIRS = 200_000
 
 
 def _tiles_along(low: Column, side: Column, width: Column) -> Column:
@@ -130,32 +132,56 @@ def _settle(keys: list[str], columns: list[str]):
     A box is kept if no earlier near box is kept or open, dropped if one is kept, else open. Border boxes of
     other tiles are open unless they are known as kept. It refers to nothing of this package, so executors need not have it.
     """
-    names, bar, share = list(BOX), overlay.NEAR_IOU, _REACH
-
-    def told(boxes: np.ndarray, own: np.ndarray, known: np.ndarray, by_x: np.ndarray) -> np.ndarray:
-        """0 dropped, 1 kept, 2 open of the boxes of one tile, which stand in order; ``by_x`` sorts them by their left side."""
-        lefts = boxes[by_x, 0]
-        areas = (boxes[:, 2:] - boxes[:, :2] + 1).prod(axis=1)
+    names, bar, share, pairs = list(BOX), overlay.NEAR_IOU, _REACH, _PAIRS
+
+    def candidates(lefts: np.ndarray, reach: np.ndarray, tile: np.ndarray, by_x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``by_x``, which sorts boxes by tile and left side, those of a box's tile begin and end that are within its reach."""
+        steps = np.unique(lefts)
+        base = tile * (len(steps) + 1)
+        at = (base + np.searchsorted(steps, lefts))[by_x]
+        low = np.searchsorted(at, base + np.searchsorted(steps, lefts - reach))
+        return low, np.maximum(low, np.searchsorted(at, base + np.searchsorted(steps, lefts + reach, "right")))
+
+    def told(boxes: np.ndarray, own: np.ndarray, known: np.ndarray, tile: np.ndarray) -> np.ndarray:
+        """0 dropped, 1 kept, 2 open of boxes, which stand in order within their tiles.
+
+        Near boxes are found for many boxes at once, a block of at most ``pairs`` candidates or one box at a time; boxes dropped
+        by an earlier block are not looked at again. What a box does to later ones is then told box by box.
+        """
+        by_x = np.lexsort((boxes[:, 0], tile))
         reach = (boxes[:, 2] - boxes[:, 0] + 1) * share
-        low, high = np.searchsorted(lefts, boxes[:, 0] - reach), np.searchsorted(lefts, boxes[:, 0] + reach, "right")
+        low, high = candidates(boxes[:, 0], reach, tile, by_x)
+        areas = (boxes[:, 2:] - boxes[:, :2] + 1).prod(axis=1)
         found = np.ones(len(boxes), np.int8)
         shaded = np.zeros(len(boxes), bool)
-        for i in range(len(boxes)):
-            if not found[i]:
-                continue
-            if not known[i] and (not own[i] or shaded[i]):
-                found[i] = 2
-            near = by_x[low[i] : high[i]]
-            near = near[near > i]
-            if not near.size:
-                continue
-            corner = np.minimum(boxes[near, 2:], boxes[i, 2:]) - np.maximum(boxes[near, :2], boxes[i, :2]) + 1
+        ends = np.cumsum(high - low)
+        begin = 0
+        while begin < len(boxes):
+            done = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, done + pairs, "right")))
+            ones = begin + np.flatnonzero(found[begin:end])
+            counts = (high - low)[ones]
+            one = np.repeat(ones, counts)
+            other = by_x[np.arange(counts.sum()) + np.repeat(low[ones] - np.cumsum(counts) + counts, counts)]
+            later = other > one
+            one, other = one[later], other[later]
+            corner = np.minimum(boxes[other, 2:], boxes[one, 2:]) - np.maximum(boxes[other, :2], boxes[one, :2]) + 1
             inter = np.clip(corner, 0, None).prod(axis=1)
-            near = near[inter / np.maximum(areas[near] + areas[i] - inter, 1) > bar]
-            if found[i] == 1:
-                found[near] = 0
-            else:
-                shaded[near] = True
+            near = inter / np.maximum(areas[other] + areas[one] - inter, 1) > bar
+            one, other = one[near], other[near]
+            cuts = np.searchsorted(one, np.arange(begin, end + 1))
+            # a box that is near no later one changes nothing, and shows at the end of its block whether it is open itself
+            for i in np.unique(one):
+                if not found[i]:
+                    continue
+                those = other[cuts[i - begin] : cuts[i - begin + 1]]
+                if known[i] or (own[i] and not shaded[i]):
+                    found[those] = 0
+                else:
+                    shaded[those] = True
+            block = slice(begin, end)
+            found[block][(found[block] == 1) & ~known[block] & (~own[block] | shaded[block])] = 2
+            begin = end
         return found
 
     def settled(table: pa.Table) -> pa.RecordBatch:
@@ -177,10 +203,7 @@ def _settle(keys: list[str], columns: list[str]):
         close[by_x] = (apart[:-1] <= reach) | (apart[1:] <= reach)
         found = np.ones(len(boxes), np.int8)
         rows = np.flatnonzero(close)
-        starts = np.flatnonzero(np.diff(tile[rows], prepend=-1))
-        for low, high in zip(starts, [*starts[1:], len(rows)]):
-            part = rows[low:high]
-            found[part] = told(boxes[part], own[part], known[part], np.argsort(boxes[part, 0], kind="stable"))
+        found[rows] = told(boxes[rows], own[rows], known[rows], tile[rows])
         take = np.flatnonzero(own & (found > 0))
         chosen = table.select(columns).take(pa.array(take)).append_column("kept", pa.array(found[take] == 1)).combine_chunks()
         return chosen.to_batches()[0] if take.size else pa.RecordBatch.from_pylist([], schema=chosen.schema)
