@@ -65,6 +65,16 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """The rows written once below :func:`work_folder` and read back, for results that are both checked and handed on.
+
+    A checkpoint computes its last stage twice. The files stay for as long as the folder is kept.
+    """
+    folder = work_folder(frame.sparkSession)
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
+
 def constant_rows(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
     """Fixed lookup table as an in-plan relation; whole numbers come out as longs.
 

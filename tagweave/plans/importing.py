@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.cluster import stored
 from tagweave.errors import gate
 from tagweave.functions import names
 from tagweave.operators import imports, pairing
@@ -29,8 +30,8 @@ def _planned(
     files = imports.pair_files(pairs)
     log = imports.actions(files, targets, overwrite=overwrite)
     fresh = log.where((F.col("kind") == "metadata") & (F.col("action") == "imported"))
-    read = imports.import_metadata(records.join(fresh.select("path"), "path", "left_semi"), site)
-    # Only records about to be stored are checked.
+    # Only records about to be stored are checked, each read once: the gate's filter would go below the join and read them all.
+    read = stored(imports.import_metadata(records.join(fresh.select("path"), "path", "left_semi"), site))
     gate(read.where(F.col("reject").isNotNull()), "Unusable import metadata", "stem")
     return ImportPlan(log=log, metadata=read.drop("reject"))
 
@@ -52,7 +53,7 @@ def import_folder(
     classified = pairing.classify(files)
     if only_stems is not None:
         classified = imports.restrict(classified, only_stems)
-    listed = pairing.pair(classified)
+    listed = stored(pairing.pair(classified))
     pairing.check_repeats(listed)
     pairs = imports.complete_pairs(listed)
     return _planned(pairs, records, targets, site, overwrite)
