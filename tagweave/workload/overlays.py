@@ -395,9 +395,9 @@ def polygon_checks(spark: SparkSession, d: str) -> DataFrame:
     point, narrow = F.array(box["x"], box["y"]), F.array(box["x"] / 2, box["x"] / 2 + 3, box["y"], box["y"] + 2)
     nested, flat = F.to_variant_object(F.array(F.array(wide, point), F.array(narrow))), F.to_variant_object(F.array(wide, point, narrow))
     reply = F.when(F.col("image_id") % 2 == 0, nested).otherwise(flat)
-    rows = line_regions(spark, d).select(
-        "image_id", "component_id", "width", "height", F.posexplode(overlay.rectangles(reply)).alias("item", "box")
-    )
+    # What stands in a generator is interpreted, and computed again for each use; columns of their own are not.
+    read = line_regions(spark, d).withColumn("reply", reply).withColumn("boxes", overlay.rectangles(F.col("reply")))
+    rows = read.select("image_id", "component_id", "width", "height", F.posexplode_outer("boxes").alias("item", "box")).where("box IS NOT NULL")
     polygon = overlay.rectangle_polygon(*[F.element_at("box", i) for i in (1, 2, 3, 4)])
     clipped = overlay.clip_polygon(polygon, F.col("width"), F.col("height"))
     measured = rows.withColumn("points", clipped).withColumn("bounds", overlay.bounding_box(F.col("points")))
