@@ -10,6 +10,7 @@ at most two state partitions a core, since each of them costs files and time in
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -162,44 +163,61 @@ def import_stream(
 
 
 def _due(wait_ms: int, most: int):
-    """State function over the requests and failures of one stem: what is to be tried now."""
+    """State function over the requests and failures of a bucket of stems: what is to be tried now.
+
+    The state holds a JSON text per stem: path, context, attempt, whether it is being tried, and when it is due again.
+    """
+    columns = ["stem", "image_path", "context_tags", "attempt", "problem"]
 
     def due(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         now = state.getCurrentProcessingTimeMs()
-
-        def ask(path: str | None, context: list, attempt: int) -> pd.DataFrame:
-            state.update((path, context, attempt, True))
-            return pd.DataFrame({"stem": [key[0]], "image_path": [path], "context_tags": [context], "attempt": [attempt], "problem": [None]})
-
-        path, context, attempt, asked = state.get if state.exists else (None, None, 0, False)
-        if state.hasTimedOut:
-            yield ask(path, context, attempt + 1)
-            return
-        rows = pd.concat(frames, ignore_index=True)
-        if key[0] is None:  # ticks, and requests that name no stem
-            nameless = rows[rows["kind"] == "request"]
-            if len(nameless):
-                yield nameless.assign(attempt=0, problem="no stem")[["stem", "image_path", "context_tags", "attempt", "problem"]]
-            return
-        failed = rows[(rows["kind"] == "failure") & (rows["attempt"] == attempt)]
-        if len(failed) and asked:
-            at, asked = int(failed["at"].max()) + wait_ms * 2 ** (attempt - 1), False
-            state.update((path, context, attempt, asked))
-            if attempt < most and at <= now:
-                yield ask(path, context, attempt + 1)
-                return
-            if attempt < most:
-                state.setTimeoutDuration(at - now)
-        requests = rows[rows["kind"] == "request"]
-        if asked or not len(requests):
-            return
-        told = {(p, None if c is None else tuple(c)) for p, c in zip(requests["image_path"], requests["context_tags"])}
-        if len(told) > 1:
-            yield requests.assign(attempt=0, problem="repeated stem with different requests")[["stem", "image_path", "context_tags", "attempt", "problem"]]
-            return
-        # also a request that comes again while a failed one waits
-        path, context = told.pop()
-        yield ask(path, None if context is None else list(context), attempt + 1)
+        held = {stem: told for stem, *told in map(json.loads, state.get[0])} if state.exists else {}
+        asks: list[tuple] = []
+        changed = False
+        came: dict[str | None, list] = {}
+        if not state.hasTimedOut:
+            rows = pd.concat(frames, ignore_index=True)
+            for row in zip(*(rows[name] for name in ("kind", "stem", "image_path", "context_tags", "attempt", "at"))):
+                came.setdefault(row[1], []).append(row)
+
+        def ask(stem: str, path: str | None, context: list | None, attempt: int) -> None:
+            held[stem] = [path, context, attempt, True, None]
+            asks.append((stem, path, context, attempt, None))
+
+        for stem, events in came.items():
+            told = {(path, None if context is None else tuple(context)) for kind, _, path, context, *_ in events if kind == "request"}
+            if stem is None or len(told) > 1:
+                problem = "no stem" if stem is None else "repeated stem with different requests"
+                refused = [(stem, path, context, 0, problem) for kind, _, path, context, *_ in events if kind == "request"]
+            if stem is None:  # ticks, and requests that name no stem
+                asks += refused
+                continue
+            path, context, attempt, asked, again = held.get(stem, (None, None, 0, False, None))
+            failed = [int(at) for kind, *_, tried, at in events if kind == "failure" and tried == attempt]
+            if failed and asked:
+                at = max(failed) + wait_ms * 2 ** (attempt - 1)
+                held[stem], asked, changed = [path, context, attempt, False, at if attempt < most else None], False, True
+                if attempt < most and at <= now:
+                    ask(stem, path, context, attempt + 1)
+                    continue
+            if asked or not told:
+                continue
+            if len(told) > 1:
+                asks += refused
+                continue
+            # also a request that comes again while a failed one waits
+            path, context = told.pop()
+            ask(stem, path, None if context is None else list(context), attempt + 1)
+        for stem, (path, context, attempt, _, again) in list(held.items()):
+            if again is not None and again <= now:
+                ask(stem, path, context, attempt + 1)
+        if changed or any(problem is None for *_, problem in asks):
+            state.update(([json.dumps([stem, *told]) for stem, told in held.items()],))
+        waiting = [again for *_, again in held.values() if again is not None]
+        if waiting:
+            state.setTimeoutDuration(min(waiting) - now)
+        if asks:
+            yield pd.DataFrame(asks, columns=columns)
 
     return due
 
@@ -209,11 +227,13 @@ def due_requests(events: DataFrame, wait_ms: int = RETRY_MS, most_attempts: int
 
     ``events`` holds requests and failures by ``kind``: the columns of ``REQUEST``, ``attempt`` and ``at`` (milliseconds; both of failures).
     A stem is asked once. A failure sets a timer in its state, for ``wait_ms`` after the first and twice as long after each
-    further one; when it has run out, the request that the state holds is due again, up to ``most_attempts`` times.
+    further one; when it has run out, the request that the state holds is due again, up to ``most_attempts`` times. A bucket of
+    stems shares its state and a timer, which runs out with the first of them.
     """
-    return events.groupBy("stem").applyInPandasWithState(
-        _due(wait_ms, most_attempts), f"{REQUEST}, attempt int, problem string",
-        "image_path string, context_tags array<string>, attempt int, asked boolean", "append", "ProcessingTimeTimeout",
+    # a call per bucket: one per stem costs more than all else
+    dealt = events.withColumn("bucket", F.pmod(F.xxhash64("stem"), F.lit(BUCKETS)))
+    return dealt.groupBy("bucket").applyInPandasWithState(
+        _due(wait_ms, most_attempts), f"{REQUEST}, attempt int, problem string", "held array<string>", "append", "ProcessingTimeTimeout",
     )
 
 
