@@ -29,6 +29,17 @@ def with_package(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}" if known else root
 
 
+#: Bytes of the batches that workers get, unless the session sets them: a batch is held several times over, by Spark and by its worker.
+BATCH_BYTES = 2 << 20
+
+
+def with_small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python workers in batches of about ``BATCH_BYTES``; Spark's own go by rows, so by how long texts are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

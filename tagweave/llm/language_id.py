@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.errors import CurationError
-from tagweave.llm.common import row_beside_text
+from tagweave.llm.common import row_beside_text, with_small_batches
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -109,6 +109,7 @@ def fit(rows: DataFrame, *, text: str = "text", language: str = "lang", smoothin
     Tasks count n-grams before the shuffle. The driver gets at most ``BUCKETS`` counts per language;
     more than ``MAX_LANGUAGES`` languages raise an error.
     """
+    with_small_batches(rows.sparkSession)
     usable = rows.where(F.col(text).isNotNull() & F.col(language).isNotNull()).select(F.col(language).alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +144,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", penal
     read whole, however long. Equal shares go to the first language by code point. Repeated rows are judged alike. An empty table
     gives an empty result.
     """
+    with_small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows, kind = row_beside_text(docs, text, with_text)
     shares = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))

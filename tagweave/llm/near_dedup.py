@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import release, stored
+from tagweave.llm.common import release, stored, with_small_batches
 
 #: 45 bands of 5 bins: a pair at J = 0.8 shares no bucket with probability (1 - 0.8**5)**45 < 2e-8.
 BANDS, ROWS = 45, 5
@@ -299,6 +299,7 @@ def components(
     ``number`` names a column of ``docs`` that numbers its rows and is stored with them; without it the texts are stored with such a
     number. An empty table gives an empty result.
     """
+    with_small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc).cast("long").alias("doc"), (F.col(number) if number else F.monotonically_increasing_id()).alias("number"), F.col(text).alias("text"))
     if not number:
         texts = stored(texts)

@@ -16,11 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tagweave.llm.common import row_beside_text, slices
+from tagweave.llm.common import row_beside_text, slices, with_small_batches
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-TABLE_CHUNKS = 400_000
+#: Chunks that a worker keeps at most between texts; common ones outlive the rest.
+TABLE_CHUNKS = 100_000
 
 
 class ChunkEncoder:
@@ -40,17 +41,22 @@ class ChunkEncoder:
         self.by_chunk = plain and not crossing and not own and not proto.trainer_spec.treat_whitespace_as_suffix
         self.by_chunk = self.by_chunk and proto.trainer_spec.model_type == proto.trainer_spec.BPE
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
         if not self.by_chunk:
             return np.array(self.model.encode(text), "<u4")
-        known = self.chunks
         chunks = CHUNK.findall(MARK + text.replace(" ", MARK))
-        if len(known) > TABLE_CHUNKS:
-            known.clear()
+        # half a table that is full becomes the older one; what is met again moves on, the rest goes with the next turn
+        if len(self.chunks) >= TABLE_CHUNKS // 2:
+            self.older, self.chunks = self.chunks, {}
+        known = self.chunks
         missing = [c for c in dict.fromkeys(chunks) if c not in known]
+        again = {c: self.older[c] for c in missing if c in self.older}
+        known |= again
+        missing = [c for c in missing if c not in again]
         # the library puts a mark before every text: take it off and let the library put it back
         inner = [c for c in missing if c[0] == MARK and len(c) > 1]
         for chunk, ids in zip(inner, self.model.encode([c[1:] for c in inner], num_threads=1)):
@@ -76,6 +82,7 @@ def encode_pieces(docs: DataFrame, model: str, *, text: str = "text") -> DataFra
     has no ids and decodes to the empty text. Repeated rows are encoded each, a text of
     any length whole. An empty table gives an empty result.
     """
+    with_small_batches(docs.sparkSession)
     rows, kind = row_beside_text(docs, text, False)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

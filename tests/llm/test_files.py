@@ -125,6 +125,16 @@ def test_pieces_match_the_library(chance, monkeypatch):
         assert own.encode(text).tolist() == own.model.encode(text)
 
 
+def test_common_chunks_outlive_a_full_table(chance, monkeypatch):
+    monkeypatch.setattr(pieces, "TABLE_CHUNKS", 60)
+    own = pieces.ChunkEncoder(PIECE_MODEL)
+    for turn in range(40):
+        text = " ".join(["the", *(f"w{turn}x{i}" for i in range(9)), "house"])
+        assert own.encode(text).tolist() == own.model.encode(text)
+        assert pieces.MARK + "the" in own.chunks and len(own.chunks) + len(own.older) <= 60 + 2 * 11
+    assert own.older
+
+
 def test_encode_pieces(make_docs, corpus):
     docs = make_docs(corpus)
     rows = pieces.encode_pieces(docs, PIECE_MODEL).select("row.doc_id", "row.size", "ids", "decoded").collect()

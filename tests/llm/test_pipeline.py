@@ -1,12 +1,13 @@
 from collections import Counter
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
-from tagweave.llm import language_id, mixing, pieces, queries
+from tagweave.llm import language_id, mixing, near_dedup, pieces, queries
 from tagweave.workload.check import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
@@ -97,3 +98,22 @@ def test_pipeline_of_nothing(spark, make_docs):
 def test_run(spark):
     found = pipeline.run(spark, FOLDER)
     assert found.columns == ["doc_id", "source", "n_tokens", "ids", "decoded"] and found.count() > 0
+
+
+@pytest.mark.parametrize("operator", ["fit", "identify", "pieces", "near_copies"])
+def test_workers_get_texts_in_small_batches(spark, operator):
+    own = spark.newSession()
+    docs = own.range(40).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.repeat(F.concat(F.lit("word"), "id", F.lit(" ")), 40_000).alias("text")).coalesce(1)
+    if operator == "fit":
+        language_id.fit(docs.limit(1))
+    elif operator == "identify":
+        language_id.identify(docs, language_id.LanguageModel([], None))
+    elif operator == "pieces":
+        pieces.encode_pieces(docs, queries.PIECE_MODEL)
+    else:
+        near_dedup.components(docs.limit(1))
+    sizes = docs.select("text").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"size": [b.nbytes]}) for b in batches), "size long").collect()
+    assert sum(r["size"] for r in sizes) > 8_000_000 and max(r["size"] for r in sizes) < 4_000_000
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    language_id.fit(docs.limit(1))
+    assert own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "64m"
