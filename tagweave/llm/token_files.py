@@ -140,9 +140,15 @@ PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
 #: Words of printable ASCII and Latin-1 letters take the short way; the pattern is the tokenizer's own for such words.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Such a word of letters alone is one match of that pattern, once in lower case.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 TABLE_WORDS = 400_000
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def cuts_words(path: str) -> bool:
     """Whether a tokenizer file states just the steps that the short way restates, so that words can be encoded one by one."""
     with open(path, encoding="utf-8") as file:
@@ -168,21 +174,26 @@ class WordTable(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.pieces: dict[str, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if PLAIN.fullmatch(text) and "<|" not in text:
+        if LETTERS.fullmatch(text):
+            piece = text.lower()
+            ids = self.pieces.get(piece) or self._piece(piece)
+        elif PLAIN.fullmatch(text) and "<|" not in text:
             ids = b"".join([self.pieces.get(p) or self._piece(p) for p in PIECE.findall(text.lower())])
         else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         self[word] = ids
         return ids
 
     def _piece(self, piece: str) -> bytes:
-        spelled = "".join([self.letters[b] for b in piece.encode()])
-        found = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+        # printable ASCII is spelled as it is
+        spelled = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        found = packed([t.id for t in self.model.tokenize(spelled)])
         self.pieces[piece] = found
         return found
 

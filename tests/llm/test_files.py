@@ -117,6 +117,19 @@ def test_a_changed_frame_is_noticed(tmp_path):
         token_files.FrameReader(source).ids(0)
 
 
+def test_words_of_letters_are_not_cut(monkeypatch):
+    class Uncut:
+        def findall(self, text):
+            raise AssertionError(text)
+
+    own = token_files.WordEncoder(WORD_TOKENIZER)
+    monkeypatch.setattr(token_files, "PIECE", Uncut())
+    text = "Über the ÉCOLE straße ÿ A ouanelle"
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == own.words.tokenizer.encode(text, add_special_tokens=False).ids
+    with pytest.raises(AssertionError):
+        own.encode("it's")
+
+
 def test_pieces_match_the_library(chance, monkeypatch):
     monkeypatch.setattr(pieces, "TABLE_CHUNKS", 50)
     own = pieces.ChunkEncoder(PIECE_MODEL)
