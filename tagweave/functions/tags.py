@@ -10,6 +10,7 @@ from tagweave.functions.text import BLANK, BLANKS, collapse, fold, let, strip
 # ---------------------------------------------------------------------------
 # Fixed values.
 TAG_TRIM = " ,.;:|"
+SMALL_WORD = r"\A[a-z0-9ß-öø-ÿ]+\z"
 TAG_ALIASES = {
     "automobile": "car",
     "auto": "car",
@@ -84,7 +85,8 @@ def _cleaned(raw: Column) -> Column:
     """Lower-cased, single-spaced tag without punctuation at its ends."""
     # Blanks at the ends become spaces, which the last trim takes as well.
     spaced = collapse(F.replace(F.lower(raw), F.lit("_"), F.lit(" ")))
-    return F.btrim(spaced, F.lit(TAG_TRIM))
+    # One small word, as most are, stays as it is; finding that out is cheaper than all the steps.
+    return F.when(raw.rlike(SMALL_WORD), raw).otherwise(F.btrim(spaced, F.lit(TAG_TRIM)))
 
 
 def _aliased(tag: Column) -> Column:
