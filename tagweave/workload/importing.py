@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagweave.cluster import work_folder
@@ -276,25 +276,51 @@ SELECT CAST(doc_id AS VARCHAR) AS stem, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 1 E
 # --- files written from the tables and read back --------------------------------
 
 
-@query
-def catalogue_posts(spark: SparkSession, d: str) -> DataFrame:
-    """Orders and their lines as one download catalogue, written as a file and read back: posts of a query and their paths."""
-    folder = work_folder(spark)
-    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
-    path = lambda mode: F.concat(F.lit(f"images/{mode}/"), _padded("o_orderkey"), F.lit(".png"))
-    status = F.col("o_orderstatus")
+def _seen_lines(lines: DataFrame) -> DataFrame:
+    """Text lines ``(flag, at, text)`` of one JSON member per return flag, the list of its orders; a line holds the ids of a thousand keys."""
+    flag, ids = F.col("l_returnflag"), F.array_join(F.collect_set(F.col("l_orderkey").cast("string")), ",")
+    named = lines.where(flag.isNotNull() & F.col("l_orderkey").isNotNull())
+    listed = named.groupBy(flag.alias("flag"), F.expr("l_orderkey DIV 1000").alias("at")).agg(ids.alias("ids"))
+    quoted = F.to_json(F.array("flag"))
+    start = F.concat(F.substr(quoted, F.lit(2), F.length(quoted) - 2), F.lit(':{"seen_post_ids":['))
+    there = Window.partitionBy("flag").orderBy("at")
+    opening = F.when(F.lag("at").over(there).isNull(), start).otherwise(",")
+    # what stands between two members follows the first of them; a flag knows whether it is the last from the greatest
+    last = listed.agg(F.max("flag").alias("last"))
+    closing = F.when(F.lead("at").over(there).isNull(), F.when(F.col("flag") == F.col("last"), "]}").otherwise("]},")).otherwise("")
+    return listed.join(F.broadcast(last)).select("flag", "at", F.concat(opening, "ids", closing).alias("text"))
+
+
+def _write_catalogue(orders: DataFrame, lines: DataFrame, folder: str) -> None:
+    """One download catalogue, a post a line.
+
+    The layout asks for one document, which one task writes. It sorts keys, not texts, and lets go of a line once it is written.
+    """
+    path = lambda mode: F.concat(F.lit(f"images/{mode}/"), _padded("at"), F.lit(".png"))
+    status = F.col("status")
     files = F.struct(
-        F.concat(F.lit("json/"), _padded("o_orderkey"), F.lit(".json")).alias("json"),
+        F.concat(F.lit("json/"), _padded("at"), F.lit(".json")).alias("json"),
         F.struct(
             F.when(status == "P", path("preview")).alias("preview"), F.when(status != "F", path("sample")).alias("sample"),
             path("original").alias("original"),
         ).alias("image_paths"),
     )
-    # the layout asks for one document
-    posts = orders.agg(F.map_from_entries(F.collect_list(F.struct(F.col("o_orderkey").cast("string"), F.struct(files.alias("file_paths"))))).alias("posts"), F.lit(1).alias("one"))
-    wanted = lines.groupBy("l_returnflag").agg(F.collect_set("l_orderkey").alias("ids"))
-    queries = wanted.agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", F.struct(F.col("ids").alias("seen_post_ids"))))).alias("queries"), F.lit(1).alias("one"))
-    posts.join(queries, "one").select(F.to_json(F.struct("queries", "posts"))).write.text(folder)
+    posts = orders.where(F.col("o_orderkey").isNotNull()).select(F.lit(1).alias("part"), F.col("o_orderkey").alias("at"), F.col("o_orderstatus").alias("status"))
+    queries = _seen_lines(lines).withColumn("part", F.lit(3))
+    frame = orders.sparkSession.sql("""SELECT * FROM VALUES (0, '{"posts":{'), (2, '},"queries":{'), (4, '}}') AS frame(part, text)""")
+    rows = posts.unionByName(queries, allowMissingColumns=True).unionByName(frame, allowMissingColumns=True)
+    post = F.concat(F.lit('"'), F.col("at").cast("string"), F.lit('":'), F.to_json(F.struct(files.alias("file_paths"))))
+    text = F.when(F.col("line") == 1, post).otherwise(F.concat(F.lit(","), post))
+    # line 0 opens the document; numbered in a step of its own, since under a condition only some rows would count
+    numbered = rows.repartition(1).sortWithinPartitions("part", "flag", "at").withColumn("line", F.monotonically_increasing_id())
+    numbered.select(F.when(F.col("part") == 1, text).otherwise(F.col("text"))).write.text(folder)
+
+
+@query
+def catalogue_posts(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and their lines as one download catalogue, written as a file and read back: posts of a query and their paths."""
+    folder = work_folder(spark)
+    _write_catalogue(table(spark, d, "orders"), table(spark, d, "lineitem"), folder)
     seen, paths = files_source.read_catalogue(spark, folder)
     return paths.join(seen.where("query_key = 'R'"), "post_id", "left_semi")
 

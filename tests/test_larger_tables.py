@@ -68,6 +68,41 @@ def test_catalogue_in_any_layout_and_splits(spark, tmp_path, indent):
     )
 
 
+@pytest.mark.parametrize("indent", [None, 2])
+def test_catalogue_in_small_blocks(spark, tmp_path, monkeypatch, indent):
+    """Running sums, entries and lists go on from one block of pieces to the next."""
+    path = str(tmp_path / "manifest.json")
+    (tmp_path / "manifest.json").write_text(json.dumps(CATALOGUE, indent=indent, ensure_ascii=False))
+    whole = [sorted(map(tuple, part.collect())) for part in files.read_catalogue(spark, path)]
+    monkeypatch.setattr(files, "_BLOCK_BITS", 2)
+    assert whole == [sorted(map(tuple, part.collect())) for part in files.read_catalogue(spark, path)] and len(whole[1]) == 4500
+
+
+def test_catalogue_is_written_line_by_line(spark, tmp_path, monkeypatch):
+    """No row holds the document: a line has one post, or ids of a thousand keys. Orders that come twice are two posts of one key."""
+    read, texts = files.read_catalogue, []
+
+    def looked_at(session, path):
+        texts.extend(session.read.text(path).toPandas()["value"])
+        assert len(session.read.text(path).inputFiles()) == 1
+        return read(session, path)
+
+    monkeypatch.setattr(files, "read_catalogue", looked_at)
+    orders = spark.sql("SELECT id - 5 AS o_orderkey, substr('FOP', 1 + id % 3, 1) AS o_orderstatus FROM range(3000) UNION ALL SELECT 7, 'F'")
+    lines = spark.sql("SELECT id % 2900 AS l_orderkey, nullif(substr('RAN ', 1 + id % 4, 1), ' ') AS l_returnflag FROM range(9000)")
+    assert against_sql(spark, tmp_path, "catalogue_posts", orders=orders, lineitem=lines) == []
+    document = json.loads("\n".join(texts))
+    assert len(document["posts"]) == 3000 and set(document["queries"]) == set("RAN")
+    assert len(texts) == 3 + 3001 + 3 * 3 and max(map(len, texts)) < 8000
+
+
+@pytest.mark.parametrize("tables", ["orders", "lineitem", "both"])
+def test_catalogue_without_rows(spark, tmp_path, tables):
+    orders = spark.sql("SELECT id AS o_orderkey, 'O' AS o_orderstatus FROM range(3)").where("false" if tables in ("orders", "both") else "true")
+    lines = spark.sql("SELECT id AS l_orderkey, 'R' AS l_returnflag FROM range(3)").where("false" if tables in ("lineitem", "both") else "true")
+    assert against_sql(spark, tmp_path, "catalogue_posts", orders=orders, lineitem=lines) == []
+
+
 def test_broken_catalogue_gives_no_rows(spark, tmp_path):
     for text in ('{"posts": {"1": {"file_paths": {"json": "a"}}, "2": {"file', '{"posts": {"1": {"file_paths": {"json": "a"}}}', "[1, 2]", ""):
         (tmp_path / "manifest.json").write_text(text)
