@@ -64,7 +64,7 @@ def place(rank: Column, at: Column) -> Column:
     return F.shiftleft(rank.cast("long"), 40) + at.cast("long")
 
 
-def _exploded(
+def _lists(
     records: DataFrame,
     items: Column,
     rank: int,
@@ -72,34 +72,51 @@ def _exploded(
     namespace: str,
     confidence: float,
 ) -> DataFrame:
+    """A list per record ``(stem, start, raws, source, namespace, confidence)``; ``start`` is the place of its first tag."""
+    return records.select(
+        "stem",
+        place(F.lit(rank), F.lit(0)).alias("start"),
+        items.alias("raws"),
+        F.lit(source).alias("source"),
+        F.lit(namespace).alias("namespace"),
+        F.lit(confidence).alias("confidence"),
+    )
+
+
+def list_tags(lists: DataFrame) -> DataFrame:
+    """The tags of lists, a row each; further columns go along."""
+    others = [F.col(name) for name in lists.columns if name not in ("stem", "start", "raws")]
     # The outer form keeps Spark from computing the lists a second time just to
     # skip empty ones ahead of the explode.
     return (
-        records.select("stem", F.posexplode_outer(items).alias("at", "raw"))
+        lists.select("stem", "start", *others, F.posexplode_outer("raws").alias("at", "raw"))
         .where(F.col("raw").isNotNull())
-        .select(
-            "stem",
-            place(F.lit(rank), F.col("at")).alias("pos"),
-            "raw",
-            F.lit(source).alias("source"),
-            F.lit(namespace).alias("namespace"),
-            F.lit(confidence).alias("confidence"),
-        )
+        .select("stem", (F.col("start") + F.col("at")).alias("pos"), "raw", *others)
+    )
+
+
+def context_lists(records: DataFrame) -> DataFrame:
+    """Lists of ``(stem, context_tags)``."""
+    return _lists(
+        records, F.col("context_tags"), 0, "metadata", "existing", tags.CONTEXT_CONFIDENCE
     )
 
 
 def context_tags(records: DataFrame) -> DataFrame:
     """Rows of ``(stem, context_tags)``."""
-    return _exploded(
-        records, F.col("context_tags"), 0, "metadata", "existing", tags.CONTEXT_CONFIDENCE
+    return list_tags(context_lists(records))
+
+
+def open_set_lists(records: DataFrame) -> DataFrame:
+    """Lists of ``(stem, open_set_tags)``."""
+    return _lists(
+        records, F.col("open_set_tags"), 1, "ram++", "objects", tags.OPEN_SET_CONFIDENCE
     )
 
 
 def open_set_tags(records: DataFrame) -> DataFrame:
     """Rows of ``(stem, open_set_tags)``."""
-    return _exploded(
-        records, F.col("open_set_tags"), 1, "ram++", "objects", tags.OPEN_SET_CONFIDENCE
-    )
+    return list_tags(open_set_lists(records))
 
 
 def art_tags(predictions: DataFrame) -> DataFrame:
@@ -114,53 +131,49 @@ def art_tags(predictions: DataFrame) -> DataFrame:
     )
 
 
-def _field_items(items: Column, rank: int, namespace: str) -> Column:
-    present = F.coalesce(items, F.array().cast("array<string>"))
-    return F.transform(
-        present,
-        lambda item, at: F.struct(
-            F.lit(rank).alias("rank"),
-            at.alias("at"),
-            item.alias("raw"),
-            F.lit(namespace).alias("namespace"),
-        ),
-    )
+def art_lists(predictions: DataFrame) -> DataFrame:
+    """Rows of the art tagger as lists of one tag."""
+    rows = art_tags(predictions).withColumnRenamed("pos", "start")
+    return rows.withColumn("raws", F.array("raw")).drop("raw")
 
 
-def semantic_tags(semantics: DataFrame) -> DataFrame:
-    """Rows of the content type and of the eight tag fields.
+def semantic_lists(semantics: DataFrame) -> DataFrame:
+    """Lists of the content type and of the eight tag fields.
 
     Free text and uncertain items never become tags; failed records are left out.
     """
     usable = semantics.where(F.col("error").isNull()) if "error" in semantics.columns else semantics
     kind = F.col("content_type")
     first = usable.where((strip(kind) != "") & (kind != "unknown"))
-    parts = [
-        _exploded(first, F.array(kind), 10, "qwen", "medium", tags.SEMANTIC_CONFIDENCE)
-    ]
-    # All fields are exploded in one pass over the records.
-    listed = F.flatten(
-        F.array(
-            *[
-                _field_items(F.col(name), rank, namespace)
-                for rank, (name, namespace) in enumerate(SEMANTIC_FIELDS.items(), 11)
-            ]
+    fields = [
+        F.struct(
+            place(F.lit(rank), F.lit(0)).alias("start"),
+            F.col(name).alias("raws"),
+            F.lit(namespace).alias("namespace"),
         )
+        for rank, (name, namespace) in enumerate(SEMANTIC_FIELDS.items(), 11)
+    ]
+    # All fields come apart in one pass over the records.
+    rows = usable.select("stem", F.explode(F.array(*fields)).alias("list")).where(
+        F.col("list.raws").isNotNull()
     )
-    rows = usable.select("stem", F.explode_outer(listed).alias("item")).where(
-        F.col("item.raw").isNotNull()
-    )
-    parts.append(
+    return _lists(
+        first, F.array(kind), 10, "qwen", "medium", tags.SEMANTIC_CONFIDENCE
+    ).unionByName(
         rows.select(
             "stem",
-            place(F.col("item.rank"), F.col("item.at")).alias("pos"),
-            F.col("item.raw").alias("raw"),
+            "list.start",
+            "list.raws",
             F.lit("qwen").alias("source"),
-            F.col("item.namespace").alias("namespace"),
+            "list.namespace",
             F.lit(tags.SEMANTIC_CONFIDENCE).alias("confidence"),
         )
     )
-    return parts[0].unionByName(parts[1])
+
+
+def semantic_tags(semantics: DataFrame) -> DataFrame:
+    """Rows of the content type and of the eight tag fields; see :func:`semantic_lists`."""
+    return list_tags(semantic_lists(semantics))
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
@@ -234,9 +247,13 @@ def tag_facts(candidates: DataFrame, judged: DataFrame, required: tuple[str, ...
     asked = judged.select(
         "stem", tags.normalize_tag(F.col("raw")).alias("tag"), F.col("pos").alias("judged_at")
     )
+    return grouped_facts(known.unionByName(asked, allowMissingColumns=True), required)
+
+
+def grouped_facts(rows: DataFrame, required: tuple[str, ...]) -> DataFrame:
+    """Facts of candidates and judged tags ``(stem, tag, pos, score, source, judged_at)`` of one table; judged ones have no score."""
     return (
-        known.unionByName(asked, allowMissingColumns=True)
-        .groupBy("stem", "tag")
+        rows.groupBy("stem", "tag")
         .agg(
             F.max("score").alias("score"),
             F.min("pos").alias("first_pos"),

@@ -85,3 +85,16 @@ def test_pairing_is_one_grouped_pass(spark):
 def test_likeness_counts_areas_before_any_window(spark):
     boxes = spark.createDataFrame([(1, 10)], "image_id INT, area INT")
     assert "Join" not in plan(regions.similar_counts(boxes))
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["tag_fusion", "fused_source_counts"])
+def test_fusion_deals_out_lists_and_no_tags(spark, name):
+    """Lists are shuffled by record before they are exploded; what is made of their tags stays where it is, also in the plan that ran."""
+    frame = registry.QUERIES[name](spark, FOLDER)
+    ran = frame._jdf.queryExecution()
+    assert frame.count() and ran.toRdd().count()
+    final = ran.executedPlan().toString().split("== Initial Plan ==")[0]
+    above, below = final.split("posexplode(raws", 1)
+    assert "isFinalPlan=true" in final and "Aggregate" in above and "Exchange" not in above
+    assert "Exchange hashpartitioning(stem" in below.split("Union", 1)[0]
